@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, line_dedup, repetition, runtime, token_shards, toxicity, url_filter
+from ledgerloom.llm import bpe, decontaminate, line_dedup, near_dedup, repetition, runtime, token_shards, toxicity, url_filter, warc
 
 #: Token that ends a document in token shards.
 END_ID = 2
@@ -45,6 +45,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[F.round(p[i], 6).alias(f"p_{c}") for i, c in enumerate(CATEGORIES)], (p[len(CATEGORIES) - 1] >= TOXIC_FROM).alias("toxic"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = runtime.shared_path(spark, "warc")
+    warc.archive_pages(_read(spark, sf_dir, "pages"), folder)
+    back = warc.read_archives(spark, folder, "record_id string, record_type string, payload_digest string, refers_to string, payload_bytes bigint")
+    page = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)")
+    return back.where(F.col("record_type").isin("response", "revisit")).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     judged = url_filter.filter_urls(pages, url_filter.repeated_urls(pages))
@@ -79,6 +91,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_toxicity": op3_toxicity,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
     "op7_token_shards": op7_token_shards,
     "op8_repetition": op8_repetition,
@@ -104,6 +118,14 @@ its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
 """,
     "op6_url_filter": r"""
 WITH p AS (
