@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, line_dedup, near_dedup, repetition, runtime, token_shards, toxicity, url_filter, warc
+from ledgerloom.llm import bpe, decontaminate, line_dedup, near_dedup, repetition, runtime, token_counts, token_shards, toxicity, url_filter, warc
 
 #: Token that ends a document in token shards.
 END_ID = 2
+#: Documents of more tokens are over the limit.
+TOKEN_LIMIT = 1024
 #: A document is toxic from this probability on.
 TOXIC_FROM = 0.5
 #: The chain's categories in order; ``junk`` is quality 0.
@@ -33,6 +35,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(found)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def category_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
 
@@ -90,6 +97,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_warc": op5_warc,
