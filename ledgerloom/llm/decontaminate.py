@@ -171,8 +171,8 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
 def find_contamination(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Where windows of benchmark items occur in each document.
 
-    Returns ``doc_id, n_words, spans`` (merged, in words) and ``items`` (sorted item_ids
-    as strings), a row for each input row. Null and empty texts have no words; an item
+    Returns ``doc_id, version`` (hash of the text), ``n_words, spans`` (merged, in words)
+    and ``items`` (sorted item_ids as strings), a row for each input row. Null and empty texts have no words; an item
     without words has no window; windows of items whose id is null hit words but name
     no item; items that repeat an id are one item; repeated documents stay repeated;
     other columns are ignored. Empty tables give no rows or no hits. One item larger
@@ -195,7 +195,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, block_bytes:
         block.append((item, bytes(text)))
         size += len(text)
     join()
-    return (parts[0] if len(parts) == 1 else _merged(parts)).drop("version")
+    return parts[0] if len(parts) == 1 else _merged(parts)
 
 
 def verdicts(found: DataFrame) -> DataFrame:

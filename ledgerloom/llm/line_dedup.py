@@ -10,6 +10,8 @@ moves once, to meet the lines it loses.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def _windows(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "version", F.explode(each).alias("w")).select("doc_id", "version", "w.k", "w.a", "w.b")
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Remove later occurrences of repeated windows of three lines.
 
     Lines end at ``\\n`` and are compared without blanks, tabs and ``\\r`` around them;
@@ -51,9 +53,12 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     Null text: ``n_lines`` 0, text null. Fewer than three such lines: unchanged. Rows
     that repeat a doc_id and its text count as one document and all get its result;
     rows of one doc_id with other texts are ordered by a hash of the text. A null
-    doc_id orders first. Other columns are ignored; an empty table stays empty.
+    doc_id orders first. Other columns are ignored, but for those named in ``carry``,
+    which come back in a struct ``carried``; an empty table stays empty.
     """
-    docs = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    docs = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).withColumn("version", F.xxhash64("text"))
+    more = ["carried"] if carry else []
     windows = _windows(docs)
     place = F.struct("doc_id", "version", "k")
     repeated = (
@@ -79,11 +84,11 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("of"), F.col("version").alias("its"), F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["from"], s["to"])))).alias("covered"))
     )
     joined = docs.join(covered, docs.doc_id.eqNullSafe(covered["of"]) & (docs.version == covered["its"]), "left")
-    joined = joined.select("doc_id", "text", "covered", F.split("text", "\n").alias("lines"))
-    joined = joined.select("doc_id", "text", "covered", "lines", F.when(F.col("covered").isNotNull(), _solid(F.col("lines"))).alias("solid"))
+    joined = joined.select("doc_id", "text", *more, "covered", F.split("text", "\n").alias("lines"))
+    joined = joined.select("doc_id", "text", *more, "covered", "lines", F.when(F.col("covered").isNotNull(), _solid(F.col("lines"))).alias("solid"))
     removed = F.array_sort(F.transform("covered", lambda k: F.col("solid")[k]["at"]))
-    joined = joined.select("doc_id", "text", "lines", F.coalesce(removed, F.array().cast("array<int>")).alias("removed"))
+    joined = joined.select("doc_id", "text", *more, "lines", F.coalesce(removed, F.array().cast("array<int>")).alias("removed"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     joined = joined.withColumn("stay", F.when(F.size("removed") > 0, stay))
     text = F.when(F.size("removed") > 0, F.array_join(F.transform("stay", lambda i: F.col("lines")[i]), "\n")).otherwise(F.col("text"))
-    return joined.select("doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).alias("n_lines"), "removed")
+    return joined.select("doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).alias("n_lines"), "removed", *more)
