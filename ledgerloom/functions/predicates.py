@@ -42,11 +42,21 @@ def is_constant(text: Column) -> Column:
     return text.isin("true", "false", "null") | text.startswith('"') | number(bare).isNotNull() | text.rlike("^[A-Z]\\w*\\.[A-Z]\\w*$")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, so that nested expressions don't multiply."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def compare(actual: Column, op: Column, right: Column) -> Column:
     """True, false or null (unknown) for the twelve operators; any other gives null."""
+    known = F.struct(actual.alias("actual"), op.alias("op"), normalize(right).alias("expected"))
+    sides = lambda s: F.struct(s["actual"].alias("actual"), s["op"].alias("op"), s["expected"].alias("expected"), number(s["actual"]).alias("a"), number(s["expected"]).alias("b"))
+    return _let(known, lambda s: _let(sides(s), _decide))
+
+
+def _decide(s: Column) -> Column:
+    actual, op, expected, a, b = (s[c] for c in ("actual", "op", "expected", "a", "b"))
     blank = F.coalesce(actual, F.lit("")).rlike("(?U)^\\s*$")
-    expected = normalize(right)
-    a, b = number(actual), number(expected)
     same = F.lower(actual) == F.lower(expected)
     numeric = F.when(op == "==", a == b).when(op == "!=", a != b).when(op == "<", a < b).when(op == "<=", a <= b).when(op == ">", a > b).when(op == ">=", a >= b)
     one_null = F.when(op == "==", actual.isNull() & expected.isNull()).when(op == "!=", actual.isNotNull() | expected.isNotNull())

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a round."""
+def cut(df: DataFrame) -> DataFrame:
+    """End a lineage: by a checkpoint where the session has a folder for them, else in the cache."""
     sc = df.sparkSession.sparkContext
     return df.checkpoint() if sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") else df.cache()
 
@@ -27,7 +27,7 @@ def closure(edges: DataFrame, starts: DataFrame, most: int = 1_000) -> DataFrame
     while depth < most:
         depth += 1
         step = new.join(edges, new.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
-        new = _cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
@@ -49,7 +49,7 @@ def depths(nodes: DataFrame, most: int | None = None) -> DataFrame:
         done = ended if done is None else done.unionByName(ended)
         going = count.where("at IS NOT NULL")
         up = at.select(F.col("id").alias("_id"), F.col("at").alias("_up"))
-        count = _cut(going.join(up, going.at == up["_id"]).select("id", (F.col("depth") + 1).alias("depth"), F.col("_up").alias("at")))
+        count = cut(going.join(up, going.at == up["_id"]).select("id", (F.col("depth") + 1).alias("depth"), F.col("_up").alias("at")))
         if count.isEmpty():
             return done
     rest = count.select("id", F.lit(bound).alias("depth"))
@@ -70,7 +70,7 @@ def chain(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
     while depth < most:
         depth += 1
         step = front.join(edges, front.node == edges.src).where(~F.array_contains("nodes", F.col("dst")))
-        front = _cut(step.select("root", F.col("dst").alias("node"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.concat("nodes", F.array("dst")).alias("nodes")))
+        front = cut(step.select("root", F.col("dst").alias("node"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.concat("nodes", F.array("dst")).alias("nodes")))
         if front.isEmpty():
             break
         every = every.unionByName(front)

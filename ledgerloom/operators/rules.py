@@ -97,8 +97,8 @@ def entity_with(wanted: DataFrame, fields: DataFrame, placed: DataFrame) -> Data
 
 def _values(asked: DataFrame, fields: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
     """Join asks ``(case_id, ask, entity, property, ...)`` to rows: columns ``row_pos``, ``has``, ``value``."""
-    f = fields.select(F.col("entity"), F.lower("name").alias("_name"), F.col("column").alias("_column"))
-    named = asked.join(f, (asked.entity == f.entity) & (F.lower(asked.property) == f["_name"]), "left").drop(f.entity).drop("_name")
+    f = fields.select(F.col("entity").alias("_entity"), F.lower("name").alias("_name"), F.col("column").alias("_column"))
+    named = asked.join(f, (F.col("entity") == F.col("_entity")) & (F.lower(F.col("property")) == F.col("_name")), "left").drop("_entity", "_name")
     located = named.join(placed, ["case_id", "entity"], "left")
     r = rows.select("case_id", F.col("table").alias("snap_table"), F.col("pos").alias("row_pos"), "row")
     joined = located.join(r, ["case_id", "snap_table"], "left")
@@ -110,7 +110,7 @@ def structured_results(guards: DataFrame, entities: DataFrame, fields: DataFrame
     """``(case_id, guard_id, result, evidence)`` of guards with ``left_side, op, right_side``."""
     g = guards.select("guard_id", "condition", "left_side", "op", "right_side", scalars.tail(F.col("left_side")).alias("property"), F.regexp_extract("left_side", "^(.+)\\.[^.]*$", 1).alias("of"))
     e = entities.select("entity", F.lower("entity").alias("_e"))
-    direct = g.join(e, F.lower(g["of"]) == e["_e"], "left").drop("_e")
+    direct = g.join(e, F.lower(F.col("of")) == F.col("_e"), "left").drop("_e")
     cases = placed.select("case_id").distinct()
     every = joins.attach_all(cases, direct)
     guess = entity_with(direct.where("entity IS NULL").select(F.col("guard_id").alias("ask"), "property"), fields, placed).select("case_id", F.col("ask").alias("guard_id"), F.col("entity").alias("guess"))
@@ -173,8 +173,8 @@ def evaluate(rule_guards: DataFrame, entities: DataFrame, fields: DataFrame, cas
     filters = rule_guards.where("kind = 'filter'").groupBy("rule_id").agg(F.min_by("guard_id", "pos").alias("filter_id"))
     flag = F.regexp_extract("condition", FLAG, 1)
     every = joins.attach_all(cases.select("case_id"), rule_guards.join(filters, "rule_id", "left").withColumn("flag", F.when(flag != "", flag)))
-    c = config.select("case_id", F.lower("key").alias("_flag"), F.col("value").alias("flag_value"))
-    every = every.join(c, (every.case_id == c.case_id) & (F.lower(every.flag) == c["_flag"]), "left").drop(c.case_id)
+    c = config.select(F.col("case_id").alias("_case"), F.lower("key").alias("_flag"), F.col("value").alias("flag_value"))
+    every = every.join(c, (F.col("case_id") == F.col("_case")) & (F.lower(F.col("flag")) == F.col("_flag")), "left").drop("_case", "_flag")
     every = every.join(structured, ["case_id", "guard_id"], "left")
     every = every.join(counts.select("case_id", F.col("guard_id").alias("filter_id"), "matched", F.col("evidence").alias("f_evidence")), ["case_id", "filter_id"], "left")
     only_filters = F.min(F.when(F.col("kind") == "filter", 1).otherwise(0)).over(Window.partitionBy("case_id", "rule_id")) == 1

@@ -33,9 +33,9 @@ def discover(facts: Facts) -> DataFrame:
     steps = _steps_of(edges, roots.select(F.col("entry_id").alias("root"))).join(roots.withColumnRenamed("entry_id", "root"), "root")
     steps = steps.where(~F.col("endpoint") | (F.col("no") > 1)).withColumn("no", F.when(F.col("endpoint"), F.col("no") - 1).otherwise(F.col("no")))
     external = F.col("node").startswith("external\u0001")
-    steps = steps.select("root", "endpoint", "no", F.when(~external, F.col("node")).alias("entry_id"), F.when(external, F.element_at(F.split("node", "\u0001"), 2)).alias("external"), "node", F.when(~F.col("endpoint") | (F.col("parent") != F.col("root")), F.col("parent")).alias("parent"))
+    steps = graph.cut(steps.select("root", "endpoint", "no", F.when(~external, F.col("node")).alias("entry_id"), F.when(external, F.element_at(F.split("node", "\u0001"), 2)).alias("external"), "node", F.when(~F.col("endpoint") | (F.col("parent") != F.col("root")), F.col("parent")).alias("parent")))
     flows = steps.groupBy("root").agg(F.count("entry_id").alias("n"), F.max("no").alias("last")).where("n >= 2")
-    main = steps.join(flows, "root")
+    main = graph.cut(steps.join(flows, "root"))
 
     entity_of = F.substring_index(F.when(F.col("target").startswith("T:"), F.substring_index("target", ".", -1)).otherwise(F.col("target")), ".", 1)
     inserted = edges.where("type = 'insert'").select("entry_id", entity_of.alias("entity")).join(facts.entities.select("entity"), "entity", "left_semi")
@@ -49,11 +49,11 @@ def discover(facts: Facts) -> DataFrame:
     added = more.join(tail, "source").join(main.select("root", "entry_id").where("entry_id IS NOT NULL"), ["root", "entry_id"], "left_anti")
     turn = Window.partitionBy("root", "node").orderBy("source")
     added = added.withColumn("_t", F.row_number().over(turn)).where("_t = 1").join(flows.select("root", "last"), "root")
-    added = added.withColumn("no", F.col("last") + F.row_number().over(Window.partitionBy("root").orderBy("source", "own_no")))
+    added = graph.cut(added.withColumn("no", F.col("last") + F.row_number().over(Window.partitionBy("root").orderBy("source", "own_no"))))
     every = main.select("root", "no", "entry_id", "external", "node", "parent", F.lit(False).alias("dashed"), "last").unionByName(added.select("root", "no", "entry_id", "external", "node", "parent", F.lit(True).alias("dashed"), "last"))
     up = every.select("root", F.col("node").alias("parent"), F.col("no").alias("parent_no"))
     out = every.join(up, ["root", "parent"], "left")
-    return out.select(F.concat(F.lit("flow:"), "root").alias("flow_id"), "no", "entry_id", "external", F.coalesce("parent_no", F.when(F.col("dashed"), F.col("last"))).alias("parent_no"), "dashed")
+    return graph.cut(out.select(F.concat(F.lit("flow:"), "root").alias("flow_id"), "no", "entry_id", "external", F.coalesce("parent_no", F.when(F.col("dashed"), F.col("last"))).alias("parent_no"), "dashed"))
 
 
 def diagram(steps: DataFrame, guards: DataFrame, titles: DataFrame, yes: str = "yes", no: str = "no", stop: str = "End without further steps", end: str = "End of process") -> tuple[DataFrame, DataFrame]:
@@ -66,11 +66,11 @@ def diagram(steps: DataFrame, guards: DataFrame, titles: DataFrame, yes: str = "
     returns = guards.where("exit = 'return'").groupBy("entry_id").agg(ordinals.ordered_join(F.col("condition"), F.col("pos"), " or ").alias("asked"))
     parents = steps.where("parent_no IS NOT NULL").select("flow_id", F.col("parent_no").alias("no")).distinct().withColumn("leads", F.lit(True))
     s = labelled.join(returns, "entry_id", "left").join(parents, ["flow_id", "no"], "left")
-    s = s.withColumn("decides", F.col("asked").isNotNull() & F.coalesce("leads", F.lit(False)))
+    s = graph.cut(s.withColumn("decides", F.col("asked").isNotNull() & F.coalesce("leads", F.lit(False))))
     made = s.select("flow_id", F.col("no").cast("bigint").alias("no"), F.explode(F.when(F.col("decides"), F.array(F.struct(F.lit(0).alias("k"), F.col("label").alias("text"), F.lit("step").alias("shape")), F.struct(F.lit(1).alias("k"), F.concat("asked", F.lit("?")).alias("text"), F.lit("decision").alias("shape")), F.struct(F.lit(2).alias("k"), F.lit(stop).alias("text"), F.lit("end").alias("shape")))).otherwise(F.array(F.struct(F.lit(0).alias("k"), F.col("label").alias("text"), F.lit("step").alias("shape"))))).alias("n")).select("flow_id", "no", "n.*")
     last = s.groupBy("flow_id").agg((F.max("no") + 1).cast("bigint").alias("no")).select("flow_id", "no", F.lit(0).alias("k"), F.lit(end).alias("text"), F.lit("end").alias("shape"))
     nodes = ordinals.numbered(made.unionByName(last), ["flow_id"], ["no", "k"], "n")
-    nodes = nodes.select("flow_id", "no", "k", ordinals.node_letter(F.col("n")).alias("id"), F.col("text").alias("label"), "shape")
+    nodes = graph.cut(nodes.select("flow_id", "no", "k", ordinals.node_letter(F.col("n")).alias("id"), F.col("text").alias("label"), "shape"))
     at = lambda k, name: nodes.where(F.col("k") == k).select("flow_id", "no", F.col("id").alias(name))
     exits = s.select("flow_id", "no", "decides").join(at(0, "own"), ["flow_id", "no"]).join(at(1, "decision"), ["flow_id", "no"], "left").select("flow_id", "no", F.coalesce("decision", "own").alias("exit"), "decides")
     into = s.where("parent_no IS NOT NULL").join(exits.select("flow_id", F.col("no").alias("parent_no"), F.col("exit").alias("src"), F.col("decides").alias("asked_before")), ["flow_id", "parent_no"]).join(at(0, "dst"), ["flow_id", "no"])
