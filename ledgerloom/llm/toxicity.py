@@ -25,9 +25,9 @@ from ledgerloom.llm import runtime
 from ledgerloom.llm.decontaminate import words_of
 
 SAMPLE, FEATURES, FOLDS, STEM = 6000, 500, 5, 5
-RIDGE, STEPS = 2e-3, 200
-#: Least documents of the sample that have a feature.
-LEAST = 3
+RIDGE, STEPS = 1e-3, 200
+#: Least documents of the sample that have a feature, and least score (in standard deviations) of its difference between the classes.
+LEAST, LEAST_SCORE = 3, 5.0
 
 
 def features_of(text: bytes) -> set[bytes]:
@@ -51,21 +51,22 @@ class Linear:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray) -> Linear:
-    """Logistic regression with a ridge, by accelerated gradient steps from zero."""
+    """Logistic regression with a ridge and balanced classes, by accelerated gradient steps from zero."""
     n, d = x.shape
     if not n or y.min() == y.max():
         return Linear(np.zeros(d), 0.0, float(y.mean()) if n else 0.0)
+    share = np.where(y > 0, n / (2 * y.sum()), n / (2 * (n - y.sum()))).astype(x.dtype)  # both classes weigh the same
     x1 = np.hstack([x, np.ones((n, 1), x.dtype)])
     v = np.ones(d + 1, x1.dtype)
     for _ in range(12):  # the largest curvature bounds the step
-        v = x1.T @ (x1 @ v)
+        v = x1.T @ (share * (x1 @ v))
         v /= np.linalg.norm(v)
-    rate = 1 / (0.25 * np.linalg.norm(x1.T @ (x1 @ v)) / n + RIDGE)
+    rate = 1 / (0.25 * np.linalg.norm(x1.T @ (share * (x1 @ v))) / n + RIDGE)
     keep = np.append(np.ones(d), 0).astype(x1.dtype)
     w = z = np.zeros(d + 1, x1.dtype)
     for step in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x1 @ z, -30, 30)))
-        following = z - rate * (x1.T @ (p - y) / n + RIDGE * keep * z)
+        following = z - rate * (x1.T @ (share * (p - y)) / n + RIDGE * keep * z)
         z = following + step / (step + 3) * (following - w)
         w = following
     return Linear(w[:-1].astype(np.float64), float(w[-1]))
@@ -140,7 +141,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: Sequence[str], sa
             continue
         share = F.col("n") / n
         z = F.abs(F.col(y) / ones - (F.col("n") - F.col(y)) / (n - ones)) / F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)) + 1e-12)
-        for r in counts.orderBy(F.round(z, 9).desc(), "feature").limit(features).collect():
+        for r in counts.where(z >= LEAST_SCORE).orderBy(F.round(z, 9).desc(), "feature").limit(features).collect():
             chosen.setdefault(bytes(r.feature), len(chosen))
     chain = Chain(tuple(categories), chosen)
     rows = _indexed(learned, chosen, names).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
