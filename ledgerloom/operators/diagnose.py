@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
-from ledgerloom.operators import graph, ordinals
+from ledgerloom.operators import graph, joins, ordinals
 
 
 def status_writes(edges: DataFrame, transitions: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def effects(edges: DataFrame, transitions: DataFrame, placed: DataFrame, values:
 def steps(flow_steps: DataFrame, entries: DataFrame, cases: DataFrame, found: DataFrame) -> DataFrame:
     """``(case_id, flow_id, no, entry_id, state)``: the state of every step of every flow in every case."""
     known = entries.select(F.col("entry_id").alias("_known")).distinct()
-    every = flow_steps.join(known, flow_steps.entry_id == known["_known"], "left").join(F.broadcast(cases.select("case_id")), F.lit(True))
+    every = joins.attach_all(cases.select("case_id"), flow_steps.select("flow_id", "no", "entry_id").join(known, F.col("entry_id") == F.col("_known"), "left"))
     seen = found.groupBy("case_id", "entry_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("state"), F.lit(False)).alias("done"), F.bool_or(F.col("state").isNull()).alias("unknown"))
     both = every.join(seen, ["case_id", "entry_id"], "left")
     state = step_state(F.col("entry_id").isNotNull(), F.col("_known").isNotNull(), F.coalesce("n", F.lit(0)), F.coalesce("done", F.lit(False)), F.coalesce("unknown", F.lit(False)))

@@ -164,7 +164,7 @@ def test_rules(facts, shots):
 
 def test_diagnosis(facts, shots, spark):
     placed = rules.entity_tables(facts.entities, shots.cases, shots.tables)
-    row_facts = shots.rows.join(placed, (shots.rows.case_id == placed.case_id) & (shots.rows.table == placed.snap_table)).select(placed.case_id, "entity", "row")
+    row_facts = shots.rows.withColumnRenamed("table", "snap_table").join(placed, ["case_id", "snap_table"]).select("case_id", "entity", "row")
     states = facts.transitions.select("entity", "field").distinct()
     values = row_facts.select("case_id", "entity", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")).unionByName(
         row_facts.join(states, "entity").select("case_id", "entity", "field", joins.map_value(F.col("row"), [F.lower("field")]).alias("value"))
