@@ -154,6 +154,11 @@ def test_lookups(spark):
         joins.attach_all(spark.range(2), spark.range(5), 4)
 
 
+def test_divide(spark):
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, "b"), (3, "c"), (3, "a"), (4, None)], "k int, v string")
+    assert sorted(r.k for r in joins.divide(pairs, "k", "v", ["a", "b"]).collect()) == [1, 3]
+
+
 def test_ordinals(spark):
     n = spark.createDataFrame([(1,), (26,), (27,)], "n int").select(ordinals.node_letter(F.col("n")).alias("x"))
     assert [r.x for r in n.collect()] == ["A", "Z", "N26"]
