@@ -18,9 +18,8 @@ tokens). So the gadgets are compiled into arrays (rank, left part, right part) a
 the rows of the transition table are filled as words first need them; the table is
 bounded and refilled when it is full.
 
-**Encoding** fills, from left to right, the last token of each prefix of a word: each
-prefix has one canonical tokenization, so one arc fits. Words are taken in sorted
-order and keep the states of the beginning they share with the word before. **Decoding** emits the labels of the arcs.
+**Encoding** looks for the one path of arcs that spells a word, by table look-ups of
+labels and transitions. **Decoding** emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -31,14 +30,15 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import runtime
 
-#: Bounds of what a worker remembers: arcs of the table, words and pieces; and the characters it encodes together.
-TABLE_CELLS, MEMO_WORDS, BLOCK_CHARS = 400_000, 400_000, 6_000_000
+#: Bounds of what a worker remembers: arcs of the table, and words and pieces together; and the characters it encodes together.
+TABLE_CELLS, MEMO_WORDS, BLOCK_CHARS = 300_000, 1_000_000, 6_000_000
 
 #: Texts of these characters need no library: printable ASCII, white space and the letters U+00C0 to U+024F.
 ODD = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
@@ -100,40 +100,48 @@ class MergeAutomaton:
                 before, t = of_t, self.right[t]
 
     def walk(self, words: Iterable[str]) -> Iterator[list[int]]:
-        """The tokens of each word. Sorted words share the states of their common beginnings.
+        """The tokens of each word: the one path of arcs that spells it.
 
-        ``last[k]`` is the last token of the canonical tokenization of ``word[:k]``.
+        Long arcs are tried first. Whatever path of existing arcs reaches a place is the
+        canonical tokenization of what is before it, so there is one, and a place that
+        leads nowhere is never tried again.
         """
-        inner, final, table, n_labels, longest = self.inner, self.final, self.table, len(self.labels), self.longest
-        last, back, before = [-1], [0], ""
+        inner, final, table, n_labels, longest = self.inner.get, self.final.get, self.table, len(self.labels), self.longest
         for word in words:
+            whole = final(word)
+            if whole is not None:
+                yield [whole]
+                continue
             n = len(word)
-            known, most = 0, min(len(before), n) - 1
-            while known < most and before[known] == word[known]:
-                known += 1
-            del last[known + 1 :], back[known + 1 :]
-            for k in range(known + 1, n + 1):
-                arcs = final if k == n else inner
-                for j in range(k - longest if k > longest else 0, k):
-                    w = arcs.get(word[j:k])
-                    if w is None:
-                        continue
-                    if j:
-                        cell = last[j] * n_labels + w
+            out: list[int] = []
+            starts: list[int] = []
+            dead: set[int] = set()
+            start, last, end = 0, -1, n if n <= longest else longest
+            while True:
+                while end > start:
+                    w = inner(word[start:end]) if end < n else final(word[start:])
+                    if w is not None and end not in dead:
+                        if last < 0:
+                            break
+                        cell = last * n_labels + w
                         goes = table.get(cell)
                         if goes is None:
-                            goes = table[cell] = self.follows(last[j], w)
-                        if not goes:
-                            continue
-                    last.append(w)
-                    back.append(j)
-                    break
-            out, k = [], n
-            while k:
-                out.append(last[k])
-                k = back[k]
-            out.reverse()
-            before = word
+                            goes = table[cell] = self.follows(last, w)
+                        if goes:
+                            break
+                    end -= 1
+                if end > start:
+                    out.append(w)
+                    if end == n:
+                        break
+                    starts.append(start)
+                    start, last, end = end, w, n if n - end <= longest else end + longest
+                else:
+                    dead.add(start)
+                    out.pop()
+                    end = start - 1
+                    start = starts.pop()
+                    last = out[-1] if out else -1
             if len(table) > TABLE_CELLS:
                 table.clear()
             yield out
@@ -160,11 +168,11 @@ class WordBpe:
             raise ValueError("only plain added tokens are supported")
         self.label |= {i: s for s, i in self.special.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._words: dict[str, tuple[bytes, str]] = {}
-        self._pieces: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        self._known: dict[str, bytes] = {"": b""}
+        self.most_id = max(self.label)
+        self.kind = "H" if self.most_id < 65536 else "I"
         if not (self.automaton.inner.keys() >= set(byte_symbols()) and self.automaton.final.keys() >= set(byte_symbols())):
             raise ValueError("the vocabulary must hold every byte, inside and at the end of a word")
-        self.most_id = max(self.label)
         self._library = None
 
     def library(self):
@@ -174,67 +182,78 @@ class WordBpe:
             self._library = Tokenizer.from_file(self.path)
         return self._library
 
-    def _split(self, piece: str) -> list[str]:
-        """The words of a piece without white space and added tokens, in byte symbols."""
-        if piece.isascii() and piece.isprintable():
+    def _split(self, piece: str) -> list[str] | None:
+        """The words of a piece without white space and added tokens; null for characters that need the library."""
+        if piece.isascii() and piece.isprintable() or not ODD.search(piece):
             return _WORD.findall(piece.lower())
-        if not ODD.search(piece):
-            return ["".join(map(byte_symbols().__getitem__, w.encode())) for w in _WORD.findall(piece.lower())]
+        return None
+
+    def _mapped(self, word: str) -> str:
+        return word if word.isascii() else "".join(map(byte_symbols().__getitem__, word.encode()))
+
+    def _odd(self, piece: str) -> bytes:
+        """A piece of other characters: the library normalises and splits it, the automaton encodes."""
         tok = self.library()
-        return [w for w, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(piece))]
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that are not remembered, all their new words in sorted order."""
-        new = (wanted := set(pieces)).difference(self._pieces)
-        if len(self._pieces) + len(new) > MEMO_WORDS:
-            self._pieces, new = {"": (b"", "")}, wanted - {""}
-        if len(self._words) > MEMO_WORDS:
-            self._words.clear()
-        parts: dict[str, list] = {}
+        words = [w for w, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(piece))]
+        return b"".join([self._packed(tokens) for w in words for tokens in self.automaton.walk([w])])
+
+    def _packed(self, tokens: list[int]) -> bytes:
+        return array(self.kind, map(self.ids.__getitem__, tokens)).tobytes()
+
+    def learn(self, wanted: set[str]) -> None:
+        """Encode the pieces that are not remembered, each new word once."""
+        known = self._known
+        new = wanted.difference(known)
+        if len(known) + len(new) > MEMO_WORDS:
+            known.clear()
+            known[""] = b""
+            new = wanted - {""}
+        later, words = [], set()
         for p in new:
-            if self._special and "<" in p:
-                parts[p] = [x if x in self.special else self._split(x) for x in self._special.split(p) if x]
+            if self._special and "<" in p and self._special.search(p) or (split := self._split(p)) is None:
+                later.append((p, None))
+            elif len(split) == 1 and split[0] == p:
+                words.add(p)
             else:
-                parts[p] = [self._split(p)]
-        known, ids, label = self._words, self.ids, self.label
-        words = sorted({w for split in parts.values() for x in split if not isinstance(x, str) for w in x if w not in known})
-        for w, tokens in zip(words, self.automaton.walk(words)):
-            out = [ids[t] for t in tokens]
-            known[w] = (array("I", out).tobytes(), " ".join([label[i] for i in out]))
-        for p, split in parts.items():
-            if len(split) == 1 and not isinstance(split[0], str) and len(split[0]) == 1:
-                self._pieces[p] = known[split[0][0]]
-                continue
-            got = [y for x in split for y in ([(array("I", [self.special[x]]).tobytes(), x)] if isinstance(x, str) else [known[w] for w in x])]
-            self._pieces[p] = (b"".join([x[0] for x in got]), " ".join([x[1] for x in got]))
+                later.append((p, split))
+                words.update(split)
+        words.difference_update(known)
+        names = list(words)
+        for w, tokens in zip(names, self.automaton.walk(map(self._mapped, names))):
+            known[w] = self._packed(tokens)
+        for p, split in later:
+            if split is not None:
+                known[p] = b"".join([known[w] for w in split])
+        for p, split in later:
+            if split is None:
+                parts = self._special.split(p) if self._special else [p]
+                known[p] = b"".join([array(self.kind, [self.special[x]]).tobytes() if x in self.special else self._odd(x) for x in parts if x])
 
     def pieces(self, text: str) -> list[str]:
         """White space separates: no normalisation, split or merge reaches across it."""
         return _SPACE.split(text) if SEPARATORS.search(text) else text.split()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """Of each text the ids, as 32-bit little-endian integers, and their decoding."""
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         some: list[list[str]] = []
         size = 0
-        for text in texts:
-            some.append(self.pieces(text))
-            size += len(text)
-            if size >= BLOCK_CHARS:
-                yield from self._known(some)
+        for text in [*texts, None]:
+            if text is not None:
+                some.append(self.pieces(text))
+                size += len(text)
+            if size >= BLOCK_CHARS or text is None:
+                self.learn(set().union(*some))
+                for pieces in some:
+                    yield np.frombuffer(b"".join(map(self._known.__getitem__, pieces)), self.kind)
                 some, size = [], 0
-        if some:
-            yield from self._known(some)
-
-    def _known(self, texts: list[list[str]]) -> Iterator[tuple[bytes, str]]:
-        self.learn(p for pieces in texts for p in pieces)
-        at = self._pieces.__getitem__
-        for pieces in texts:
-            out = list(map(at, pieces))
-            yield b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[1]])
 
-    def decode(self, ids: list[int]) -> str:
-        """The labels of the arcs; without a decoder they are joined by spaces."""
-        return " ".join([self.label[i] for i in ids if i in self.label])
+    def decode(self, ids: np.ndarray) -> str:
+        """The labels of the arcs; without a decoder they are joined by blanks (unknown ids have none)."""
+        label = self.label
+        try:
+            return " ".join(map(label.__getitem__, ids.tolist()))
+        except KeyError:
+            return " ".join([label[i] for i in ids.tolist() if i in label])
 
 
 @lru_cache(maxsize=2)
@@ -261,13 +280,17 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
         bpe = load(tokenizer)
         for batch in batches:
             keys, at, size, ids, decoded = runtime.values(batch, "doc_id"), 0, 0, [], []
-            for i, d in bpe.encode(runtime.texts(batch)):
-                ids.append(i)
-                decoded.append(d)
-                size += len(i) + len(d)
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([keys.slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])  # noqa: B023
+
+            for own in bpe.encode(runtime.texts(batch)):
+                ids.append(own.astype("<u4").tobytes())
+                decoded.append(bpe.decode(own))
+                size += len(ids[-1]) + len(decoded[-1])
                 if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([keys.slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                    yield out()
                     at, size, ids, decoded = at + len(ids), 0, [], []
-            yield pa.RecordBatch.from_arrays([keys.slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            yield out()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -38,7 +38,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = bpe.load(tokenizer), TaskContext.get().partitionId()
         ids, keys, lengths, size, shard = [], [], [], 0, 0
-        end = np.uint32(end_id)
+        wide = np.uint16 if max(end_id, encoder.most_id) < 65536 else np.uint32
+        end = np.array([end_id], wide)
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/part-{part:06d}-{shard:05d}.wm"
@@ -46,12 +47,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "path": path, "documents": len(keys), "tokens": size}], schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            for key, (packed, _) in zip(runtime.values(batch, "doc_id").to_pylist(), encoder.encode(runtime.texts(batch))):
-                own = np.append(np.frombuffer(packed, "<u4"), end)
-                ids.append(own.astype(np.uint16) if end_id < 65536 and encoder.most_id < 65536 else own)
+            for key, own in zip(runtime.values(batch, "doc_id").to_pylist(), encoder.encode(runtime.texts(batch))):
+                ids += [own.astype(wide, copy=False), end]
                 keys.append(key)
-                lengths.append(len(own))
-                size += len(own)
+                lengths.append(len(own) + 1)
+                size += len(own) + 1
                 if size >= shard_tokens:
                     yield flush()
                     ids, keys, lengths, size, shard = [], [], [], 0, shard + 1
