@@ -29,6 +29,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import runtime
 
 #: Bounds of what a worker remembers: arcs of the table, and words and pieces together; and the characters it encodes together.
-TABLE_CELLS, MEMO_WORDS, BLOCK_CHARS = 300_000, 1_000_000, 6_000_000
+TABLE_CELLS, MEMO_WORDS, BLOCK_CHARS = 300_000, 800_000, 6_000_000
+#: Pieces that it remembers between tasks.
+KEPT_WORDS = 100_000
 
 #: Texts of these characters need no library: printable ASCII, white space and the letters U+00C0 to U+024F.
 ODD = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
-_SPACE = re.compile(r"[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+_SPACE = re.compile(r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ɏ]+")
 
 
@@ -247,6 +250,11 @@ class WordBpe:
                     yield np.frombuffer(b"".join(map(self._known.__getitem__, pieces)), self.kind)
                 some, size = [], 0
 
+    def forget(self) -> None:
+        """Keep only the pieces learnt first, which the commonest are among: an idle worker should hold little."""
+        self._known = dict(islice(self._known.items(), KEPT_WORDS))
+        self.automaton.table.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         """The labels of the arcs; without a decoder they are joined by blanks (unknown ids have none)."""
         label = self.label
@@ -292,5 +300,6 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
                     yield out()
                     at, size, ids, decoded = at + len(ids), 0, [], []
             yield out()
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -107,6 +107,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 prints.append(fingerprint(s))
                 bands.append(band_hashes(minima(s)) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([runtime.values(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "bands"])
+        _hashes.clear()
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>")
 
@@ -126,6 +127,7 @@ def _profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         sigs.append(minima(s).astype("<u2").tobytes())
                         sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["rep", "sig", "shingles"])
+        _hashes.clear()
 
     return docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "fp", "text").mapInArrow(run, "rep bigint, sig binary, shingles binary")
 

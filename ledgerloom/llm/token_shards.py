@@ -57,6 +57,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
                     ids, keys, lengths, size, shard = [], [], [], 0, shard + 1
         if keys:
             yield flush()
+        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
