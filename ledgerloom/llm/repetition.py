@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import runtime
 
 #: Least words of a repeated substring, and the limits: covered share of the words in per cent, words of the longest.
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 50, 100
+#: Covered words are among those in repeated three-word windows, so the first limit decides only below the base rule's 50.
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 10, 50
 WORDS_AT_ONCE = 1_000_000
 
 _SPACES = bytes([9, 10, 11, 12, 13, 32])

@@ -208,6 +208,20 @@ def test_repetition_table(spark):
     assert repetition.measure_repetition(table(spark, []).limit(0)).count() == 0
 
 
+def test_repetition_limits_decide_alone(spark):
+    def text(passages, least):  # each passage twice, the rest of the words different
+        parts = [[f"p{k}x{i}" for i in range(n)] for k, n in enumerate(passages)]
+        rest = [f"u{i}" for i in range(least - 2 * sum(passages))]
+        cut = len(rest) // 2
+        return " ".join([w for p in parts for w in [*p, f"s{p[0]}"]] + rest[:cut] + [w for p in reversed(parts) for w in [*p, f"t{p[0]}"]] + rest[cut:])
+
+    texts = [text([45] * 3, 600), text([12], 100), text([51], 2000), text([50], 2000), text([10], 300)]
+    got = {r.doc_id: r for r in repetition.judge(repetition.measure_repetition(table(spark, texts))).collect()}
+    assert not any(r.base_failed for r in got.values()) and [got[i].longest for i in range(5)] == [45, 12, 51, 50, 10]
+    assert 100 * got[0].covered > 40 * got[0].n_words and 10 * got[2].covered < got[2].n_words
+    assert [got[i].kept for i in range(5)] == [False, False, False, True, True]
+
+
 # toxicity
 
 
