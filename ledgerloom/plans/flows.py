@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import scalars
 from ledgerloom.operators import graph, joins, ordinals
 from ledgerloom.sources.facts import Facts
 
@@ -85,9 +86,32 @@ def diagram(steps: DataFrame, guards: DataFrame, titles: DataFrame, yes: str = "
     return nodes.select("flow_id", "id", "label", "shape"), out
 
 
-def silent_stops(steps: DataFrame, guards: DataFrame, edges: DataFrame) -> DataFrame:
-    """``flow_id, no, kind, what``: places where a process ends without an error: silent guards, and results of sends that are only logged or ignored."""
+def silent_stops(steps: DataFrame, guards: DataFrame, edges: DataFrame, rules: DataFrame | None = None, transitions: DataFrame | None = None) -> DataFrame:
+    """``flow_id, no, kind, what, rule``: places where a process ends without an error.
+
+    ``guard``: silent guards, a row for each rule that owns some (the first of the step's
+    ``rules``, ``entry_id, no, guard_ids, conditions``, that names a guard), with the
+    rule's conditions, and one for those that no rule owns. ``swallowed``: results of sends
+    that are only logged or ignored. ``final_status``: constant writes of a status that
+    tells of a failure and that no transition leaves. Without ``rules`` no guard is owned,
+    without ``transitions`` no status is known.
+    """
     own = steps.where("entry_id IS NOT NULL").select("flow_id", "no", "entry_id")
-    silent = own.join(guards.where("exit IN ('silent_success', 'return')"), "entry_id").select("flow_id", "no", F.lit("guard").alias("kind"), F.col("condition").alias("what"))
-    swallowed = own.join(edges.where("type = 'sends' AND detail IN ('logged', 'ignored')"), "entry_id").select("flow_id", "no", F.lit("swallowed").alias("kind"), F.col("target").alias("what"))
-    return silent.unionByName(swallowed)
+    none = F.lit(None).cast("int")
+    silent = own.join(guards.where("exit IN ('silent_success', 'return')").select("entry_id", "pos", "guard_id", "condition"), "entry_id")
+    if rules is None:
+        silent = silent.withColumn("owner", F.struct(none.alias("rule"), F.lit(None).cast("string").alias("conditions")))
+    else:
+        named = rules.select("entry_id", F.struct(F.col("no").cast("int").alias("rule"), "conditions").alias("owner"), F.explode("guard_ids").alias("guard_id"))
+        silent = silent.join(named.groupBy("entry_id", "guard_id").agg(F.min("owner").alias("owner")), ["entry_id", "guard_id"], "left")
+    silent = silent.groupBy("flow_id", "no", F.col("owner.rule").alias("rule")).agg(F.coalesce(F.first("owner.conditions", True), ordinals.ordered_join(F.col("condition"), F.col("pos"), ", ")).alias("what"))
+    silent = silent.select("flow_id", "no", F.lit("guard").alias("kind"), "what", "rule")
+    swallowed = own.join(edges.where("type = 'sends' AND detail IN ('logged', 'ignored')"), "entry_id").select("flow_id", "no", F.lit("swallowed").alias("kind"), F.col("target").alias("what"), none.alias("rule"))
+    out = silent.unionByName(swallowed)
+    if transitions is None:
+        return out
+    entity = F.when(F.col("target").startswith("T:"), scalars.short(F.col("target"))).otherwise(F.substring_index("target", ".", 1))
+    written = edges.where("type = 'writes' AND detail IS NOT NULL").select("entry_id", "target", entity.alias("entity"), scalars.tail(F.col("detail")).alias("state"))
+    failed = ordinals.final_values(transitions, ["entity"]).where(F.col("is_final") & scalars.is_negative(F.col("state"), scalars.FAILED_STATUS)).select("entity", "state")
+    final = own.join(written.join(failed, ["entity", "state"]), "entry_id")
+    return out.unionByName(final.select("flow_id", "no", F.lit("final_status").alias("kind"), F.concat("target", F.lit(" = "), "state").alias("what"), none.alias("rule")))

@@ -68,6 +68,23 @@ def test_diagram(facts):
     assert ("swallowed", "T:Ship.PrintLabel") in stops and ("guard", "parcel.Kind == ParcelKind.Letter") in stops
 
 
+def test_silent_stops(facts, spark):
+    steps = flows.discover(facts)
+    got = {(r.no, r.kind, r.what, r.rule) for r in flows.silent_stops(steps, facts.guards, facts.edges, cards.rules(facts), facts.transitions).collect()}
+    assert got == {
+        (2, "guard", "parcel.Kind == ParcelKind.Letter", 1), (3, "guard", '!flags.IsEnabledAsync("Labels")', 1),
+        (2, "swallowed", "T:Ship.PrintLabel", None), (3, "swallowed", "T:Ext.CallCourier", None),
+        (5, "final_status", "Parcel.Status = Failed", None),
+    }
+    steps = spark.createDataFrame([("f", 1, "e"), ("f", 2, None)], "flow_id string, no int, entry_id string")
+    guards = spark.createDataFrame([("e", i, f"G{i}", f"c{i}", x) for i, x in enumerate(["return", "silent_success", "return", "fail:X", "return", "return"])], "entry_id string, pos int, guard_id string, condition string, exit string")
+    rules_ = spark.createDataFrame([("e", 2, ["G1", "G4"], "second"), ("e", 1, ["G0", "G1", "G3"], "first"), ("other", 1, ["G2"], "not of e")], "entry_id string, no int, guard_ids array<string>, conditions string")
+    edges = spark.createDataFrame([("e", i, "writes", t, d) for i, (t, d) in enumerate([("Order.Status", "S.Rejected"), ("T:X.Order", "Error"), ("Order.Status", "S.Cancelled"), ("Order.Status", None), ("Order.Status", "S.Paid"), ("Bill.Status", "S.Rejected")])], "entry_id string, pos int, type string, target string, detail string")
+    transitions = spark.createDataFrame([("Order", None, "Rejected"), ("Order", "Open", "Error"), ("Order", "Open", "Cancelled"), ("Order", "Cancelled", "Open"), ("Order", "Open", "Paid")], "entity string, from_state string, to_state string")
+    got = sorted((r.kind, r.what, r.rule) for r in flows.silent_stops(steps, guards, edges, rules_, transitions).collect())
+    assert got == [("final_status", "Order.Status = Rejected", None), ("final_status", "T:X.Order = Error", None), ("guard", "c2, c5", None), ("guard", "first", 1), ("guard", "second", 2)]
+
+
 def test_rules_of_cards(facts):
     got = {(r.entry_id, r.no): r for r in cards.rules(facts).collect()}
     assert (REGISTER, 1) in got and got[REGISTER, 1].on_fail == "Error `TooHeavy`."  # the technical id is gone
