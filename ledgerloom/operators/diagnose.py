@@ -50,14 +50,32 @@ def effects(edges: DataFrame, transitions: DataFrame, placed: DataFrame, values:
     return found.unionByName(written)
 
 
-def steps(flow_steps: DataFrame, entries: DataFrame, cases: DataFrame, found: DataFrame) -> DataFrame:
-    """``(case_id, flow_id, no, entry_id, state)``: the state of every step of every flow in every case."""
+def outcomes(edges: DataFrame, transitions: DataFrame, values: DataFrame) -> DataFrame:
+    """``(case_id, entry_id, outcome)``: the first status that an entry writes, that tells of a failure and that a row of the case holds (compared without case).
+
+    ``values`` as for effects, with the ``pos`` of the row and the ``row`` as a map. The
+    outcome shows the first such row's cells that are not null. Entries without one have no row.
+    """
+    written = status_writes(edges, transitions).where(scalars.is_negative(F.col("value")))
+    written = written.select("entry_id", F.col("pos").alias("write_pos"), "entity", "field", F.lower("value").alias("_key"), F.concat("entity", F.lit("."), "field", F.lit(" = "), "value").alias("text"))
+    held = values.where("field IS NOT NULL").select("case_id", "entity", "field", F.lower("value").alias("_key"), "pos", "row")
+    cells = F.transform(F.map_entries(F.map_filter("row", lambda _, v: v.isNotNull())), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]))
+    text = F.concat("text", F.lit(" ("), F.array_join(cells, ", "), F.lit(")"))
+    return held.join(written, ["entity", "field", "_key"]).groupBy("case_id", "entry_id").agg(F.min_by(text, F.struct("write_pos", "pos")).alias("outcome"))
+
+
+def steps(flow_steps: DataFrame, entries: DataFrame, cases: DataFrame, found: DataFrame, negative: DataFrame | None = None) -> DataFrame:
+    """``(case_id, flow_id, no, entry_id, state, outcome)``: the state of every step of every flow in every case.
+
+    ``negative``: the outcomes; without them there is no column ``outcome``.
+    """
     known = entries.select(F.col("entry_id").alias("_known")).distinct()
     every = joins.attach_all(cases.select("case_id"), flow_steps.select("flow_id", "no", "entry_id").join(known, F.col("entry_id") == F.col("_known"), "left"))
     seen = found.groupBy("case_id", "entry_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("state"), F.lit(False)).alias("done"), F.bool_or(F.col("state").isNull()).alias("unknown"))
     both = every.join(seen, ["case_id", "entry_id"], "left")
     state = step_state(F.col("entry_id").isNotNull(), F.col("_known").isNotNull(), F.coalesce("n", F.lit(0)), F.coalesce("done", F.lit(False)), F.coalesce("unknown", F.lit(False)))
-    return both.select("case_id", "flow_id", "no", "entry_id", state.alias("state"))
+    out = both.select("case_id", "flow_id", "no", "entry_id", state.alias("state"))
+    return out if negative is None else out.join(negative.select("case_id", "entry_id", "outcome"), ["case_id", "entry_id"], "left").select(*out.columns, "outcome")
 
 
 def flow_checks(step_states: DataFrame, outcome: str = "outcome") -> DataFrame:

@@ -136,3 +136,50 @@ def diagnose_steps(spark, sf_dir):
     checks = diagnose.flow_checks(steps).join(unknown, "case_id")
     said = F.when(F.col("n_done") == 0, "insufficient_data").otherwise(diagnose.verdict(F.lit(0), F.col("n_unknown"), F.col("negative"), F.col("external"), F.col("break_no")))
     return checks.select(F.col("case_id").alias("user_id"), F.coalesce("break_no", F.lit(0)).cast("bigint").alias("break_no"), "n_done", said.alias("verdict"))
+
+
+#: The same process as facts: entries that insert rows or write the status of a purchase.
+_ENTRIES = ["e1", "e2", "e3", None, "e5"]
+_EDGES = [("e1", 0, "insert", "signup", None), ("e2", 0, "insert", "click", None), ("e3", 0, "writes", "purchase.state", "State.Paid"), ("e3", 1, "writes", "purchase.state", "State.Rejected"), ("e5", 0, "insert", "view", None)]
+_TRANSITIONS = [("purchase", "state", None, "Open"), ("purchase", "state", "Open", "Paid"), ("purchase", "state", "Open", "Rejected")]
+
+
+@query("""
+WITH u AS (SELECT user_id, coalesce(max(value) FILTER (event_type = 'signup') > 60, false) AS s1, coalesce(max(value) FILTER (event_type = 'click') > 100, false) AS s2, coalesce(max(value) FILTER (event_type = 'purchase') > 100, false) AS s3, coalesce(max(value) FILTER (event_type = 'view') > 150, false) AS s5,
+  coalesce(max(value) FILTER (event_type = 'error'), 0) AS err, (min((ts, event_id)) FILTER (event_type = 'purchase' AND value > 150))[2] AS rejected FROM events GROUP BY user_id),
+s AS (SELECT user_id, no, CASE WHEN no = 4 THEN 'external' WHEN no = 5 AND user_id % 5 = 0 THEN 'unknown' WHEN CASE no WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE s5 END THEN 'done' ELSE 'not_done' END AS state FROM u, (VALUES (1), (2), (3), (4), (5)) p(no)),
+b AS (SELECT user_id, min(no) FILTER (state = 'not_done' AND no > fd) AS break_no FROM (SELECT *, min(CASE WHEN state = 'done' THEN no END) OVER (PARTITION BY user_id) AS fd FROM s) GROUP BY user_id),
+k AS (SELECT user_id, min(break_no) AS break_no, count(*) FILTER (state = 'done') AS n_done, coalesce(max(no) FILTER (state = 'done' AND no < break_no), 0) AS last_done, coalesce(bool_or(state = 'external' AND no < break_no), false) AS external FROM s JOIN b USING (user_id) GROUP BY user_id),
+r AS (SELECT user_id, 2 AS no, 'R1' AS rule, CASE WHEN err > 120 THEN 'violated' WHEN err > 60 THEN 'ok' ELSE 'unknown' END AS state FROM u UNION ALL SELECT user_id, 3, 'R2', CASE WHEN user_id % 3 = 0 THEN 'unknown' WHEN err > 150 THEN 'violated' ELSE 'ok' END FROM u UNION ALL SELECT user_id, 5, 'R3', CASE WHEN err > 180 THEN 'violated' ELSE 'ok' END FROM u),
+c AS (SELECT user_id, coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (state = 'violated'), '') AS causes, coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (state = 'unknown'), '') AS candidates FROM k JOIN r USING (user_id) WHERE r.no > last_done AND r.no <= break_no GROUP BY user_id),
+x AS (SELECT user_id, break_no, n_done, external, coalesce(causes, '') AS causes, coalesce(candidates, '') AS candidates, 'purchase.state = Rejected (event_id = ' || rejected || ', state = REJECTED)' AS negative FROM k JOIN u USING (user_id) LEFT JOIN c USING (user_id))
+SELECT user_id, CAST(coalesce(break_no, 0) AS BIGINT) AS break_no, causes, candidates, coalesce(negative, '') AS negative,
+  CASE WHEN n_done = 0 THEN 'insufficient_data' WHEN causes <> '' THEN 'cause_found' WHEN negative IS NOT NULL OR external THEN 'outside_code' WHEN break_no IS NOT NULL AND candidates <> '' THEN 'candidates' WHEN break_no IS NOT NULL THEN 'insufficient_data' ELSE 'no_problem_found' END AS verdict FROM x
+""")
+def diagnose_causes(spark, sf_dir):
+    """Each user as a case whose rows, statuses and rules are looked at: violated rules, negative outcomes and the verdict."""
+    e = read(spark, sf_dir, "events").withColumnRenamed("user_id", "case_id").withColumnRenamed("event_type", "entity")
+    flow = spark.createDataFrame([("flow", i + 1, x) for i, x in enumerate(_ENTRIES)], "flow_id string, no int, entry_id string")
+    entries = flow.where("entry_id IS NOT NULL").select("entry_id")
+    edges = spark.createDataFrame(_EDGES, "entry_id string, pos int, type string, target string, detail string")
+    transitions = spark.createDataFrame(_TRANSITIONS, "entity string, field string, from_state string, to_state string")
+    cases = e.select("case_id").distinct()
+    entity = F.explode(F.array(*[F.lit(x) for x in _PROCESS if x])).alias("entity")
+    placed = cases.select("case_id", entity).withColumn("snap_table", F.when(~((F.col("entity") == "view") & (F.col("case_id") % 5 == 0)), F.col("entity")))
+    in_case = e.where("entity = 'purchase' OR value > CASE entity WHEN 'signup' THEN 60 WHEN 'click' THEN 100 WHEN 'view' THEN 150 END")
+    status = F.when(F.col("entity") == "purchase", F.when(F.col("value") > 150, "REJECTED").when(F.col("value") > 100, "Paid").otherwise("Open"))
+    rows = ordinals.numbered(in_case.withColumn("status", status), ["case_id", "entity"], ["ts", "event_id"], "pos")
+    rows = rows.select("case_id", "entity", "pos", "status", F.create_map(F.lit("event_id"), F.col("event_id").cast("string"), F.lit("state"), F.col("status")).alias("row"))
+    none = F.lit(None).cast("string")
+    values = rows.select("case_id", "entity", "pos", "row", none.alias("field"), none.alias("value")).unionByName(rows.where("status IS NOT NULL").select("case_id", "entity", "pos", "row", F.lit("state").alias("field"), F.col("status").alias("value")))
+    steps = diagnose.steps(flow, entries, cases, diagnose.effects(edges, transitions, placed, values), diagnose.outcomes(edges, transitions, values))
+    errors = e.groupBy("case_id").agg(F.coalesce(F.max(F.when(F.col("entity") == "error", F.col("value"))), F.lit(0.0)).alias("err"))
+    err = F.col("err")
+    r1 = F.when(err > 120, "violated").when(err > 60, "ok").otherwise("unknown")
+    r2 = F.when(F.col("case_id") % 3 == 0, "unknown").when(err > 150, "violated").otherwise("ok")
+    r3 = F.when(err > 180, "violated").otherwise("ok")
+    states = F.explode(F.array(*[F.struct(F.lit(entry).alias("entry_id"), F.lit(rule).alias("rule_id"), state.alias("state")) for entry, rule, state in (("e2", "R1", r1), ("e3", "R2", r2), ("e5", "R3", r3))]))
+    rule_states = errors.select("case_id", states.alias("r")).select("case_id", "r.*", F.array().cast("array<string>").alias("evidence"))
+    found = diagnose.analyze(cases, diagnose.flow_checks(steps), steps, rule_states)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select(F.col("case_id").alias("user_id"), F.coalesce("break_no", F.lit(0)).cast("bigint").alias("break_no"), joined("causes"), joined("candidates"), F.coalesce("negative", F.lit("")).alias("negative"), "verdict")

@@ -199,6 +199,24 @@ def test_diagnosis(facts, shots, spark):
     assert "no value for flag Labels" in found["no-config"].missing
 
 
+def test_negative_outcomes(facts, shots, spark):
+    placed = rules.entity_tables(facts.entities, shots.cases, shots.tables)
+    row_facts = shots.rows.withColumnRenamed("table", "snap_table").join(placed, ["case_id", "snap_table"]).select("case_id", "entity", "pos", "row")
+    none = F.lit(None).cast("string")
+    status = joins.map_value(F.col("row"), [F.lower("field")])
+    values = row_facts.withColumns({"field": none, "value": none}).unionByName(row_facts.join(facts.transitions.select("entity", "field").distinct(), "entity").withColumn("value", status))
+    negative = diagnose.outcomes(facts.edges, facts.transitions, values)
+    state = diagnose.steps(flows.discover(facts), facts.entries, shots.cases, diagnose.effects(facts.edges, facts.transitions, placed, values), negative)
+    shown = "Parcel.Status = Failed (id = 1, weight_g = 1, status = Failed, Kind = Box)"
+    assert [(r.case_id, r.no, r.outcome) for r in state.where("outcome IS NOT NULL").collect()] == [("failed", 5, shown)]
+    found = {r.case_id: r for r in diagnose.analyze(shots.cases, diagnose.flow_checks(state), state, _rule_states(facts, shots)).collect()}
+    assert {k: r.verdict for k, r in found.items()} == {"no-email": "cause_found", "blocked": "cause_found", "flag-off": "cause_found", "no-config": "candidates", "failed": "outside_code", "no-customers": "candidates", "empty": "insufficient_data"}
+    assert found["failed"].negative == shown and found["no-email"].negative is None
+    held = [("c", "Parcel", "Status", v, i, {"n": str(i), "x": None}) for i, v in enumerate(["Sent", None, "FAILED", "Failed"])]
+    held = spark.createDataFrame(held, "case_id string, entity string, field string, value string, pos int, row map<string,string>")
+    assert [r.outcome for r in diagnose.outcomes(facts.edges, facts.transitions, held).collect()] == ["Parcel.Status = Failed (n = 2)"]
+
+
 def test_pages_on_disk(spark, tmp_path):
     root = tmp_path / "docs"
     (root / "sub").mkdir(parents=True)
