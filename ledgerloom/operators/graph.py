@@ -16,21 +16,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") else df.cache()
 
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 1_000) -> DataFrame:
+#: Rounds of a closure after which what was found is laid together again.
+ROUNDS = 50
+
+
+def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """``(start, node, depth)``: all nodes that each ``start`` reaches, itself at depth 0, by the shortest way.
 
-    ``edges``: ``src, dst``. Each round joins only the newest nodes. ``most`` bounds the
-    depth (a call-closure bound, or a guard for tests).
+    ``edges``: ``src, dst``. Each round joins only the newest nodes, until there are
+    none. ``most`` bounds the depth where that is asked for (a call closure).
     """
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     new, depth = seen, 0
-    while depth < most:
+    while most is None or depth < most:
         depth += 1
         step = new.join(edges, new.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
         new = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
+        if depth % ROUNDS == 0:
+            seen = cut(seen)
     return seen
 
 
@@ -56,23 +62,26 @@ def depths(nodes: DataFrame, most: int | None = None) -> DataFrame:
     return rest if done is None else done.unionByName(rest)
 
 
-def chain(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
+def chain(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """Depth-first numbering from each root: ``(root, node, path, parent, no)``.
 
     ``edges``: ``src, pos, dst``. A node belongs to the first way that reaches it in
     depth-first order. That way is the least by edge places among all simple ways, so
     ways are grown level by level with their places and the least for each node stays.
     ``no`` counts from 1 in this order; the root is first. Ways grow with the branching,
-    which flows bound; ``most`` bounds their length.
+    which flows bound. They are simple, so they end; where a guard ``most`` is given,
+    longer ones are an error.
     """
     front = roots.select("root", F.col("root").alias("node"), F.array().cast("array<int>").alias("path"), F.array("root").alias("nodes"))
     every, depth = front, 0
-    while depth < most:
+    while True:
         depth += 1
         step = front.join(edges, front.node == edges.src).where(~F.array_contains("nodes", F.col("dst")))
         front = cut(step.select("root", F.col("dst").alias("node"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.concat("nodes", F.array("dst")).alias("nodes")))
         if front.isEmpty():
             break
+        if most is not None and depth > most:
+            raise ValueError(f"a chain has more than {most} edges")
         every = every.unionByName(front)
     first = every.groupBy("root", "node").agg(F.min(F.struct("path", "nodes")).alias("_way")).select("root", "node", "_way.path", F.col("_way.nodes").alias("nodes"))
     parent = F.when(F.size("nodes") > 1, F.element_at("nodes", -2))

@@ -45,7 +45,7 @@ SELECT id, CAST(depth AS BIGINT) AS depth FROM d
 def tree_depth(spark, sf_dir):
     """Depth of each turn in the forest of answers."""
     t = read(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.when(F.col("role") == "assistant", F.concat_ws("/", "conv_id", F.col("turn") - 1)).alias("parent"))
-    return graph.depths(t, 100).select("id", F.col("depth").cast("bigint").alias("depth"))
+    return graph.depths(t).select("id", F.col("depth").cast("bigint").alias("depth"))
 
 
 @query("""
