@@ -65,8 +65,111 @@ def entity_pages(cards: DataFrame, commit: str, notes: DataFrame) -> DataFrame:
     return _paged(c.withColumn("content", page(F.col("title"), F.col("page_id"), F.lit(commit), F.col("slug"), blocks, F.col("notes"))), "entity")
 
 
-def _paged(c: DataFrame, kind: str) -> DataFrame:
-    return c.select("page_id", "path", "title", F.lit(kind).alias("kind"), F.concat(F.lit("module:"), "module").alias("parent_page_id"), "content", F.sha2("content", 256).alias("hash"))
+def _paged(c: DataFrame, kind: str, parent: Column | None = None) -> DataFrame:
+    up = F.concat(F.lit("module:"), "module") if parent is None else parent
+    return c.select("page_id", "path", "title", F.lit(kind).alias("kind"), up.alias("parent_page_id"), "content", F.sha2("content", 256).alias("hash"))
+
+
+#: The page above those of modules, flows, global rules and terms.
+SYSTEM = "system"
+
+
+def link(page_id: Column) -> Column:
+    return F.concat(F.lit("[[page:"), page_id, F.lit("]]"))
+
+
+def _below_system(c: DataFrame, kind: str, commit: str, notes: DataFrame, blocks: list[Column]) -> DataFrame:
+    """Pages of rows ``page_id, path, title, slug`` and what the blocks need."""
+    c = c.join(notes.select("path", "notes"), "path", "left")
+    up = F.lit(None).cast("string") if kind == "system" else F.lit(SYSTEM)
+    return _paged(c.withColumn("content", page(F.col("title"), F.col("page_id"), F.lit(commit), F.col("slug"), blocks, F.col("notes"))), kind, up)
+
+
+def _links(title: str, ids: Column) -> Column:
+    return section(title, bullets(F.transform(ids, link)), ids)
+
+
+def flow_modules(steps: DataFrame, homes: DataFrame) -> DataFrame:
+    """``flow_id, no, module``: of the entry, else of the step before, else of the flow's root; ``homes``: ``entry_id, module``."""
+    at = lambda name: homes.select(F.col("entry_id").alias(name), F.col("module").alias(f"_{name}"))
+    own = steps.join(at("entry_id"), "entry_id", "left").withColumn("root", F.substring("flow_id", 6, 1 << 30)).join(at("root"), "root", "left")
+    before = own.select("flow_id", F.col("no").alias("parent_no"), F.col("_entry_id").alias("_before"))
+    return own.join(before, ["flow_id", "parent_no"], "left").select("flow_id", "no", F.coalesce("_entry_id", "_before", "_root").alias("module"))
+
+
+def flow_pages(steps: DataFrame, diagram: tuple[DataFrame, DataFrame], stops: DataFrame, titles: DataFrame, homes: DataFrame, commit: str, notes: DataFrame) -> DataFrame:
+    """Pages of flows: diagram, steps and silent stops; ``titles``: ``entry_id, title``."""
+    ordered = lambda order, value, name: F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("v")))), lambda x: x["v"]).alias(name)
+    nodes, edges = diagram
+    label = F.concat(F.lit('"'), F.replace("label", F.lit('"'), F.lit("#quot;")), F.lit('"'))
+    shown = F.when(F.col("shape") == "decision", F.concat("id", F.lit("{"), label, F.lit("}"))).when(F.col("shape") == "end", F.concat("id", F.lit("(["), label, F.lit("])"))).otherwise(F.concat("id", F.lit("["), label, F.lit("]")))
+    drawn = nodes.groupBy("flow_id").agg(ordered([F.length("id").alias("n"), F.col("id")], shown, "nodes"))
+    plain, named = F.when(F.col("dashed"), "-.->").otherwise("-->"), F.when(F.col("dashed"), F.concat(F.lit('-. "'), "label", F.lit('" .->'))).otherwise(F.concat(F.lit('-- "'), "label", F.lit('" -->')))
+    arrow = F.concat_ws(" ", "src", F.coalesce(named, plain), "dst")
+    arrows = edges.groupBy("flow_id").agg(ordered([F.length("src").alias("n"), F.col("src"), F.length("dst").alias("m"), F.col("dst")], arrow, "arrows"))
+    s = steps.join(titles.select("entry_id", "title"), "entry_id", "left").join(flow_modules(steps, homes), ["flow_id", "no"])
+    row = F.struct("no", F.coalesce(F.when(F.col("title").isNotNull(), link(F.col("entry_id"))), "entry_id", "external").alias("process"), "module", F.when(F.col("dashed"), "external call").alias("mode"))
+    each = s.groupBy("flow_id").agg(F.array_sort(F.collect_list(row)).alias("steps"), F.min_by(F.coalesce("title", "entry_id"), F.when(F.col("entry_id").isNotNull(), F.col("no"))).alias("first"))
+    place = F.concat(F.lit("step "), "no", F.coalesce(F.concat(F.lit(", rule "), "rule"), F.lit("")))
+    why = F.when(F.col("kind") == "swallowed", F.lit("An error of `{}` is only logged or ignored.")).when(F.col("kind") == "final_status", F.lit("`{}` is final; nothing resumes the process.")).otherwise(F.lit("`{}`: no trace in data or logs."))
+    silent = stops.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("no", place.alias("place"), F.replace(why, F.lit("{}"), F.col("what")).alias("reason")))).alias("stops"))
+    c = each.join(drawn, "flow_id", "left").join(arrows, "flow_id", "left").join(silent, "flow_id", "left")
+    slug = F.regexp_replace(F.substring("flow_id", 6, 1 << 30), "[^\\p{L}\\p{N}]+", "-")
+    c = c.select(F.col("flow_id").alias("page_id"), F.concat(F.lit("Process: "), F.coalesce("first", "flow_id")).alias("title"), F.regexp_replace(slug, "^-|-$", "").alias("slug"), "steps", "nodes", "arrows", "stops")
+    lines = F.concat("nodes", F.coalesce("arrows", F.array().cast("array<string>")))
+    blocks = [
+        F.when(F.coalesce(F.size("nodes"), F.lit(0)) > 0, mermaid("flowchart TD", lines)),
+        section("Steps", table(["Step", "Process", "Module", "Mode"], F.col("steps"), lambda r: [r["no"], r["process"], r["module"], r["mode"]]), F.col("steps")),
+        section("Where the process may stop without an error", table(["Place", "Reason"], F.col("stops"), lambda r: [r["place"], r["reason"]]), F.col("stops")),
+    ]
+    return _below_system(c.withColumn("path", F.concat(F.lit("flows/"), "slug", F.lit(".md"))), "flow", commit, notes, blocks)
+
+
+def global_rule_pages(entries: DataFrame, guards: DataFrame, applies: DataFrame, commit: str, notes: DataFrame) -> DataFrame:
+    """Pages of behaviors: where each applies (``behavior, entry_id, no``) and its logic."""
+    own = entries.where("kind = 'behavior'").select(F.col("entry_id").alias("page_id"), F.col("location"))
+    logic = guards.groupBy(F.col("entry_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "condition", scalars.exit_label(F.col("exit"), F.lit(None).cast("string"), scalars.EXIT_LABELS).alias("label"), "location"))).alias("logic"))
+    on = applies.groupBy(F.col("behavior").alias("page_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "entry_id"))), lambda x: x["entry_id"]).alias("applies"))
+    name = scalars.short(F.col("page_id"))
+    c = own.join(logic, "page_id", "left").join(on, "page_id", "left").withColumn("title", scalars.humanize(name)).withColumn("slug", name).withColumn("path", F.concat(F.lit("global-rules/"), name, F.lit(".md")))
+    code = lambda location: F.concat(F.lit("[[code:"), location, F.lit("]]"))
+    blocks = [
+        F.concat(F.lit("Runs around the logic of commands: "), code(F.col("location")), F.lit(".")),
+        _links("Where it applies", F.col("applies")),
+        section("Logic in code", table(["Condition", "Exit", "Place"], F.col("logic"), lambda r: [F.concat(F.lit("`"), r["condition"], F.lit("`")), r["label"], code(r["location"])]), F.col("logic")),
+    ]
+    return _below_system(c, "global_rule", commit, notes, blocks)
+
+
+def module_pages(modules: DataFrame, use_cases: DataFrame, entities: DataFrame, in_flows: DataFrame, commit: str, notes: DataFrame) -> DataFrame:
+    """A page for each module that exists or that a page is in; ``in_flows``: ``flow_id, module``."""
+    member = lambda df, kind, key: df.where("module IS NOT NULL").select("module", F.lit(kind).alias("kind"), F.col(key).alias("id"))
+    members = member(use_cases, "use_case", "page_id").unionByName(member(entities, "entity", "page_id")).unionByName(member(in_flows, "flow", "flow_id"))
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("id")))).alias(kind)
+    names = modules.select("module").unionByName(members.select("module")).distinct()
+    c = names.join(members.groupBy("module").agg(of("use_case"), of("entity"), of("flow")), "module", "left").join(modules.select("module", "depends_on"), "module", "left")
+    c = c.withColumn("needs", F.transform("depends_on", lambda m: F.concat(F.lit("module:"), m))).withColumn("page_id", F.concat(F.lit("module:"), "module"))
+    c = c.withColumn("title", F.concat(F.lit("Module "), "module")).withColumn("slug", F.col("module")).withColumn("path", F.concat(F.lit("modules/"), "module", F.lit(".md")))
+    blocks = [_links("Use cases", F.col("use_case")), _links("Entities", F.col("entity")), _links("Processes through the module", F.col("flow")), _links("Depends on", F.col("needs"))]
+    return _below_system(c, "module", commit, notes, blocks)
+
+
+def glossary_page(terms: DataFrame, commit: str, notes: DataFrame) -> DataFrame:
+    """One page of all terms ``term, code_name, meaning``."""
+    c = terms.agg(F.array_sort(F.collect_list(F.struct(F.lower("term").alias("low"), "term", "code_name", "meaning"))).alias("terms"))
+    c = c.withColumns({"page_id": F.lit("glossary"), "title": F.lit("Glossary"), "slug": F.lit("glossary"), "path": F.lit("glossary.md")})
+    code = lambda r: F.when(r["code_name"] != "", F.concat(F.lit("`"), r["code_name"], F.lit("`")))
+    shown = table(["Term", "Name in code", "Meaning"], F.col("terms"), lambda r: [r["term"], code(r), r["meaning"]])
+    return _below_system(c, "glossary", commit, notes, [F.when(F.size("terms") > 0, shown).otherwise("No terms.")])
+
+
+def system_page(pages: DataFrame, commit: str, notes: DataFrame) -> DataFrame:
+    """One page that leads to those of modules, flows, global rules and terms among ``pages``."""
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("page_id")))).alias(kind)
+    c = pages.agg(of("module"), of("flow"), of("global_rule"), of("glossary"))
+    c = c.withColumns({"page_id": F.lit(SYSTEM), "title": F.lit("System overview"), "slug": F.lit("index"), "path": F.lit("index.md")})
+    blocks = [_links("Modules", F.col("module")), _links("Processes", F.col("flow")), _links("Global rules", F.col("global_rule")), _links("Glossary", F.col("glossary"))]
+    return _below_system(c, "system", commit, notes, blocks)
 
 
 def resolve_links(pages: DataFrame, template: str, commit: str) -> DataFrame:

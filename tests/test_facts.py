@@ -130,6 +130,30 @@ def test_pages_and_links(facts, spark):
     assert sorted(r.error for r in cards.link_errors(texts, done, facts.chunks).collect()) == ["no code at code:src/Print.cs:99", "unknown page page:x"]
 
 
+def test_all_kinds_of_pages(facts, spark):
+    notes = spark.createDataFrame([("index.md", "read me")], "path string, notes string")
+    use_cases, entities, steps = cards.use_cases(facts), cards.entities(facts), flows.discover(facts)
+    titles, homes = use_cases.select(F.col("page_id").alias("entry_id"), "title"), facts.entries.select("entry_id", "module")
+    stops = flows.silent_stops(steps, facts.guards, facts.edges, cards.rules(facts), facts.transitions)
+    pages = render.use_case_pages(use_cases, "c0ffee", notes).unionByName(render.entity_pages(entities, "c0ffee", notes))
+    pages = pages.unionByName(render.flow_pages(steps, flows.diagram(steps, facts.guards, titles), stops, titles, homes, "c0ffee", notes))
+    pages = pages.unionByName(render.global_rule_pages(facts.entries, facts.guards, cards.behavior_applies(facts), "c0ffee", notes))
+    pages = pages.unionByName(render.module_pages(cards.modules(facts), use_cases, entities, render.flow_modules(steps, homes), "c0ffee", notes))
+    pages = pages.unionByName(render.glossary_page(cards.glossary(facts, spark.createDataFrame([("Paczka", "parcel", "box")], "term string, code_name string, meaning string")), "c0ffee", notes))
+    pages = pages.unionByName(render.system_page(pages, "c0ffee", notes))
+    got = {r.page_id: r for r in render.resolve_links(pages, "https://git/{commit}/{path}#L{line}", "c0ffee").collect()}
+    assert {r.kind for r in got.values()} == {"use_case", "entity", "flow", "global_rule", "module", "glossary", "system"}
+    assert all(r.parent_page_id in got for r in got.values() if r.kind != "system") and got["system"].parent_page_id is None
+    flow = got["flow:POST /parcels"].content
+    assert '    C{"parcel.Kind == ParcelKind.Letter?"}\n' in flow and '    C -- "yes" --> D\n' in flow and "| 1 | [Register parcel](../use-cases/Register-parcel.md) | Ship |  |" in flow
+    assert "| 4 | T:Ext.CallCourier | Print |  |" in flow and "| step 5 | `Parcel.Status = Failed` is final; nothing resumes the process. |" in flow and "| step 2, rule 1 |" in flow
+    rule = got["T:Ship.ValidationBehavior"].content
+    assert "- [Register parcel](../use-cases/Register-parcel.md)" in rule and "[Behavior.cs:1](https://git/c0ffee/src/Behavior.cs#L1)" in rule
+    assert "- [Module Ship](Ship.md)" in got["module:Print"].content and "- [Process: Register parcel](../flows/POST-parcels.md)" in got["module:Print"].content
+    assert "| Paczka | `parcel` | box |" in got["glossary"].content and "[[" not in "".join(r.content for r in got.values())
+    assert "- [Module Ship.Api](modules/Ship.Api.md)" in got["system"].content and "- [Glossary](glossary.md)" in got["system"].content and got["system"].content.endswith("## Notes\n\nread me\n")
+
+
 def test_storage_markup():
     got = render.to_storage('# A & b\n\n> note\n\n- **x** `y<`\n- [z](https://e/?a="b")\n\n| h | i |\n|---|---|\n| a\\|b | *c* |\n\n```\n]]>\n```\ntext\nmore\n')
     assert "<h1>A &amp; b</h1>" in got and "<li><strong>x</strong> <code>y&lt;</code></li>" in got
