@@ -5,49 +5,43 @@ arcs are tokens and whose paths are the canonical tokenizations. At first there
 one state and an arc for each base symbol. The gadget for ``(u, v)`` (1) makes the
 state that ``u`` arcs reach anew without its ``v`` arc, (2) adds a ``w`` arc to
 each state that keeps a ``u`` arc, leading where ``v`` led. By induction all arcs
-of one label reach one state, so a state is named by the last token, and the arc
-``w`` leaves state ``t`` exactly when
-
-* no merge ``(t, w)`` removed it, and
-* if ``w`` is the newer: an arc for its left part left ``t`` when ``w`` was made
-  (after that gadget's own removal);
-* if ``t`` is the newer: ``w`` left the state of ``t``'s right part when ``t`` was made.
-
-A table of all arcs would have about vocabulary squared cells (2.4e9 for 49k
-tokens). So the gadgets are compiled into arrays (rank, left part, right part) and
-the rows of the transition table are filled as words first need them; the table is
-bounded and refilled when it is full.
-
-**Encoding** looks for the one path of arcs that spells a word, by table look-ups of
-labels and transitions. **Decoding** emits the labels of the arcs.
+of one label reach one state, so a state is named by the last token.
+
+**Table.** A state made for ``w`` is a copy of the one that its right part reached, and
+an arc ``w`` is a copy of the one for its left part, each as of that gadget. So what
+gadget ``(u, v)`` removes is removed from each state later copied from ``u``'s and for
+each arc later copied from ``v``'s. With arcs numbered down the tree of left parts
+(younger copies first) these arcs are an interval. A row of the transition table is
+the state's own removed intervals and those it inherits, without what lies inside
+others; an arc that is in none of them leaves the state. All 49k rows together are
+about 0.7 million intervals, and a transition is one binary search.
+
+**Encoding** looks for the one path of arcs that spells a word: a trie gives the arcs
+that spell what comes next, longest first, and the table says which of them leave the
+state. Many words take these steps together, as arrays. **Decoding** emits the labels
+of the arcs.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import runtime
 
-#: Bounds of what a worker remembers: arcs of the table, and words and pieces together; and the characters it encodes together.
-TABLE_CELLS, MEMO_WORDS, BLOCK_CHARS = 300_000, 800_000, 6_000_000
-#: Pieces that it remembers between tasks.
-KEPT_WORDS = 100_000
-
-#: Texts of these characters need no library: printable ASCII, white space and the letters U+00C0 to U+024F.
-ODD = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
-_SPACE = re.compile(r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ɏ]+")
+#: Bytes of text that a worker encodes together, and the number of words from which they are walked as arrays.
+BLOCK_BYTES, LEAST_ARRAY = 4_000_000, 48
+#: The mark that ends a word, as a symbol beside the bytes.
+END = 256
 
 
 @lru_cache(maxsize=1)
@@ -58,96 +52,330 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _symbol_bytes() -> dict[int, int]:
+    return {ord(c): b for b, c in enumerate(byte_symbols())}
+
+
+def to_bytes(label: str) -> bytes:
+    """The bytes that a label of visible characters stands for."""
+    return label.encode() if label.isascii() else label.translate(_symbol_bytes()).encode("latin-1")
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``values[start : start + size]``, one after another."""
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32 if len(values) < 1 << 31 else np.int64)
+    at += np.repeat((starts - ends + sizes).astype(at.dtype), sizes)
+    return values[at]
+
+
+class PairTable:
+    """A hash table from small non-negative integer keys to integers, probed by arrays; absent keys give -1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.shift = 64 - max(4, int(2 * len(keys)).bit_length())
+        self.mask = (1 << 64 - self.shift) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.values = np.full(self.mask + 1, -1, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several for one slot the last stays
+            won = self.keys[at] == keys[left]
+            self.values[at[won]] = values[left[won]]
+            left, at = left[~won], (at[~won] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            there = self.keys[at[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+
 class MergeAutomaton:
-    """The automaton of a merge list over ``base`` symbols; tokens are numbered base first, then merges."""
+    """The automaton of a merge list over ``base`` symbols; tokens are numbered base first, then merges.
+
+    Labels are written in visible characters for bytes. ``end``: the mark of labels
+    that end a word; without one every label may.
+    """
 
     def __init__(self, base: list[str], merges: list[tuple[str, str]], end: str = "") -> None:
-        self.end = end
         self.labels = [*base, *(a + b for a, b in merges)]
-        self.number = {s: i for i, s in enumerate(self.labels)}
-        if len(self.number) != len(self.labels):
+        number = {s: i for i, s in enumerate(self.labels)}
+        if len(number) != len(self.labels):
             raise ValueError("two merges make the same token")
-        self.rank = array("l", [-1] * len(base))
-        self.left, self.right = array("l", [-1] * len(base)), array("l", [-1] * len(base))
-        self.removed: dict[tuple[int, int], int] = {}
-        self.live = bytearray([1] * len(base))
-        for r, (a, b) in enumerate(merges):
-            self._gadget(r, self.number[a], self.number[b])
-        #: Arcs by label: those inside a word, and those that end one (without their mark).
-        self.inner = {x: i for i, x in enumerate(self.labels) if self.live[i] and not (end and x.endswith(end))}
-        self.final = {x[: len(x) - len(end)]: i for i, x in enumerate(self.labels) if self.live[i] and x.endswith(end)}
-        self.longest = max(map(len, [*self.inner, *self.final]), default=0)
-        self.table: dict[int, bool] = {}
-
-    def _gadget(self, r: int, u: int, v: int) -> None:
-        """Apply merge number r: its token is live if the arc v left u's state until now."""
-        self.live.append(self.live[u] and self.live[v] and self.follows(u, v, r))
-        self.rank.append(r)
-        self.left.append(u)
-        self.right.append(v)
-        self.removed.setdefault((u, v), r)
-
-    def follows(self, t: int, w: int, before: int = 1 << 60) -> bool:
-        """Whether arc w leaves the state of token t once all merges below ``before`` are applied."""
-        rank, removed = self.rank, self.removed
-        while True:
-            gone = removed.get((t, w))
-            if gone is not None and gone < before:
-                return False
-            of_t, of_w = rank[t], rank[w]
-            if of_w >= of_t:
-                if of_w < 0:
-                    return True
-                before, w = of_w + 1, self.left[w]
+        nothing = [-1] * len(base)
+        self.left = np.array(nothing + [number[a] for a, _ in merges], np.int32)
+        self.right = np.array(nothing + [number[b] for _, b in merges], np.int32)
+        self.rank = np.array(nothing + list(range(len(merges))), np.int32)
+        self._compile()
+        self._trie(end)
+
+    def _compile(self) -> None:
+        """The rows of the transition table."""
+        n, first = len(self.labels), int((self.rank < 0).sum())
+        self.n = n
+        copies: list[list[int]] = [[] for _ in range(n)]  # of arcs, younger first
+        for w in range(n - 1, first - 1, -1):
+            copies[self.left[w]].append(w)
+        place, after, count = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        for root in range(first):
+            stack = [root]
+            while stack:
+                x = stack.pop()
+                if x < 0:
+                    after[~x] = count
+                    continue
+                place[x] = count
+                count += 1
+                stack.append(~x)
+                stack += reversed(copies[x])
+        # The interval that each gadget removes: its arc v and the copies made of it from that gadget on.
+        young = [[first - 1 - x for x in some] for some in copies]
+        low, high = place[self.right[first:]], np.empty(n - first, np.int64)
+        for r, v in enumerate(self.right[first:].tolist()):
+            k = bisect_right(young[v], -1 - r)
+            high[r] = after[copies[v][k - 1]] if k else place[v] + 1
+        # A state has its own gadgets' intervals, and those of the states it is copied from, as of then.
+        by = np.argsort(self.left[first:], kind="stable")
+        key = self.left[first:][by].astype(np.int64) * n + by
+        states, sources, before = np.arange(n), np.arange(n), np.full(n, n, np.int64)
+        rows, removed = [], []
+        while len(states):
+            at = np.searchsorted(key, sources * n)
+            sizes = np.searchsorted(key, sources * n + np.minimum(before, n - 1)) - at
+            rows.append(np.repeat(states, sizes))
+            removed.append(gather(by, at, sizes))
+            before, sources = self.rank[sources].astype(np.int64), self.right[sources].astype(np.int64)
+            more = sources >= 0
+            states, sources, before = states[more], sources[more], before[more]
+        row, gadget = np.concatenate(rows), np.concatenate(removed)
+        wide = n + 1
+        start, stop, rank = row * wide + low[gadget], row * wide + high[gadget], gadget
+        order = np.lexsort((-stop, start))
+        start, stop = start[order], stop[order]
+        reach = np.maximum.accumulate(stop)
+        apart = np.flatnonzero(start[1:] > reach[:-1]) + 1 if len(start) else np.zeros(0, np.int64)
+        self.place, self.wide = place, wide
+        self.row_start = start[np.concatenate([[0], apart])] if len(start) else start
+        self.row_stop = reach[np.append(apart, len(start)) - 1] if len(start) else stop
+        # An arc lives if both its parts do and its left part's state still had the arc of its right part.
+        live = np.ones(n, bool)
+        own = self.place[self.right[first:]] + self.left[first:].astype(np.int64) * wide
+        at = np.searchsorted(start, own, "right")
+        early = np.zeros(n - first, bool)
+        left = np.arange(n - first)
+        rank = rank[order]
+        while len(left):  # through the intervals that begin before the arc, as long as an outer one reaches it
+            at[left] -= 1
+            left = left[(at[left] >= 0)]
+            inside = (stop[at[left]] > own[left]) & (start[at[left]] <= own[left])
+            early[left[inside & (rank[at[left]] < left)]] = True
+            left = left[~early[left] & (reach[at[left]] > own[left])]
+        for r in range(n - first):
+            live[first + r] = live[self.left[first + r]] and live[self.right[first + r]] and not early[r]
+        self.live = live
+
+    def follows(self, states: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        """Whether each arc leaves each state."""
+        key = states * self.wide + self.place[arcs]
+        at = np.searchsorted(self.row_start, key, "right") - 1
+        return (at < 0) | (self.row_stop[np.maximum(at, 0)] <= key) if len(self.row_stop) else np.ones(len(key), bool)
+
+    def _trie(self, end: str) -> None:
+        """The labels of live arcs by byte; those that end a word have ``END`` after their bytes."""
+        arcs: list[tuple[bytes, bool, int]] = []
+        for i in np.flatnonzero(self.live).tolist():
+            x = self.labels[i]
+            if not end:
+                arcs += [(to_bytes(x), False, i), (to_bytes(x), True, i)]
+            elif x.endswith(end):
+                arcs.append((to_bytes(x[: len(x) - len(end)]), True, i))
             else:
-                before, t = of_t, self.right[t]
-
-    def walk(self, words: Iterable[str]) -> Iterator[list[int]]:
-        """The tokens of each word: the one path of arcs that spells it.
+                arcs.append((to_bytes(x), False, i))
+        arcs = [a for a in arcs if a[0]]
+        self.arc_token = np.array([a[2] for a in arcs], np.int32)
+        self.arc_size = np.array([len(a[0]) for a in arcs], np.int32)
+        self.arc_final = np.array([a[1] for a in arcs], bool)
+        child: dict[int, int] = {}
+        nodes, arc_at, parent, node_of = 1, [-1], [-1], []
+        for i, (label, final, _) in enumerate(arcs):
+            node = 0
+            for b in (*label, END) if final else label:
+                node, up = child.setdefault(node << 9 | b, nodes), node
+                if node == nodes:
+                    nodes += 1
+                    arc_at.append(-1)
+                    parent.append(up)
+            arc_at[node] = i
+            node_of.append(node)
+        best = list(arc_at)
+        for node in range(1, nodes):  # parents come first
+            if best[node] < 0:
+                best[node] = best[parent[node]]
+        self.longest_at = np.array(best, np.int32)
+        self.shorter = np.array([best[parent[x]] for x in node_of], np.int32)
+        self.child = PairTable(np.fromiter(child.keys(), np.int64, len(child)), np.fromiter(child.values(), np.int32, len(child)))
+
+    def _longest(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The longest arc that spells what comes at each place; -1 for none."""
+        node = np.zeros(len(at), np.int64)
+        left, depth = np.arange(len(at)), 0
+        while len(left):
+            here = at[left] + depth
+            symbol = np.where(here < end[left], data[np.minimum(here, len(data) - 1)], np.int64(END))
+            down = self.child.get(node[left] << 9 | symbol)
+            go = down >= 0
+            left = left[go]
+            node[left] = down[go]
+            left = left[here[go] < end[left]]
+            depth += 1
+        return self.longest_at[node]
+
+    def walk(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of words (a binary array), one word after another, and the number of each word's tokens.
 
         Long arcs are tried first. Whatever path of existing arcs reaches a place is the
         canonical tokenization of what is before it, so there is one, and a place that
-        leads nowhere is never tried again.
+        leads nowhere is never tried again. An empty word has no tokens.
         """
-        inner, final, table, n_labels, longest = self.inner.get, self.final.get, self.table, len(self.labels), self.longest
-        for word in words:
-            whole = final(word)
-            if whole is not None:
-                yield [whole]
-                continue
-            n = len(word)
-            out: list[int] = []
-            starts: list[int] = []
-            dead: set[int] = set()
-            start, last, end = 0, -1, n if n <= longest else longest
-            while True:
-                while end > start:
-                    w = inner(word[start:end]) if end < n else final(word[start:])
-                    if w is not None and end not in dead:
-                        if last < 0:
-                            break
-                        cell = last * n_labels + w
-                        goes = table.get(cell)
-                        if goes is None:
-                            goes = table[cell] = self.follows(last, w)
-                        if goes:
-                            break
-                    end -= 1
-                if end > start:
-                    out.append(w)
-                    if end == n:
+        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+        start, end = offsets[:-1], offsets[1:]
+        base = int(offsets[0])
+        room = int(offsets[-1]) - base
+        path = np.zeros(room, np.int32)  # arcs, from each word's first byte on
+        dead = np.zeros(room + 1, bool)
+        dead[end - base] = True  # the mark of the end must be read, too
+        size = np.zeros(len(words), np.int64)
+        left = np.flatnonzero(end > start)
+        at, last = start.copy(), np.full(len(words), -1, np.int64)
+        arc = np.full(len(words), -1, np.int64)
+        arc[left] = self._longest(data, at[left], end[left])
+        while len(left):
+            if len(left) < LEAST_ARRAY:
+                for i in left.tolist():
+                    self._finish(i, data, int(start[i]), int(end[i]), base, int(at[i]), int(arc[i]), path, dead, size)
+                break
+            a = arc[left]
+            none = a < 0
+            if none.any():  # back to the place before, and on to a shorter arc
+                back = left[none]
+                if not size[back].all():
+                    raise ValueError("a word has bytes that no arc spells")
+                dead[at[back] - base] = True
+                size[back] -= 1
+                was = path[start[back] - base + size[back]]
+                at[back] -= self.arc_size[was]
+                arc[back] = self.shorter[was]
+                last[back] = np.where(size[back] > 0, path[start[back] - base + size[back] - 1], -1)
+                a = arc[left]
+                none = a < 0
+            some = left[~none]
+            a = a[~none]
+            to = at[some] + self.arc_size[a]
+            final = self.arc_final[a]
+            good = final | ~dead[to - base]
+            check = np.flatnonzero(good & (last[some] >= 0))
+            good[check] = self.follows(self.arc_token[last[some[check]]].astype(np.int64), self.arc_token[a[check]])
+            bad = some[~good]
+            arc[bad] = self.shorter[a[~good]]
+            went, a, to, final = some[good], a[good], to[good], final[good]
+            path[start[went] - base + size[went]] = a
+            size[went] += 1
+            at[went] = to
+            last[went] = a
+            on = went[~final]
+            arc[on] = self._longest(data, at[on], end[on])
+            done = np.zeros(len(words), bool) if len(left) * 8 > len(words) else None
+            if done is not None:
+                done[went[final]] = True
+                left = left[~done[left]]
+            else:
+                left = np.setdiff1d(left, went[final], assume_unique=True)
+        return self.arc_token[gather(path, start - base, size)], size
+
+    def _finish(self, i: int, data: np.ndarray, start: int, end: int, base: int, at: int, arc: int, path: np.ndarray, dead: np.ndarray, size: np.ndarray) -> None:
+        """The rest of one word's way, step by step."""
+        arcs, rows, stops = self._scalar()
+        word, n = data[start:end].tobytes(), int(size[i])
+        while True:
+            while arc >= 0:
+                to, final = at + arcs[0][arc], arcs[1][arc]
+                if final or not dead[to - base]:
+                    if not n:
+                        break
+                    key = int(self.arc_token[path[start - base + n - 1]]) * self.wide + int(self.place[self.arc_token[arc]])
+                    k = bisect_right(rows, key) - 1
+                    if k < 0 or stops[k] <= key:
                         break
-                    starts.append(start)
-                    start, last, end = end, w, n if n - end <= longest else end + longest
-                else:
-                    dead.add(start)
-                    out.pop()
-                    end = start - 1
-                    start = starts.pop()
-                    last = out[-1] if out else -1
-            if len(table) > TABLE_CELLS:
-                table.clear()
-            yield out
+                arc = arcs[2][arc]
+            if arc >= 0:
+                path[start - base + n] = arc
+                n += 1
+                at = to
+                if final:
+                    break
+                arc = self._spelt(word, at - start)
+            else:
+                if not n:
+                    raise ValueError("a word has bytes that no arc spells")
+                dead[at - base] = True
+                n -= 1
+                was = int(path[start - base + n])
+                at -= arcs[0][was]
+                arc = arcs[2][was]
+        size[i] = n
+
+    def _scalar(self) -> tuple:
+        if not hasattr(self, "_lists"):
+            self._lists = ((memoryview(self.arc_size), memoryview(self.arc_final), memoryview(self.shorter)), memoryview(self.row_start), memoryview(self.row_stop))
+        return self._lists
+
+    def _spelt(self, word: bytes, at: int) -> int:
+        """The longest arc that spells what comes at a place of one word."""
+        table, node = self.child, 0
+        keys, values, n = table.keys, table.values, len(word)
+        while at <= n:
+            key = node << 9 | (word[at] if at < n else END)
+            slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> table.shift
+            while (there := keys[slot]) != key and there >= 0:
+                slot = slot + 1 & table.mask
+            if there < 0:
+                break
+            node = int(values[slot])
+            at += 1
+        return int(self.longest_at[node])
+
+
+#: Kinds of bytes in a plain piece: letters, digits, others.
+_KIND = np.array([1 if b >= 128 or 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.uint8)
+#: Bytes by which a piece is not plain: control characters, and what begins characters but the letters U+00C0 to U+024F.
+_ODD = np.array([b < 0x20 or b == 0x7F or b == 0xC2 or b >= 0xCA for b in range(256)])
+
+
+def _any_in(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether any flag is set in each of the runs that follow each other."""
+    before = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return before[offsets[1:]] > before[offsets[:-1]]
+
+
+def _parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) and bytes of a string array."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1, 4 * strings.offset)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
 class WordBpe:
@@ -159,23 +387,25 @@ class WordBpe:
         model = spec["model"]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or model["unk_token"] or model["dropout"]:
             raise ValueError("a BPE model with an end-of-word mark, without unknown token and dropout, is needed")
-        self.path, self.vocab = path, model["vocab"]
-        self.end = model["end_of_word_suffix"]
+        vocab, mark = model["vocab"], model["end_of_word_suffix"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         made = {a + b for a, b in merges}
-        self.automaton = MergeAutomaton([s for s in self.vocab if s not in made], merges, self.end)
-        self.ids = [self.vocab[s] for s in self.automaton.labels]
-        self.label = {i: s for s, i in self.vocab.items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.automaton = MergeAutomaton([s for s in vocab if s not in made], merges, mark)
+        single = self.automaton.arc_size == 1
+        if sum(single & self.automaton.arc_final) < 256 or sum(single & ~self.automaton.arc_final) < 256:
+            raise ValueError("the vocabulary must hold every byte, inside and at the end of a word")
+        ids = np.array([vocab[s] for s in self.automaton.labels], np.int64)
+        del self.automaton.labels
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("only plain added tokens are supported")
-        self.label |= {i: s for s, i in self.special.items()}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._known: dict[str, bytes] = {"": b""}
-        self.most_id = max(self.label)
-        self.kind = "H" if self.most_id < 65536 else "I"
-        if not (self.automaton.inner.keys() >= set(byte_symbols()) and self.automaton.final.keys() >= set(byte_symbols())):
-            raise ValueError("the vocabulary must hold every byte, inside and at the end of a word")
+        label = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        self.path, self.most_id = path, max(label)
+        self.kind = np.uint16 if self.most_id < 65536 else np.uint32
+        self.ids = ids.astype(self.kind)
+        #: What each id decodes to, and a blank; nothing for ids that are not in use.
+        self.shown = pa.array([label[i] + " " if i in label else "" for i in range(self.most_id + 1)], pa.large_string())
         self._library = None
 
     def library(self):
@@ -185,83 +415,145 @@ class WordBpe:
             self._library = Tokenizer.from_file(self.path)
         return self._library
 
-    def _split(self, piece: str) -> list[str] | None:
-        """The words of a piece without white space and added tokens; null for characters that need the library."""
-        if piece.isascii() and piece.isprintable() or not ODD.search(piece):
-            return _WORD.findall(piece.lower())
-        return None
-
-    def _mapped(self, word: str) -> str:
-        return word if word.isascii() else "".join(map(byte_symbols().__getitem__, word.encode()))
-
-    def _odd(self, piece: str) -> bytes:
-        """A piece of other characters: the library normalises and splits it, the automaton encodes."""
-        tok = self.library()
-        words = [w for w, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(piece))]
-        return b"".join([self._packed(tokens) for w in words for tokens in self.automaton.walk([w])])
-
-    def _packed(self, tokens: list[int]) -> bytes:
-        return array(self.kind, map(self.ids.__getitem__, tokens)).tobytes()
-
-    def learn(self, wanted: set[str]) -> None:
-        """Encode the pieces that are not remembered, each new word once."""
-        known = self._known
-        new = wanted.difference(known)
-        if len(known) + len(new) > MEMO_WORDS:
-            known.clear()
-            known[""] = b""
-            new = wanted - {""}
-        later, words = [], set()
-        for p in new:
-            if self._special and "<" in p and self._special.search(p) or (split := self._split(p)) is None:
-                later.append((p, None))
-            elif len(split) == 1 and split[0] == p:
-                words.add(p)
+    def _odd_words(self, piece: str) -> list[bytes | int]:
+        """The words of any piece, as the library normalises and splits it, and the ids of added tokens in it."""
+        tok, out = self.library(), []
+        for part in self._special.split(piece) if self._special else [piece]:
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                out += [to_bytes(w) for w, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(part))]
+        return out
+
+    def _odd(self, pieces: pa.Array, lowered: pa.Array) -> np.ndarray:
+        """Which pieces hold more than printable ASCII and the letters U+00C0 to U+024F, or an added token."""
+        offsets, data = _parts(pieces)
+        after = np.append(data[1:], 0) if len(data) else data
+        dotted = (data == 0xC4) & (after == 0xB0)  # its lower case is two characters
+        low_offsets, low = _parts(lowered)
+        after = np.append(low[1:], 0) if len(low) else low
+        signs = (low == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (low == 0xC9) & (after > 0x8F)
+        odd = _any_in(dotted, offsets) | _any_in(_ODD[low] | signs, low_offsets)
+        for s in self.special:
+            odd |= pc.match_substring(pieces, s).to_numpy(zero_copy_only=False)
+        return odd
+
+    def _split(self, lowered: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin in lower-case pieces, by byte, and which word is the first of each piece: runs of letters or of others, single digits, and the seven contractions."""
+        offsets, data = _parts(lowered)
+        kind = _KIND[data]
+        new = np.empty(len(data), bool)
+        if len(data):
+            new[0] = True
+            new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        firsts = offsets[:-1][offsets[1:] > offsets[:-1]]
+        new[firsts] = True
+        padded = np.concatenate([data, [0, 0, 0]])
+        q = np.flatnonzero((data == 0x27) & new)
+        if len(q):
+            piece = np.searchsorted(offsets, q, "right") - 1
+            room = offsets[piece + 1] - q
+            one, two = padded[q + 1], padded[q + 2]
+            short = (room > 1) & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long_ = (room > 2) & (((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C))
+            new[q[short | long_] + 1] = False
+            for some, size in ((q[short], 2), (q[long_], 3)):
+                new[some[some + size < len(data)] + size] = True
+        if odd.any():  # one word each, which is not used
+            inside = np.repeat(odd, np.diff(offsets))
+            new &= ~inside
+            new[offsets[:-1][odd & (offsets[1:] > offsets[:-1])]] = True
+        starts = np.flatnonzero(new).astype(np.int32)
+        return starts, np.searchsorted(starts, offsets)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces without white space: all ids, and where each piece's begin and how many it has."""
+        lowered = pc.utf8_lower(pieces)
+        odd = self._odd(pieces, lowered)
+        starts, first = self._split(lowered, odd)
+        _, data = _parts(lowered)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        others: list[list[bytes | int]] = [self._odd_words(p) for p in pieces.filter(pa.array(odd)).to_pylist()]
+        plain = np.ones(len(starts), bool)
+        plain[first[:-1][odd & (first[1:] > first[:-1])]] = False
+        # All words: those of plain pieces, then those of the others.
+        of_others = [w if isinstance(w, bytes) else b"" for some in others for w in some]
+        every = pa.concat_arrays([words.filter(pa.array(plain)), pa.array(of_others, pa.binary())]).dictionary_encode()
+        tokens, sizes = self.automaton.walk(every.dictionary)
+        word = every.indices.to_numpy()
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[word]
+        ids = self.ids[gather(tokens, begin[word], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        before = np.concatenate([[0], np.cumsum(plain)])[first]  # plain words before each piece
+        low, high = before[:-1].copy(), before[1:].copy()
+        sizes_of_others = np.array([len(x) for x in others], np.int64)
+        stops = before[-1] + np.cumsum(sizes_of_others)
+        low[odd], high[odd] = stops - sizes_of_others, stops
+        where, count = ends[low], ends[high] - ends[low]
+        added = [(k, w) for k, w in enumerate(w for some in others for w in some) if isinstance(w, int)]
+        if added:  # added tokens have no words: put their ids between
+            k = np.array([a for a, _ in added]) + before[-1]
+            ids = np.insert(ids, ends[k], np.array([w for _, w in added], self.kind))
+            extra = np.zeros(len(ends), np.int64)
+            extra[k + 1] = 1
+            ends += np.cumsum(extra)
+            where, count = ends[low], ends[high] - ends[low]
+        return ids, where, count
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and the number of ids before each text and after the last.
+
+        White space separates: no normalisation, split or merge reaches across it.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids, where, count = self._pieces(coded.dictionary)
+        piece = coded.indices.to_numpy()
+        n = count[piece]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        offsets = split.offsets.to_numpy()
+        return gather(ids, where[piece], n), ends[offsets - offsets[0]]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text, some texts at a time: all ids, and the number before each text and after the last.
+
+        A null text has none. A text of more than ``BLOCK_BYTES`` is encoded in parts that
+        end at white space.
+        """
+        texts = pc.fill_null(texts, "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right")))
+            if to == at + 1 and sizes[at] > BLOCK_BYTES:
+                own = [self._block(pa.array([part], pa.string()))[0] for part in parts_of(texts[at].as_py(), BLOCK_BYTES)]
+                ids = np.concatenate(own)
+                yield ids, np.array([0, len(ids)])
             else:
-                later.append((p, split))
-                words.update(split)
-        words.difference_update(known)
-        names = list(words)
-        for w, tokens in zip(names, self.automaton.walk(map(self._mapped, names))):
-            known[w] = self._packed(tokens)
-        for p, split in later:
-            if split is not None:
-                known[p] = b"".join([known[w] for w in split])
-        for p, split in later:
-            if split is None:
-                parts = self._special.split(p) if self._special else [p]
-                known[p] = b"".join([array(self.kind, [self.special[x]]).tobytes() if x in self.special else self._odd(x) for x in parts if x])
-
-    def pieces(self, text: str) -> list[str]:
-        """White space separates: no normalisation, split or merge reaches across it."""
-        return _SPACE.split(text) if SEPARATORS.search(text) else text.split()
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        some: list[list[str]] = []
-        size = 0
-        for text in [*texts, None]:
-            if text is not None:
-                some.append(self.pieces(text))
-                size += len(text)
-            if size >= BLOCK_CHARS or text is None:
-                self.learn(set().union(*some))
-                for pieces in some:
-                    yield np.frombuffer(b"".join(map(self._known.__getitem__, pieces)), self.kind)
-                some, size = [], 0
-
-    def forget(self) -> None:
-        """Keep only the pieces learnt first, which the commonest are among: an idle worker should hold little."""
-        self._known = dict(islice(self._known.items(), KEPT_WORDS))
-        self.automaton.table.clear()
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The labels of the arcs; without a decoder they are joined by blanks (unknown ids have none)."""
-        label = self.label
-        try:
-            return " ".join(map(label.__getitem__, ids.tolist()))
-        except KeyError:
-            return " ".join([label[i] for i in ids.tolist() if i in label])
+                yield self._block(texts.slice(at, to - at))
+            at = to
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The labels of the arcs of each text; without a decoder they are joined by blanks (unknown ids have none)."""
+        used = ids <= self.most_id
+        if not used.all():
+            ends = np.concatenate([[0], np.cumsum(used)])[ends]
+            ids = ids[used]
+        labels = pc.take(self.shown, pa.array(ids))
+        offsets = np.frombuffer(labels.buffers()[1], np.int64, len(labels) + 1)[ends]
+        joined = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(offsets), labels.buffers()[2]])
+        return pc.binary_slice(joined, 0, -1).cast(pa.large_string())
+
+
+def parts_of(text: str, size: int) -> Iterator[str]:
+    """A text in parts of about ``size`` characters that end before white space."""
+    space, at = re.compile(r"[\t\n\x0b\x0c\r ]"), 0
+    while at < len(text):
+        found = space.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 @lru_cache(maxsize=2)
@@ -270,8 +562,12 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The ids of each text as 32-bit little-endian integers."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+
+
 SCHEMA = "doc_id bigint, ids binary, decoded string"
-BATCH_BYTES = 16_000_000
 
 
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -280,26 +576,19 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     Returns ``doc_id``, ``ids`` (32-bit little-endian integers) and ``decoded``, a row
     for each input row in no order. Null and empty texts have no ids and an empty
     decoding; repeated rows stay repeated; other columns of the input are ignored;
-    an empty table gives an empty one. Narrow: no shuffle, bounded memory.
+    an empty table gives an empty one. Narrow: no shuffle, and a worker holds the
+    tables and one block of texts, nothing of the texts before it.
     """
     runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch in batches:
-            keys, at, size, ids, decoded = runtime.values(batch, "doc_id"), 0, 0, [], []
-
-            def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([keys.slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])  # noqa: B023
-
-            for own in bpe.encode(runtime.texts(batch)):
-                ids.append(own.astype("<u4").tobytes())
-                decoded.append(bpe.decode(own))
-                size += len(ids[-1]) + len(decoded[-1])
-                if size > BATCH_BYTES:
-                    yield out()
-                    at, size, ids, decoded = at + len(ids), 0, [], []
-            yield out()
-        bpe.forget()
+            at, keys = 0, runtime.values(batch, "doc_id")
+            for ids, ends in bpe.encode(runtime.values(batch, "text")):
+                n = len(ends) - 1
+                yield pa.RecordBatch.from_arrays([keys.slice(at, n), packed(ids, ends), bpe.decode(ids, ends).cast(pa.string())], ["doc_id", "ids", "decoded"])
+                at += n
+        runtime.trim()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -73,7 +73,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = runtime.shared_path(spark, "token-shards")
     manifest = token_shards.write_shards(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID, folder)
-    back = token_shards.read_shards(spark, manifest)
+    back = token_shards.read_shards(manifest)
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

@@ -2,8 +2,8 @@
 
 The documents are dealt by range of doc_id and sorted, each task encodes its documents
 and writes shards of about ``SHARD_TOKENS`` tokens to the shared folder under a name
-that a retried task writes again. The manifest has one row for each file; from it come
-the places where files begin.
+that a retried task writes again. The manifest is a table with one row for each file;
+from it come the places where files begin.
 """
 
 from __future__ import annotations
@@ -13,23 +13,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, runtime, wavelet
 
-SHARD_TOKENS = 1 << 24
+#: Tokens of a file, about, and those that one task reads at scale.
+SHARD_TOKENS, READ_TOKENS = 1 << 24, 1 << 26
 OUT_BYTES = 16_000_000
 _MANIFEST = "part int, shard int, path string, documents bigint, tokens bigint"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shard_tokens: int = SHARD_TOKENS) -> list[tuple[str, int, int, int]]:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode, append ``end_id`` to each document and write the shards.
 
-    Returns the manifest, one ``(path, documents, tokens, start)`` for each file in
-    order; ``start`` counts the tokens of all files before it. Null and empty texts
-    have only the end id; null doc_ids come first; rows that repeat a doc_id stay
-    together, ordered by their text; an empty table writes no file.
+    Returns the manifest, a row ``(part, shard, path, documents, tokens, start)`` for each
+    file; ``start`` counts the tokens of all files before it. Null and empty texts have
+    only the end id; null doc_ids come first; rows that repeat a doc_id follow each other
+    in the order of a hash of their text (and may be dealt to several files); an empty
+    table writes no file. Only the totals of the partitions, of which the session fixes
+    the number, come to the driver.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
@@ -39,7 +42,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
         encoder, part = bpe.load(tokenizer), TaskContext.get().partitionId()
         ids, keys, lengths, size, shard = [], [], [], 0, 0
         wide = np.uint16 if max(end_id, encoder.most_id) < 65536 else np.uint32
-        end = np.array([end_id], wide)
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/part-{part:06d}-{shard:05d}.wm"
@@ -47,29 +49,38 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "path": path, "documents": len(keys), "tokens": size}], schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            for key, own in zip(runtime.values(batch, "doc_id").to_pylist(), encoder.encode(runtime.texts(batch))):
-                ids += [own.astype(wide, copy=False), end]
-                keys.append(key)
-                lengths.append(len(own) + 1)
-                size += len(own) + 1
+            doc_ids, at = runtime.values(batch, "doc_id").to_pylist(), 0
+            for own, ends in encoder.encode(runtime.values(batch, "text")):
+                n = len(ends) - 1
+                ids.append(np.insert(own.astype(wide, copy=False), ends[1:], end_id))
+                keys += doc_ids[at : at + n]
+                lengths += (np.diff(ends) + 1).tolist()
+                size, at = size + len(ids[-1]), at + n
                 if size >= shard_tokens:
                     yield flush()
                     ids, keys, lengths, size, shard = [], [], [], 0, shard + 1
         if keys:
             yield flush()
-        encoder.forget()
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    out, start = [], 0
-    for r in sorted(dealt.mapInArrow(run, _MANIFEST).collect(), key=lambda r: (r.part, r.shard)):
-        out.append((r.path, r.documents, r.tokens, start))
-        start += r.tokens
-    return out
-
-
-def read_shards(spark, manifest: list[tuple[str, int, int, int]]) -> DataFrame:
-    """Read shards back: ``doc_id, start`` (tokens of all documents before it) and ``ids`` (32-bit little-endian integers)."""
+        ids.clear()
+        runtime.trim()
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    dealt = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order, "text")
+    written = runtime.table(dealt.select("doc_id", "text").mapInArrow(run, _MANIFEST), "shard-manifest")
+    starts, start = [], 0
+    for part, tokens in sorted(tuple(r) for r in written.groupBy("part").agg(F.sum("tokens")).collect()):
+        starts.append((part, start))
+        start += tokens
+    before = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    in_part = written.withColumn("inside", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    return in_part.join(F.broadcast(spark.createDataFrame(starts, "part int, first bigint")), "part").select("part", "shard", "path", "documents", "tokens", (F.col("first") + F.col("inside")).alias("start"))
+
+
+def read_shards(manifest: DataFrame) -> DataFrame:
+    """Read the files of a manifest back: ``doc_id, start`` (tokens of all documents before it) and ``ids`` (32-bit little-endian integers)."""
+    spark = manifest.sparkSession
     runtime.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +102,8 @@ def read_shards(spark, manifest: list[tuple[str, int, int, int]]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[first:last], pa.int64()), pa.array(starts[first:last] + before, pa.int64()), ids], ["doc_id", "start", "ids"])
                     first = last
 
-    files = spark.createDataFrame([(p, s) for p, _, _, s in manifest], "path string, start bigint")
-    if manifest:
-        files = files.repartition(len(manifest))
-    return files.mapInArrow(run, "doc_id bigint, start bigint, ids binary")
+        runtime.trim()
 
+    files, tokens = manifest.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    tasks = max(1, min(files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (tokens or 0) // READ_TOKENS)))
+    return manifest.select("path", "start").repartition(tasks).mapInArrow(run, "doc_id bigint, start bigint, ids binary")
