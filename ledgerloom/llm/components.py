@@ -31,14 +31,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for each node of ``edges (u, v)`` that is not the least of its component.
 
-    Edges with a null end and loops are ignored; repeats and either direction are fine;
-    no edges give no rows.
+    Nodes are of any type that has an order. Edges with a null end and loops are ignored;
+    repeats and either direction are fine; no edges give no rows.
     """
-    now = runtime.table(edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).where("u <> v").distinct(), "edges")
+    now = runtime.table(edges.select("u", "v").where("u <> v").distinct(), "edges")
     state = None
     while True:
         now = runtime.table(_small_star(_large_star(now)), "edges")
-        after = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first())
+        after = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
         if after == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = after

@@ -92,6 +92,7 @@ def _count(docs: DataFrame, shingles: dict[int, set]) -> dict[tuple[int, bytes],
                         n[size, _key(s)] += 1
         keys = list(n)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([n[k] for k in keys], pa.int64())], ["size", "shingle", "n"])
+        runtime.trim()
 
     counted = docs.select("text").mapInArrow(run, "size int, shingle binary, n bigint").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
     return {(size, bytes(shingle)): n for size, shingle, n in counted.toLocalIterator()}
@@ -147,6 +148,7 @@ def _find(docs: DataFrame, index: dict[int, dict]) -> DataFrame:
                 spans.append(found)
                 items.append(sorted(of))
             yield pa.RecordBatch.from_arrays([runtime.values(batch, "doc_id"), runtime.values(batch, "version"), pa.array(n, pa.int64()), _spans(spans), pa.array(items, pa.list_(pa.string()))], ["doc_id", "version", "n_words", "spans", "items"])
+        runtime.trim()
 
     return docs.mapInArrow(run, _SCHEMA)
 

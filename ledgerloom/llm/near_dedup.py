@@ -3,7 +3,7 @@
 1. One pass over the texts makes each document's set of three-word shingles (64-bit
    hashes), its fingerprint, and ``BANDS`` x ``ROWS`` universal hash minima, kept as a
    hash for each band. Documents with equal sets are one class from here on, named by
-   its smallest doc_id, so groups of copies of any size are one row.
+   its smallest doc_id and its fingerprint, so groups of copies of any size are one row.
 2. Classes that share a band hash are a bucket. No pairs of a bucket are made: each
    class is first linked to the smallest class of its buckets, by checking signatures
    and then the full sets, and the components of these links are found.
@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import runtime
@@ -37,10 +39,10 @@ HASHES = BANDS * ROWS
 #: Equal minima (of their low 16 bits) that a pair must have to be checked on its sets.
 LEAST_EQUAL = int(0.70 * HASHES)
 #: Classes of a bucket that one task compares with each other; larger buckets are cut.
-BLOCK = 2048
-MEMO_WORDS = 400_000
+BLOCK = 512
+#: Bytes of text that are hashed together.
+BLOCK_BYTES = 4_000_000
 
-_LOWER = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240611)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2)
@@ -49,29 +51,36 @@ _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_hashes = _WordHashes()
-
-
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; fewer than three words are one shingle."""
-    words = text.translate(_LOWER).split()
-    h = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
-    if len(h) < SHINGLE:
-        x = np.array([(h * _PLACE[: len(h)]).sum() + np.uint64(len(h))], np.uint64) if len(h) else h
-    else:
-        x = h[:-2] * _PLACE[0] + h[1:-1] * _PLACE[1] + h[2:] * _PLACE[2]
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles; fewer than three words are one shingle."""
+    texts = pc.fill_null(texts, "")
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):  # some texts at a time, so that little is held beside them
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right")))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, to - at)))
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)
+        word = coded.indices.to_numpy()
+        real = np.array([bool(n) for n in names], bool)[word]  # white space at an end leaves an empty piece
+        h = hashes[word[real]]
+        offsets = split.offsets.to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
+        x = _mixed(h[:-2] * _PLACE[0] + h[1:-1] * _PLACE[1] + h[2:] * _PLACE[2]) if len(h) >= SHINGLE else h[:0]
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            n = last - first
+            if n >= SHINGLE:
+                yield np.unique(x[first : last - SHINGLE + 1])
+            else:
+                yield _mixed(np.array([(h[first:last] * _PLACE[:n]).sum() + np.uint64(n)], np.uint64)) if n else h[:0]
+        at = to
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(33)
     x *= _MIX
     x ^= x >> np.uint64(33)
-    return np.unique(x)
+    return x
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -98,38 +107,51 @@ def fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
+    """``(doc_id, version, n_shingles, fp, bands)`` of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, prints, bands = [], [], []
-            for text in runtime.byte_texts(batch):
-                s = shingle_set(text)
-                n.append(len(s))
-                prints.append(fingerprint(s))
-                bands.append(band_hashes(minima(s)) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([runtime.values(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "bands"])
-        _hashes.clear()
+            for some in range(0, batch.num_rows, 2000):
+                part = batch.slice(some, 2000)
+                n, prints, bands = [], [], []
+                for s in shingle_sets(runtime.values(part, "text")):
+                    n.append(len(s))
+                    prints.append(fingerprint(s))
+                    bands.append(band_hashes(minima(s)) if len(s) else np.zeros(0, np.int64))
+                ends = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
+                yield pa.RecordBatch.from_arrays([runtime.values(part, "doc_id"), runtime.values(part, "version"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "version", "n_shingles", "fp", "bands"])
+        runtime.trim()
+
+    return docs.mapInArrow(run, "doc_id bigint, version bigint, n_shingles bigint, fp binary, bands array<bigint>")
+
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, fp binary, bands array<bigint>")
+def _name(doc_id: str, fp: str) -> Column:
+    """A class as bytes that sort by doc_id and then by fingerprint."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.col(doc_id).bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), 63))), 16, "0")), F.col(fp))
+
+
+def _doc_id(name: str) -> Column:
+    """The doc_id of a class."""
+    return (F.conv(F.hex(F.substring(name, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(Decimal(1 << 63))).cast("bigint")
 
 
 def _profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(rep, sig, shingles)`` of the wanted classes ``(rep, fp)``, from a text of theirs."""
+    """``(rep, sig, shingles)`` of the wanted classes ``(rep, doc_id, version)``, from a text of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in range(0, batch.num_rows, 500):
                 part = batch.slice(some, 500)
-                reps, sigs, sets = [], [], []
-                for rep, fp, text in zip(runtime.values(part, "rep").to_pylist(), runtime.values(part, "fp").to_pylist(), runtime.byte_texts(part)):
-                    s = shingle_set(text)
-                    if fingerprint(s) == fp:
-                        reps.append(rep)
-                        sigs.append(minima(s).astype("<u2").tobytes())
-                        sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["rep", "sig", "shingles"])
-        _hashes.clear()
+                sigs, sets = [], []
+                for s in shingle_sets(runtime.values(part, "text")):
+                    sigs.append(minima(s).astype("<u2").tobytes())
+                    sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([runtime.values(part, "rep"), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["rep", "sig", "shingles"])
+        runtime.trim()
 
-    return docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "fp", "text").mapInArrow(run, "rep bigint, sig binary, shingles binary")
+    one = docs.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])  # rows may be repeated
+    return one.select("rep", "text").mapInArrow(run, "rep binary, sig binary, shingles binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -153,25 +175,26 @@ def _verify(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
                 equal = (np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).sum()
                 keep.append(bool(equal >= LEAST_EQUAL) and linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        runtime.trim()
 
-    return pairs.join(p, "u").join(q, "v").select("u", "v", "sig_u", "sig_v", "set_u", "set_v").mapInArrow(run, "u bigint, v bigint")
+    return pairs.join(p, "u").join(q, "v").select("u", "v", "sig_u", "sig_v", "set_u", "set_v").mapInArrow(run, "u binary, v binary")
 
 
 class _Union:
     def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
+        self.parent: dict[bytes, bytes] = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x: bytes) -> bytes:
         while (up := self.parent.get(x, x)) != x:
             self.parent[x] = self.parent.get(up, up)
             x = up
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: bytes, b: bytes) -> None:
         self.parent[max(a, b)] = min(a, b)
 
 
-def spanning_links(reps: list[int], parts: list[int], sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+def spanning_links(reps: list[bytes], parts: list[bytes], sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[bytes, bytes]]:
     """Links that join all components a bucket's links can join. ``side``: only pairs of different sides, if there are two."""
     union, out = _Union(), []
     two = len(set(side.tolist())) > 1
@@ -198,29 +221,30 @@ def _search(rows: DataFrame) -> DataFrame:
         get = lambda c: table.column(c).to_pylist()
         sigs = np.frombuffer(b"".join(get("sig")), "<u2").reshape(-1, HASHES)
         found = spanning_links(get("rep"), get("part"), sigs, [np.frombuffer(x, np.uint64) for x in get("shingles")], np.array(get("side")))
-        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+        return pa.table({"u": pa.array([a for a, _ in found], pa.binary()), "v": pa.array([b for _, b in found], pa.binary())})
 
-    return dealt.groupBy("h", "i", "j").applyInArrow(run, "u bigint, v bigint")
+    return dealt.groupBy("h", "i", "j").applyInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Components of documents whose shingle sets have a similarity of 0.85 or more.
+def grouped(documents: DataFrame) -> DataFrame:
+    """``(doc_id, version, n_shingles, component)`` of each input row.
 
-    Returns ``doc_id, n_shingles, component_id, kept``, a row for each input row. Null,
-    empty and blank texts have no shingles and are linked with nothing. Rows that
-    repeat a doc_id are one node; each gets the component of its own text and
-    ``kept`` tells only whether its doc_id names the component. A null doc_id is in no
-    component and kept. Other columns are ignored; an empty table stays empty.
+    ``version``: a hash of the text; ``component``: the least class of the row's
+    component, as ``_name`` writes it, null for rows without shingles or doc_id. A class
+    is a doc_id and a set, so rows that repeat a doc_id with other texts are not linked by that.
     """
     runtime.ship(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     sketches = runtime.table(_sketches(docs), "sketches")
     real = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = runtime.table(real.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
-    bands = classes.select("rep", "fp", F.explode("bands").alias("h"))
+    classes = real.groupBy("fp").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.any_value("bands").alias("bands")).select("fp", "first.*", "bands")
+    classes = runtime.table(classes.withColumn("rep", _name("doc_id", "fp")), "classes")
+    bands = classes.select("rep", F.explode("bands").alias("h"))
     buckets = bands.groupBy("h").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = runtime.table(bands.join(buckets, "h").select("h", "n", "rep", "fp", "pivot"), "members")
-    profiles = runtime.table(_profiles(docs, members.select("rep", "fp").distinct()), "profiles")
+    members = runtime.table(bands.join(buckets, "h").select("h", "n", "rep", "pivot"), "members")
+    wanted = classes.select("rep", "doc_id", "version").join(members.select("rep").distinct(), "rep", "left_semi")
+    profiles = runtime.table(_profiles(docs, wanted), "profiles")
     nearest = members.where("rep <> pivot").groupBy(F.col("rep").alias("u")).agg(F.min("pivot").alias("v"))
     links = runtime.table(_verify(nearest, profiles), "links")
     parts = components(links)
@@ -232,8 +256,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     more = runtime.table(_search(rows), "links")
     joined = components(links.unionByName(more))
 
-    named = classes.join(joined, classes.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.join(named, "fp", "left")
-    part = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(part, F.col("doc_id"))).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = classes.join(joined, classes.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    in_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return sketches.join(named, "fp", "left").select("doc_id", "version", "n_shingles", F.when(in_class, F.col("component")).alias("component"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """Components of documents whose shingle sets have a similarity of 0.85 or more.
+
+    Returns ``doc_id, n_shingles, component_id, kept``, a row for each input row. Null,
+    empty and blank texts have no shingles and are linked with nothing. Rows that
+    repeat a doc_id get the component of their own texts each, and ``kept`` tells
+    whether the doc_id names the component. A null doc_id is in no component and kept.
+    Other columns are ignored; an empty table stays empty.
+    """
+    component_id = F.coalesce(_doc_id("component"), F.col("doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component_id, F.lit(True))
+    return grouped(documents).select("doc_id", "n_shingles", component_id.alias("component_id"), kept.alias("kept"))
+
+
+def without_near_copies(documents: DataFrame) -> DataFrame:
+    """One row of each component, of those with its smallest doc_id, and one of each group of rows without shingles or doc_id that agree in doc_id and text.
+
+    All columns stay (a column ``_version`` or ``_none`` would clash). Each row's text
+    travels once.
+    """
+    rows = grouped(documents)
+    named = rows.where(F.col("doc_id") == _doc_id("component")).groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("one")).select("one.*")
+    rest = rows.where("component IS NULL").select("doc_id", "version").distinct()
+    # A null doc_id is a value here.
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    kept = named.unionByName(rest).select(*key, F.col("version").alias("_version"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = documents.select("*", *key, F.xxhash64(text).alias("_version"))
+    names = ["_id", "_none", "_version"]
+    return docs.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)

@@ -195,6 +195,7 @@ def measure_repetition(documents: DataFrame, min_repeat: int = MIN_REPEAT) -> Da
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered", "longest", "repeats"])
                 at += len(some)
+        runtime.trim()
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
 

@@ -189,6 +189,8 @@ def _blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
                     block, n = _Block(bpe), n + 1
         if block.docs:
             yield from block.rows(part << 32 | n)
+        del block
+        runtime.trim()
 
     return docs.mapInArrow(run, "block bigint, number int, pretoken binary, pack binary")
 
@@ -208,6 +210,7 @@ def _pieces(vocabulary: DataFrame, tokenizer: str) -> DataFrame:
                         last, count = t, next(counted)
                     out.append(count)
                 yield pa.RecordBatch.from_arrays([runtime.values(part, "block"), runtime.values(part, "number"), pa.array(out, pa.int32())], ["block", "number", "pieces"])
+        runtime.trim()
 
     return vocabulary.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(run, "block bigint, number int, pieces int")
 

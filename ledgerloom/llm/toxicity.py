@@ -118,6 +118,7 @@ def _sample(documents: DataFrame, labels: DataFrame, categories: Sequence[str],
         for batch in batches:
             rows = [sorted(features_of(t)) for t in runtime.byte_texts(batch)]
             yield pa.RecordBatch.from_arrays([runtime.values(batch, "doc_id"), *(runtime.values(batch, y) for y in names), pa.array(rows, pa.list_(pa.binary()))], ["doc_id", *names, "features"])
+        runtime.trim()
 
     return docs.mapInArrow(run, f"doc_id bigint, {', '.join(f'{y} int' for y in names)}, features array<binary>")
 
@@ -179,5 +180,6 @@ def score(documents: DataFrame, chain: Chain) -> DataFrame:
                 rows = [[number[f] for f in known & features_of(t)] for t in some]
                 out += model.predict(model.matrix(rows)).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "probabilities"])
+        runtime.trim()
 
     return docs.mapInArrow(run, schema)

@@ -88,8 +88,23 @@ def test_edges(spark, rows):
 def test_spanning_links_joins_all_it_can():
     sets = [np.arange(a, a + 200, dtype=np.uint64) for a in (0, 10, 20, 30, 500)]
     sigs = np.stack([near_dedup.minima(s).astype("<u2") for s in sets])
-    found = near_dedup.spanning_links([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], sigs, sets, np.zeros(5))
-    assert roots([1, 2, 3, 4, 5], found) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    names = [b"1", b"2", b"3", b"4", b"5"]
+    found = near_dedup.spanning_links(names, names, sigs, sets, np.zeros(5))
+    assert roots(names, found) == {b"1": b"1", b"2": b"1", b"3": b"1", b"4": b"1", b"5": b"5"}
+
+
+def test_repeated_ids(spark):
+    """Texts of one doc_id are nodes of their own: unlike ones are not linked by it, and none gets lost."""
+    t, u = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, t), (2, u), (2, t + " x"), (2, t.upper()), (2, u), (-3, u + " y"), (None, u), (None, u), (4, None), (4, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("component", F.lit("clash"))
+    got = {(r.doc_id, r.text) for r in near_dedup.without_near_copies(docs).collect()}
+    assert {x for x in got if x[1]} == {(1, t), (-3, u + " y"), (None, u)}
+    assert len(got) == 5 and near_dedup.without_near_copies(docs).columns == docs.columns  # 4 and 5 have no words
+    ids = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs.where("doc_id < 3")).collect())
+    assert ids == [(-3, -3), (1, 1), (2, -3), (2, -3), (2, 1), (2, 1)]
+    extreme = spark.createDataFrame([(-(1 << 63), t), ((1 << 63) - 1, t), (0, t + " z")], "doc_id bigint, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(extreme).collect()} == {-(1 << 63)}
 
 
 def test_pipeline_stages(spark, tmp_path):
