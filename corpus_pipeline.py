@@ -33,11 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; rows that repeat it in id and text are one."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = docs.groupBy("doc_id", F.xxhash64("text").alias("version")).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """One document of each component stays; rows that repeat one in id and text are one."""
+    return near_dedup.without_near_copies(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
