@@ -59,9 +59,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = runtime.shared_path(spark, "warc")
     warc.archive_pages(_read(spark, sf_dir, "pages"), folder)
-    back = warc.read_archives(spark, folder, "record_id string, record_type string, payload_digest string, refers_to string, payload_bytes bigint")
+    back = warc.read_archives(spark, folder, "record_id string, record_type string, payload_digest string, refers_to string, payload_bytes bigint, payload binary")
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)")
-    return back.where(F.col("record_type").isin("response", "revisit")).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    # Of responses, what was read; of revisits, what their records say of a payload that is elsewhere.
+    digest, size = F.coalesce(F.sha2("payload", 256), "payload_digest"), F.coalesce(F.octet_length("payload").cast("bigint"), "payload_bytes")
+    return back.where(F.col("record_type").isin("response", "revisit")).select(page("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ record type and other header columns into the scan, parses a record's headers fi
 and passes over the payload of records that are not wanted, or of all when the given
 schema has no ``payload``. Compressed archives hold a gzip member for each record; ours
 carry its length in the member's extra field ``sl``, so that passing over a record
-inflates nothing but its headers. Archives of other writers, compressed or not, are
-read too; members without a length are inflated to find their end.
+inflates nothing but its headers. Archives of other writers, compressed or not, with
+any number of records in a member, are read too; members without a length are inflated
+to find their end. Damaged archives are errors, not shorter results.
 
 Writing makes archives of about ``ARCHIVE_BYTES`` under names of their own for each
 attempt; a manifest written at commit names those that count, so a lost task's files
@@ -15,6 +16,8 @@ are never read.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
 import struct
 import uuid
@@ -72,90 +75,176 @@ class _Window:
         self.f, self.size, self.start, self.data = f, f.size(), 0, b""
 
     def read(self, at: int, n: int) -> bytes:
-        n = max(0, min(n, self.size - at))
+        n = min(n, self.size - at)
+        if n <= 0:
+            return b""
         if at < self.start or at + n > self.start + len(self.data):
             self.f.seek(at)
             self.start, self.data = at, self.f.read(max(n, 1 << 20))
         return self.data[at - self.start : at - self.start + n]
 
 
-class _Plain:
-    """The bytes of an uncompressed record from a place on."""
-
-    def __init__(self, window: _Window, at: int) -> None:
-        self.window, self.at, self.start, self.seen = window, at, at, b""
-
-    def more(self) -> bool:
-        got = self.window.read(self.start + len(self.seen), 1 << 14)
-        self.seen += got
-        return bool(got)
-
-    def until(self, n: int) -> None:
-        if n > len(self.seen):
-            self.seen += self.window.read(self.start + len(self.seen), n - len(self.seen))
-
-    def next(self, n: int) -> int:
-        return self.start + n
+class Damaged(ValueError):
+    """An archive that ends too early, or whose content is not what its checks say."""
 
 
-class _Member:
-    """The bytes of a gzip member, inflated as far as they are asked for."""
-
-    def __init__(self, window: _Window, at: int) -> None:
-        self.window, self.start, self.seen = window, at, b""
-        head = window.read(at, 1 << 16)
-        flags, place, self.length = head[3], 10, 0
+class _Plain:
+    """The bytes of an uncompressed archive."""
+
+    def __init__(self, window: _Window) -> None:
+        self.window, self.at = window, 0
+
+    def more(self, n: int) -> bytes:
+        """The next bytes, at most n; none at the end."""
+        out = self.window.read(self.at, n)
+        self.at += len(out)
+        return out
+
+    def over(self, n: int, record: int) -> bool:
+        """Pass over the next n bytes, which end a record of that many."""
+        self.at += n
+        return self.at <= self.window.size
+
+
+class _Members:
+    """The inflated bytes of a compressed archive, member after member, with their checks."""
+
+    def __init__(self, window: _Window) -> None:
+        self.window, self.at, self.inflate, self.seen = window, 0, None, b""
+        self._open()
+
+    def _open(self) -> None:
+        """Read the header of the member that begins here, if there is one."""
+        self.start, self.inflate = self.at, None
+        head = self.window.read(self.at, 1 << 16)
+        if not head.strip(b"\0"):  # the end, or padding
+            self.at += len(head)
+            return self._open() if head else None
+        if head[:3] != b"\x1f\x8b\x08":
+            raise Damaged(f"no gzip member at byte {self.at}")
+        flags, place, self.length, self.size = head[3] if len(head) > 3 else 0, 10, 0, 0
         if flags & 4:
             extra = int.from_bytes(head[10:12], "little")
+            if len(head) < 12 + extra:
+                raise Damaged(f"the member at byte {self.at} has no end")
             field = 12
             while field + 4 <= 12 + extra:
                 size = int.from_bytes(head[field + 2 : field + 4], "little")
                 if head[field : field + 2] == b"sl" and size == 8:
-                    self.length = int.from_bytes(head[field + 4 : field + 8], "little")
+                    self.length, self.size = struct.unpack("<II", head[field + 4 : field + 12])
                 field += 4 + size
             place = 12 + extra
         for flag in (8, 16):
             if flags & flag:
-                place = head.index(b"\0", place) + 1
-        self.at = at + place + (2 if flags & 2 else 0)
-        self.inflate = zlib.decompressobj(-15)
-
-    def more(self) -> bool:
-        if self.inflate.eof:
-            return False
-        data = self.inflate.unconsumed_tail or self.window.read(self.at, 1 << 14)
-        if not self.inflate.unconsumed_tail:
-            self.at += len(data)
-        got = self.inflate.decompress(data, 1 << 16)
-        self.seen += got
-        return bool(got) or not self.inflate.eof and bool(data)
-
-    def until(self, n: int) -> None:
-        parts, size = [self.seen], len(self.seen)
-        while size < n and not self.inflate.eof:
-            self.seen = b""
-            if not self.more():
-                break
-            parts.append(self.seen)
-            size += len(self.seen)
-        self.seen = b"".join(parts)
-
-    def next(self, n: int) -> int:
-        if self.length:
-            return self.start + self.length
-        while not self.inflate.eof:
-            self.seen = b""
-            if not self.more():
-                break
-        return self.at - len(self.inflate.unused_data) + 8
+                place = head.find(b"\0", place) + 1 or len(head)
+        self.at += place + (2 if flags & 2 else 0)
+        self.inflate, self.crc, self.given = zlib.decompressobj(-15), 0, 0
+
+    def more(self, n: int) -> bytes:
+        while self.inflate is not None:
+            if self.inflate.eof:
+                self._close()
+                continue
+            data = self.inflate.unconsumed_tail
+            if not data:
+                data = self.window.read(self.at, 1 << 16)
+                self.at += len(data)
+                if not data:
+                    raise Damaged(f"the member at byte {self.start} has no end")
+            try:
+                out = self.inflate.decompress(data, n)
+            except zlib.error as error:
+                raise Damaged(f"the member at byte {self.start} can't be inflated: {error}") from None
+            self.crc, self.given = zlib.crc32(out, self.crc), self.given + len(out)
+            if out:
+                return out
+        return b""
+
+    def _close(self) -> None:
+        """Compare the end of a member with what was inflated, and go on to the next."""
+        self.at -= len(self.inflate.unused_data)
+        if self.window.read(self.at, 8) != struct.pack("<II", self.crc, self.given & 0xFFFFFFFF):
+            raise Damaged(f"the member at byte {self.start} is not what its checksum says")
+        self.at += 8
+        self._open()
+
+    def over(self, n: int, record: int) -> bool:
+        """Pass over the next n bytes; without inflating them if the member says that it holds this record alone."""
+        if n and self.inflate is not None and self.length and self.size == record:
+            self.at = self.start + self.length
+            if self.at > self.window.size:
+                raise Damaged(f"the member at byte {self.start} has no end")
+            self._open()
+            return True
+        while n > 0:
+            out = self.more(min(n, 1 << 20))
+            if not out:
+                return False
+            n -= len(out)
+        return True
+
+
+class _Reader:
+    """Reads the records of a stream: bytes that were looked at stay until they are taken."""
+
+    def __init__(self, f) -> None:
+        window = _Window(f)
+        self.source = _Members(window) if window.read(0, 2) == b"\x1f\x8b" else _Plain(window)
+        self.held, self.taken = b"", 0  # taken: bytes since the record began
+
+    def find(self, mark: bytes, limit: int | None = None) -> int:
+        """Where a mark is in what comes next (in the first ``limit`` bytes); -1 if it is not."""
+        at = 0
+        while True:
+            found = self.held.find(mark, at, limit)
+            if found >= 0 or limit is not None and len(self.held) >= limit:
+                return found
+            at = max(0, len(self.held) - len(mark) + 1)
+            got = self.source.more(1 << 14)
+            if not got:
+                return -1
+            self.held += got
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes; fewer at the end."""
+        parts, size = [self.held[:n]], min(n, len(self.held))
+        self.held = self.held[n:]
+        while size < n and (got := self.source.more(min(n - size, 1 << 20))):
+            parts.append(got)
+            size += len(got)
+        self.taken += size
+        return b"".join(parts)
+
+    def lines(self) -> bool:
+        """Pass over line ends between records; whether anything follows."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held:
+                self.taken = 0
+                return True
+            self.held = self.source.more(1 << 14)
+            if not self.held:
+                return False
+
+    def over(self, n: int) -> None:
+        """Pass over the rest of a record, its two line ends included."""
+        rest = n + len(_END) - len(self.held)
+        if rest <= 0:
+            self.held = self.held[n:]
+            return
+        record = self.taken + n + len(_END)
+        self.held = b""
+        if not self.source.over(max(0, rest - len(_END)), record):
+            raise Damaged("the last record has no end")
 
 
 def _headers(raw: bytes) -> dict[str, str]:
+    """Header lines by their lower-case names, without white space around; of a repeated name the first."""
     out: dict[str, str] = {}
     for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            out[name.strip().lower()] = value.strip()
+            out.setdefault(name.strip().lower(), value.strip())
     return out
 
 
@@ -169,40 +258,55 @@ def _columns(h: dict[str, str]) -> dict[str, str | None]:
     return row
 
 
+def _digests_differ(said: str, payload: bytes) -> bool:
+    """Whether a digest header (SHA-1, SHA-256 or MD5, in hex or base 32) is of another payload; other forms are not judged."""
+    kind, _, value = said.partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5") or not value:
+        return False
+    own = hashlib.new(kind.lower(), payload).digest()
+    return value.lower() not in (own.hex(), base64.b32encode(own).decode().lower(), base64.b32encode(own).decode().rstrip("=").lower())
+
+
 def records(f, want=lambda row: True, payload: bool = True) -> Iterator[dict]:
-    """The wanted records of an archive; ``want`` sees the header columns only."""
-    window, at = _Window(f), 0
-    while at < window.size:
-        lead = window.read(at, 4)
-        if lead[:1] in b"\r\n":
-            at += 1
-            continue
-        source = _Member(window, at) if lead[:2] == b"\x1f\x8b" else _Plain(window, at)
-        while _END not in source.seen and source.more():
-            pass
-        head, _, _ = source.seen.partition(_END)
-        if not head.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        h, start = _headers(head), len(head) + 4
-        size = int(h.get("content-length", 0))
-        row = _columns(h)
-        end = start + size
+    """The wanted records of an archive; ``want`` sees the header columns only.
+
+    An archive may hold one record in each gzip member, several, or parts of one. What is
+    read is checked: a missing end, a bad checksum of a member, a length that is not
+    there and a payload that is not what its digest says raise ``Damaged``, as what
+    would be lost or changed can't be told. (The digest of a payload in a transfer
+    encoding is not judged.) What is passed over without inflating it is not checked.
+    """
+    reader = _Reader(f)
+    while reader.lines():
+        end = reader.find(_END)
+        if end < 0 or not reader.held.startswith(b"WARC/"):
+            raise Damaged("there is no WARC record where one should begin" if end >= 0 else "the headers of the last record have no end")
+        h = _headers(reader.take(end + len(_END))[:end])
+        try:
+            size = int(h["content-length"])
+        except (KeyError, ValueError):
+            raise Damaged("a record has no length") from None
+        row, left = _columns(h), size
         if want(row):
             row |= {"headers": h, "payload_bytes": size, "payload": None}
-            body = start
-            if h.get("content-type", "").startswith("application/http"):
-                while source.seen.find(_END, start, end) < 0 and len(source.seen) < end and source.more():
-                    pass
-                stop = source.seen.find(_END, start, end)
-                if stop >= 0:
-                    body = stop + 4
-                    http = _headers(source.seen[start:stop])
-                    row["payload_bytes"] = int(http["content-length"]) if h.get("warc-type") == "revisit" and "content-length" in http else end - body
-            if payload and h.get("warc-type") != "revisit":
-                source.until(end)
-                row["payload"] = bytes(source.seen[body:end])
+            http: dict[str, str] = {}
+            if h.get("content-type", "").startswith("application/http") and (stop := reader.find(_END, size)) >= 0:
+                http = _headers(reader.take(stop + len(_END))[:stop])
+                left -= stop + len(_END)
+                row["payload_bytes"] = left
+            if h.get("warc-type") == "revisit":
+                if http.get("content-length", "").isdecimal():
+                    row["payload_bytes"] = int(http["content-length"])
+            elif payload:
+                body = reader.take(left)
+                if len(body) < left:
+                    raise Damaged("the last record has no end")
+                left = 0
+                if "transfer-encoding" not in http and _digests_differ(h.get("warc-payload-digest", ""), body):
+                    raise Damaged(f"the payload of {row['record_id']} is not what its digest says")
+                row["payload"] = body
             yield row
-        at = source.next(end + 4)
+        reader.over(left)
 
 
 @dataclass
@@ -278,12 +382,15 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             with fs.open_input_file(path) as f:
-                for row in records(f, self._want, "payload" in names):
-                    rows.append({k: row[k] for k in names})
-                    size += 500 + len(row["payload"] or b"")
-                    if size > BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
+                try:
+                    for row in records(f, self._want, "payload" in names):
+                        rows.append({k: row[k] for k in names})
+                        size += 500 + len(row["payload"] or b"")
+                        if size > BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, size = [], 0
+                except Damaged as error:
+                    raise Damaged(f"{path}: {error}") from None
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -347,6 +454,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to a session; turns on the session's push-down into Python sources."""
     runtime.ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)

@@ -1,11 +1,13 @@
 """URL filter, WARC, line dedup, decontamination, repetition and toxicity on small tables, against brute force."""
 
+import base64
 import collections
 import gzip
 import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,13 +80,16 @@ def test_warc(spark, tmp_path):
 
 
 def test_foreign_archives(tmp_path):
-    data = [warc.record(f"id{i}", "response", "http://x", "0", 5 + i, None, b"h" * (5 + i)) for i in range(4)]
+    data = [warc.record(f"id{i}", "response", "http://x", hashlib.sha256(b"h" * (5 + i)).hexdigest(), 5 + i, None, b"h" * (5 + i)) for i in range(4)]
     (tmp_path / "plain.warc").write_bytes(b"".join(data))
     (tmp_path / "plain.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))
     (tmp_path / "own.warc.gz").write_bytes(b"".join(map(warc.member, data)))
+    whole = b"".join(data)
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(whole))  # all records in a member
+    (tmp_path / "mixed.warc.gz").write_bytes(warc.member(data[0] + data[1]) + gzip.compress(data[2][:100]) + gzip.compress(data[2][100:]) + warc.member(data[3]) + b"\0" * 9)
     from ledgerloom.llm.runtime import open_fs
 
-    for name in ("plain.warc", "plain.warc.gz", "own.warc.gz"):
+    for name in ("plain.warc", "plain.warc.gz", "own.warc.gz", "whole.warc.gz", "mixed.warc.gz"):
         for payload in (True, False):
             fs, path = open_fs(str(tmp_path / name))
             with fs.open_input_file(path) as f:
@@ -98,6 +103,60 @@ def test_foreign_archives(tmp_path):
     assert len(left) == 1 and reader._want({"record_type": "response"}) and not reader._want({"record_type": "revisit"})
 
 
+def test_digests_and_long_records(tmp_path):
+    body = random.Random(1).randbytes(3_000_000)
+    for digest, good in ((hashlib.sha256(body).hexdigest(), True), ("0" * 64, False)):
+        data = [warc.record("a", "response", "u", digest, len(body), None, body), warc.record("b", "revisit", "u", digest, 3_000_000, "a", b"")]
+        for name, raw in (("p", b"".join(data)), ("g", gzip.compress(b"".join(data))), ("m", b"".join(map(warc.member, data)))):
+            (tmp_path / name).write_bytes(raw)
+            with pa.OSFile(str(tmp_path / name)) as f:
+                if good:
+                    got = list(warc.records(f))
+                    assert [r["payload_bytes"] for r in got] == [3_000_000] * 2 and got[0]["payload"] == body and got[1]["payload"] is None
+                else:
+                    with pytest.raises(warc.Damaged):
+                        list(warc.records(f))
+                    assert len(list(warc.records(f, payload=False))) == 2
+    assert not warc._digests_differ("sha1:" + base64.b32encode(hashlib.sha1(b"x").digest()).decode(), b"x") and not warc._digests_differ("new:1", b"x")
+
+
+def test_damaged_archives(spark, tmp_path):
+    """Whatever is cut off or changed is an error or still the whole result, never a shorter one."""
+    rng = random.Random(2)
+    bodies = [rng.randbytes(900) for _ in range(3)]
+    data = [warc.record(f"id{i}", "response", "u", hashlib.sha256(b).hexdigest(), 900, None, b) for i, b in enumerate(bodies)]
+    whole = [{"id": f"id{i}", "body": b} for i, b in enumerate(bodies)]
+
+    def read(raw, payload=True):
+        return [{"id": r["record_id"], "body": r["payload"]} for r in warc.records(pa.BufferReader(raw), payload=payload)]
+
+    for raw, marks in (
+        (b"".join(data), [0, *np.cumsum([len(d) for d in data])]),
+        (gzip.compress(b"".join(data)), []),
+        (b"".join(map(gzip.compress, data)), [0, *np.cumsum([len(gzip.compress(d)) for d in data])]),
+        (b"".join(map(warc.member, data)), [0, *np.cumsum([len(warc.member(d)) for d in data])]),
+    ):
+        assert read(raw) == whole
+        for cut in range(1, len(raw)):
+            for payload in (True, False):
+                try:
+                    got = read(raw[:cut], payload)
+                except warc.Damaged:
+                    continue  # else it ends between records, or among the line ends after one
+                assert any(cut == m or raw[:1] == b"W" and m - 4 <= cut < m for m in marks), cut
+                assert len(got) == sum(m - 4 * (raw[:1] == b"W") <= cut for m in marks[1:])
+        for _ in range(60):  # a flipped bit in a payload
+            at = raw.find(bodies[1][100:110]) if raw[:2] != b"\x1f\x8b" else len(raw) // 2
+            bad = bytearray(raw)
+            bad[at + rng.randrange(9)] ^= 1 << rng.randrange(8)
+            with pytest.raises(warc.Damaged):
+                read(bytes(bad))
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/a.warc.gz").write_bytes(gzip.compress(b"".join(data))[:-30])
+    with pytest.raises(Exception, match=r"a\.warc\.gz"):
+        warc.read_archives(spark, f"file://{tmp_path}/x").collect()
+
+
 # line dedup
 
 
