@@ -25,7 +25,6 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,19 +52,9 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its shingles; fewer than three words are one shingle."""
-    texts = pc.fill_null(texts, "")
-    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
-    while at < len(texts):  # some texts at a time, so that little is held beside them
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right")))
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, to - at)))
-        coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.cast(pa.binary()).to_pylist()
-        hashes = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)
-        word = coded.indices.to_numpy()
-        real = np.array([bool(n) for n in names], bool)[word]  # white space at an end leaves an empty piece
-        h = hashes[word[real]]
-        offsets = split.offsets.to_numpy()
-        bounds = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
+    for some in runtime.slices(texts, BLOCK_BYTES):  # so that little is held beside them
+        word, bounds, names = runtime.words(some, lower=True)
+        h = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)[word] if names else np.zeros(0, np.uint64)
         x = _mixed(h[:-2] * _PLACE[0] + h[1:-1] * _PLACE[1] + h[2:] * _PLACE[2]) if len(h) >= SHINGLE else h[:0]
         for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             n = last - first
@@ -73,7 +62,6 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield np.unique(x[first : last - SHINGLE + 1])
             else:
                 yield _mixed(np.array([(h[first:last] * _PLACE[:n]).sum() + np.uint64(n)], np.uint64)) if n else h[:0]
-        at = to
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

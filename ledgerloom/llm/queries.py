@@ -81,7 +81,8 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition.judge(repetition.measure_repetition(_read(spark, sf_dir, "documents")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered", "longest", F.size("repeats").cast("bigint").alias("n_repeats"))
+    too_long = F.col("longest") > repetition.MAX_LONGEST
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered", too_long.alias("too_long"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +157,35 @@ fit AS (
 listed AS (SELECT canonical FROM c WHERE canonical IS NOT NULL GROUP BY canonical HAVING count(*) >= 2)
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' END, 'allow') AS verdict
 FROM c LEFT JOIN fit USING (page_id)
+""",
+    # Exact sets and links by a join of shingles; MinHash misses a link with a chance below 3e-7.
+    "op4_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM w UNION SELECT r.node, e.v FROM r JOIN e ON r.seen = e.u),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN c ON w.doc_id = c.node LEFT JOIN n ON w.doc_id = n.doc_id
+""",
+    # A repeat of so many words or more is there if a window of so many words is there twice.
+    "op8_repetition": rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (3), ({repetition.MIN_REPEAT}), ({repetition.MAX_LONGEST + 1})) t(k) WHERE len(w) >= k)),
+twice AS (SELECT doc_id, k, i FROM win WHERE (doc_id, k, win) IN (SELECT (doc_id, k, win) FROM win GROUP BY doc_id, k, win HAVING count(*) > 1)),
+hit AS (SELECT doc_id, k, count(DISTINCT p) AS n FROM (SELECT doc_id, k, unnest(generate_series(i, i + k - 1)) AS p FROM twice) GROUP BY doc_id, k),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(a.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(b.n, 0) AS BIGINT) AS covered, c.n IS NOT NULL AS too_long
+  FROM w LEFT JOIN lines l ON l.doc_id = w.doc_id LEFT JOIN hit a ON a.doc_id = w.doc_id AND a.k = 3 LEFT JOIN hit b ON b.doc_id = w.doc_id AND b.k = {repetition.MIN_REPEAT} LEFT JOIN hit c ON c.doc_id = w.doc_id AND c.k = {repetition.MAX_LONGEST + 1}),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND 100 * covered <= {repetition.MAX_COVERED} * n_words AND NOT too_long AS kept FROM j
 """,
     "op10_line_dedup": r"""
 WITH lines AS (

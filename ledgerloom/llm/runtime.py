@@ -10,7 +10,9 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +92,31 @@ def trim() -> None:
         give_back(0)
 
 
+def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of some texts, which ASCII white space separates (A-Z lower-cased on request).
+
+    Gives the number of each word, in order, where each text's words begin (and the last
+    end), and what the numbers stand for. A null text has no words.
+    """
+    texts = pc.fill_null(texts, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.binary()).to_pylist()
+    number = coded.indices.to_numpy()
+    real = np.array([bool(n) for n in names], bool)[number]  # white space at an end leaves an empty piece
+    offsets = split.offsets.to_numpy()
+    return number[real], np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]], names
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Some texts at a time: about ``size`` bytes, or one text."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """A text column as UTF-8 bytes; null becomes empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -244,16 +244,29 @@ def brute_repeats(text, least):
 def test_repetition():
     rng = random.Random(9)
     texts = [" ".join(rng.choice("ab cd ef g".split()) for _ in range(rng.randint(0, 80))).encode() for _ in range(80)] + [b"", b"x", b"x x x x x x x x", b"t " * 300]
+    texts += [b"a b c " * 40, b"p " * 90 + b"q " + b"p " * 70, b" ".join([b"u v w x y z"] * 9 + [b"k"] + [b"v w x y z u"] * 7)]
     for least in (4, 10):
-        m = repetition.measure(texts, least)
+        m = repetition.measure(pa.array([t.decode() for t in texts]), least)
+        of, *flat = m["repeats"]
         for i, t in enumerate(texts):
             assert (m["n_words"][i], m["n_repeat_words"][i], m["covered"][i], m["longest"][i]) == brute_repeats(t, least), t
-        for t, found in zip(texts, m["repeats"]):
             w = t.split()
-            for start, size, times in found:
-                places = [i for i in range(len(w) - size + 1) if w[i : i + size] == w[start : start + size]]
+            for start, size, times in zip(*(x[of == i] for x in flat)):
+                places = [j for j in range(len(w) - size + 1) if w[j : j + size] == w[start : start + size]]
                 assert len(places) == times > 1
-                assert len({w[i + size] if i + size < len(w) else i for i in places}) > 1 and len({w[i - 1] if i else -1 for i in places}) > 1
+                assert len({w[j + size] if j + size < len(w) else j for j in places}) > 1 and len({w[j - 1] if j else -1 for j in places}) > 1
+
+
+def test_repetition_of_one_word_is_linear():
+    import tracemalloc
+
+    text = pa.array(["word " * 400_000])
+    tracemalloc.start()
+    m = repetition.measure(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (m["n_words"][0], m["covered"][0], m["longest"][0], len(m["repeats"][0])) == (400_000, 400_000, 399_999, 399_990)
+    assert peak < 120 * 400_000
 
 
 def test_repetition_table(spark):
