@@ -42,6 +42,7 @@ BLOCK = 512
 #: Bytes of text that are hashed together.
 BLOCK_BYTES = 4_000_000
 
+_LOWER = runtime.byte_table()
 _rng = np.random.default_rng(20240611)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2)
@@ -53,7 +54,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its shingles; fewer than three words are one shingle."""
     for some in runtime.slices(texts, BLOCK_BYTES):  # so that little is held beside them
-        word, bounds, names = runtime.words(some, lower=True)
+        word, bounds, names = runtime.words(some, _LOWER)
         h = np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)[word] if names else np.zeros(0, np.uint64)
         x = _mixed(h[:-2] * _PLACE[0] + h[1:-1] * _PLACE[1] + h[2:] * _PLACE[2]) if len(h) >= SHINGLE else h[:0]
         for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):

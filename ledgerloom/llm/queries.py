@@ -13,8 +13,6 @@ from ledgerloom.llm import bpe, decontaminate, line_dedup, near_dedup, repetitio
 END_ID = 2
 #: Documents of more tokens are over the limit.
 TOKEN_LIMIT = 1024
-#: A document is toxic from this probability on (classes weigh the same in training, so 0.5 would take in doubtful ones).
-TOXIC_FROM = 0.65
 #: The chain's categories in order; ``junk`` is quality 0.
 CATEGORIES = ("junk", "toxic")
 
@@ -49,7 +47,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity.train(documents, category_labels(_read(spark, sf_dir, "labels")), CATEGORIES)
     scored = toxicity.score(documents.select("doc_id", "text"), chain)
     p = F.col("probabilities")
-    return scored.select("doc_id", *[F.round(p[i], 6).alias(f"p_{c}") for i, c in enumerate(CATEGORIES)], (p[len(CATEGORIES) - 1] >= TOXIC_FROM).alias("toxic"))
+    return scored.select("doc_id", *[F.round(p[i], 6).alias(f"p_{c}") for i, c in enumerate(CATEGORIES)], (p[len(CATEGORIES) - 1] >= chain.threshold).alias("toxic"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

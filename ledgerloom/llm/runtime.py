@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -92,14 +92,27 @@ def trim() -> None:
         give_back(0)
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """The words of some texts, which ASCII white space separates (A-Z lower-cased on request).
+def byte_table(word_bytes: Iterable[int] | None = None) -> np.ndarray:
+    """A table for ``words``: A-Z become a-z, and bytes that are not among ``word_bytes`` (beside 128 to 255) become blanks."""
+    table = np.array([b | 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+    if word_bytes is not None:
+        kept = set(word_bytes)
+        table[[b for b in range(128) if b not in kept and not 65 <= b <= 90]] = 32
+    return table
+
+
+def words(texts: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of some texts, which ASCII white space separates once their bytes went through a table.
 
     Gives the number of each word, in order, where each text's words begin (and the last
     end), and what the numbers stand for. A null text has no words.
     """
     texts = pc.fill_null(texts, "")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    if table is not None:
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+        data = table[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+        texts = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data)])
+    split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
     names = coded.dictionary.cast(pa.binary()).to_pylist()
     number = coded.indices.to_numpy()

@@ -5,10 +5,15 @@ later one also gets the probabilities of those before it. In training these are
 out-of-fold predictions (a model never feeds forward what it has seen), so that a
 later model meets the kind of errors that it meets in use.
 
+Features are the words of a text and the beginnings of longer ones, hashed to
+``2 ** BITS`` numbers; none is left out. A feature's value is how much more often one
+class has it than the other (the logarithm of the ratio), as the rows say that a model
+is trained on: the rows of the other folds only, where it is to predict a fold. The
+probability from which a document counts comes from the out-of-fold predictions, too.
+
 Training uses at most ``SAMPLE`` labelled documents (those whose doc_id has the
-smallest hash) and the ``FEATURES`` words or word beginnings that tell most about each
-category; only these bounded tables reach the driver. Prediction covers all documents
-and is narrow.
+smallest hash); only their feature numbers reach the driver. Prediction covers all
+documents and is narrow.
 """
 
 from __future__ import annotations
@@ -18,22 +23,62 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import runtime
-from ledgerloom.llm.decontaminate import words_of
 
-SAMPLE, FEATURES, FOLDS, STEM = 6000, 500, 5, 5
-RIDGE, STEPS = 1e-3, 200
-#: Least documents of the sample that have a feature, and least score (in standard deviations) of its difference between the classes.
-LEAST, LEAST_SCORE = 3, 5.0
+SAMPLE, BITS, FOLDS, BEGINNING = 6000, 18, 4, 5
+RIDGE, STEPS = 1e-3, 80
+#: Share of the documents without the last category that may be taken for ones with it, and the least probability that counts.
+MAX_FALSE, LEAST = 0.001, 0.4
+BLOCK_BYTES = 4_000_000
+#: Letters and digits are words, as are all characters beyond ASCII.
+_WORDS = runtime.byte_table([*range(48, 58), *range(97, 123)])
+
+
+def _number(name: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(name) >> 64 - BITS
 
 
-def features_of(text: bytes) -> set[bytes]:
-    """Distinct lower-case words, and beginnings of ``STEM`` bytes (marked by ``*``) of longer ones."""
-    words = set(words_of(text))
-    return words | {w[:STEM] + b"*" for w in words if len(w) > STEM}
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of each text in ascending order, one text after another, and where each text's begin (and the last end)."""
+    word, bounds, names = runtime.words(texts, _WORDS)
+    whole = np.array([_number(n) for n in names], np.int64)
+    starts = [n.decode("utf-8", "replace")[:BEGINNING] if len(n) > BEGINNING else "" for n in names]
+    begun = np.array([_number(s.encode() + b"*") if s and len(s.encode()) < len(n) else -1 for s, n in zip(starts, names)], np.int64)
+    text = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(bounds)) << BITS
+    both = np.concatenate([text + whole[word], (text + begun[word])[begun[word] >= 0]]) if len(word) else np.zeros(0, np.int64)
+    found = np.unique(both)
+    return (found & (1 << BITS) - 1).astype(np.int32), np.searchsorted(found >> BITS, np.arange(len(texts) + 1))
+
+
+@dataclass
+class Rows:
+    """Feature numbers of documents, one document after another, and columns of earlier probabilities."""
+
+    at: np.ndarray
+    bounds: np.ndarray
+    earlier: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Rows:
+        sizes = np.diff(self.bounds)[rows]
+        ends = np.cumsum(sizes)
+        where = np.repeat(self.bounds[:-1][rows] - ends + sizes, sizes) + np.arange(int(sizes.sum()))
+        return Rows(self.at[where], np.concatenate([[0], ends]), self.earlier[rows])
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of each document the sum of its features' values."""
+        total = np.concatenate([[0], np.cumsum(values[self.at], dtype=np.float64)])
+        return total[self.bounds[1:]] - total[self.bounds[:-1]]
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 @dataclass
@@ -41,69 +86,89 @@ class Linear:
     """A logistic model; without both classes to learn from it always gives the share of ones."""
 
     weights: np.ndarray
+    earlier: np.ndarray
     bias: float
     constant: float | None = None
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def predict(self, x: Rows) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+        return _sigmoid(x.sums(self.weights) + x.earlier @ self.earlier + self.bias)
+
 
+def log_ratios(x: Rows, y: np.ndarray) -> np.ndarray:
+    """How much more often (or less, without sign) the one class has each feature; 0 for features that no row has."""
+    ones = np.repeat(y, np.diff(x.bounds))
+    n = np.bincount(x.at, minlength=1 << BITS)
+    has = np.bincount(x.at, weights=ones, minlength=1 << BITS)
+    return np.abs(np.log((has + 0.5) / (y.sum() + 1)) - np.log((n - has + 0.5) / (len(y) - y.sum() + 1))) * (n > 0)
 
-def fit_linear(x: np.ndarray, y: np.ndarray) -> Linear:
+
+def fit_linear(x: Rows, y: np.ndarray) -> Linear:
     """Logistic regression with a ridge and balanced classes, by accelerated gradient steps from zero."""
-    n, d = x.shape
+    n, d = len(x), x.earlier.shape[1]
     if not n or y.min() == y.max():
-        return Linear(np.zeros(d), 0.0, float(y.mean()) if n else 0.0)
-    share = np.where(y > 0, n / (2 * y.sum()), n / (2 * (n - y.sum()))).astype(x.dtype)  # both classes weigh the same
-    x1 = np.hstack([x, np.ones((n, 1), x.dtype)])
-    v = np.ones(d + 1, x1.dtype)
-    for _ in range(12):  # the largest curvature bounds the step
-        v = x1.T @ (share * (x1 @ v))
+        return Linear(np.zeros(0), np.zeros(d), 0.0, float(y.mean()) if n else 0.0)
+    used, at = np.unique(x.at, return_inverse=True)
+    value = log_ratios(x, y)[used]
+    cell = value[at]
+    row = np.repeat(np.arange(n), np.diff(x.bounds))
+    dense = np.hstack([x.earlier, np.ones((n, 1))])
+    m = len(used)
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, weights=cell * w[at], minlength=n) + dense @ w[m:]
+
+    def back(g: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(at, weights=cell * g[row], minlength=m), dense.T @ g])
+
+    share = np.where(y > 0, 1 / (2 * y.sum()), 1 / (2 * (n - y.sum())))  # both classes weigh the same
+    v = np.ones(m + d + 1)
+    for _ in range(8):  # the largest curvature bounds the step
+        v = back(share * times(v))
         v /= np.linalg.norm(v)
-    rate = 1 / (0.25 * np.linalg.norm(x1.T @ (share * (x1 @ v))) / n + RIDGE)
-    keep = np.append(np.ones(d), 0).astype(x1.dtype)
-    w = z = np.zeros(d + 1, x1.dtype)
+    rate = 1 / (0.3 * np.linalg.norm(back(share * times(v))) + RIDGE)
+    ridge = np.append(np.full(m + d, RIDGE), 0)
+    w = z = np.zeros(m + d + 1)
     for step in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ z, -30, 30)))
-        following = z - rate * (x1.T @ (share * (p - y)) / n + RIDGE * keep * z)
+        following = z - rate * (back(share * (_sigmoid(times(z)) - y)) + ridge * z)
         z = following + step / (step + 3) * (following - w)
         w = following
-    return Linear(w[:-1].astype(np.float64), float(w[-1]))
+    weights = np.zeros(1 << BITS)
+    weights[used] = w[:m] * value
+    return Linear(weights, w[m:-1], float(w[-1]))
 
 
 @dataclass
 class Chain:
+    """The models in order, and the probability of the last category from which a document counts as one of it."""
+
     categories: tuple[str, ...]
-    features: dict[bytes, int]
     models: list[Linear] = field(default_factory=list)
+    threshold: float = 0.5
 
-    def matrix(self, rows: list[list[int]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(self.features)), np.float32)
-        for i, row in enumerate(rows):
-            x[i, row] = 1
-        return x
-
-    def fit(self, x: np.ndarray, labels: np.ndarray) -> Chain:
+    def fit(self, x: Rows, labels: np.ndarray) -> Chain:
         fold = np.arange(len(x)) % FOLDS
         for k in range(len(self.categories)):
-            y = labels[:, k].astype(x.dtype)
-            outside = np.zeros(len(x), x.dtype)
-            if k + 1 < len(self.categories):
-                for f in range(FOLDS):
-                    if (fold == f).any():
-                        outside[fold == f] = fit_linear(x[fold != f], y[fold != f]).predict(x[fold == f])
+            y = labels[:, k].astype(float)
+            outside = np.zeros(len(x))
+            for f in range(FOLDS):
+                if (fold == f).any():
+                    outside[fold == f] = fit_linear(x.take(np.flatnonzero(fold != f)), y[fold != f]).predict(x.take(np.flatnonzero(fold == f)))
             self.models.append(fit_linear(x, y))
-            x = np.hstack([x, outside[:, None]])
+            x = Rows(x.at, x.bounds, np.hstack([x.earlier, outside[:, None]]))
+        if len(x) and self.categories:
+            false = np.sort(outside[y == 0])[::-1]
+            may = int(MAX_FALSE * len(false))
+            self.threshold = float(max(LEAST, np.nextafter(false[may], 2))) if may < len(false) else LEAST
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def predict(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """A column of probabilities for each category."""
-        for k, model in enumerate(self.models):
-            x = np.hstack([x, model.predict(x)[:, None].astype(x.dtype)])
-            if k == 0:
-                first = x.shape[1] - 1
-        return x[:, first:].astype(np.float64) if self.models else np.zeros((len(x), 0))
+        x = Rows(at, bounds, np.zeros((len(bounds) - 1, 0)))
+        for model in self.models:
+            x.earlier = np.hstack([x.earlier, model.predict(x)[:, None]])
+        return x.earlier
 
 
 def _sample(documents: DataFrame, labels: DataFrame, categories: Sequence[str], size: int) -> DataFrame:
@@ -116,46 +181,32 @@ def _sample(documents: DataFrame, labels: DataFrame, categories: Sequence[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted(features_of(t)) for t in runtime.byte_texts(batch)]
-            yield pa.RecordBatch.from_arrays([runtime.values(batch, "doc_id"), *(runtime.values(batch, y) for y in names), pa.array(rows, pa.list_(pa.binary()))], ["doc_id", *names, "features"])
+            at = 0
+            for some in runtime.slices(runtime.values(batch, "text"), BLOCK_BYTES):
+                found, bounds = features(some)
+                part = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([runtime.values(part, "doc_id"), *(runtime.values(part, y) for y in names), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found))], ["doc_id", *names, "features"])
+                at += len(some)
         runtime.trim()
 
-    return docs.mapInArrow(run, f"doc_id bigint, {', '.join(f'{y} int' for y in names)}, features array<binary>")
+    return docs.mapInArrow(run, f"doc_id bigint, {', '.join(f'{y} int' for y in names)}, features array<int>")
 
 
-def train(documents: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE, features: int = FEATURES) -> Chain:
+def train(documents: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> Chain:
     """Learn the chain for 0/1 columns ``categories`` of ``labels``, in this order.
 
     Labels with a null are ignored; of labels that repeat a doc_id the largest count;
-    labels without a document, and documents without a label, play no part. Without
-    any labelled document each probability is 0.
+    labels without a document, and documents without a label, play no part; rows that
+    repeat a labelled doc_id all count. Without any labelled document each probability is 0.
     """
     runtime.ship(documents.sparkSession)
     names = [f"y{i}" for i in range(len(categories))]
     learned = runtime.table(_sample(documents, labels, categories, sample), "toxicity-sample")
-    totals = learned.agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in names]).first()
-    counts = learned.select(*names, F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in names]).where(F.col("n") >= LEAST)
-    chosen: dict[bytes, int] = {}
-    for y in names:
-        ones, n = totals[y] or 0, totals["n"]
-        if not ones or ones == n:
-            continue
-        share = F.col("n") / n
-        z = F.abs(F.col(y) / ones - (F.col("n") - F.col(y)) / (n - ones)) / F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)) + 1e-12)
-        for r in counts.where(z >= LEAST_SCORE).orderBy(F.round(z, 9).desc(), "feature").limit(features).collect():
-            chosen.setdefault(bytes(r.feature), len(chosen))
-    chain = Chain(tuple(categories), chosen)
-    rows = _indexed(learned, chosen, names).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return chain.fit(chain.matrix([list(r.at) for r in rows]), np.array([[r[y] for y in names] for r in rows], np.int64).reshape(len(rows), len(names)))
-
-
-def _indexed(learned: DataFrame, chosen: dict[bytes, int], names: list[str]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [sorted(chosen[f] for f in x if f in chosen) for x in runtime.values(batch, "features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([runtime.values(batch, "doc_id"), *(runtime.values(batch, y) for y in names), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", *names, "at"])
-
-    return learned.mapInArrow(run, f"doc_id bigint, {', '.join(f'{y} int' for y in names)}, at array<int>")
+    rows = learned.orderBy(F.xxhash64("doc_id"), "doc_id", "features").toArrow().combine_chunks()
+    lists = rows.column("features").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    x = Rows(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bounds, np.zeros((rows.num_rows, 0)))
+    return Chain(tuple(categories)).fit(x, np.stack([rows.column(y).to_numpy() for y in names], axis=1))
 
 
 def score(documents: DataFrame, chain: Chain) -> DataFrame:
@@ -167,19 +218,18 @@ def score(documents: DataFrame, chain: Chain) -> DataFrame:
     """
     spark = documents.sparkSession
     runtime.ship(spark)
-    docs = documents.drop("probabilities")
-    shared = spark.sparkContext.broadcast(chain)
+    docs = documents.drop("probabilities").withColumn("text", F.col("text").cast("string"))
+    shared = spark.sparkContext.broadcast(Chain(chain.categories, [Linear(m.weights.astype(np.float32), m.earlier, m.bias, m.constant) for m in chain.models]))
     schema = docs.select("*", F.array(F.lit(0.0)).alias("probabilities")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known, number = model.features.keys(), model.features
         for batch in batches:
-            texts, out = runtime.byte_texts(batch), []
-            for some in runtime.chunks(texts, 1000):
-                rows = [[number[f] for f in known & features_of(t)] for t in some]
-                out += model.predict(model.matrix(rows)).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "probabilities"])
+            out = [model.predict(*features(some)) for some in runtime.slices(runtime.values(batch, "text"), BLOCK_BYTES)]
+            n = len(model.models)
+            flat = np.concatenate(out).reshape(-1) if out else np.zeros(0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "probabilities"])
         runtime.trim()
 
     return docs.mapInArrow(run, schema)

@@ -297,14 +297,64 @@ def test_repetition_limits_decide_alone(spark):
 # toxicity
 
 
-def test_chain_uses_earlier_categories():
+def brute_chain(texts, labels, steps):
+    """The chain by dense matrices: probabilities of all texts from models of all of them, and out-of-fold ones."""
+    import re
+
+    def names(t):
+        w = set(re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()))
+        return w | {x.decode()[: toxicity.BEGINNING].encode() + b"*" for x in w if len(x.decode()) > toxicity.BEGINNING}
+
+    x0 = np.zeros((len(texts), 1 << toxicity.BITS))
+    for i, t in enumerate(texts):
+        for f in names(t):
+            x0[i, toxicity._number(f)] = 1
+
+    def fit(x, extra, y):
+        n1, n0, has, n = y.sum(), len(y) - y.sum(), x[y > 0].sum(0), x.sum(0)
+        value = np.abs(np.log((has + 0.5) / (n1 + 1)) - np.log((n - has + 0.5) / (n0 + 1))) * (n > 0)
+        a = np.hstack([x * value, extra, np.ones((len(y), 1))])
+        share = np.where(y > 0, 1 / (2 * n1), 1 / (2 * n0))
+        v = np.append(np.where(n > 0, 1.0, 0.0), np.ones(extra.shape[1] + 1))
+        for _ in range(8):
+            v = a.T @ (share * (a @ v))
+            v /= np.linalg.norm(v)
+        rate = 1 / (0.3 * np.linalg.norm(a.T @ (share * (a @ v))) + toxicity.RIDGE)
+        w = z = np.zeros(a.shape[1])
+        keep = np.append(np.ones(a.shape[1] - 1), 0)
+        for k in range(steps):
+            p = 1 / (1 + np.exp(-(a @ z)))
+            new = z - rate * (a.T @ (share * (p - y)) + toxicity.RIDGE * keep * z)
+            z, w = new + k / (k + 3) * (new - w), new
+        return lambda x, extra: 1 / (1 + np.exp(-(np.hstack([x * value, extra, np.ones((len(x), 1))]) @ w)))
+
+    fold = np.arange(len(texts)) % toxicity.FOLDS
+    inside, outside = np.zeros((len(texts), 0)), np.zeros((len(texts), 0))
+    for k in range(labels.shape[1]):
+        y, out = labels[:, k], np.zeros(len(texts))
+        for f in range(toxicity.FOLDS):
+            out[fold == f] = fit(x0[fold != f], outside[fold != f], y[fold != f])(x0[fold == f], outside[fold == f])
+        whole = fit(x0, outside, y)
+        inside = np.hstack([inside, whole(x0, inside)[:, None]])
+        outside = np.hstack([outside, out[:, None]])
+    return inside, outside
+
+
+def test_chain_against_dense_matrices(monkeypatch):
+    monkeypatch.setattr(toxicity, "BITS", 9)
     rng = np.random.default_rng(1)
-    x = (rng.random((800, 6)) < 0.3).astype(np.float32)
-    first = x[:, 0] > 0
-    labels = np.stack([first, first & (x[:, 1] > 0)], axis=1).astype(int)
-    chain = toxicity.Chain(("a", "b"), {bytes([i]): i for i in range(6)}).fit(x[:600], labels[:600])
-    p = chain.predict(x[600:])
-    assert ((p > 0.5) == labels[600:]).mean() > 0.97 and len(chain.models[1].weights) == 7 and chain.models[1].weights[6] > 0
+    words = [f"Word{i}é" for i in range(25)] + ["bad", "badness", "badminton", "o'k"]
+    texts = [" ".join(rng.choice(words, 6)) for _ in range(90)] + ["", None]
+    first = np.array([("bad" in (t or "").split()) for t in texts])
+    labels = np.stack([first, first & np.array(["badness" in (t or "") for t in texts])], axis=1).astype(float)
+    labels[0], labels[1], labels[2], labels[3] = 1, 1, 1, 1
+    at, bounds = toxicity.features(pa.array(texts))
+    chain = toxicity.Chain(("a", "b")).fit(toxicity.Rows(at, bounds, np.zeros((len(texts), 0))), labels)
+    inside, outside = brute_chain(texts, labels, toxicity.STEPS)
+    assert np.allclose(chain.predict(at, bounds), inside, atol=1e-6)
+    clean = np.sort(outside[labels[:, 1] == 0, 1])[::-1]
+    assert np.isclose(chain.threshold, max(toxicity.LEAST, clean[0]), atol=1e-6)
+    assert len(chain.models[1].earlier) == 1 and chain.models[1].earlier[0] > 0
 
 
 def test_toxicity_held_out(spark):
@@ -312,7 +362,8 @@ def test_toxicity_held_out(spark):
     labels = queries.category_labels(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
     held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0
     chain = toxicity.train(docs, labels.where(~held), queries.CATEGORIES)
-    scored = toxicity.score(docs, chain).join(labels.where(held), "doc_id").select((F.col("probabilities")[1] >= queries.TOXIC_FROM).alias("p"), "toxic").collect()
+    scored = toxicity.score(docs, chain).join(labels.where(held), "doc_id").select((F.col("probabilities")[1] >= chain.threshold).alias("p"), "toxic").collect()
+    print(chain.threshold, sum(r.p and not r.toxic for r in scored) / len(scored), sum(r.p and r.toxic for r in scored) / sum(r.toxic for r in scored))
     assert sum(r.p and not r.toxic for r in scored) <= 0.005 * len(scored)
     assert sum(r.p and r.toxic for r in scored) >= 0.85 * sum(r.toxic for r in scored)
 
