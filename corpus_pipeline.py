@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = queries.category_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     chain = toxicity.train(docs, labels, queries.CATEGORIES)
     scored = toxicity.score(docs.select(*COLUMNS), chain)
-    return scored.where(F.col("probabilities")[len(queries.CATEGORIES) - 1] < queries.TOXIC_FROM).select(*COLUMNS)
+    return scored.where(F.col("probabilities")[len(queries.CATEGORIES) - 1] < chain.threshold).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
