@@ -4,115 +4,173 @@ A window (13 consecutive words of an item; all words of a shorter one) occurs in
 document only if each of its three-word shingles does. Shingles are ordered by
 rarity: the number of documents that have them, counted over all documents. For full
 containment the necessary prefix of that order is one shingle, the rarest, so only
-it is joined. A shared prefix shingle fixes where the window would lie (positional
-bound) and whether it fits into the text (length bound); only then all its words are
-compared.
-
-The benchmark side is built in blocks of at most ``BLOCK_BYTES`` of item text, so the
-index that is broadcast is bounded; a larger benchmark is joined block by block and
-the blocks' results are merged. The documents are read twice for each block and never
-shuffled for a single block.
+it is joined; a window whose rarest shingle no document has goes at once.
+
+1. The benchmark's windows and shingles become tables. Documents are read once to count
+   the shingles of the benchmark in them.
+2. Documents are read a second time. Each of their shingles that is a prefix becomes a
+   candidate with its place and the words around it.
+3. Candidates and windows are joined by the prefix shingle. Its place fixes where the
+   window would lie (positional bound) and whether it fits into the text (length
+   bound); then all its words are compared. Only hits are gathered by document.
+
+Both readings look shingles up in a Bloom filter of at most ``BLOOM_WORDS`` 64-bit words,
+so what is broadcast is bounded for a benchmark of any size; false hits of the filter
+fall out of the joins. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import runtime
 
 WINDOW, SHINGLE = 13, 3
+#: 64-bit words of a filter at most (8 MB), and bits for each shingle up to there.
+BLOOM_WORDS, BLOOM_BITS = 1 << 20, 16
 BLOCK_BYTES = 4_000_000
 
-#: Bytes outside of words become blanks, A-Z become a-z; bytes of other characters are word bytes.
-_TABLE = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Letters and digits are words, as are all characters beyond ASCII.
+_WORDS = runtime.byte_table([*range(48, 58), *range(97, 123)])
+_PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
+    """The words of one text."""
+    return bytes(_WORDS[np.frombuffer(text, np.uint8)]).split()
 
 
-def _shingles(words: list[bytes], size: int):
-    if size == 1:
-        return iter(words)
-    return pairwise(words) if size == 2 else zip(words, words[1:], words[2:])
+def _hashes(names: list[bytes]) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, names)), np.uint64)
 
 
-class Windows:
-    """The distinct windows of a block of items."""
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive words, given the hashes of the words."""
+    n = max(0, len(h) - size + 1)
+    x = np.full(n, size, np.uint64)
+    for k in range(size):
+        x += h[k : k + n] * _PLACE[k]
+    x ^= x >> np.uint64(33)
+    x *= _MIX
+    x ^= x >> np.uint64(33)
+    return x.view(np.int64)
 
-    def __init__(self, items: list[tuple[str | None, bytes]]) -> None:
-        self.items: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
-                of = self.items[tuple(words[i : i + WINDOW])]
-                if item is not None:
-                    of.add(item)
 
-    def shingles(self) -> dict[int, set]:
-        """Shingles by their size (windows of fewer than three words are one shingle)."""
-        out: dict[int, set] = defaultdict(set)
-        for window in self.items:
-            size = min(SHINGLE, len(window))
-            out[size].update(_shingles(list(window), size))
-        return dict(out)
+_WINDOW_ROW = "window array<binary>, item string, shingles array<bigint>"
 
-    def index(self, frequency: dict[tuple[int, bytes], int]) -> dict[int, dict]:
-        """By size and rarest shingle: (its offset in the window, the window, items)."""
-        out: dict[int, dict] = defaultdict(lambda: defaultdict(list))
-        for window, items in self.items.items():
-            size = min(SHINGLE, len(window))
-            ranked = [(frequency.get((size, _key(s)), 0), _key(s), at, s) for at, s in enumerate(_shingles(list(window), size))]
-            _, _, at, rarest = min(ranked)
-            out[size][rarest].append((at, window, tuple(sorted(items))))
-        return {size: dict(x) for size, x in out.items()}
 
+def windows_of(items: DataFrame) -> DataFrame:
+    """``(window, item, shingles)``: the windows of each item with the hashes of their shingles in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(runtime.values(batch, "item").to_pylist(), runtime.byte_texts(batch)):
+                words = words_of(text)
+                size, long_ = min(SHINGLE, len(words)), min(WINDOW, len(words))
+                if not words:
+                    continue
+                x = shingles(_hashes(words), size).tolist()
+                last = len(words) - long_ + 1
+                for a in range(0, last, 5000):
+                    some = range(a, min(last, a + 5000))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([words[i : i + long_] for i in some], pa.list_(pa.binary())), pa.array([item] * len(some), pa.string()), pa.array([x[i : i + long_ - size + 1] for i in some], pa.list_(pa.int64()))], ["window", "item", "shingles"]
+                    )
+        runtime.trim()
+
+    return items.mapInArrow(run, _WINDOW_ROW)
+
+
+def _bits(key: str | Column) -> Column:
+    """The bits of a shingle in its word of the filter: three of 64."""
+    one = F.lit(1).cast("bigint")
+    bit = lambda at: F.call_function("shiftleft", one, F.shiftrightunsigned(F.col(key), at).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
 
-def _key(shingle) -> bytes:
-    return shingle if isinstance(shingle, bytes) else b" ".join(shingle)
+
+def bloom(keys: DataFrame, most: int = BLOOM_WORDS) -> np.ndarray:
+    """A filter of the distinct values of ``keys.shingle``; its bounded table comes to the driver."""
+    wanted = max(1, keys.count() * BLOOM_BITS // 64)
+    n = min(most, 1 << (wanted - 1).bit_length())
+    out = np.zeros(n, np.int64)
+    rows = keys.groupBy(F.col("shingle").bitwiseAND(F.lit(n - 1)).alias("at")).agg(F.bit_or(_bits("shingle")).alias("bits")).toArrow()
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+def passes(filter_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which shingles may be in a filter."""
+    u = x.view(np.uint64)
+    bits = np.uint64(1) << (u >> np.uint64(40) & np.uint64(63)) | np.uint64(1) << (u >> np.uint64(46) & np.uint64(63)) | np.uint64(1) << (u >> np.uint64(52) & np.uint64(63))
+    return filter_.view(np.uint64)[(u & np.uint64(len(filter_) - 1)).astype(np.int64)] & bits == bits
 
 
-def _count(docs: DataFrame, shingles: dict[int, set]) -> dict[tuple[int, bytes], int]:
-    """In how many documents each shingle is; at most one row for each comes to the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(shingles)
+def _found(some: pa.Array, filter_: np.ndarray, sizes: list[int]) -> tuple:
+    """Words of some texts, and the shingles that may be in a filter: text, place and hash of each, in order of place."""
+    word, bounds, names = runtime.words(some, _WORDS)
+    h = _hashes(names)[word] if names else np.zeros(0, np.uint64)
+    texts, places, hashes = [], [], []
+    for size in sizes:
+        x = shingles(h, size)
+        at = np.flatnonzero(passes(filter_, x))
+        text = np.searchsorted(bounds, at, "right") - 1
+        inside = at + size <= bounds[text + 1]
+        texts.append(text[inside])
+        places.append(at[inside])
+        hashes.append(x[at[inside]])
+    text, place, x = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (texts, places, hashes))
+    by = np.argsort(place, kind="stable")
+    return word, bounds, names, text[by], place[by], x[by]
+
+
+def _frequencies(docs: DataFrame, filter_: np.ndarray, sizes: list[int]) -> DataFrame:
+    """``(shingle, n)``: in how many documents each shingle of a filter is."""
+    shared = docs.sparkSession.sparkContext.broadcast((filter_, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = shared.value, defaultdict(int)
         for batch in batches:
-            for text in runtime.byte_texts(batch):
-                words = words_of(text)
-                for size, some in known.items():
-                    for s in some.intersection(_shingles(words, size)):
-                        n[size, _key(s)] += 1
-        keys = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([n[k] for k in keys], pa.int64())], ["size", "shingle", "n"])
+            for some in runtime.slices(runtime.values(batch, "text"), BLOCK_BYTES):
+                *_, text, _, x = _found(some, *shared.value)
+                by = np.lexsort((text, x))
+                text, x = text[by], x[by]
+                first = np.ones(len(x), bool)
+                first[1:] = (x[1:] != x[:-1]) | (text[1:] != text[:-1])
+                key, n = np.unique(x[first], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["shingle", "n"])
         runtime.trim()
 
-    counted = docs.select("text").mapInArrow(run, "size int, shingle binary, n bigint").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
-    return {(size, bytes(shingle)): n for size, shingle, n in counted.toLocalIterator()}
+    return docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+
 
+_CANDIDATE = pa.list_(pa.struct([("shingle", pa.int64()), ("place", pa.int32()), ("before", pa.int32()), ("around", pa.list_(pa.binary()))]))
 
-def occurrences(words: list[bytes], index: dict[int, dict]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged spans of words inside windows that occur, and the items of these."""
-    spans, items = [], set()
-    n = len(words)
-    for size, prefixes in index.items():
-        if prefixes.keys().isdisjoint(_shingles(words, size)):
-            continue
-        for at, shingle in enumerate(_shingles(words, size)):
-            for offset, window, of in prefixes.get(shingle, ()):
-                start = at - offset
-                end = start + len(window)
-                if start >= 0 and end <= n and tuple(words[start:end]) == window:
-                    spans.append((start, end))
-                    items.update(of)
-    return merge(spans), items
+
+def _candidates(docs: DataFrame, filter_: np.ndarray, sizes: list[int]) -> DataFrame:
+    """``(doc_id, version, n_words, candidates)``: prefix shingles of each document with their place, the number of words before them that come along, and the words around."""
+    shared = docs.sparkSession.sparkContext.broadcast((filter_, sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for some in runtime.slices(runtime.values(batch, "text"), BLOCK_BYTES):
+                word, bounds, names, text, place, x = _found(some, *shared.value)
+                low, high = np.maximum(bounds[text], place - WINDOW + 1), np.minimum(bounds[text + 1], place + WINDOW)
+                of: list[list[dict]] = [[] for _ in range(len(some))]
+                for t, p, k, a, b, first in zip(text.tolist(), place.tolist(), x.tolist(), low.tolist(), high.tolist(), bounds[text].tolist()):
+                    of[t].append({"shingle": k, "place": p - first, "before": p - a, "around": [names[i] for i in word[a:b]]})
+                part = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([runtime.values(part, "doc_id"), runtime.values(part, "version"), pa.array(np.diff(bounds), pa.int64()), pa.array(of, _CANDIDATE)], ["doc_id", "version", "n_words", "candidates"])
+                at += len(some)
+        runtime.trim()
+
+    return docs.mapInArrow(run, "doc_id bigint, version bigint, n_words bigint, candidates array<struct<shingle:bigint,place:int,before:int,around:array<binary>>>")
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,78 +184,57 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SCHEMA = "doc_id bigint, version bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
-    return pa.array([[{"start": a, "end": b} for a, b in row] for row in rows], _SPANS)
-
-
-def _find(docs: DataFrame, index: dict[int, dict]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = shared.value
-        for batch in batches:
-            n, spans, items = [], [], []
-            for text in runtime.byte_texts(batch):
-                words = words_of(text)
-                found, of = occurrences(words, prefixes)
-                n.append(len(words))
-                spans.append(found)
-                items.append(sorted(of))
-            yield pa.RecordBatch.from_arrays([runtime.values(batch, "doc_id"), runtime.values(batch, "version"), pa.array(n, pa.int64()), _spans(spans), pa.array(items, pa.list_(pa.string()))], ["doc_id", "version", "n_words", "spans", "items"])
-        runtime.trim()
-
-    return docs.mapInArrow(run, _SCHEMA)
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One result of the blocks' results; rows that repeat a document come back as often."""
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    grouped = both.groupBy("doc_id", "version", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("copies"))
+def _merged(hits: DataFrame) -> DataFrame:
+    """Merged spans and sorted items of the documents with hits."""
+    by_doc = hits.groupBy("_id", "_none", "version").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = [merge([(s["start"], s["end"]) for s in row or ()]) for row in runtime.values(b, "spans").to_pylist()]
-            items = [sorted(x) for x in runtime.values(b, "items").to_pylist()]
-            yield pa.RecordBatch.from_arrays([runtime.values(b, "doc_id"), runtime.values(b, "version"), runtime.values(b, "n_words"), _spans(spans), pa.array(items, pa.list_(pa.string()))], ["doc_id", "version", "n_words", "spans", "items"])
+            spans = [[{"start": a, "end": e} for a, e in merge([(s["start"], s["end"]) for s in row])] for row in runtime.values(b, "spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(runtime.values(b, c) for c in ("_id", "_none", "version")), pa.array(spans, _SPANS), runtime.values(b, "items")], ["_id", "_none", "version", "spans", "items"])
 
-    each = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return each.select("doc_id", "version", "n_words", "spans", "items").mapInArrow(run, _SCHEMA)
+    return by_doc.mapInArrow(run, "_id bigint, _none boolean, version bigint, spans array<struct<start:int,end:int>>, items array<string>")
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, bloom_words: int = BLOOM_WORDS) -> DataFrame:
     """Where windows of benchmark items occur in each document.
 
     Returns ``doc_id, version`` (hash of the text), ``n_words, spans`` (merged, in words)
-    and ``items`` (sorted item_ids as strings), a row for each input row. Null and empty texts have no words; an item
-    without words has no window; windows of items whose id is null hit words but name
-    no item; items that repeat an id are one item; repeated documents stay repeated;
-    other columns are ignored. Empty tables give no rows or no hits. One item larger
-    than ``block_bytes`` is a block by itself.
+    and ``items`` (sorted item_ids as strings), a row for each input row. Null and empty
+    texts have no words; an item without words has no window; windows of items whose id
+    is null hit words but name no item; items that repeat an id are one item; repeated
+    documents stay repeated; other columns are ignored. Empty tables give no rows or no
+    hits. ``bloom_words`` bounds what is broadcast and does not change results.
     """
     spark = documents.sparkSession
     runtime.ship(spark)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    parts, block, size = [], [], 0
-
-    def join() -> None:
-        windows = Windows(block)
-        parts.append(_find(docs, windows.index(_count(docs, windows.shingles())) if windows.items else {}))
-
-    for item, text in items.where(F.col("text").isNotNull()).toLocalIterator():
-        if block and size + len(text) > block_bytes:
-            join()
-            block, size = [], 0
-        block.append((item, bytes(text)))
-        size += len(text)
-    join()
-    return parts[0] if len(parts) == 1 else _merged(parts)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    every = windows_of(items).groupBy("window").agg(F.any_value("shingles").alias("shingles"), F.collect_set("item").alias("items"))
+    windows = runtime.table(every.withColumn("wid", F.monotonically_increasing_id()), "windows")
+    sizes = [r.n for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("n")).distinct().orderBy("n").collect()]  # at most three
+
+    keys = windows.select(F.explode("shingles").alias("shingle")).distinct()
+    counted = runtime.table(_frequencies(docs, bloom(keys, bloom_words), sizes), "shingle-counts")
+    ranked = windows.select("wid", F.posexplode("shingles").alias("offset", "shingle")).join(counted, "shingle", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("rarest"))
+    prefixes = windows.drop("shingles").join(ranked.where("rarest.n > 0"), "wid").select("wid", "window", "items", "rarest.shingle", "rarest.offset")
+    prefixes = runtime.table(prefixes, "prefixes")
+
+    seen = runtime.table(_candidates(docs, bloom(prefixes.select("shingle").distinct(), bloom_words), sizes), "candidates")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "version"]
+    each = seen.where(F.size("candidates") > 0).select(*key, F.explode("candidates").alias("c")).select("_id", "_none", "version", "c.*")
+    both = each.join(prefixes, "shingle")
+    skip, n = F.col("before") - F.col("offset"), F.size("window")
+    fits = (skip >= 0) & (skip + n <= F.size("around"))
+    hits = both.where(fits & (F.when(fits, F.slice("around", F.greatest(skip, F.lit(0)) + 1, n)) == F.col("window")))
+    start = F.col("place") - F.col("offset")
+    found = _merged(hits.select("_id", "_none", "version", start.alias("start"), (start + n).alias("end"), "items"))
+    out = seen.select("doc_id", "n_words", *key).join(found, ["_id", "_none", "version"], "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select("doc_id", "version", "n_words", empty("spans", "array<struct<start:int,end:int>>"), empty("items", "array<string>"))
 
 
 def verdicts(found: DataFrame) -> DataFrame:

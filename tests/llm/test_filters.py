@@ -209,7 +209,7 @@ def brute_hits(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+@pytest.mark.parametrize("block", [decontaminate.BLOOM_WORDS, 1])  # with one word nearly everything passes the filter
 def test_contamination(spark, block):
     rng = random.Random(5)
     word = lambda: rng.choice(["a", "b", "the", "é1", "X"])
