@@ -7,6 +7,9 @@ without regard to case and has no order.
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,6 +77,43 @@ def _decide(s: Column) -> Column:
     )
 
 
+def constant(right: str | None) -> tuple[str | None, Decimal | None]:
+    """A rule's constant, as ``normalize`` and ``number`` give it, where it is known beforehand."""
+    if right is None or right == "null":
+        return None, None
+    if right.startswith('"'):
+        text = right.strip('"')
+    else:
+        digits = re.sub("[mM]+$", "", right).replace("_", "")
+        text = digits if re.search(NUMBER, digits) else right.rsplit(".", 1)[-1]
+    if not re.search(NUMBER, text):
+        return text, None
+    plain = re.sub("^(.*)([+-])$", r"\2\1", text.strip(" ").replace(",", ""))
+    return text, Decimal(plain)
+
+
+def compare_with(actual: Column, op: str, right: str | None) -> Column:
+    """``compare`` with an operator and a constant that are known beforehand: only what they need is computed for a row."""
+    expected, b = constant(right)
+    unknown = F.lit(None).cast("boolean")
+    if op in ("is_null", "is_not_null"):
+        return actual.isNull() if op == "is_null" else actual.isNotNull()
+    if op in ("is_empty", "is_not_empty"):
+        blank = F.coalesce(actual, F.lit("")).rlike("(?U)^\\s*$")
+        return blank if op == "is_empty" else ~blank
+    if op in ("is_true", "is_false"):
+        return F.lower(actual) == op[3:]
+    if expected is None:
+        return actual.isNull() if op == "==" else actual.isNotNull() if op == "!=" else unknown
+    same = F.lower(actual) == expected.lower()
+    text = same if op == "==" else ~same if op == "!=" else unknown
+    if b is not None:
+        a, c = number(actual), F.lit(b).cast(DECIMAL)
+        numeric = {"==": a == c, "!=": a != c, "<": a < c, "<=": a <= c, ">": a > c, ">=": a >= c}.get(op, unknown)
+        text = F.when(a.isNotNull(), numeric).otherwise(text)
+    return F.when(actual.isNotNull(), text).otherwise(F.lit(op == "!=") if op in ("==", "!=") else unknown)
+
+
 def _lookup(op: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), op)
 

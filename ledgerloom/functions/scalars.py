@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Polish letters and what they fold to (fixed values).
-POLISH, FOLDED = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "acelnoszzACELNOSZZ"
+def _letters_with_marks() -> tuple[str, str]:
+    """Letters that decompose to an ASCII letter and marks, and these letters; ``ł`` stands for ``l``."""
+    import unicodedata
+
+    plain = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+    pairs = {c: p for c, p in plain.items() if p != c and p.isascii()} | {"ł": "l", "Ł": "L"}
+    return "".join(pairs), "".join(pairs.values())
+
+
+MARKED, FOLDED = _letters_with_marks()
 
 
 def tail(value: Column) -> Column:
@@ -120,7 +128,7 @@ def code_link(location: Column, template: str, commit: Column) -> Column:
 
 def state_id(label: Column) -> Column:
     """Folded to ASCII letters, digits and ``_``; the start mark stays."""
-    return F.when(label == "[*]", label).otherwise(F.regexp_replace(F.translate(label, POLISH, FOLDED), "[^A-Za-z0-9_]", ""))
+    return F.when(label == "[*]", label).otherwise(F.regexp_replace(F.translate(label, MARKED, FOLDED), "[^A-Za-z0-9_]", ""))
 
 
 def accusative(name: Column) -> Column:
@@ -160,7 +168,7 @@ def clip(text: Column, most: int) -> Column:
 
 def snippet(text: Column, most: int = 240) -> Column:
     """Trimmed lines that are not empty, joined by blanks and clipped."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r\f\x0b"))), lambda x: x != "")
     return clip(F.array_join(lines, " "), most)
 
 

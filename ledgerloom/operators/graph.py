@@ -1,19 +1,31 @@
 """Closures, depths and depth-first chains.
 
 Closure and depth are loops of joins that end when nothing new is found, so cycles are
-fine. Rounds are written to the checkpoint folder when the session has one.
+fine. Rounds are written to the checkpoint folder.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End a lineage: by a checkpoint where the session has a folder for them, else in the cache."""
+    """End a lineage by a checkpoint, in the folder that driver and executors share.
+
+    A cluster must name it in ``spark.checkpoint.dir``; one machine (a local master) gets
+    a temporary folder where none is set.
+    """
     sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") else df.cache()
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerloom-checkpoints-"))
+    return df.checkpoint()
 
 
 #: Rounds of a closure after which what was found is laid together again.

@@ -59,10 +59,30 @@ def or_lookup(left: DataFrame, right: DataFrame, row_id: str, keys: Sequence[tup
     return left.join(first, row_id, "left").select(left["*"], *[F.col(f"_first._r_{k}").alias(k) for k in keep])
 
 
-def range_semi(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str) -> DataFrame:
-    """Points inside any span of their key (bounds count)."""
-    s = spans.select(F.col(key).alias("_key"), F.col(low).alias("_low"), F.col(high).alias("_high"))
-    return points.join(s, (points[key] == s["_key"]) & points[at].between(s["_low"], s["_high"]), "left_semi")
+def range_semi(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str, width: int = 1000) -> DataFrame:
+    """Points inside any span of their key (bounds count); joined on (key, cell of ``width``).
+
+    A span's full cells need no comparison, so each is one row of (key, cell) however many
+    spans cover it; only points in cells that a span's ends lie in are compared with it.
+    """
+    cell = lambda x: F.floor(F.col(x) / width)
+    s = spans.select(F.col(key).alias("_key"), F.col(low).alias("_low"), F.col(high).alias("_high"), cell(low).alias("_a"), cell(high).alias("_b")).where("_low <= _high")
+    full = s.where("_b - _a > 1").select("_key", F.explode(F.sequence(F.col("_a") + 1, F.col("_b") - 1)).alias("_cell")).distinct()
+    ends = s.select("_key", "_low", "_high", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_cell"))
+    # Of the spans that meet in a cell, those that begin (or end) in it count by their widest reach.
+    first = ends.select("_key", "_cell", F.greatest("_low", F.col("_cell") * width).alias("_low"), F.least("_high", (F.col("_cell") + 1) * width).alias("_high")).distinct()
+    cells = full.select("_key", "_cell", (F.col("_cell") * width).alias("_low"), ((F.col("_cell") + 1) * width).alias("_high")).unionByName(first)
+    p = points.withColumn("_cell", F.floor(F.col(at) / width))
+    return p.join(cells.withColumnRenamed("_cell", "_c"), (p[key] == F.col("_key")) & (p["_cell"] == F.col("_c")) & F.col(at).between(F.col("_low"), F.col("_high")), "left_semi").drop("_cell")
+
+
+def semi_or(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], local: Column) -> DataFrame:
+    """Rows of ``left`` that a local predicate holds for, or that have a match in ``right`` (an existence join)."""
+    matched = right.select(*[F.col(b).alias(f"_r_{b}") for _, b in keys]).distinct().withColumn("_there", F.lit(True))
+    on = [F.col(a) == F.col(f"_r_{b}") for a, b in keys]
+    own = F.coalesce(local, F.lit(False))
+    rest = left.where(~own).join(matched, on, "left_semi")
+    return left.where(own).unionByName(rest)
 
 
 def range_lookup(points: DataFrame, spans: DataFrame, row_id: str, key: str, at: str, low: str, high: str, order: str, keep: Sequence[str], width: int) -> DataFrame:
@@ -95,9 +115,11 @@ def asof_forward(left: DataFrame, right: DataFrame, key: str, at: str, value: st
     return line.where(F.col("_side") == 0).select(*cols, "next_at", "next_value")
 
 
-def divide(pairs: DataFrame, of: str, by: str, wanted: Sequence[str]) -> DataFrame:
-    """Relational division: values of ``of`` that have every wanted value of ``by``."""
-    return pairs.where(F.col(by).isin(*wanted)).groupBy(of).agg(F.count_distinct(by).alias("_n")).where(F.col("_n") == len(set(wanted))).select(of)
+def divide(pairs: DataFrame, of: str, by: str, wanted: DataFrame) -> DataFrame:
+    """Relational division: values of ``of`` that have every value of ``by`` that ``wanted`` has; nothing is asked of nulls."""
+    asked = wanted.select(by).where(F.col(by).isNotNull()).distinct()
+    have = pairs.select(of, by).join(asked, by, "left_semi").groupBy(of).agg(F.count_distinct(by).alias("_n"))
+    return have.join(asked.agg(F.count(F.lit(1)).alias("_n")), "_n", "left_semi").select(of)
 
 
 def priority_lookup(left: DataFrame, right: DataFrame, row_id: str, candidates: Sequence[Column], key: str, keep: Sequence[str]) -> DataFrame:

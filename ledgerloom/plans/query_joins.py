@@ -72,7 +72,7 @@ def range_lookup(spark, sf_dir):
 def range_semi(spark, sf_dir):
     """Events inside any such span."""
     e = _events(spark, sf_dir)
-    return joins.range_semi(e, _signups(e), "user_id", "s", "low", "high").select("event_id")
+    return joins.range_semi(e, _signups(e), "user_id", "s", "low", "high", 86400).select("event_id")
 
 
 @query("""
@@ -87,17 +87,11 @@ def asof_forward(spark, sf_dir):
     return out.select("event_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("next_at", "next_value")])
 
 
-_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
 @query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)")
 def relational_division(spark, sf_dir):
     """Customers who have ordered with every priority there is."""
     orders = read(spark, sf_dir, "orders")
-    every = orders.select("o_orderpriority").distinct()
-    n = F.count_distinct("o_orderpriority").alias("_n")
-    have = orders.groupBy("o_custkey").agg(n)
-    return have.join(every.agg(F.count(F.lit(1)).alias("_n")), "_n", "left_semi").select("o_custkey")
+    return joins.divide(orders, "o_custkey", "o_orderpriority", orders)
 
 
 @query("""
@@ -118,9 +112,8 @@ SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR EXISTS (SELE
 """)
 def semi_or_exists(spark, sf_dir):
     """Orders that are urgent or have a large line: an existence join."""
-    read(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
-    return spark.sql("SELECT o_orderkey FROM _orders WHERE o_orderpriority = '1-URGENT' OR EXISTS (SELECT 1 FROM _lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 50)")
+    large = read(spark, sf_dir, "lineitem").where("l_quantity >= 50")
+    return joins.semi_or(read(spark, sf_dir, "orders"), large, [("o_orderkey", "l_orderkey")], F.col("o_orderpriority") == "1-URGENT").select("o_orderkey")
 
 
 @query("""

@@ -26,7 +26,7 @@ FROM r GROUP BY c_custkey
 def rule_eval_3vl(spark, sf_dir):
     """State of two guards over each customer's orders, one of them unknown for large orders."""
     orders = read(spark, sf_dir, "orders").select("o_custkey", F.nullif("o_orderstatus", F.lit("O")).alias("status"), F.when(F.col("o_totalprice") <= 400000, _big("o_totalprice")).alias("total"))
-    guards = F.array(predicates.compare(F.col("status"), F.lit("=="), F.lit("OrderStatus.P")), predicates.compare(F.col("total"), F.lit(">"), F.lit("300_000m")))
+    guards = F.array(predicates.compare_with(F.col("status"), "==", "OrderStatus.P"), predicates.compare_with(F.col("total"), ">", "300_000m"))
     each = orders.join(read(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", F.explode(guards).alias("r"))
     return each.groupBy("c_custkey").agg(rules.state_of(F.col("r")).alias("state"), F.count(F.lit(1)).alias("n_results"), F.bool_or(F.col("r").isNull()).alias("any_unknown"))
 
@@ -73,9 +73,9 @@ SELECT l_returnflag, CAST(count(*) FILTER (q < 25) AS BIGINT) AS n_true, CAST(co
 def rule_negate_partition(spark, sf_dir):
     """An operator, its negation and unknown cut the rows into three; flipping exchanges the sides."""
     q = F.nullif(_big("l_quantity"), F.lit("50"))
-    less = predicates.compare(q, F.lit("<"), F.lit("25"))
-    not_less = predicates.compare(q, predicates.negate(F.lit("<")), F.lit("25"))
-    flipped = predicates.compare(q, predicates.flip(F.lit("<")), F.lit("25"))
+    less = predicates.compare_with(q, "<", "25")
+    not_less = predicates.compare_with(q, predicates.NEGATED["<"], "25")
+    flipped = predicates.compare_with(q, predicates.FLIPPED["<"], "25")
     return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(less).alias("n_true"), F.count_if(not_less).alias("n_false"), F.count_if(less.isNull()).alias("n_unknown"), F.count_if(flipped).alias("n_flipped"))
 
 
@@ -114,7 +114,7 @@ SELECT o_custkey, CASE WHEN count(DISTINCT coalesce(CAST(r AS VARCHAR), 'unknown
 """)
 def single_outcome(spark, sf_dir):
     """The outcome on which all rows of a customer agree (unknown counts as an outcome)."""
-    r = F.when(F.col("o_orderstatus") != "P", predicates.compare(F.col("o_orderstatus"), F.lit("=="), F.lit("OrderStatus.O")))
+    r = F.when(F.col("o_orderstatus") != "P", predicates.compare_with(F.col("o_orderstatus"), "==", "OrderStatus.O"))
     return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(rules.single_outcome(r).alias("result"))
 
 
@@ -149,14 +149,14 @@ def kind_filters(spark, sf_dir):
     return kept.select("o_orderkey", "o_orderpriority").orderBy("o_orderkey")
 
 
-_LITERALS = ["20_000m", "1500.5M", "abc", "src/Pay/Handler.cs:45", "a/b c.cs:7", "note", "[*]", "Oczekująca wypłata", "Łódź_1"]
+_LITERALS = ["20_000m", "1500.5M", "abc", "src/Pay/Handler.cs:45", "a/b c.cs:7", "note", "[*]", "Oczekująca wypłata", "Łódź_1", "Créé par Ñandú"]
 
 
 @query(f"""
 WITH v(x) AS (VALUES {_values(_LITERALS)})
 SELECT x, CASE WHEN regexp_matches(x, '^[0-9][0-9_]*(\\.[0-9]+)?[mM]?$') THEN regexp_replace(x, '[_mM]', '', 'g') ELSE x END AS literal,
   CASE WHEN regexp_matches(x, '^.+:-?[0-9]+$') THEN regexp_extract(x, '[^/]*$') ELSE x END AS file_line,
-  CASE WHEN x = '[*]' THEN x ELSE regexp_replace(translate(x, '{scalars.POLISH}', '{scalars.FOLDED}'), '[^A-Za-z0-9_]', '', 'g') END AS state_id,
+  CASE WHEN x = '[*]' THEN x ELSE regexp_replace(translate(x, '{scalars.MARKED}', '{scalars.FOLDED}'), '[^A-Za-z0-9_]', '', 'g') END AS state_id,
   CASE WHEN regexp_matches(x, '^[^\\s\\[\\]()]+:[0-9]+$') THEN '[' || regexp_extract(x, '[^/]*$') || '](https://git/c0ffee/' || regexp_extract(x, '^(.+):[0-9]+$', 1) || '#L' || regexp_extract(x, '[0-9]+$') || ')' ELSE x END AS link,
   CAST(2 ** least(length(x), 6) AS BIGINT) AS delay
 FROM v

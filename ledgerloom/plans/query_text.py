@@ -62,14 +62,14 @@ s AS (SELECT doc_id, h, count(*) AS tf FROM t JOIN u USING (token) GROUP BY doc_
 
 
 def _hashed(spark, sf_dir, table="documents", key="doc_id"):
-    return retrieval.hashed(retrieval.token_frequencies(read(spark, sf_dir, table), key, text.tokens(F.col("text"))), key)
+    return retrieval.hashed(read(spark, sf_dir, table), key, text.tokens(F.col("text")))
 
 
 @query(_HASHED + "SELECT doc_id, string_agg(h || ':' || tf, ' ' ORDER BY h) AS vector FROM s GROUP BY doc_id")
 def sparse_tf(spark, sf_dir):
     """Sparse vectors: token ids and counts in order of id."""
     v = retrieval.sparse_vectors(_hashed(spark, sf_dir), "doc_id")
-    pairs = F.zip_with("idx", "val", lambda i, x: F.concat(i.cast("string"), F.lit(":"), x.cast("bigint").cast("string")))
+    pairs = F.zip_with("idx", "val", lambda i, x: F.concat_ws(":", i, x.cast("bigint")))
     return v.select("doc_id", F.array_join(pairs, " ").alias("vector"))
 
 
@@ -101,10 +101,8 @@ SELECT CAST(label AS BIGINT) AS label, vec_id, CAST(rank AS BIGINT) AS rank FROM
 def cosine_topk(spark, sf_dir):
     """The nearest five vectors to the first of each label."""
     v = read(spark, sf_dir, "embeddings")
-    q = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
-    pairs = joins.attach_all(v.select("vec_id", "embedding"), q)
-    s = pairs.select("label", "vec_id", text.cosine(F.col("e"), F.col("embedding")).alias("score"))
-    return retrieval.ranked(s, "label", "vec_id", 5, 6).select(F.col("label").cast("bigint").alias("label"), "vec_id", F.col("rank").cast("bigint").alias("rank"))
+    q = v.groupBy(F.col("label").cast("bigint").alias("label")).agg(F.min_by("embedding", "vec_id").alias("e"))
+    return retrieval.dense_best(v, "vec_id", "embedding", q, "label", "e", 5, 6).select(F.col("label").cast("bigint").alias("label"), "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 _BM = f"""
@@ -117,11 +115,11 @@ sr AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id OR
 
 
 def _sparse_ranks(spark, sf_dir, k):
-    docs = read(spark, sf_dir, "documents")
-    d = retrieval.token_frequencies(docs, "doc_id", text.tokens(F.col("text")))
-    q = retrieval.token_frequencies(read(spark, sf_dir, "benchmark"), "item_id", text.tokens(F.col("text")))
-    s = retrieval.sparse_scores(q, d, retrieval.idf(d, "doc_id", docs.count()), "item_id", "doc_id")
-    return retrieval.ranked(s, "item_id", "doc_id", k, 6)
+    docs, tokens = read(spark, sf_dir, "documents"), text.tokens(F.col("text"))
+    q = retrieval.token_frequencies(read(spark, sf_dir, "benchmark"), "item_id", tokens)
+    weights = retrieval.idf(docs, tokens, q, docs.count())
+    asked = q.join(weights, "token").select("item_id", "token", (F.col("tf") * F.col("idf")).alias("weight"))
+    return retrieval.sparse_best(docs, "doc_id", tokens, asked, "item_id", k, 6)
 
 
 @query(_BM + "SELECT item_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 4) AS score FROM sr WHERE rank <= 20")
@@ -143,11 +141,10 @@ fr AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id OR
 
 def _hybrid(spark, sf_dir, k):
     """Dense and sparse lists of twenty, fused; the best k."""
-    docs = retrieval.densify(retrieval.dense_cells(_hashed(spark, sf_dir), "doc_id", DIMENSIONS), "doc_id", DIMENSIONS)
-    items = retrieval.densify(retrieval.dense_cells(_hashed(spark, sf_dir, "benchmark", "item_id"), "item_id", DIMENSIONS), "item_id", DIMENSIONS).withColumnRenamed("dense", "q")
-    dot = sum((F.col("q")[i].cast("double") * F.col("dense")[i].cast("double") for i in range(1, DIMENSIONS)), F.col("q")[0].cast("double") * F.col("dense")[0].cast("double"))
-    near = joins.attach_all(docs, items).select("item_id", "doc_id", dot.alias("score"))
-    both = retrieval.fuse([retrieval.ranked(near, "item_id", "doc_id", 20, 6), _sparse_ranks(spark, sf_dir, 20)], "item_id", "doc_id")
+    docs = retrieval.dense_vectors(_hashed(spark, sf_dir), "doc_id", DIMENSIONS)
+    items = retrieval.dense_vectors(_hashed(spark, sf_dir, "benchmark", "item_id"), "item_id", DIMENSIONS)
+    near = retrieval.dense_best(docs, "doc_id", "dense", items, "item_id", "dense", 20, 6)
+    both = retrieval.fuse([near, _sparse_ranks(spark, sf_dir, 20)], "item_id", "doc_id")
     return retrieval.ranked(both, "item_id", "doc_id", k, 9)
 
 
@@ -158,7 +155,7 @@ def rrf_hybrid(spark, sf_dir):
 
 
 _SNIPPET = "CASE WHEN length(s) > 240 THEN substr(s, 1, 240) || '…' ELSE s END"
-_LINES = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ')"
+_LINES = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \\t\\r\\f\\x0b')), lambda x: x <> ''), ' ')"
 
 
 @query(_RRF + f"""

@@ -156,7 +156,7 @@ def test_lookups(spark):
 
 def test_divide(spark):
     pairs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, "b"), (3, "c"), (3, "a"), (4, None)], "k int, v string")
-    assert sorted(r.k for r in joins.divide(pairs, "k", "v", ["a", "b"]).collect()) == [1, 3]
+    assert sorted(r.k for r in joins.divide(pairs, "k", "v", spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "v string")).collect()) == [1, 3]
 
 
 def test_ordinals(spark):
