@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import runtime
 
-SAMPLE, BITS, FOLDS, BEGINNING = 6000, 18, 4, 5
+SAMPLE, BITS, FOLDS, BEGINNING = 6000, 18, 3, 5
 RIDGE, STEPS = 1e-3, 80
 #: Share of the documents without the last category that may be taken for ones with it, and the least probability that counts.
 MAX_FALSE, LEAST = 0.001, 0.4
@@ -111,32 +111,40 @@ def fit_linear(x: Rows, y: np.ndarray) -> Linear:
         return Linear(np.zeros(0), np.zeros(d), 0.0, float(y.mean()) if n else 0.0)
     used, at = np.unique(x.at, return_inverse=True)
     value = log_ratios(x, y)[used]
-    cell = value[at]
-    row = np.repeat(np.arange(n), np.diff(x.bounds))
-    dense = np.hstack([x.earlier, np.ones((n, 1))])
-    m = len(used)
+    m, dense = len(used), np.hstack([x.earlier, np.ones((n, 1))]).astype(np.float32)
+    # The cells by row and by column, so that both products are sums of neighbours.
+    sizes = np.diff(x.bounds)
+    full, starts = np.flatnonzero(sizes), x.bounds[:-1][sizes > 0]
+    by_column = np.argsort(at, kind="stable")
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_column]
+    columns = np.flatnonzero(np.concatenate([[True], np.diff(at[by_column]) > 0])) if m else np.zeros(0, np.int64)
+    at, value = at.astype(np.int32), value.astype(np.float32)
 
     def times(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=cell * w[at], minlength=n) + dense @ w[m:]
+        out = dense @ w[m:]
+        if m:
+            out[full] += np.add.reduceat((w[:m] * value)[at], starts)
+        return out
 
     def back(g: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(at, weights=cell * g[row], minlength=m), dense.T @ g])
+        g = g.astype(np.float32)
+        return np.concatenate([np.add.reduceat(g[row], columns) * value if m else np.zeros(0, np.float32), dense.T @ g])
 
     share = np.where(y > 0, 1 / (2 * y.sum()), 1 / (2 * (n - y.sum())))  # both classes weigh the same
-    v = np.ones(m + d + 1)
+    v = np.ones(m + d + 1, np.float32)
     for _ in range(8):  # the largest curvature bounds the step
         v = back(share * times(v))
         v /= np.linalg.norm(v)
     rate = 1 / (0.3 * np.linalg.norm(back(share * times(v))) + RIDGE)
-    ridge = np.append(np.full(m + d, RIDGE), 0)
-    w = z = np.zeros(m + d + 1)
+    ridge = np.append(np.full(m + d, RIDGE), 0).astype(np.float32)
+    w = z = np.zeros(m + d + 1, np.float32)
     for step in range(STEPS):
-        following = z - rate * (back(share * (_sigmoid(times(z)) - y)) + ridge * z)
-        z = following + step / (step + 3) * (following - w)
+        following = z - np.float32(rate) * (back(share * (_sigmoid(times(z)) - y)) + ridge * z)
+        z = following + np.float32(step / (step + 3)) * (following - w)
         w = following
     weights = np.zeros(1 << BITS)
     weights[used] = w[:m] * value
-    return Linear(weights, w[m:-1], float(w[-1]))
+    return Linear(weights, w[m:-1].astype(float), float(w[-1]))
 
 
 @dataclass

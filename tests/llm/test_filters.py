@@ -351,9 +351,9 @@ def test_chain_against_dense_matrices(monkeypatch):
     at, bounds = toxicity.features(pa.array(texts))
     chain = toxicity.Chain(("a", "b")).fit(toxicity.Rows(at, bounds, np.zeros((len(texts), 0))), labels)
     inside, outside = brute_chain(texts, labels, toxicity.STEPS)
-    assert np.allclose(chain.predict(at, bounds), inside, atol=1e-6)
+    assert np.allclose(chain.predict(at, bounds), inside, atol=1e-3)  # single precision
     clean = np.sort(outside[labels[:, 1] == 0, 1])[::-1]
-    assert np.isclose(chain.threshold, max(toxicity.LEAST, clean[0]), atol=1e-6)
+    assert np.isclose(chain.threshold, max(toxicity.LEAST, clean[0]), atol=1e-3)
     assert len(chain.models[1].earlier) == 1 and chain.models[1].earlier[0] > 0
 
 
