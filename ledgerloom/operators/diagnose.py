@@ -18,11 +18,11 @@ def status_writes(edges: DataFrame, transitions: DataFrame) -> DataFrame:
 
 def reachable(transitions: DataFrame, starts: DataFrame) -> DataFrame:
     """``(entity, field, value, state)``: a written status and all that follow it (compared without case). A later status proves the step too."""
-    key = lambda v: F.concat_ws("\u0001", "entity", "field", F.lower(v))
+    key = lambda v: F.struct("entity", "field", F.lower(F.col(v)).alias("state"))
     edges = transitions.where("from_state IS NOT NULL").select(key("from_state").alias("src"), key("to_state").alias("dst")).distinct()
     s = starts.select("entity", "field", "value", key("value").alias("start")).distinct()
     found = graph.closure(edges, s.select("start"))
-    return s.join(found, "start").select("entity", "field", "value", F.element_at(F.split("node", "\u0001"), 3).alias("state"))
+    return s.join(found, "start").select("entity", "field", "value", F.col("node.state").alias("state"))
 
 
 def step_state(known: Column, indexed: Column, n: Column, any_done: Column, any_unknown: Column) -> Column:
@@ -109,7 +109,7 @@ def verdict(violated: Column, unknown: Column, negative: Column, external: Colum
 def analyze(cases: DataFrame, checks: DataFrame, step_states: DataFrame, rule_states: DataFrame) -> DataFrame:
     """``(case_id, flow_id, verdict, break_no, causes, candidates, missing)``.
 
-    ``rule_states``: ``case_id, entry_id, rule_id, state, evidence``. Rules of the steps
+    ``rule_states``: ``case_id, entry_id, rule_id, state, missing``. Rules of the steps
     after the last done one up to the break are looked at. A case without any done step
     has insufficient data.
     """
@@ -117,7 +117,7 @@ def analyze(cases: DataFrame, checks: DataFrame, step_states: DataFrame, rule_st
     between = step_states.join(flow, ["case_id", "flow_id"]).where((F.col("no") > F.col("last_done")) & (F.col("no") <= F.col("break_no"))).select("case_id", "flow_id", "no", "entry_id")
     looked = between.join(rule_states, ["case_id", "entry_id"])
     by = lambda s: F.array_sort(F.collect_list(F.when(F.col("state") == s, F.col("rule_id"))))
-    rules = looked.groupBy("case_id").agg(by("violated").alias("causes"), by("unknown").alias("candidates"), F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(F.when(F.col("state") == "unknown", F.col("evidence")))), lambda e: e.startswith("no value for") | F.contains(e, F.lit("not fetched"))))).alias("missing"))
+    rules = looked.groupBy("case_id").agg(by("violated").alias("causes"), by("unknown").alias("candidates"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("state") == "unknown", F.col("missing")))))).alias("missing"))
     out = cases.select("case_id").join(flow, "case_id", "left").join(rules, "case_id", "left")
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
     none = F.array().cast("array<string>")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import predicates, scalars
 from ledgerloom.operators import joins
 
+#: How a condition asks for a feature flag (fixed value: input grammar).
 FLAG = 'IsEnabledAsync\\(\\s*"([^"]+)"'
 
 
@@ -107,7 +108,7 @@ def _values(asked: DataFrame, fields: DataFrame, placed: DataFrame, rows: DataFr
 
 
 def structured_results(guards: DataFrame, entities: DataFrame, fields: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(case_id, guard_id, result, evidence)`` of guards with ``left_side, op, right_side``."""
+    """``(case_id, guard_id, result, evidence, not_fetched)`` of guards with ``left_side, op, right_side``."""
     g = guards.select("guard_id", "condition", "left_side", "op", "right_side", scalars.tail(F.col("left_side")).alias("property"), F.regexp_extract("left_side", "^(.+)\\.[^.]*$", 1).alias("of"))
     e = entities.select("entity", F.lower("entity").alias("_e"))
     direct = g.join(e, F.lower(F.col("of")) == F.col("_e"), "left").drop("_e")
@@ -127,11 +128,12 @@ def structured_results(guards: DataFrame, entities: DataFrame, fields: DataFrame
         .when(~F.bool_and("has"), F.concat(F.lit("no column "), F.first("property"), F.lit(" in "), F.first("snap_table")))
         .otherwise(F.concat(F.first("snap_table"), F.lit("."), F.first("property"), F.lit(" = "), shown))
         .alias("evidence"),
+        (F.first("entity").isNotNull() & F.first("snap_table").isNull()).alias("not_fetched"),
     )
 
 
 def filter_counts(guards: DataFrame, fields: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(case_id, guard_id, matched, evidence)`` of filter guards; ``matched`` null if it can't be told.
+    """``(case_id, guard_id, matched, evidence, not_fetched)`` of filter guards; ``matched`` null if it can't be told.
 
     Comparisons with something else than a constant are bound to the case and dropped.
     """
@@ -156,11 +158,11 @@ def filter_counts(guards: DataFrame, fields: DataFrame, placed: DataFrame, rows:
         .when(F.col("snap_table").isNull(), F.concat(F.lit("table not fetched: "), F.col("entity")))
         .otherwise(F.concat(F.col("snap_table"), F.lit(": "), F.col("n").cast("string"), F.lit(" of "), F.coalesce("total", F.lit(0)).cast("string"), F.lit(" rows match")))
     )
-    return out.select("case_id", "guard_id", F.when(known, F.coalesce("n", F.lit(0))).alias("matched"), evidence.alias("evidence"))
+    return out.select("case_id", "guard_id", F.when(known, F.coalesce("n", F.lit(0))).alias("matched"), evidence.alias("evidence"), (F.col("atoms").isNotNull() & F.col("entity").isNotNull() & F.col("snap_table").isNull()).alias("not_fetched"))
 
 
 def evaluate(rule_guards: DataFrame, entities: DataFrame, fields: DataFrame, cases: DataFrame, tables: DataFrame, rows: DataFrame, config: DataFrame) -> DataFrame:
-    """``(case_id, rule_id, state, silent, evidence)`` for each rule and case.
+    """``(case_id, rule_id, state, silent, evidence, missing)`` for each rule and case; ``missing``: evidence that says what the case lacks.
 
     ``rule_guards``: ``rule_id, pos, guard_id, kind, condition, exit, left_side, op,
     right_side``. Only a rule's first filter counts; once it has one, every other guard
@@ -168,7 +170,7 @@ def evaluate(rule_guards: DataFrame, entities: DataFrame, fields: DataFrame, cas
     """
     placed = entity_tables(entities, cases, tables)
     once = rule_guards.dropDuplicates(["guard_id"])
-    structured = structured_results(once.where("left_side IS NOT NULL"), entities, fields, placed, rows).select("case_id", "guard_id", F.col("result").alias("s_result"), F.col("evidence").alias("s_evidence"))
+    structured = structured_results(once.where("left_side IS NOT NULL"), entities, fields, placed, rows).select("case_id", "guard_id", F.col("result").alias("s_result"), F.col("evidence").alias("s_evidence"), F.col("not_fetched").alias("s_lost"))
     counts = filter_counts(once.where("kind = 'filter'"), fields, placed, rows)
     filters = rule_guards.where("kind = 'filter'").groupBy("rule_id").agg(F.min_by("guard_id", "pos").alias("filter_id"))
     flag = F.regexp_extract("condition", FLAG, 1)
@@ -176,7 +178,7 @@ def evaluate(rule_guards: DataFrame, entities: DataFrame, fields: DataFrame, cas
     c = config.select(F.col("case_id").alias("_case"), F.lower("key").alias("_flag"), F.col("value").alias("flag_value"))
     every = every.join(c, (F.col("case_id") == F.col("_case")) & (F.lower(F.col("flag")) == F.col("_flag")), "left").drop("_case", "_flag")
     every = every.join(structured, ["case_id", "guard_id"], "left")
-    every = every.join(counts.select("case_id", F.col("guard_id").alias("filter_id"), "matched", F.col("evidence").alias("f_evidence")), ["case_id", "filter_id"], "left")
+    every = every.join(counts.select("case_id", F.col("guard_id").alias("filter_id"), "matched", F.col("evidence").alias("f_evidence"), F.col("not_fetched").alias("f_lost")), ["case_id", "filter_id"], "left")
     only_filters = F.min(F.when(F.col("kind") == "filter", 1).otherwise(0)).over(Window.partitionBy("case_id", "rule_id")) == 1
     is_filter = F.col("kind") == "filter"
     own = F.col("filter_id").eqNullSafe(F.col("guard_id"))
@@ -194,11 +196,21 @@ def evaluate(rule_guards: DataFrame, entities: DataFrame, fields: DataFrame, cas
         .when(F.col("filter_id").isNotNull(), F.lit(None).cast("string"))
         .otherwise(F.coalesce("s_evidence", F.concat(F.lit("can't be checked: "), F.col("condition"))))
     )
+    # What the case lacks, by its reason: a table of the guard or the filter, or a flag's value.
+    lost = (
+        F.when(is_filter, own & F.col("f_lost"))
+        .when(F.col("exit") == "validation", F.lit(False))
+        .when(F.col("flag").isNotNull(), F.col("flag_value").isNull())
+        .when(F.col("filter_id").isNotNull(), F.lit(False))
+        .otherwise(F.coalesce("s_lost", F.lit(False)))
+    )
+    every = every.withColumn("lost", lost)
     judged = every.withColumn("only", only_filters).withColumn("result", result).withColumn("evidence", evidence)
     counted = judged.where(~is_filter | (F.col("only") & own))
     states = counted.groupBy("case_id", "rule_id").agg(state_of(F.col("result")).alias("state"))
     notes = judged.groupBy("case_id", "rule_id").agg(
         F.bool_or(F.col("exit").isin("silent_success", "return")).alias("silent"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("evidence").isNotNull(), F.struct(F.when(is_filter, -1).otherwise(F.col("pos")).alias("o"), "evidence")))), lambda s: s["evidence"]).alias("evidence"),
+        F.array_sort(F.collect_set(F.when(F.col("lost"), F.col("evidence")))).alias("missing"),
     )
-    return notes.join(states, ["case_id", "rule_id"], "left").select("case_id", "rule_id", F.coalesce("state", F.lit("unknown")).alias("state"), "silent", "evidence")
+    return notes.join(states, ["case_id", "rule_id"], "left").select("case_id", "rule_id", F.coalesce("state", F.lit("unknown")).alias("state"), "silent", "evidence", "missing")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
 from ledgerloom.operators import joins, ordinals, sync
+from ledgerloom.plans import flows
 from ledgerloom.plans.flows import USE_CASES
 from ledgerloom.sources.facts import Facts
 
-#: Guards on technical ids are no business rules.
+#: Guards on technical ids are no business rules (fixed value: the form of such a condition).
 TECHNICAL = "(?U)^RuleFor\\(\\w+ => \\w+\\.\\w*Id\\)\\.NotEmpty\\(\\)$"
 
 
@@ -160,12 +161,129 @@ def numbering_errors(rules_: DataFrame) -> DataFrame:
     return rules_.withColumn("_n", n).where("no <> _n").select("entry_id", "no")
 
 
+def code_rules(facts: Facts, rules_: DataFrame) -> DataFrame:
+    """``entry_id, no, condition, exits, locations``: what a rule is in code.
+
+    Conditions are grouped by their text, with the methods of other types that they are
+    in; exits are those of the guards that are no filters, where there are any.
+    """
+    each = rules_.select("entry_id", "no", F.posexplode("guard_ids").alias("at", "guard_id")).join(facts.guards, ["entry_id", "guard_id"])
+    home = F.regexp_extract(F.coalesce("via", F.lit("")), "^(.*)\\.[^.]*$", 1)
+    foreign = F.when((F.col("exit") != "validation") & (home != scalars.short(F.col("entry_id"))), F.concat(F.lit("`"), "via", F.lit("`")))
+    by_text = each.groupBy("entry_id", "no", "condition").agg(F.min("at").alias("first"), ordinals.ordered_distinct(foreign, F.col("at")).alias("via"))
+    via = F.filter("via", lambda v: v.isNotNull())
+    shown = F.concat(F.lit("`"), "condition", F.lit("`"), F.when(F.size(via) > 0, F.concat(F.lit(" in "), F.array_join(via, " / "))).otherwise(""))
+    conditions = by_text.groupBy("entry_id", "no").agg(ordinals.ordered_join(shown, F.col("first"), ", ").alias("condition"))
+    label = scalars.exit_label(F.col("exit"), F.lit(None).cast("string"), scalars.EXIT_LABELS)
+    own = F.when(F.col("exit") != "filter", label)
+    exits = each.groupBy("entry_id", "no").agg(ordinals.ordered_distinct(own, F.col("at")).alias("own"), ordinals.ordered_distinct(label, F.col("at")).alias("every"), ordinals.ordered_distinct(F.col("location"), F.col("at")).alias("locations"))
+    plain = F.filter("own", lambda x: x.isNotNull())
+    exits = exits.select("entry_id", "no", F.array_join(F.when(F.size(plain) > 0, plain).otherwise(F.col("every")), " / ").alias("exits"), "locations")
+    return conditions.join(exits, ["entry_id", "no"])
+
+
+def config_keys(edges: DataFrame, options: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Edges with the keys that ``reads_config`` edges mean.
+
+    Targets ``Options.Property`` become ``Section:Property`` where the options type
+    (``options``: ``type, property, initializer``) is bound to a section (``bindings``:
+    ``type, section``); the initializer is told as the default. Other edges stay.
+    """
+    dot = F.instr("target", ".")
+    read = (F.col("type") == "reads_config") & (dot > 0)
+    e = edges.withColumn("_type", F.when(read, F.substring_index("target", ".", 1))).withColumn("_property", F.when(read, F.expr("substring(target, instr(target, '.') + 1)")))
+    known = options.select(F.col("type").alias("_type")).distinct().withColumn("_known", F.lit(True))
+    o = options.select(F.col("type").alias("_type"), F.col("property").alias("_property"), "initializer")
+    out = e.join(known, "_type", "left").join(bindings.select(F.col("type").alias("_type"), "section"), "_type", "left").join(o, ["_type", "_property"], "left")
+    key = F.when(F.col("section").isNotNull(), F.concat("section", F.lit(":"), "_property")).otherwise(F.col("target"))
+    detail = F.when(F.col("initializer").isNotNull(), F.concat(F.lit("default "), "initializer"))
+    said = F.coalesce("_known", F.lit(False))
+    return out.withColumn("target", F.when(said, key).otherwise(F.col("target"))).withColumn("detail", F.when(said, detail).otherwise(F.col("detail"))).select(*edges.columns)
+
+
+def config_rows(facts: Facts, meanings: DataFrame) -> DataFrame:
+    """``entry_id, key, kind, default, meaning``: the configuration that each use case reads; ``meanings``: ``key, meaning`` by hand (keys without regard to case)."""
+    read = facts.edges.where("type = 'reads_config'").select("entry_id", F.col("target").alias("key"), F.lower("target").alias("_key")).distinct()
+    known = facts.config.select(F.lower("key").alias("_key"), "kind", "default").dropDuplicates(["_key"])
+    said = meanings.select(F.lower("key").alias("_key"), "meaning").dropDuplicates(["_key"])
+    return read.join(known, "_key", "left").join(said, "_key", "left").select("entry_id", "key", "kind", "default", "meaning")
+
+
+def trigger_rows(facts: Facts) -> DataFrame:
+    """``entry_id, source, maps``: who triggers each use case, with the mappings of the source that say more than a copy."""
+    telling = facts.edges.where(F.col("type") == "maps").where(F.col("detail").rlike("[=<>!?(]"))
+    maps = telling.groupBy(F.col("entry_id").alias("source")).agg(ordinals.ordered_join(F.concat(F.lit("`"), "target", F.lit("`: `"), "detail", F.lit("`")), F.col("pos"), "; ").alias("maps"))
+    return joins.incoming(facts.edges).select(F.col("handler").alias("entry_id"), "source").distinct().join(maps, "source", "left").select("entry_id", "source", "maps")
+
+
+def flow_cards(facts: Facts, steps: DataFrame, titles: DataFrame, rules_: DataFrame) -> DataFrame:
+    """``page_id, title, modules, steps, nodes, edges, stops`` of each flow."""
+    nodes, edges = flows.diagram(steps, facts.guards, titles)
+    stops = flows.silent_stops(steps, facts.guards, facts.edges, rules_, facts.transitions)
+    named = steps.join(titles, "entry_id", "left").join(facts.entries.select("entry_id", "module"), "entry_id", "left")
+    every = named.groupBy(F.col("flow_id").alias("page_id")).agg(
+        F.min_by(F.coalesce("title", "entry_id"), F.when(F.col("entry_id").isNotNull(), F.col("no"))).alias("title"),
+        F.array_sort(F.collect_set("module")).alias("modules"),
+        F.array_sort(F.collect_list(F.struct("no", "entry_id", F.coalesce("title", "external").alias("label"), "parent_no", "dashed"))).alias("steps"),
+    )
+    listed = lambda df, name, *columns: df.groupBy(F.col("flow_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    out = every.join(listed(nodes, "nodes", "id", "label", "shape"), "page_id", "left").join(listed(edges, "edges", "src", "dst", "label", "dashed"), "page_id", "left")
+    return out.join(listed(stops, "stops", "no", "kind", "what", "rule"), "page_id", "left")
+
+
+def global_rules(facts: Facts) -> DataFrame:
+    """``page_id, title, location, logic, applies`` of each behavior."""
+    own = facts.entries.where("kind = 'behavior'").select(F.col("entry_id").alias("page_id"), "location")
+    label = scalars.exit_label(F.col("exit"), F.lit(None).cast("string"), scalars.EXIT_LABELS)
+    logic = facts.guards.groupBy(F.col("entry_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "condition", label.alias("label"), "location"))).alias("logic"))
+    on = behavior_applies(facts).groupBy(F.col("behavior").alias("page_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "entry_id"))), lambda x: x["entry_id"]).alias("applies"))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    out = own.join(logic, "page_id", "left").join(on, "page_id", "left")
+    return out.select("page_id", scalars.humanize(scalars.short(F.col("page_id"))).alias("title"), "location", empty("logic", "array<struct<pos:int,condition:string,label:string,location:string>>"), empty("applies", "array<string>"))
+
+
+def system(modules_: DataFrame, flow_cards_: DataFrame, global_rules_: DataFrame) -> DataFrame:
+    """One row: how many modules, use cases, flows and global rules there are, and the edges between modules."""
+    needs = modules_.select(F.col("module").alias("a"), F.explode("depends_on").alias("b"))
+    counts = modules_.agg(F.count(F.lit(1)).alias("n_modules"), F.coalesce(F.sum("n_use_cases"), F.lit(0)).alias("n_use_cases"))
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    arrows = needs.agg(F.array_sort(F.collect_set(F.concat("a", F.lit(" --> "), "b"))).alias("arrows"))
+    return joins.attach_all(joins.attach_all(joins.attach_all(counts, one(flow_cards_, "n_flows")), one(global_rules_, "n_global_rules")), arrows)
+
+
+def required_errors(cards_: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``(key, error)`` of the fields that are null or blank."""
+    blank = [F.when(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == "", F.concat(F.lit(f), F.lit(" is missing"))) for f in fields]
+    return cards_.select(key, F.explode(F.filter(F.array(*blank), lambda e: e.isNotNull())).alias("error"))
+
+
+def catalogue(facts: Facts, steps: DataFrame) -> DataFrame:
+    """``page_id, kind``: every page that there will be, known before any is made."""
+    page = lambda df, kind, page_id: df.select(page_id.alias("page_id"), F.lit(kind).alias("kind"))
+    out = page(facts.entries.where(F.col("kind").isin(*USE_CASES)), "use_case", F.col("entry_id"))
+    out = out.unionByName(page(entities(facts), "entity", F.col("page_id"))).unionByName(page(steps, "flow", F.col("flow_id")))
+    out = out.unionByName(page(facts.entries.where("kind = 'behavior'"), "global_rule", F.col("entry_id")))
+    out = out.unionByName(page(facts.entries, "module", F.concat(F.lit("module:"), "module")))
+    fixed = facts.entries.sparkSession.createDataFrame([("glossary", "glossary"), ("system", "system")], "page_id string, kind string")
+    return out.unionByName(fixed).where("page_id IS NOT NULL").distinct()
+
+
+def every_card(facts: Facts, manual: DataFrame) -> dict[str, DataFrame]:
+    """All card tables by name; each is made of those before it."""
+    own = rules(facts)
+    u, e, steps = use_cases(facts), entities(facts), flows.discover(facts)
+    titles = u.select(F.col("page_id").alias("entry_id"), "title")
+    f, g, m = flow_cards(facts, steps, titles, own), global_rules(facts), modules(facts)
+    return {"rules": own, "use_cases": u, "entities": e, "steps": steps, "flows": f, "global_rules": g, "modules": m, "glossary": glossary(facts, manual), "system": system(m, f, g), "catalogue": catalogue(facts, steps)}
+
+
 def run_jobs(jobs: DataFrame, cache: DataFrame, complete, attempts: int = 3) -> DataFrame:
     """Answers of jobs ``(card_hash, prompt)``: from ``cache (card_hash, answer, status)``, else by ``complete``.
 
-    ``complete(prompt, attempt)`` gives ``(answer, error)`` and runs in Python workers,
-    only for prompts that are not cached; after the last attempt an answer that still
-    has an error needs review.
+    ``complete(prompt, attempt, errors)`` gives ``(answer, error)`` and runs in Python workers,
+    only for prompts that are not cached; it is told the errors of the attempts before.
+    After the last attempt an answer that still has an error needs review; a job without
+    any answer has status ``offline`` and is not to be cached.
     """
     missing = jobs.join(cache.select("card_hash"), "card_hash", "left_anti")
 
@@ -173,13 +291,34 @@ def run_jobs(jobs: DataFrame, cache: DataFrame, complete, attempts: int = 3) ->
         for pdf in batches:
             out = []
             for prompt in pdf["prompt"]:
-                answer, error = None, "no attempt"
+                answer, error, errors = None, "no attempt", []
                 for attempt in range(attempts):
-                    answer, error = complete(prompt, attempt)
+                    try:
+                        got, error = complete(prompt, attempt, list(errors))
+                        answer = got if got is not None else answer
+                    except Exception as problem:  # noqa: BLE001  a failing model is an error like any other
+                        error = f"no valid answer: {problem}"
                     if error is None:
                         break
-                out.append((answer, "ok" if error is None else "needs_review"))
+                    errors.append(error)
+                out.append((answer, "offline" if answer is None else "ok" if error is None else "needs_review"))
             yield pdf.assign(answer=[a for a, _ in out], status=[s for _, s in out])[["card_hash", "answer", "status"]]
 
     made = missing.select("card_hash", "prompt").mapInPandas(run, "card_hash string, answer string, status string")
     return jobs.select("card_hash").join(cache, "card_hash").unionByName(made)
+
+
+def cache_answers(made: DataFrame, cache: DataFrame, path: str) -> None:
+    """Append new answers to the cache table; jobs without an answer are tried again in the next run."""
+    made.where("answer IS NOT NULL").join(cache.select("card_hash"), "card_hash", "left_anti").write.mode("append").parquet(path)
+
+
+def read_cache(spark, path: str) -> DataFrame:
+    """``(card_hash, answer, status)`` of a cache table; empty where there is none yet."""
+    schema = "card_hash string, answer string, status string"
+    try:
+        return spark.read.schema(schema).parquet(path).dropDuplicates(["card_hash"])
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)

@@ -179,7 +179,7 @@ def diagnose_causes(spark, sf_dir):
     r2 = F.when(F.col("case_id") % 3 == 0, "unknown").when(err > 150, "violated").otherwise("ok")
     r3 = F.when(err > 180, "violated").otherwise("ok")
     states = F.explode(F.array(*[F.struct(F.lit(entry).alias("entry_id"), F.lit(rule).alias("rule_id"), state.alias("state")) for entry, rule, state in (("e2", "R1", r1), ("e3", "R2", r2), ("e5", "R3", r3))]))
-    rule_states = errors.select("case_id", states.alias("r")).select("case_id", "r.*", F.array().cast("array<string>").alias("evidence"))
+    rule_states = errors.select("case_id", states.alias("r")).select("case_id", "r.*", F.array().cast("array<string>").alias("missing"))
     found = diagnose.analyze(cases, diagnose.flow_checks(steps), steps, rule_states)
     joined = lambda c: F.array_join(c, ",").alias(c)
     return found.select(F.col("case_id").alias("user_id"), F.coalesce("break_no", F.lit(0)).cast("bigint").alias("break_no"), joined("causes"), joined("candidates"), F.coalesce("negative", F.lit("")).alias("negative"), "verdict")

@@ -178,6 +178,7 @@ def resolve_links(pages: DataFrame, template: str, commit: str) -> DataFrame:
     The tokens are taken out of each page with their places, joined to the pages they
     mean, and put back in order.
     """
+    # The grammar of link tokens is a fixed value.
     token = "\\[\\[(?:page:[^\\]|]+|code:[^\\]|]+:\\d+)(?:\\|[^\\]]*)?\\]\\]"
     cut = pages.select("page_id", "path", "content", F.regexp_extract_all("content", F.lit(token), F.lit(0)).alias("tokens"), F.split("content", token, -1).alias("texts"))
     each = cut.select("page_id", "path", F.posexplode("tokens").alias("pos", "token"))
@@ -215,7 +216,28 @@ def page_or_card(ask: DataFrame, pages: DataFrame, cards: DataFrame) -> DataFram
     return out.select("page_id", F.coalesce("content", "card", F.concat(F.lit("Unknown page "), "page_id")).alias("content"))
 
 
-_INLINE = re.compile(r"`([^`]+)`|\*\*(.+?)\*\*|\*(.+?)\*|\[([^\]]*)\]\(([^)\s]+)\)")
+_INLINE = re.compile(r"`([^`]+)`|\*\*(.+?)\*\*|\*(.+?)\*|!?\[([^\]]*)\]\(([^)\s]+)\)")
+_ITEM = re.compile(r"( *)([-*+]|[0-9]+[.)]) +(.*)")
+
+
+def plain_text(text: str) -> str:
+    """The text of inline Markdown: link labels, code and emphasis without their marks."""
+    return _INLINE.sub(lambda m: m[1] if m[1] is not None else plain_text(next(x for x in (m[2], m[3], m[4]) if x is not None)), text)
+
+
+def _list(rows: list[tuple[int, bool, str]], titles: dict[str, str]) -> str:
+    """Items ``(indent, numbered, text)`` as nested lists; an item is below the last one that is indented less."""
+    out, i = [], 0
+    while i < len(rows):
+        indent, numbered, _ = rows[i]
+        tag, items = "ol" if numbered else "ul", []
+        while i < len(rows) and rows[i][0] <= indent and rows[i][1] == numbered:
+            own = rows[i]
+            end = next((j for j in range(i + 1, len(rows)) if rows[j][0] <= own[0]), len(rows))
+            items.append(f"<li>{_inline(own[2], titles)}{_list(rows[i + 1 : end], titles)}</li>")
+            i = end
+        out.append(f"<{tag}>{''.join(items)}</{tag}>")
+    return "".join(out)
 
 
 def _inline(text: str, titles: dict[str, str]) -> str:
@@ -229,6 +251,10 @@ def _inline(text: str, titles: dict[str, str]) -> str:
             out.append(f"<strong>{_inline(m[2], titles)}</strong>")
         elif m[3] is not None:
             out.append(f"<em>{_inline(m[3], titles)}</em>")
+        elif m[0].startswith("!"):
+            alt, source = html.escape(m[4], quote=True), html.escape(m[5], quote=True)
+            inner = f'<ri:url ri:value="{source}" />' if re.match(r"[a-z]+:", m[5]) else f'<ri:attachment ri:filename="{html.escape(m[5].rsplit("/", 1)[-1], quote=True)}" />'
+            out.append(f'<ac:image ac:alt="{alt}">{inner}</ac:image>')
         elif m[5] in titles:
             out.append(f'<ac:link><ri:page ri:content-title="{html.escape(titles[m[5]], quote=True)}" /><ac:link-body>{_inline(m[4], titles)}</ac:link-body></ac:link>')
         elif re.match(r"[a-z]+:", m[5]):
@@ -257,13 +283,20 @@ def to_storage(markdown: str, titles: dict[str, str] | None = None) -> str:
         elif line == "---":
             out.append("<hr />")
             i += 1
-        elif line.startswith(("- ", "> ", "|")):
+        elif _ITEM.fullmatch(line):
+            items = []
+            while i < len(lines) and (m := _ITEM.fullmatch(lines[i]) or (re.match(r" +\S", lines[i]) if lines[i].strip() else None)):
+                if m.re is _ITEM:
+                    items.append((len(m[1]), m[2][0].isdigit(), m[3]))
+                else:  # a line that goes on with the item before
+                    items[-1] = (*items[-1][:2], f"{items[-1][2]} {lines[i].strip()}")
+                i += 1
+            out.append(_list(items, titles))
+        elif line.startswith(("> ", "|")):
             lead = line[0]
             end = next((j for j in range(i, len(lines)) if not lines[j].startswith(lead)), len(lines))
             rows = lines[i:end]
-            if lead == "-":
-                block("ul", [f"<li>{_inline(r[2:], titles)}</li>" for r in rows])
-            elif lead == ">":
+            if lead == ">":
                 block("blockquote", [f"<p>{_inline(r[2:], titles)}</p>" for r in rows])
             else:
                 cells = [[c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", r.strip()[1:-1])] for r in rows if not re.fullmatch(r"[|\-: ]+", r)]
@@ -271,7 +304,7 @@ def to_storage(markdown: str, titles: dict[str, str] | None = None) -> str:
                 out.append("<table><tbody>" + "".join(body) + "</tbody></table>")
             i = end
         elif line.strip():
-            end = next((j for j in range(i, len(lines)) if not lines[j].strip() or lines[j].startswith(("#", "```", "- ", "> ", "|"))), len(lines))
+            end = next((j for j in range(i, len(lines)) if not lines[j].strip() or lines[j].startswith(("#", "```", "> ", "|")) or _ITEM.fullmatch(lines[j])), len(lines))
             out.append(f"<p>{_inline(' '.join(lines[i:max(end, i + 1)]), titles)}</p>")
             i = max(end, i + 1)
         else:

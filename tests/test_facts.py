@@ -157,6 +157,10 @@ def test_all_kinds_of_pages(facts, spark):
 def test_storage_markup():
     got = render.to_storage('# A & b\n\n> note\n\n- **x** `y<`\n- [z](https://e/?a="b")\n\n| h | i |\n|---|---|\n| a\\|b | *c* |\n\n```\n]]>\n```\ntext\nmore\n')
     assert "<h1>A &amp; b</h1>" in got and "<li><strong>x</strong> <code>y&lt;</code></li>" in got
+    lists = render.to_storage("1. one\n   more\n   - sub `x`\n     1. deep\n   - sub2\n2. two\n- other\n\n![a b](img/p.png) ![u](https://e/i.png)\n")
+    assert "<ol><li>one more<ul><li>sub <code>x</code><ol><li>deep</li></ol></li><li>sub2</li></ul></li><li>two</li></ol><ul><li>other</li></ul>" in lists
+    assert '<ac:image ac:alt="a b"><ri:attachment ri:filename="p.png" /></ac:image>' in lists and '<ri:url ri:value="https://e/i.png" />' in lists
+    assert render.plain_text("a [b *c*](d.md) `e` **f**") == "a b c e f"
     assert "<td>a|b</td><td><em>c</em></td>" in got and "]]]]><![CDATA[>" in got and "<p>text more</p>" in got
 
 
@@ -257,12 +261,19 @@ def test_pages_on_disk(spark, tmp_path):
     assert {r.action for r in page_source.write_changed(new, new, str(tmp_path / "out")).collect()} == {"unchanged"}
 
 
-def test_jobs(spark):
+def test_jobs(spark, tmp_path):
     jobs = spark.createDataFrame([("a", "p1"), ("b", "p2"), ("c", "p3")], "card_hash string, prompt string")
     cache = spark.createDataFrame([("a", "cached", "ok")], "card_hash string, answer string, status string")
 
-    def complete(prompt, attempt):
-        return (f"{prompt}@{attempt}", None if prompt == "p2" and attempt == 1 else "bad")
-
-    got = {r.card_hash: (r.answer, r.status) for r in cards.run_jobs(jobs, cache, complete).collect()}
-    assert got == {"a": ("cached", "ok"), "b": ("p2@1", "ok"), "c": ("p3@2", "needs_review")}
+    def complete(prompt, attempt, errors):
+        if prompt == "p4":
+            raise OSError("down")
+        return (f"{prompt}@{attempt}", None if prompt == "p2" and errors == ["bad"] else "bad")
+
+    jobs = jobs.unionByName(spark.createDataFrame([("d", "p4")], jobs.schema))
+    made = cards.run_jobs(jobs, cache, complete)
+    got = {r.card_hash: (r.answer, r.status) for r in made.collect()}
+    assert got == {"a": ("cached", "ok"), "b": ("p2@1", "ok"), "c": ("p3@2", "needs_review"), "d": (None, "offline")}
+    folder = str(tmp_path / "cache")
+    cards.cache_answers(made, cards.read_cache(spark, folder), folder)
+    assert {r.card_hash for r in cards.read_cache(spark, folder).collect()} == {"a", "b", "c"}
