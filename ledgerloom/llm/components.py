@@ -4,7 +4,7 @@ Large-star: each node links its larger neighbours to the least of its neighbours
 itself. Small-star: each node links itself and its smaller neighbours to the least of
 these. Both keep components, and they end in stars around the least nodes. Each step
 is an aggregate and a join on the node, so no neighbourhood is gathered in one place;
-edges are written to the shared folder between rounds.
+edges are written to the shared folder between rounds, and the round before is deleted.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = runtime.table(edges.select("u", "v").where("u <> v").distinct(), "edges")
     state = None
     while True:
-        now = runtime.table(_small_star(_large_star(now)), "edges")
+        before, now = now, runtime.table(_small_star(_large_star(now)), "edges")
+        runtime.drop(now.sparkSession, before._shared_path)  # each round needs only the last
         after = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
         if after == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

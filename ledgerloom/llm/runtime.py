@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -38,12 +41,14 @@ def ship(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session sets none (tests, one machine), a temporary folder is used
-    for the life of the application.
+    A cluster must set it; one machine (a local master, as in tests) gets a temporary
+    folder for the life of the application where none is set.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own_dirs.get(sc.applicationId)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-shared-")
@@ -54,7 +59,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -62,7 +70,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving all that was written to the shared folder inside; what is to stay must have been read or written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(spark, *_scopes.pop())
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

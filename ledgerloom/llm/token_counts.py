@@ -9,8 +9,10 @@
 3. The counts go back to their blocks, without the pre-tokens, meet the packed
    frequencies and are summed for each document.
 
-A pre-token travels once for each block that has it, however many documents do, and a
-hot one has at most a row for each block; no key gathers more than a block.
+A pre-token travels once for each block that has it, however many documents do. The
+commonest, which nearly every block has, are dealt by pre-token and some hash values of
+their block, so the rows of a hot one are spread and it is counted a bounded number of
+times; all others are counted once.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ from ledgerloom.llm import runtime
 ODD = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
 
 BLOCK_CHARS, PACK_DOCS, ENCODE_ROWS = 32_000_000, 512, 20_000
+#: A block ends at so many distinct pre-tokens, too, as its dictionaries grow with them.
+BLOCK_NAMES = 1_000_000
+#: So many of a block's commonest pre-tokens are dealt by pre-token and a hash of the block with so many values.
+HOT_NUMBERS, SALTS = 4096, 64
 
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ \t\n\rA-Za-zÀ-ÖØ-öø-ɏ0-9]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 #: White space whose pre-tokens depend on more than the piece between two single blanks.
@@ -184,7 +190,7 @@ def _blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for doc_id, n_bytes, text in zip(runtime.values(batch, "doc_id").to_pylist(), runtime.values(batch, "n_bytes").to_pylist(), runtime.texts(batch)):
                 block.add(doc_id, n_bytes, text)
-                if block.chars >= BLOCK_CHARS:
+                if block.chars >= BLOCK_CHARS or len(block.number) >= BLOCK_NAMES:
                     yield from block.rows(part << 32 | n)
                     block, n = _Block(bpe), n + 1
         if block.docs:
@@ -212,7 +218,9 @@ def _pieces(vocabulary: DataFrame, tokenizer: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([runtime.values(part, "block"), runtime.values(part, "number"), pa.array(out, pa.int32())], ["block", "number", "pieces"])
         runtime.trim()
 
-    return vocabulary.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(run, "block bigint, number int, pieces int")
+    # The first numbers of a block are its commonest pre-tokens, which nearly every block has: deal these by some of the blocks, too.
+    salt = F.when(F.col("number") < HOT_NUMBERS, F.pmod(F.xxhash64("block"), F.lit(SALTS))).otherwise(0)
+    return vocabulary.repartition("pretoken", salt).sortWithinPartitions("pretoken").mapInArrow(run, "block bigint, number int, pieces int")
 
 
 def _sums(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -109,14 +109,15 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     judged = pages.select(F.col(key).alias(key), F.col("url").cast("string").alias("url"))
     judged = judged.select(key, host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
     judged = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    probe = judged.withColumn("block", _block(F.coalesce(F.col("canonical"), F.lit("")), n_blocks))
+    asked = F.col("fit").isNull() & F.col("canonical").isNotNull()  # the others need no look at the list
+    probe = judged.where(asked).withColumn("block", _block(F.col("canonical"), n_blocks))
     bits = F.lit(True)
     for i, m in enumerate(_masks(F.col("canonical"))):
         bits = bits & (F.col(f"w{i}").bitwiseAND(m) != 0)
-    maybe = F.coalesce(F.col("fit").isNull() & F.col("canonical").isNotNull() & bits, F.lit(False))
+    maybe = F.coalesce(bits, F.lit(False))
     probe = probe.join(blocks, "block", "left").select(key, "host", "path", "canonical", "fit", maybe.alias("maybe"))
     hits = probe.where("maybe").join(known.withColumnRenamed("url", "canonical").withColumn("listed", F.lit(True)), "canonical", "left")
-    rest = probe.where(~F.col("maybe")).withColumn("listed", F.lit(None).cast("boolean"))
+    rest = probe.where(~F.col("maybe")).unionByName(judged.where(~asked).withColumn("maybe", F.lit(False))).withColumn("listed", F.lit(None).cast("boolean"))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("listed"), "block"), F.lit("allow"))
     return hits.unionByName(rest).select(key, "host", "path", "canonical", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "maybe")
 
