@@ -3,6 +3,12 @@
 Each stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and works on
 all documents that the stage before it kept. Between stages the documents are written
 as Parquet to the shared folder and read again.
+
+Every stage but the last takes and returns the columns of ``documents``; further columns,
+of any name, are left out. A null text has no words, lines or shingles and stays, as do
+empty ones; rows with a null doc_id stay each for itself; an empty table gives an empty
+one. Rows that repeat a doc_id and text are one after near dedup; texts that share a
+doc_id are judged each for itself. Ties are settled by doc_id, then by a hash of the text.
 """
 
 from __future__ import annotations
@@ -65,7 +71,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = runtime.table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = runtime.shared_path(spark, f"pipeline-{name}")
+        with runtime.scope(spark):  # what a stage wrote on its way goes with it
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            runtime.drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
