@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import runtime
 
 #: Bytes of text that a worker encodes together, and the number of words from which they are walked as arrays.
-BLOCK_BYTES, LEAST_ARRAY = 4_000_000, 48
+BLOCK_BYTES, LEAST_ARRAY = 10_000_000, 48
 #: The mark that ends a word, as a symbol beside the bytes.
 END = 256
 
@@ -71,12 +71,13 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 class PairTable:
-    """A hash table from small non-negative integer keys to integers, probed by arrays; absent keys give -1."""
+    """A hash table from non-negative 31-bit keys to integers, probed by arrays; absent keys give -1."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.shift = 64 - max(4, int(2 * len(keys)).bit_length())
-        self.mask = (1 << 64 - self.shift) - 1
-        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.shift = 32 - max(4, int(2 * len(keys)).bit_length())
+        self.mask = (1 << 32 - self.shift) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int32)
+        keys = keys.astype(np.int32)
         self.values = np.full(self.mask + 1, -1, np.int32)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
@@ -87,7 +88,7 @@ class PairTable:
             left, at = left[~won], (at[~won] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+        return (keys.view(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(self.shift)).astype(np.int32)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         at = self._slot(keys)
@@ -95,7 +96,7 @@ class PairTable:
         out = np.where(there == keys, self.values[at], -1)
         left = np.flatnonzero((there != keys) & (there >= 0))
         while len(left):
-            at[left] = (at[left] + 1) & self.mask
+            at[left] = (at[left] + 1) & np.int32(self.mask)
             there = self.keys[at[left]]
             hit = there == keys[left]
             out[left[hit]] = self.values[at[left[hit]]]
@@ -167,12 +168,13 @@ class MergeAutomaton:
         start, stop = start[order], stop[order]
         reach = np.maximum.accumulate(stop)
         apart = np.flatnonzero(start[1:] > reach[:-1]) + 1 if len(start) else np.zeros(0, np.int64)
-        self.place, self.wide = place, wide
-        self.row_start = start[np.concatenate([[0], apart])] if len(start) else start
-        self.row_stop = reach[np.append(apart, len(start)) - 1] if len(start) else stop
+        kind = np.uint32 if n * wide < 1 << 32 else np.int64  # small tables stay in a processor's cache
+        self.place, self.wide = place.astype(kind), kind(wide)
+        self.row_start = (start[np.concatenate([[0], apart])] if len(start) else start).astype(kind)
+        self.row_stop = (reach[np.append(apart, len(start)) - 1] if len(start) else stop).astype(kind)
         # An arc lives if both its parts do and its left part's state still had the arc of its right part.
         live = np.ones(n, bool)
-        own = self.place[self.right[first:]] + self.left[first:].astype(np.int64) * wide
+        own = place[self.right[first:]] + self.left[first:].astype(np.int64) * wide
         at = np.searchsorted(start, own, "right")
         early = np.zeros(n - first, bool)
         left = np.arange(n - first)
@@ -189,7 +191,7 @@ class MergeAutomaton:
 
     def follows(self, states: np.ndarray, arcs: np.ndarray) -> np.ndarray:
         """Whether each arc leaves each state."""
-        key = states * self.wide + self.place[arcs]
+        key = states.astype(self.place.dtype) * self.wide + self.place[arcs]
         at = np.searchsorted(self.row_start, key, "right") - 1
         return (at < 0) | (self.row_stop[np.maximum(at, 0)] <= key) if len(self.row_stop) else np.ones(len(key), bool)
 
@@ -209,7 +211,7 @@ class MergeAutomaton:
         self.arc_size = np.array([len(a[0]) for a in arcs], np.int32)
         self.arc_final = np.array([a[1] for a in arcs], bool)
         child: dict[int, int] = {}
-        nodes, arc_at, parent, node_of = 1, [-1], [-1], []
+        nodes, arc_at, parent, node_of = 1, [-1], [-1], []  # fewer than 2 ** 22 nodes
         for i, (label, final, _) in enumerate(arcs):
             node = 0
             for b in (*label, END) if final else label:
@@ -230,11 +232,11 @@ class MergeAutomaton:
 
     def _longest(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The longest arc that spells what comes at each place; -1 for none."""
-        node = np.zeros(len(at), np.int64)
+        node = np.zeros(len(at), np.int32)
         left, depth = np.arange(len(at)), 0
         while len(left):
             here = at[left] + depth
-            symbol = np.where(here < end[left], data[np.minimum(here, len(data) - 1)], np.int64(END))
+            symbol = np.where(here < end[left], data[np.minimum(here, len(data) - 1)], np.int32(END))
             down = self.child.get(node[left] << 9 | symbol)
             go = down >= 0
             left = left[go]
@@ -288,7 +290,7 @@ class MergeAutomaton:
             final = self.arc_final[a]
             good = final | ~dead[to - base]
             check = np.flatnonzero(good & (last[some] >= 0))
-            good[check] = self.follows(self.arc_token[last[some[check]]].astype(np.int64), self.arc_token[a[check]])
+            good[check] = self.follows(self.arc_token[last[some[check]]], self.arc_token[a[check]])
             bad = some[~good]
             arc[bad] = self.shorter[a[~good]]
             went, a, to, final = some[good], a[good], to[good], final[good]
@@ -316,7 +318,7 @@ class MergeAutomaton:
                 if final or not dead[to - base]:
                     if not n:
                         break
-                    key = int(self.arc_token[path[start - base + n - 1]]) * self.wide + int(self.place[self.arc_token[arc]])
+                    key = int(self.arc_token[path[start - base + n - 1]]) * int(self.wide) + int(self.place[self.arc_token[arc]])
                     k = bisect_right(rows, key) - 1
                     if k < 0 or stops[k] <= key:
                         break
@@ -349,7 +351,7 @@ class MergeAutomaton:
         keys, values, n = table.keys, table.values, len(word)
         while at <= n:
             key = node << 9 | (word[at] if at < n else END)
-            slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> table.shift
+            slot = (key * 0x9E3779B1 & 0xFFFFFFFF) >> table.shift
             while (there := keys[slot]) != key and there >= 0:
                 slot = slot + 1 & table.mask
             if there < 0:

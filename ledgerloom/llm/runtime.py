@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -113,7 +112,6 @@ def put_file(uri: str, data: bytes) -> None:
 
 def trim() -> None:
     """Give freed memory back at the end of a task: an idle worker should hold little."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if (give_back := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
         give_back(0)

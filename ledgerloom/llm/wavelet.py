@@ -38,7 +38,7 @@ def dump(tokens: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> b
     compress = zstandard.ZstdCompressor(level=1)
     body, planes, at = [], [], 0
     for level in range(bits - 1, -1, -1):
-        ones = (current >> level & 1).astype(bool)
+        ones = (current & current.dtype.type(1 << level)) != 0
         packed = np.packbits(ones, bitorder="little").tobytes()
         before, sizes, count = [], [], 0
         for i in range(0, len(packed), BLOCK):
