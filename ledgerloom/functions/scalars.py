@@ -172,6 +172,11 @@ def snippet(text: Column, most: int = 240) -> Column:
     return clip(F.array_join(lines, " "), most)
 
 
+def ordinal_key(value: Column) -> Column:
+    """A key that sorts texts by their UTF-16 units (Spark's own order is that of UTF-8 bytes, which differs beyond U+FFFF)."""
+    return F.encode(value, "UTF-16BE")
+
+
 def exit_kind(exit_: Column) -> Column:
     """The form of an exit, its argument apart."""
     return F.substring_index(exit_, ":", 1)
@@ -192,8 +197,11 @@ def is_negative(value: Column, words: str = NEGATIVE_OUTCOME) -> Column:
 
 def exit_label(exit_: Column, behavior: Column, labels: dict[str, str]) -> Column:
     """The text for an exit. ``labels`` maps exits and the prefixes ``fail:`` and ``throw:`` to texts in which ``{}`` is the argument (for ``validation`` the behavior)."""
-    other = F.concat(F.lit("`"), exit_, F.lit("`"))
+    start, _, end = labels.get("", "`{}`").partition("{}")
+    other = F.concat(F.lit(start), exit_, F.lit(end))
     for key, text in labels.items():
+        if not key:
+            continue
         before, mark, after = text.partition("{}")
         argument = F.coalesce(behavior, F.lit("validation")) if key == "validation" else F.substring(exit_, len(key) + 1, 1 << 30)
         shown = F.concat(F.lit(before), argument, F.lit(after)) if mark else F.lit(text)
@@ -201,24 +209,26 @@ def exit_label(exit_: Column, behavior: Column, labels: dict[str, str]) -> Colum
     return other
 
 
-#: English texts; another language is another table.
+#: The keys are the forms of exits (fixed values); the texts are English and ours, another language is another table. ``""`` is for all other exits.
 EXIT_LABELS = {
+    "": "`{}`",
     "validation": "`Result.Fail` ({})",
-    "silent_success": "`Result.Ok()` (silent success)",
+    "silent_success": "`Result.Ok()`, nobody is told",
     "return": "`return`",
-    "return_value": "`return` with a value",
-    "propagate": "error passed on",
-    "filter": "no query result",
+    "return_value": "`return` of a value",
+    "propagate": "hands an error on",
+    "filter": "the query finds nothing",
     "fail:": "`{}`",
-    "throw:": "exception `{}`",
+    "throw:": "throws `{}`",
 }
 ON_FAIL = {
-    "validation": "Validation error.",
-    "silent_success": "No action, no error.",
-    "return": "No action, no error.",
-    "return_value": "Returns a result without further work.",
-    "filter": "No query result.",
-    "propagate": "Error passed on.",
-    "fail:": "Error `{}`.",
-    "throw:": "Exception `{}`.",
+    "": "Ends with `{}`.",
+    "validation": "The input is refused.",
+    "silent_success": "Nothing happens and nobody is told.",
+    "return": "Nothing happens and nobody is told.",
+    "return_value": "A value comes back early.",
+    "filter": "The query finds nothing.",
+    "propagate": "The caller gets the error.",
+    "fail:": "Refused with `{}`.",
+    "throw:": "`{}` is thrown.",
 }

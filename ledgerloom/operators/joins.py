@@ -37,12 +37,21 @@ def attach_lists(left: DataFrame, right: DataFrame, key: str, column: str, order
 
 
 def attach_all(left: DataFrame, small: DataFrame, most: int = 10_000) -> DataFrame:
-    """Each row with each row of a side proven to have at most ``most`` rows (behaviors onto handlers)."""
-    rows = small.limit(most + 1).count()
-    if rows > most:
-        raise ValueError(f"more than {most} rows to attach to each row")
-    names = small.columns
-    return left.withColumn("_k", F.lit(1)).join(F.broadcast(small.select(F.lit(1).alias("_k"), *names)), "_k").drop("_k")
+    """Each row with each row of a small side (behaviors onto handlers).
+
+    The small side is counted. At most ``most`` rows of it are broadcast at a time; more are
+    attached in blocks, each in a pass of its own, so the result may be as large as it is
+    but nothing that is broadcast is.
+    """
+    names, rows = small.columns, small.count()
+    blocks = max(1, -(-rows // most))
+    block = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in names]), F.lit(blocks))
+    out = None
+    for b in range(blocks):
+        part = small if blocks == 1 else small.where(block == b)
+        one = left.withColumn("_k", F.lit(1)).join(F.broadcast(part.select(F.lit(1).alias("_k"), *names)), "_k").drop("_k")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def or_lookup(left: DataFrame, right: DataFrame, row_id: str, keys: Sequence[tuple[str, str]], order: str, keep: Sequence[str]) -> DataFrame:

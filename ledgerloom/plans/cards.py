@@ -138,10 +138,10 @@ def modules(facts: Facts) -> DataFrame:
     return counts.join(needs, "module", "left").select("module", "n_use_cases", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
 
 
-def glossary(facts: Facts, manual: DataFrame) -> DataFrame:
-    """Terms: manual ones win over those of entities (names compared without case), in order of term."""
+def glossary(facts: Facts, manual: DataFrame, collation: str = "pl_CI") -> DataFrame:
+    """Terms: manual ones win over those of entities (names compared without case), in the order of a language."""
     proposed = facts.entities.select(scalars.humanize(F.col("entity")).alias("term"), F.col("entity").alias("code_name"), F.lit(None).cast("string").alias("meaning"))
-    return joins.override_union(manual.select("term", "code_name", "meaning"), proposed, "code_name").orderBy(F.lower("term"), "term")
+    return joins.override_union(manual.select("term", "code_name", "meaning"), proposed, "code_name").orderBy(F.collate("term", collation), "term")
 
 
 def link_errors(texts: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def rules_evaluate(spark, sf_dir):
 @query("""
 WITH g AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN 'validation' WHEN 1 THEN 'return' ELSE 'filter' END AS exit, CASE WHEN turn % 4 = 3 THEN 'Other.Check' ELSE 'H.Handle' END AS via FROM conversations),
 c AS (SELECT conv_id, role, min(turn) AS t, bool_or(exit <> 'validation' AND via = 'Other.Check') AS far FROM g GROUP BY ALL),
-x AS (SELECT conv_id, exit, CASE exit WHEN 'validation' THEN '`Result.Fail` (validation)' WHEN 'return' THEN '`return`' ELSE 'no query result' END AS label, min(turn) AS t FROM g GROUP BY ALL),
+x AS (SELECT conv_id, exit, CASE exit WHEN 'validation' THEN '`Result.Fail` (validation)' WHEN 'return' THEN '`return`' ELSE 'the query finds nothing' END AS label, min(turn) AS t FROM g GROUP BY ALL),
 xs AS (SELECT conv_id, CASE WHEN bool_or(exit <> 'filter') THEN string_agg(label, ' / ' ORDER BY t) FILTER (exit <> 'filter') ELSE string_agg(label, ' / ' ORDER BY t) END AS exits FROM x GROUP BY conv_id)
 SELECT conv_id, (SELECT string_agg('`' || role || '`' || CASE WHEN far THEN ' in `Other.Check`' ELSE '' END, ', ' ORDER BY t) FROM c WHERE c.conv_id = xs.conv_id) AS condition, exits FROM xs
 """)

@@ -124,8 +124,8 @@ _EXITS = {"click": "return", "error": "throw:Net.Timeout", "purchase": "silent_s
 @query("""
 WITH x(event_type, exit) AS (VALUES ('click', 'return'), ('error', 'throw:Net.Timeout'), ('purchase', 'silent_success'), ('signup', 'fail:Taken'), ('view', 'validation'))
 SELECT event_id, exit LIKE 'fail:%' OR exit LIKE 'throw:%' OR exit = 'validation' AS failure,
-  CASE exit WHEN 'return' THEN '`return`' WHEN 'silent_success' THEN '`Result.Ok()` (silent success)' WHEN 'validation' THEN '`Result.Fail` (gate)' WHEN 'fail:Taken' THEN '`Taken`' ELSE 'exception `Net.Timeout`' END AS label,
-  CASE exit WHEN 'return' THEN 'No action, no error.' WHEN 'silent_success' THEN 'No action, no error.' WHEN 'validation' THEN 'Validation error.' WHEN 'fail:Taken' THEN 'Error `Taken`.' ELSE 'Exception `Net.Timeout`.' END AS on_fail,
+  CASE exit WHEN 'return' THEN '`return`' WHEN 'silent_success' THEN '`Result.Ok()`, nobody is told' WHEN 'validation' THEN '`Result.Fail` (gate)' WHEN 'fail:Taken' THEN '`Taken`' ELSE 'throws `Net.Timeout`' END AS label,
+  CASE exit WHEN 'return' THEN 'Nothing happens and nobody is told.' WHEN 'silent_success' THEN 'Nothing happens and nobody is told.' WHEN 'validation' THEN 'The input is refused.' WHEN 'fail:Taken' THEN 'Refused with `Taken`.' ELSE '`Net.Timeout` is thrown.' END AS on_fail,
   regexp_matches(event_type, '(?i)fail|reject|cancel|error') AS failed_status, exit IN ('silent_success', 'return') AS silent
 FROM events JOIN x USING (event_type)
 """)

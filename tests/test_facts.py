@@ -87,7 +87,7 @@ def test_silent_stops(facts, spark):
 
 def test_rules_of_cards(facts):
     got = {(r.entry_id, r.no): r for r in cards.rules(facts).collect()}
-    assert (REGISTER, 1) in got and got[REGISTER, 1].on_fail == "Error `TooHeavy`."  # the technical id is gone
+    assert (REGISTER, 1) in got and got[REGISTER, 1].on_fail == "Refused with `TooHeavy`."  # the technical id is gone
     assert got[PRINT, 1].guard_ids == ["G1"] and got[PRINT, 2].guard_ids == ["G2", "G3"] and got[PRINT, 3].guard_ids == ["G4", "G5"]
     assert cards.numbering_errors(cards.rules(facts)).count() == 0
     used = cards.rules(facts).select("entry_id", F.explode("guard_ids").alias("guard_id"))

@@ -150,8 +150,10 @@ def test_lookups(spark):
     handlers = spark.createDataFrame([("m1", ["h"]), ("m2", [])], "message string, guards array<string>")
     validators = spark.createDataFrame([("m1", 2, "b"), ("m1", 1, "a")], "message string, pos int, guards string")
     assert {x.message: x.guards for x in joins.attach_lists(handlers, validators, "message", "guards", "pos").collect()} == {"m1": ["a", "b", "h"], "m2": []}
-    with pytest.raises(ValueError):
-        joins.attach_all(spark.range(2), spark.range(5), 4)
+    many = joins.attach_all(spark.range(2), spark.range(5).withColumnRenamed("id", "x"), 2)  # more than are broadcast at a time
+    assert sorted(map(tuple, many.collect())) == [(a, b) for a in range(2) for b in range(5)]
+    order = spark.createDataFrame([("\U0001f600",), ("\uffee",)], "x string")
+    assert [r.x for r in order.orderBy(scalars.ordinal_key(F.col("x"))).collect()] == ["\U0001f600", "\uffee"] and [r.x for r in order.orderBy("x").collect()] == ["\uffee", "\U0001f600"]
 
 
 def test_divide(spark):
