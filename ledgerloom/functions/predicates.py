@@ -22,10 +22,11 @@ OPERATORS = tuple(NEGATED)
 
 
 def number(text: Column) -> Column:
-    """The number that a text means, else null. A sign may also come last."""
+    """The number that a text means, else null. A sign may also come last. Bare digits, the common case, need no pattern."""
+    digits = F.length(text).between(1, 18) & (F.translate(text, "0123456789", "") == "")
     plain = F.regexp_replace(F.trim(text), ",", "")
     turned = F.regexp_replace(plain, "^(.*)([+-])$", "$2$1")
-    return F.when(text.rlike(NUMBER), turned.try_cast(DECIMAL))
+    return F.when(digits, text.try_cast(DECIMAL)).when(text.rlike(NUMBER), turned.try_cast(DECIMAL))
 
 
 def normalize(right: Column) -> Column:
