@@ -39,8 +39,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; rows that repeat one in id and text are one."""
-    return near_dedup.without_near_copies(docs.select(*COLUMNS))
+    """One document of each component (five-word shingles, 0.8) stays; rows that repeat one in id and text are one."""
+    return near_dedup.without_near_copies(docs.select(*COLUMNS), near_dedup.Likeness(shingle=5, per_cent=80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), near_dedup.CONTRACT)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,15 +34,15 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
-def words(text):
+def words(text, k):
     low = bytes(b | 32 if 65 <= b <= 90 else b for b in range(256))
     w = (text or "").encode().translate(low).split()
-    return frozenset([tuple(w)] if 0 < len(w) < 3 else [tuple(w[i : i + 3]) for i in range(len(w) - 2)])
+    return frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)])
 
 
-def brute(rows):
-    sets = {i: words(t) for i, t in rows}
-    edges = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+def brute(rows, like):
+    sets = {i: words(t, like.shingle) for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= like.per_cent * len(sets[a] | sets[b])]
     return sets, roots(sets, edges)
 
 
@@ -67,12 +67,12 @@ def rows():
     return list(enumerate(out, 10))
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK, 3])
-def test_near_duplicates(spark, rows, monkeypatch, block):
+@pytest.mark.parametrize("block, like", [(near_dedup.BLOCK, near_dedup.CONTRACT), (3, near_dedup.CONTRACT), (near_dedup.BLOCK, near_dedup.Likeness())])
+def test_near_duplicates(spark, rows, monkeypatch, block, like):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    sets, parts = brute(rows)
+    sets, parts = brute(rows, like)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, rep string")
-    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs, like).collect()}
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
     assert {i: r.component_id for i, r in got.items()} == parts
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
@@ -85,6 +85,15 @@ def test_edges(spark, rows):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_sketch_follows_the_similarity():
+    for like in (near_dedup.CONTRACT, near_dedup.Likeness(), near_dedup.Likeness(4, 95)):
+        t = like.per_cent / 100
+        assert like.bands * like.rows <= near_dedup.HASHES and (1 - t**like.rows) ** like.bands < near_dedup.MISS
+        rng = np.random.default_rng(1)
+        assert (rng.binomial(near_dedup.HASHES, t, 100_000) >= like.least_equal).all()
+    assert (near_dedup.Likeness().shingle, near_dedup.Likeness().per_cent) == (5, 80)
+
+
 def test_spanning_links_joins_all_it_can():
     sets = [np.arange(a, a + 200, dtype=np.uint64) for a in (0, 10, 20, 30, 500)]
     sigs = np.stack([near_dedup.minima(s).astype("<u2") for s in sets])
