@@ -252,8 +252,8 @@ class MergeAutomaton:
         canonical tokenization of what is before it, so there is one, and a place that
         leads nowhere is never tried again. An empty word has no tokens.
         """
-        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
-        data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+        offsets, data = runtime.parts(words)
+        offsets = offsets.astype(np.int64)
         start, end = offsets[:-1], offsets[1:]
         base = int(offsets[0])
         room = int(offsets[-1]) - base
@@ -373,13 +373,6 @@ def _any_in(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return before[offsets[1:]] > before[offsets[:-1]]
 
 
-def _parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (from 0) and bytes of a string array."""
-    offsets = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1, 4 * strings.offset)
-    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
-    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
-
-
 class WordBpe:
     """The tokenizer of a ``.json`` file whose words end in an end-of-word mark and whose white space is dropped."""
 
@@ -429,10 +422,10 @@ class WordBpe:
 
     def _odd(self, pieces: pa.Array, lowered: pa.Array) -> np.ndarray:
         """Which pieces hold more than printable ASCII and the letters U+00C0 to U+024F, or an added token."""
-        offsets, data = _parts(pieces)
+        offsets, data = runtime.parts(pieces)
         after = np.append(data[1:], 0) if len(data) else data
         dotted = (data == 0xC4) & (after == 0xB0)  # its lower case is two characters
-        low_offsets, low = _parts(lowered)
+        low_offsets, low = runtime.parts(lowered)
         after = np.append(low[1:], 0) if len(low) else low
         signs = (low == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (low == 0xC9) & (after > 0x8F)
         odd = _any_in(dotted, offsets) | _any_in(_ODD[low] | signs, low_offsets)
@@ -442,7 +435,7 @@ class WordBpe:
 
     def _split(self, lowered: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words begin in lower-case pieces, by byte, and which word is the first of each piece: runs of letters or of others, single digits, and the seven contractions."""
-        offsets, data = _parts(lowered)
+        offsets, data = runtime.parts(lowered)
         kind = _KIND[data]
         new = np.empty(len(data), bool)
         if len(data):
@@ -473,7 +466,7 @@ class WordBpe:
         lowered = pc.utf8_lower(pieces)
         odd = self._odd(pieces, lowered)
         starts, first = self._split(lowered, odd)
-        _, data = _parts(lowered)
+        _, data = runtime.parts(lowered)
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
         others: list[list[bytes | int]] = [self._odd_words(p) for p in pieces.filter(pa.array(odd)).to_pylist()]
         plain = np.ones(len(starts), bool)

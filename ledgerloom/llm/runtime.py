@@ -126,6 +126,19 @@ def byte_table(word_bytes: Iterable[int] | None = None) -> np.ndarray:
     return table
 
 
+def parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0, as wide as the array's type has them) and bytes of an array of strings or binaries without nulls."""
+    wide = pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type)
+    if not (wide or pa.types.is_string(strings.type) or pa.types.is_binary(strings.type)):
+        raise TypeError(f"strings are needed, not {strings.type}")
+    if not len(strings):
+        return np.zeros(1, np.int64 if wide else np.int32), np.zeros(0, np.uint8)
+    kind = np.dtype(np.int64 if wide else np.int32)
+    offsets = np.frombuffer(strings.buffers()[1], kind, len(strings) + 1, kind.itemsize * strings.offset)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
 def words(texts: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The words of some texts, which ASCII white space separates once their bytes went through a table.
 
@@ -134,9 +147,8 @@ def words(texts: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray,
     """
     texts = pc.fill_null(texts, "")
     if table is not None:
-        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
-        data = table[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
-        texts = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data)])
+        offsets, data = parts(texts)
+        texts = pa.Array.from_buffers(texts.type, len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(table[data])])
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
     names = coded.dictionary.cast(pa.binary()).to_pylist()
