@@ -111,16 +111,16 @@ def range_lookup(points: DataFrame, spans: DataFrame, row_id: str, key: str, at:
 def asof_forward(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """For each row of ``left`` the ``value`` of the first row of ``right`` with the same key at or after it; left outer.
 
-    Both sides are laid on one line for each key; the next value is seen by a window
-    from the current row on. No pairs are made.
+    Both sides are laid on one line for each key, the furthest first; the value that was
+    seen last is carried along, so a key takes one pass. No pairs are made.
     """
     cols = left.columns
     a = left.select("*", F.lit(0).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.lit(None).cast(right.schema[at].dataType).alias("_found"))
     blank = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols if c not in (key, at)]
     b = right.select(F.col(key), F.col(at), *blank, F.lit(1).alias("_side"), F.col(value).alias("_value"), F.col(at).alias("_found"))
-    ahead = Window.partitionBy(key).orderBy(F.col(at), F.col("_side"), F.col("_value")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    seen = Window.partitionBy(key).orderBy(F.desc(at), F.desc("_side"), F.desc("_value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line = a.unionByName(b)
-    line = line.withColumn("next_at", F.first("_found", True).over(ahead)).withColumn("next_value", F.first("_value", True).over(ahead))
+    line = line.withColumn("next_at", F.last("_found", True).over(seen)).withColumn("next_value", F.last("_value", True).over(seen))
     return line.where(F.col("_side") == 0).select(*cols, "next_at", "next_value")
 
 

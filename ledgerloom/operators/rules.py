@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import predicates, scalars
+from ledgerloom.functions import conditions, predicates, scalars
 from ledgerloom.operators import joins
 
 #: How a condition asks for a feature flag (fixed value: input grammar).
@@ -132,6 +132,28 @@ def structured_results(guards: DataFrame, entities: DataFrame, fields: DataFrame
     )
 
 
+def structure(guards: DataFrame) -> DataFrame:
+    """Guards with ``left_side, op, right_side`` out of their ``condition`` where they have none and it is a single comparison."""
+    form = conditions.structured(conditions.normal_form(F.col("condition")))
+    own = F.col("left_side").isNotNull() | (F.col("kind") == "filter")
+    found = guards.withColumn("_form", F.when(~own, form))
+    return found.select(*[F.coalesce(c, f"_form.{part}").alias(c) if (part := {"left_side": "left", "op": "op", "right_side": "right"}.get(c)) else F.col(c) for c in guards.columns])
+
+
+def compound_results(guards: DataFrame, entities: DataFrame, fields: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """As ``structured_results``, of guards with ``condition`` alone: its comparisons are evaluated each for itself and then joined."""
+    formed = guards.select("guard_id", "condition", conditions.normal_form(F.col("condition")).alias("form"))
+    atoms = formed.select("guard_id", F.posexplode("form.atoms").alias("place", "a")).where("a.op IS NOT NULL")
+    asked = atoms.select(F.concat_ws("\u0001", "guard_id", "place").alias("guard_id"), F.col("a.text").alias("condition"), F.col("a.left").alias("left_side"), "a.op", F.col("a.right").alias("right_side"))
+    each = structured_results(asked, entities, fields, placed, rows)
+    whole, place = F.substring_index("guard_id", "\u0001", 1), F.substring_index("guard_id", "\u0001", -1).cast("int")
+    found = each.select("case_id", whole.alias("guard_id"), F.struct(place.alias("place"), "result", "evidence").alias("one"), "not_fetched").groupBy("case_id", "guard_id").agg(F.array_sort(F.collect_list("one")).alias("every"), F.bool_or("not_fetched").alias("not_fetched"))
+    results = F.map_from_entries(F.transform("every", lambda x: F.struct(x["place"], x["result"])))
+    joined = found.join(formed, "guard_id").withColumn("results", results)
+    evidence = F.array_join(F.array_distinct(F.transform("every", lambda x: x["evidence"])), "; ")
+    return joined.select("case_id", "guard_id", conditions.holds(F.col("form"), lambda a, place: F.try_element_at("results", place)).alias("result"), evidence.alias("evidence"), "not_fetched")
+
+
 def filter_counts(guards: DataFrame, fields: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
     """``(case_id, guard_id, matched, evidence, not_fetched)`` of filter guards; ``matched`` null if it can't be told.
 
@@ -161,16 +183,20 @@ def filter_counts(guards: DataFrame, fields: DataFrame, placed: DataFrame, rows:
     return out.select("case_id", "guard_id", F.when(known, F.coalesce("n", F.lit(0))).alias("matched"), evidence.alias("evidence"), (F.col("atoms").isNotNull() & F.col("entity").isNotNull() & F.col("snap_table").isNull()).alias("not_fetched"))
 
 
-def evaluate(rule_guards: DataFrame, entities: DataFrame, fields: DataFrame, cases: DataFrame, tables: DataFrame, rows: DataFrame, config: DataFrame) -> DataFrame:
+def evaluate(rule_guards: DataFrame, entities: DataFrame, fields: DataFrame, cases: DataFrame, tables: DataFrame, rows: DataFrame, config: DataFrame, parse: bool = False) -> DataFrame:
     """``(case_id, rule_id, state, silent, evidence, missing)`` for each rule and case; ``missing``: evidence that says what the case lacks.
 
     ``rule_guards``: ``rule_id, pos, guard_id, kind, condition, exit, left_side, op,
     right_side``. Only a rule's first filter counts; once it has one, every other guard
-    that is neither validation nor a flag is decided by the filter's count.
+    that is neither validation nor a flag is decided by the filter's count. With ``parse``
+    guards without a structured form are evaluated by what their condition says.
     """
     placed = entity_tables(entities, cases, tables)
     once = rule_guards.dropDuplicates(["guard_id"])
-    structured = structured_results(once.where("left_side IS NOT NULL"), entities, fields, placed, rows).select("case_id", "guard_id", F.col("result").alias("s_result"), F.col("evidence").alias("s_evidence"), F.col("not_fetched").alias("s_lost"))
+    structured = structured_results(once.where("left_side IS NOT NULL"), entities, fields, placed, rows)
+    if parse:
+        structured = structured.unionByName(compound_results(once.where("left_side IS NULL AND kind <> 'filter'"), entities, fields, placed, rows))
+    structured = structured.select("case_id", "guard_id", F.col("result").alias("s_result"), F.col("evidence").alias("s_evidence"), F.col("not_fetched").alias("s_lost"))
     counts = filter_counts(once.where("kind = 'filter'"), fields, placed, rows)
     filters = rule_guards.where("kind = 'filter'").groupBy("rule_id").agg(F.min_by("guard_id", "pos").alias("filter_id"))
     flag = F.regexp_extract("condition", FLAG, 1)

@@ -19,7 +19,6 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars, text
 from ledgerloom.operators import diagnose, graph, joins, retrieval, rules, sync
 from ledgerloom.plans import cards, flows, render, tools
-from ledgerloom.sources import expected, settings, sinks, snapshots
+from ledgerloom.sources import expected, files, settings, sinks, snapshots
 from ledgerloom.sources import facts as fact_source
 from ledgerloom.sources import pages as page_source
 
@@ -104,10 +103,8 @@ def search_index(pages: DataFrame, path: str) -> int:
 
 
 def _newest(path: str) -> int:
-    try:
-        return int(Path(path.removeprefix("file://"), "_current").read_text())
-    except FileNotFoundError:
-        return 0
+    found = files.read(f"{path}/_current")
+    return int(found) if found else 0
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame | None:
@@ -224,11 +221,10 @@ def main(argv: list[str] | None = None) -> int:
 
 def page_notes(spark: SparkSession, root: str) -> DataFrame:
     """``path, notes`` of the page files below a folder that may not be there yet."""
-    folder = Path(root.removeprefix("file://"))
-    if not folder.is_dir() or not any(folder.rglob("*.md")):
+    if not any(name.endswith(".md") for name in files.names(root, deep=True)):
         return spark.createDataFrame([], "path string, notes string")
-    files = page_source.read_pages(spark, root)
-    return page_source.with_notes(files, files).select("path", "notes")
+    found = page_source.read_pages(spark, root)
+    return page_source.with_notes(found, found).select("path", "notes")
 
 
 if __name__ == "__main__":

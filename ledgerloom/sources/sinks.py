@@ -6,34 +6,27 @@ partitions, or on the driver where that is said. Deciding what to do stays a Dat
 
 from __future__ import annotations
 
-import os
 import time
-import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph, sync
+from ledgerloom.sources import files
 
 #: Sizes of batches, attempts, and the longest pause in seconds (fixed values of the service protocol).
 UPSERT_BATCH, DELETE_BATCH, ATTEMPTS, LONGEST_PAUSE = 64, 256, 4, 60.0
 
 
 def put(path: str, content: str) -> None:
-    """Write a whole file in one step, so that a retried or doubled task is harmless."""
-    target = Path(path.removeprefix("file://"))
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-    part.write_text(content, encoding="utf-8", newline="")
-    os.replace(part, target)
+    """Write a whole file (a path or a URI) in one step."""
+    files.put(path, content.encode())
 
 
 def write_if_changed(path: str, content: str) -> bool:
     """Write a file only where its content differs; whether it was written."""
-    target = Path(path.removeprefix("file://"))
-    if target.exists() and target.read_bytes() == content.encode():
+    if files.read(path) == content.encode():
         return False
     put(path, content)
     return True
@@ -46,7 +39,14 @@ def write_json(df: DataFrame, path: str) -> bool:
 
 
 def write_pages(pages: DataFrame, root: str) -> DataFrame:
-    """Write page files (``path, content``) below a folder that all executors share; ``(path, written)``."""
+    """Write page files (``path, content``) below a folder that all executors share; ``(path, written)``.
+
+    A path that is absolute, null or leads out of the folder is an error, before anything is written.
+    """
+    outside = F.col("path").isNull() | F.col("path").startswith("/") | (F.col("path") == "") | F.col("path").rlike("(^|/)\\.\\.(/|$)")
+    bad = [r.path for r in pages.where(outside).select("path").limit(5).collect()]
+    if bad:
+        raise ValueError(f"paths outside the folder: {bad}")
 
     def run(batches):
         import pandas as pd
@@ -54,19 +54,17 @@ def write_pages(pages: DataFrame, root: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"path": pdf["path"], "written": [write_if_changed(f"{root.rstrip('/')}/{p}", c) for p, c in zip(pdf["path"], pdf["content"])]})
 
-    inside = pages.where(~F.col("path").startswith("/") & ~F.col("path").rlike("(^|/)\\.\\.(/|$)"))
-    return graph.cut(inside.select("path", "content").mapInPandas(run, "path string, written boolean"))  # written once
+    return graph.cut(pages.select("path", "content").mapInPandas(run, "path string, written boolean"))  # written once
 
 
 def delete_stale(old: DataFrame, new: DataFrame, root: str) -> list[str]:
     """Delete files of the old manifest (``path``) that the new one lacks, only inside ``root``; those deleted."""
-    base, gone = Path(root.removeprefix("file://")).resolve(), []
+    gone = []
     prefixed = lambda df: df.select(F.concat(F.lit("out/"), "path").alias("path"))
     for row in sync.stale_paths(prefixed(old), prefixed(new), "out").toLocalIterator():
-        target = (base / row.path.removeprefix("out/")).resolve()
-        if target.is_relative_to(base) and target.is_file():
-            target.unlink()
-            gone.append(str(target.relative_to(base)))
+        path = row.path.removeprefix("out/")
+        if files.inside(path) and files.remove(f"{root.rstrip('/')}/{path}"):
+            gone.append(path)
     return sorted(gone)
 
 

@@ -277,3 +277,15 @@ def test_jobs(spark, tmp_path):
     folder = str(tmp_path / "cache")
     cards.cache_answers(made, cards.read_cache(spark, folder), folder)
     assert {r.card_hash for r in cards.read_cache(spark, folder).collect()} == {"a", "b", "c"}
+
+
+def test_asof_forward_takes_one_pass_of_a_key(spark):
+    """A million rows of one key; ties at the same place take the smallest value."""
+    n = 500_000
+    left = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") * 2).alias("at"))
+    right = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") * 2 + F.when(F.col("id") % 3 == 0, 0).otherwise(1)).alias("at"), F.col("id").alias("v"))
+    got = joins.asof_forward(left, right, "key", "at", "v")
+    assert got.agg(F.count_if(F.col("next_at").isNotNull()), F.count_if(F.col("next_value") == F.col("at") / 2)).first() == (n, n)
+    few = spark.createDataFrame([("a", 1), ("a", 5), ("b", 1)], "key string, at int")
+    ties = spark.createDataFrame([("a", 1, 9), ("a", 1, 3), ("a", 4, 1)], "key string, at int, v int")
+    assert {(r.key, r.at, r.next_at, r.next_value) for r in joins.asof_forward(few, ties, "key", "at", "v").collect()} == {("a", 1, 1, 3), ("a", 5, None, None), ("b", 1, None, None)}

@@ -239,3 +239,29 @@ def test_main(spark, tmp_path, capsys):
     assert run.main(["ask", *facts, "print", "label"]) == 0 and run.main(["agent", *facts, "--out", str(tmp_path / "r.md"), "label"]) == 0
     said = capsys.readouterr().out
     assert "index: 8 entries, 3 entities" in said and "search-index: " in said and "1. " in said and (tmp_path / "r.md").read_text().startswith("# Answer")
+
+
+def test_pages_outside_the_folder_are_an_error(spark, tmp_path):
+    for path in ("/etc/x.md", "a/../../x.md", "", None):
+        pages = spark.createDataFrame([("a.md", "fine"), (path, "not")], "path string, content string")
+        with pytest.raises(ValueError, match="outside"):
+            sinks.write_pages(pages, f"file://{tmp_path}/out")
+    assert not (tmp_path / "out").exists()
+
+
+def test_files_by_uri(tmp_path, monkeypatch):
+    from pyarrow import fs as pafs
+
+    from ledgerloom.sources import files
+
+    monkeypatch.chdir(tmp_path)
+    with pytest.raises(Exception, match="(?i)scheme|uri"):  # never a local folder of that name
+        sinks.put("nowhere://host/folder/x.txt", "text")
+    assert list(tmp_path.iterdir()) == []
+    store = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())
+    real = files.open_fs
+    monkeypatch.setattr(files, "open_fs", lambda uri: (store, uri.split("://", 1)[1]) if uri.startswith("store://") else real(uri))
+    assert sinks.write_if_changed("store://a/b.txt", "é") and not sinks.write_if_changed("store://a/b.txt", "é") and sinks.write_if_changed("store://a/b.txt", "f")
+    assert (tmp_path / "a/b.txt").read_text() == "f" and files.names("store://a") == ["b.txt"] and files.read("store://a/none") is None
+    assert files.remove("store://a/b.txt") and not files.remove("store://a/b.txt")
+    assert files.names("store://none") == [] and files.names("store://", deep=True) == ["a"]
