@@ -207,9 +207,10 @@ def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
     runtime.ship(digests.sparkSession)
 
     def pass_filter(group: pa.Table, own: pa.Table) -> pa.Table:
+        asked = runtime.plain(group.select(["digest", "bucket"]))
         if not own.num_rows or not group.num_rows:
-            return group.select(["digest", "bucket"]).slice(0, 0)
-        return group.select(["digest", "bucket"]).filter(pa.array(_fuse(own.to_pylist()[0]).maybe(group.column("key").to_numpy())))
+            return asked.slice(0, 0)
+        return asked.filter(pa.array(_fuse(own.to_pylist()[0]).maybe(group.column("key").to_numpy())))
 
     keyed = _keyed(digests.select("digest"), first.buckets).groupBy("bucket")
     maybe = keyed.cogroup(filters.drop("buckets").groupBy("bucket")).applyInArrow(pass_filter, "digest binary, bucket int")

@@ -42,6 +42,8 @@ HASHES = 192
 MISS, FAIL = 3e-7, 1e-8
 #: Classes of a bucket that one task compares with each other; larger buckets are cut.
 BLOCK = 512
+#: Bytes of the sets of such a part, as far as single sets allow.
+SET_BYTES = 64_000_000
 #: Bytes of text that are hashed together.
 BLOCK_BYTES = 4_000_000
 
@@ -244,8 +246,11 @@ def spanning_links(reps: list[bytes], parts: list[bytes], sigs: np.ndarray, sets
 
 
 def _search(rows: DataFrame, like: Likeness) -> DataFrame:
-    """Links between components of buckets; rows: ``h, n, rep, part, sig, shingles``."""
-    cuts = F.ceil(F.col("n") / BLOCK).cast("int")
+    """Links between components of buckets; rows: ``h, n, bytes, rep, part, sig, shingles``.
+
+    A task gets two parts of a bucket, of about ``BLOCK`` rows or ``SET_BYTES`` each.
+    """
+    cuts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / SET_BYTES), F.lit(1)).cast("int")
     cut = rows.withColumn("cuts", cuts).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
     tasks = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("side")).alias("i"), F.greatest(k, F.col("side")).alias("j")))
     dealt = cut.select("h", "rep", "part", "sig", "shingles", "side", F.explode(tasks).alias("t")).select("h", "t.i", "t.j", "rep", "part", "sig", "shingles", "side")
@@ -271,7 +276,7 @@ def grouped(documents: DataFrame, like: Likeness) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     sketches = runtime.table(_sketches(docs, like), "sketches")
     real = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("fp").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.any_value("bands").alias("bands")).select("fp", "first.*", "bands")
+    classes = real.groupBy("fp").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles")).select("fp", "first.*", "bands", "n_shingles")
     classes = runtime.table(classes.withColumn("rep", _name("doc_id", "fp")), "classes")
     bands = classes.select("rep", F.explode("bands").alias("h"))
     buckets = bands.groupBy("h").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -285,7 +290,9 @@ def grouped(documents: DataFrame, like: Likeness) -> DataFrame:
     placed = members.join(parts, members.rep == parts.node, "left").select("h", "n", "rep", F.coalesce("component", "rep").alias("part"))
     placed = runtime.table(placed, "placed")
     mixed = placed.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h")
-    rows = placed.join(mixed, "h").join(profiles, "rep").select("h", "n", "rep", "part", "sig", "shingles")
+    # A set has as many bytes as 8 times its shingles, whose number is known without reading it.
+    sizes = placed.join(mixed, "h").join(classes.select("rep", "n_shingles"), "rep").groupBy("h").agg((8 * F.sum("n_shingles")).alias("bytes"))
+    rows = placed.join(sizes, "h").join(profiles, "rep").select("h", "n", "bytes", "rep", "part", "sig", "shingles")
     more = runtime.table(_search(rows, like), "links")
     joined = components(links.unionByName(more))
 
@@ -311,16 +318,15 @@ def near_duplicates(documents: DataFrame, like: Likeness = Likeness()) -> DataFr
 def without_near_copies(documents: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """One row of each component, of those with its smallest doc_id, and one of each group of rows without shingles or doc_id that agree in doc_id and text.
 
-    All columns stay (a column ``_version`` or ``_none`` would clash). Each row's text
-    travels once.
+    All columns stay, whatever their names. Each row's text travels once.
     """
     rows = grouped(documents, like)
     named = rows.where(F.col("doc_id") == _doc_id("component")).groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("one")).select("one.*")
     rest = rows.where("component IS NULL").select("doc_id", "version").distinct()
     # A null doc_id is a value here.
-    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
-    kept = named.unionByName(rest).select(*key, F.col("version").alias("_version"))
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    kept = named.unionByName(rest).select(*key, "version")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents.select("*", *key, F.xxhash64(text).alias("_version"))
-    names = ["_id", "_none", "_version"]
-    return docs.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
+    docs = documents.select(F.struct("*").alias("row"), *key, F.xxhash64(text).alias("version"))
+    names = ["id", "none", "version"]
+    return docs.join(kept, names, "left_semi").dropDuplicates(names).select("row.*")

@@ -182,6 +182,12 @@ def values(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def plain(table: pa.Table) -> pa.Table:
+    """Texts and binaries of a table with 32-bit offsets, as grouped functions must return them, whatever they were given."""
+    to = {pa.large_string(): pa.string(), pa.large_binary(): pa.binary()}
+    return table.cast(pa.schema([pa.field(f.name, to.get(f.type, f.type)) for f in table.schema]))
+
+
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name neither clash nor travel."""
     return df.select(*[F.col(f"`{n}`") for n in names])

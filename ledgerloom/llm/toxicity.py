@@ -11,9 +11,9 @@ class has it than the other (the logarithm of the ratio), as the rows say that a
 is trained on: the rows of the other folds only, where it is to predict a fold. The
 probability from which a document counts comes from the out-of-fold predictions, too.
 
-Training uses at most ``SAMPLE`` labelled documents (those whose doc_id has the
-smallest hash); only their feature numbers reach the driver. Prediction covers all
-documents and is narrow.
+Training uses at most ``SAMPLE`` labelled rows (those with the smallest hashes of doc_id
+and text) and at most ``CELLS`` features of them; only their feature numbers reach the
+driver. Prediction covers all documents and is narrow.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import runtime
 
-SAMPLE, BITS, FOLDS, BEGINNING = 6000, 18, 4, 5
+SAMPLE, CELLS, BITS, FOLDS, BEGINNING = 6000, 20_000_000, 18, 4, 5
 RIDGE, STEPS = 1e-3, 80
 #: Share of the documents without the last category that may be taken for ones with it, and the least probability that counts.
 MAX_FALSE, LEAST = 0.001, 0.4
@@ -180,11 +180,14 @@ class Chain:
 
 
 def _sample(documents: DataFrame, labels: DataFrame, categories: Sequence[str], size: int) -> DataFrame:
-    """``doc_id``, the categories and ``features`` of the labelled documents to learn from."""
+    """``doc_id``, the categories and ``features`` of at most ``size`` labelled rows to learn from; rows that agree in id and text are one."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
     known = known.dropna().groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)  # at most ``size`` narrow rows, so they can be broadcast
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
+    # Ids may repeat without bound: of the narrow rows again as many as may be.
+    rows = docs.select("doc_id", "version").join(F.broadcast(chosen), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "version").limit(size)
+    docs = docs.join(F.broadcast(rows), ["doc_id", "version"])
     names = [f"y{i}" for i in range(len(categories))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,11 +196,22 @@ def _sample(documents: DataFrame, labels: DataFrame, categories: Sequence[str],
             for some in runtime.slices(runtime.values(batch, "text"), BLOCK_BYTES):
                 found, bounds = features(some)
                 part = batch.slice(at, len(some))
-                yield pa.RecordBatch.from_arrays([runtime.values(part, "doc_id"), *(runtime.values(part, y) for y in names), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found))], ["doc_id", *names, "features"])
+                yield pa.RecordBatch.from_arrays([runtime.values(part, "doc_id"), runtime.values(part, "version"), *(runtime.values(part, y) for y in names), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found))], ["doc_id", "version", *names, "features"])
                 at += len(some)
         runtime.trim()
 
-    return docs.mapInArrow(run, f"doc_id bigint, {', '.join(f'{y} int' for y in names)}, features array<int>")
+    return docs.mapInArrow(run, f"doc_id bigint, version bigint, {', '.join(f'{y} int' for y in names)}, features array<int>").dropDuplicates(["doc_id", "version"])
+
+
+def _bounded(learned: DataFrame) -> DataFrame:
+    """The rows in order of their hashes as long as they have at most ``CELLS`` features in all (a very long text may have a quarter of a million)."""
+    sizes = learned.select("doc_id", "version", F.size("features").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "version").collect()
+    ends = np.cumsum([r.n for r in sizes])
+    kept = int(np.searchsorted(ends, CELLS, "right"))
+    if kept == len(sizes):
+        return learned
+    few = learned.sparkSession.createDataFrame([(r.doc_id, r.version) for r in sizes[:kept]], "doc_id bigint, version bigint")
+    return learned.join(F.broadcast(few), ["doc_id", "version"])
 
 
 def train(documents: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> Chain:
@@ -205,12 +219,13 @@ def train(documents: DataFrame, labels: DataFrame, categories: Sequence[str], sa
 
     Labels with a null are ignored; of labels that repeat a doc_id the largest count;
     labels without a document, and documents without a label, play no part; rows that
-    repeat a labelled doc_id all count. Without any labelled document each probability is 0.
+    repeat a labelled doc_id count once for each text, up to ``sample`` rows in all.
+    Without any labelled document each probability is 0.
     """
     runtime.ship(documents.sparkSession)
     names = [f"y{i}" for i in range(len(categories))]
     learned = runtime.table(_sample(documents, labels, categories, sample), "toxicity-sample")
-    rows = learned.orderBy(F.xxhash64("doc_id"), "doc_id", "features").toArrow().combine_chunks()
+    rows = _bounded(learned).orderBy(F.xxhash64("doc_id"), "doc_id", "features").toArrow().combine_chunks()
     lists = rows.column("features").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     x = Rows(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bounds, np.zeros((rows.num_rows, 0)))

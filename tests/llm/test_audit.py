@@ -247,3 +247,49 @@ def test_screen_is_exact(spark):
     assert exact_dedup.screen(asked, old).count() == 1000
     nothing = exact_dedup.admit(spark.createDataFrame([], "doc_id bigint, text string"), runtime.shared_path(spark, "t"))
     assert exact_dedup.screen(asked, nothing).count() == 0
+
+
+# Bounds and wide offsets of the operators before
+
+
+def test_toxicity_learns_from_a_bounded_number_of_rows(spark, monkeypatch):
+    """Five labelled ids, each with thousands of rows and texts."""
+    from ledgerloom.llm import toxicity
+
+    docs = spark.range(100_000).select((F.col("id") % 5).alias("doc_id"), F.concat_ws(" ", F.lit("words of"), F.when(F.col("id") % 5 < 2, "bad").otherwise("good"), (F.col("id") % 2000).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(5)], "doc_id bigint, toxic int")
+    rows = toxicity._sample(docs, labels, ["toxic"], 50)
+    runtime.ship(spark)
+    assert rows.count() == 50 and rows.select("doc_id", "version").distinct().count() == 50
+    assert toxicity._sample(docs, labels, ["toxic"], 3).count() == 3
+    monkeypatch.setattr(toxicity, "CELLS", 60)
+    assert 3 <= toxicity._bounded(runtime.table(rows, "t")).count() < 20
+    chain = toxicity.train(docs, labels, ["toxic"], 200)
+    assert toxicity.score(spark.createDataFrame([(1, "bad bad")], "doc_id bigint, text string"), chain).count() == 1
+
+
+def test_wide_offsets_give_the_same(spark, tmp_path):
+    texts = [None, "", "é a B c", "one two three four five six", " x  y ", "word " * 40]
+    narrow, wide = pa.array(texts, pa.string()), pa.array(texts, pa.large_string())
+    for table in (None, runtime.byte_table(), runtime.byte_table([*range(48, 58), *range(97, 123)])):
+        for a, b in ((narrow, wide), (narrow.slice(2, 3), wide.slice(2, 3))):
+            x, y = runtime.words(a, table), runtime.words(b, table)
+            assert x[0].tolist() == y[0].tolist() and x[1].tolist() == y[1].tolist() and x[2] == y[2]
+    with pytest.raises(TypeError):
+        runtime.parts(pa.array([1]))
+    rows = [(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i", "one two three")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(18)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = [f"op{n}" for n in (1, 2, 3, 4, 7, 8, 9, 11, 12, 13)]
+    for name, query in queries.QUERIES.items():
+        if name.split("_")[0] in names:
+            found = []
+            for large in ("false", "true"):
+                spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", large)
+                try:
+                    found.append(sorted(map(repr, query(spark, str(tmp_path)).collect())))
+                finally:
+                    spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+            assert found[0] == found[1] and found[0], name
