@@ -26,4 +26,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from ledgerloom.plans import query_conditions, query_facts, query_graph, query_joins, query_order, query_rules, query_text  # noqa: E402, F401
+from ledgerloom.plans import query_conditions, query_facts, query_graph, query_index, query_joins, query_order, query_rules, query_service, query_text  # noqa: E402, F401

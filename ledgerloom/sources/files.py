@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 
@@ -53,12 +54,30 @@ def remove_folder(uri: str) -> None:
 
 
 def names(uri: str, deep: bool = False) -> list[str]:
-    """Names of what lies in a folder (``deep``: and below, as paths from it), in order; none if there is no such folder."""
+    """Names of what lies in a folder (``deep``: and below, as paths from it), in order, without hidden ones; none if there is no such folder."""
     fs, path = open_fs(uri)
     found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=deep))
-    return sorted(posixpath.relpath(f.path, path) for f in found)
+    return sorted(posixpath.relpath(f.path, path) for f in found if not f.base_name.startswith("."))
 
 
 def inside(path: str) -> bool:
     """Whether a relative path stays in its folder."""
     return bool(path) and not path.startswith("/") and ".." not in path.split("/")
+
+
+def create(uri: str, data: bytes) -> bool:
+    """Write a file only where there is none; whether this call did. Of several at once, one does."""
+    fs, path = open_fs(uri)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        raise NotImplementedError(f"no file system for exclusive creation: {uri}")
+    fs.create_dir(posixpath.dirname(path), recursive=True)
+    part = f"{posixpath.dirname(path)}/.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(data)
+    try:
+        os.link(part, path)  # a whole file or none, and never over another
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(part)
+    return True
