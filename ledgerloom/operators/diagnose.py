@@ -10,10 +10,12 @@ from ledgerloom.operators import graph, joins, ordinals
 
 
 def status_writes(edges: DataFrame, transitions: DataFrame) -> DataFrame:
-    """``(entry_id, pos, entity, field, value)``: constant writes to fields that have transitions."""
+    """``(entry_id, pos, entity, field, value)``: constant writes to fields that have transitions (names without regard to case, given as the transitions have them)."""
     w = edges.where((F.col("type") == "writes") & F.col("detail").rlike("^\\w+\\.\\w+$"))
     w = w.select("entry_id", "pos", F.substring_index("target", ".", 1).alias("entity"), scalars.tail(F.col("target")).alias("field"), scalars.tail(F.col("detail")).alias("value"))
-    return w.join(transitions.select("entity", "field"), ["entity", "field"], "left_semi")
+    known = transitions.groupBy(F.lower("entity").alias("_entity"), F.lower("field").alias("_field")).agg(F.min(F.struct("entity", "field")).alias("own"))
+    found = w.join(known, (F.lower("entity") == F.col("_entity")) & (F.lower("field") == F.col("_field")))
+    return found.select("entry_id", "pos", "own.entity", "own.field", "value")
 
 
 def reachable(transitions: DataFrame, starts: DataFrame) -> DataFrame:
@@ -37,11 +39,12 @@ def effects(edges: DataFrame, transitions: DataFrame, placed: DataFrame, values:
     value`` for each row and for fields with transitions, with ``field`` null for rows as such.
     """
     counts = values.where("field IS NULL").groupBy("case_id", "entity").agg(F.count(F.lit(1)).alias("n"))
-    inserts = edges.where("type = 'insert'").select("entry_id", F.col("target").alias("entity")).distinct()
-    i = inserts.join(placed, "entity").join(counts, ["case_id", "entity"], "left")
+    inserts = edges.where("type = 'insert'").select("entry_id", F.lower("target").alias("_entity")).distinct()
+    placed = placed.withColumn("_entity", F.lower("entity"))
+    i = inserts.join(placed, "_entity").join(counts, ["case_id", "entity"], "left")
     found = i.select("case_id", "entry_id", F.when(F.col("snap_table").isNotNull(), F.coalesce("n", F.lit(0)) > 0).alias("state"), F.concat("entity", F.lit(": "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" rows")).alias("evidence"))
     writes = status_writes(edges, transitions)
-    w = writes.join(inserts, ["entry_id", "entity"], "left_anti").join(placed, "entity")
+    w = writes.withColumn("_entity", F.lower("entity")).join(inserts, ["entry_id", "_entity"], "left_anti").join(placed.drop("entity"), "_entity")
     reached = reachable(transitions, writes)
     v = values.where("field IS NOT NULL").select("case_id", "entity", "field", F.lower("value").alias("state"))
     hit = v.join(reached, ["entity", "field", "state"]).select("case_id", "entity", "field", "value").distinct().withColumn("hit", F.lit(True))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars, text
 from ledgerloom.operators import diagnose, graph, joins, retrieval, rules, sync
-from ledgerloom.plans import cards, flows, render, tools
+from ledgerloom.plans import cards, case_report, flows, render, tools
 from ledgerloom.sources import expected, files, settings, sinks, snapshots
 from ledgerloom.sources import facts as fact_source
 from ledgerloom.sources import pages as page_source
@@ -121,8 +121,8 @@ def ask(points: DataFrame, question: str) -> str:
     return retrieval.offline_answer(hits.withColumn("place", place), "query", "rank", "place", "text").first().answer
 
 
-def analyze(facts: fact_source.Facts, made: dict[str, DataFrame], shots: snapshots.Snapshots) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of all cases: the verdicts, the states of steps, and those of rules (with ``entry_id``)."""
+def analyze(facts: fact_source.Facts, made: dict[str, DataFrame], shots: snapshots.Snapshots) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of all cases: the verdicts, the states of steps, those of rules (with ``entry_id``), and the traces of entries."""
     placed = rules.entity_tables(facts.entities, shots.cases, shots.tables)
     row_facts = shots.rows.withColumnRenamed("table", "snap_table").join(placed, ["case_id", "snap_table"]).select("case_id", "entity", "pos", "row")
     none = F.lit(None).cast("string")
@@ -131,35 +131,34 @@ def analyze(facts: fact_source.Facts, made: dict[str, DataFrame], shots: snapsho
     value = joins.map_value(F.col("row"), [F.col("column"), scalars.snake_simple(F.col("field")), F.col("field")])
     values = row_facts.withColumns({"field": none, "value": none}).unionByName(row_facts.join(states, "entity").withColumn("value", value).select("case_id", "entity", "pos", "row", "field", "value"))
     negative = diagnose.outcomes(facts.edges, facts.transitions, values)
-    steps = diagnose.steps(made["steps"], facts.entries, shots.cases, diagnose.effects(facts.edges, facts.transitions, placed, values), negative)
+    traces = graph.cut(diagnose.effects(facts.edges, facts.transitions, placed, values))
+    steps = diagnose.steps(made["steps"], facts.entries, shots.cases, traces, negative)
     own = made["rules"].withColumn("rule_id", F.concat_ws("#", "entry_id", "no"))
     gid = F.concat_ws("#", "entry_id", "guard_id")
     guards = own.select("rule_id", "entry_id", F.explode("guard_ids").alias("guard_id")).join(facts.guards, ["entry_id", "guard_id"]).withColumn("guard_id", gid)
     found = rules.evaluate(guards, facts.entities, facts.fields, shots.cases, shots.tables, shots.rows, shots.config).join(own.select("rule_id", "entry_id"), "rule_id")
     steps, found = graph.cut(steps), graph.cut(found)
-    return graph.cut(diagnose.analyze(shots.cases, diagnose.flow_checks(steps), steps, found)), steps, found
+    return graph.cut(diagnose.analyze(shots.cases, diagnose.flow_checks(steps), steps, found)), steps, found, traces.where("state").select("case_id", "entry_id", "evidence")
 
 
-def agent(facts: fact_source.Facts, made: dict[str, DataFrame], pages: DataFrame, points: DataFrame | None, question: str, shots: snapshots.Snapshots | None = None, case_id: str | None = None, model=None) -> str:
+def agent(facts: fact_source.Facts, made: dict[str, DataFrame], pages: DataFrame, points: DataFrame | None, question: str, shots: snapshots.Snapshots | None = None, case_id: str | None = None, model=None, template: str = "", commit: str = "") -> str:
     """A report on a question: passages, the analysis of the case, and what a model says if there is one."""
     stops = flows.silent_stops(made["steps"], facts.guards, facts.edges, made["rules"], facts.transitions)
     docs = tools.documents(made["use_cases"], made["entities"], made["steps"], stops, made["global_rules"], made["glossary"])
     hits = tools.search_or_keywords(points, docs, question)
-    verdicts = steps = states = None
+    verdicts = steps = states = traces = None
     if shots is not None:
-        verdicts, steps, states = analyze(facts, made, shots)
+        verdicts, steps, states, traces = analyze(facts, made, shots)
     titles = made["use_cases"].select(F.col("page_id").alias("entry_id"), "title")
     lib = tools.Library(facts, pages, made["use_cases"], made["rules"], titles, docs, points, shots, verdicts, states)
     said, calls = None, []
     if model is not None:
         said, calls = tools.converse(model, question, lambda name, arguments: tools.answer(lib, name, arguments, case_id), tools.definitions(shots is not None))
-    if verdicts is None:
-        return tools.report(question, said, hits, calls)
-    found = verdicts.where(F.col("case_id") == case_id).first()
-    in_case = lambda df: [r.asDict() for r in df.where(F.col("case_id") == case_id).collect()]
-    own = [s for s in in_case(steps) if found and s["flow_id"] == found.flow_id]
-    used = {s["entry_id"] for s in own}
-    return tools.report(question, said, hits, calls, found.asDict() if found else None, own, [s for s in in_case(states) if s["entry_id"] in used])
+    case: list[tuple[int, str]] = []
+    if verdicts is not None and case_id is not None:
+        one = [df.where(F.col("case_id") == case_id) for df in (verdicts, steps, traces, states)]
+        case = case_report.of_case(case_report.lines(*one, made["rules"], facts.guards, titles, template, commit), case_id)
+    return case_report.page(question, said, case, hits, calls)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -171,6 +170,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--config")
     parser.add_argument("--glossary", default="")
     parser.add_argument("--snapshot")
+    parser.add_argument("--case", help="which case of the snapshot (else the first)")
     parser.add_argument("--template", default="")
     parser.add_argument("--out")
     parser.add_argument("--dry-run", action="store_true")
@@ -210,8 +210,15 @@ def main(argv: list[str] | None = None) -> int:
         print(ask(points if points is not None else points_of(pages), " ".join(args.words)))
     if args.command == "agent":
         shots = snapshots.load(spark, args.snapshot) if args.snapshot else None
-        case_id = shots.cases.orderBy("case_id").first().case_id if shots is not None else None
-        said = agent(facts, made, pages, read_points(spark, points_path), " ".join(args.words), shots, case_id)
+        case_id = None
+        if shots is not None:
+            wanted = shots.cases.where(F.col("case_id").cast("string") == args.case) if args.case else shots.cases
+            first = wanted.orderBy("case_id").first()
+            if first is None:
+                print(f"agent: there is no case {args.case or ''}", file=sys.stderr)
+                return 2
+            case_id = first.case_id
+        said = agent(facts, made, pages, read_points(spark, points_path), " ".join(args.words), shots, case_id, None, args.template or chosen.get("template", ""), chosen.get("commit") or "")
         if args.out:
             sinks.put(args.out, said)
         else:

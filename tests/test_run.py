@@ -54,7 +54,7 @@ def test_index_and_ask(spark, work):
     assert run.ask(points, "zebra crossing").startswith("1. Print label › More: zebra crossing")
     assert run.search_index(changed.where(F.col("page_id") != PRINT), path) == 0
     assert run.read_points(spark, path).where(F.col("page_id") == PRINT).count() == 0
-    assert run.ask(points, "qqqq") != ""  # dense cells may still share a hash
+    assert run.ask(points, "qqqq").startswith(("1. ", "Nothing found."))  # dense cells may still share a hash
 
 
 def test_agent_report(spark, work):
@@ -70,10 +70,13 @@ def test_agent_report(spark, work):
         return {"content": f"Seen {len(messages)} messages, {len(functions)} tools."}
 
     said = run.agent(facts, made, pages, None, "why is there no label for the parcel", shots, "c", model)
-    assert "Seen 4 messages, 9 tools." in said and "- `get_rows({\"table\": \"PARCELS\"})`" in said
-    assert "the process stopped at a rule that is not met" in said and "**stopped here**" in said and f"- **{PRINT}#3**" in said and "## Sources" in said
+    assert "Seen 4 messages, 9 tools." in said and '- get_rows: `{"table": "PARCELS"}`' in said
+    assert "A broken rule explains the stop. Process: `flow:" in said and "Print label: **ends here**" in said and "- broken: **Print label, 3** if `" in said and "## Read" in said
+    assert "  - seen: " in said and "  - code: Print.cs:" in said and "1. Register parcel: seen (Parcel: 1 rows)" in said
+    linked = run.agent(facts, made, pages, None, "label", shots, "c", None, "https://git/{commit}/{path}#L{line}", "c0ffee")
+    assert "](https://git/c0ffee/src/Print.cs#L" in linked and linked.startswith("# label\n\nFound without a language model:\n\n## Finding")
     plain = run.agent(facts, made, pages, None, "label", None, None, None)
-    assert "> No model is configured" in plain and "## Case data" not in plain
+    assert "Found without a language model" in plain and "## Finding" not in plain
     calls = tools.converse(lambda m, t, may: {"content": None, "tool_calls": [{"id": "1", "name": "x", "arguments": ""}]}, "q", lambda n, a: "", [], 3)
     assert calls == (None, [("x", "")] * 2)
 
@@ -207,7 +210,8 @@ def test_cards_in_code(spark, work):
     assert sorted(r.error for r in cards.required_errors(blank, "page_id", ["a", "b", "c"]).collect()) == ["a is missing", "b is missing"]
     rows = {(r.entry_id, r.source) for r in cards.trigger_rows(facts).collect()}
     assert (REGISTER, "POST /parcels") in rows
-    assert cards.config_rows(facts, spark.createDataFrame([], "key string, meaning string")).count() >= 0
+    read_keys = {(r.entry_id, r.target) for r in facts.edges.where("type = 'reads_config'").collect()}
+    assert cards.config_rows(facts, spark.createDataFrame([], "key string, meaning string")).count() == len(read_keys)
 
 
 def test_types(spark):
@@ -238,7 +242,7 @@ def test_main(spark, tmp_path, capsys):
     assert run.main(["index", *facts]) == 0 and run.main(["run", *facts]) == 0 and run.main(["publish", "--dry-run", *facts]) == 0
     assert run.main(["ask", *facts, "print", "label"]) == 0 and run.main(["agent", *facts, "--out", str(tmp_path / "r.md"), "label"]) == 0
     said = capsys.readouterr().out
-    assert "index: 8 entries, 3 entities" in said and "search-index: " in said and "1. " in said and (tmp_path / "r.md").read_text().startswith("# Answer")
+    assert "index: 8 entries, 3 entities" in said and "search-index: " in said and "1. " in said and (tmp_path / "r.md").read_text().startswith("# label")
 
 
 def test_pages_outside_the_folder_are_an_error(spark, tmp_path):
