@@ -94,18 +94,37 @@ def semi_or(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]],
     return left.where(own).unionByName(rest)
 
 
-def range_lookup(points: DataFrame, spans: DataFrame, row_id: str, key: str, at: str, low: str, high: str, order: str, keep: Sequence[str], width: int) -> DataFrame:
-    """The first span (by ``order``) that covers each point; left outer.
+def _pieces(low: Column, high: Column) -> Column:
+    """The fewest aligned stretches of 2**level numbers, as (level, number), that together are the numbers from low to high; at most two of a level."""
 
-    Spans are cut into cells of ``width``, so that the join is on (key, cell) and its
-    work follows the matches.
+    def at(level: Column) -> Column:
+        first = -F.call_function("shiftright", -low, level)  # rounded up
+        end = F.call_function("shiftright", high + 1, level)
+        own = lambda number, there: F.when(there & (first < end), F.struct(level.alias("level"), number.alias("number")))
+        return F.array(own(first, first.bitwiseAND(F.lit(1)) == 1), own(end - 1, end.bitwiseAND(F.lit(1)) == 1))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), at)), lambda p: p.isNotNull())
+
+
+def range_lookup(points: DataFrame, spans: DataFrame, row_id: str, key: str, at: str, low: str, high: str, order: str, keep: Sequence[str]) -> DataFrame:
+    """The first span (by ``order``) that covers each point (bounds count); left outer. Places are whole numbers.
+
+    A span of n numbers is cut into at most 2 log n aligned stretches, and a point lies in
+    one stretch of each level, so the join is on (key, level, stretch): its work follows
+    the matches, however long spans are and however many begin before a point.
     """
-    cells = spans.select("*", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("_cell"))
-    cells = cells.select(F.col(key).alias("_key"), "_cell", F.col(low).alias("_low"), F.col(high).alias("_high"), F.struct(F.col(order).alias("_order"), *keep).alias("_span"))
-    p = points.withColumn("_cell", F.floor(F.col(at) / width))
-    hit = p.join(cells, (p[key] == cells["_key"]) & (p["_cell"] == cells["_cell"]) & F.col(at).between(F.col("_low"), F.col("_high")))
-    first = hit.groupBy(row_id).agg(F.min("_span").alias("_first"))
-    return points.join(first, row_id, "left").select(points["*"], *[F.col(f"_first.{k}").alias(k) for k in keep])
+    for df, c in ((points, at), (spans, low), (spans, high)):
+        if df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long"):
+            raise TypeError(f"{c} is not a whole number")
+    s = spans.where(F.col(low) <= F.col(high)).select(F.col(key).alias("_key"), F.explode(_pieces(F.col(low).cast("bigint"), F.col(high).cast("bigint"))).alias("_p"), F.struct(F.col(order).alias("_order"), *keep).alias("_span"))
+    levels = sorted(r.level for r in s.select("_p.level").distinct().collect())  # 63 at most
+    if not levels:
+        return points.select("*", *[F.lit(None).cast(spans.schema[k].dataType).alias(k) for k in keep])
+    level = F.explode(F.array(*[F.lit(x) for x in levels])).alias("_level")
+    p = points.select(F.col(row_id).alias("_row"), F.col(key).alias("_key"), F.col(at).cast("bigint").alias("_at"), level)
+    p = p.select("_row", "_key", F.struct(F.col("_level").alias("level"), F.call_function("shiftright", F.col("_at"), F.col("_level")).alias("number")).alias("_p"))
+    first = p.join(s, ["_key", "_p"]).groupBy("_row").agg(F.min("_span").alias("_first"))
+    return points.join(first, points[row_id] == first["_row"], "left").select(points["*"], *[F.col(f"_first.{k}").alias(k) for k in keep])
 
 
 def asof_forward(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:

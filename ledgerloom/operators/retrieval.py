@@ -26,11 +26,24 @@ def sections(pages: DataFrame, page_id: str, markdown: str, intro: str = INTRO,
     at the end, note placeholders and empty sections go; a repeated name gets the first
     free ``(2)``, ``(3)`` ... in order. A page is handled in its row: nothing is shuffled.
     """
+    page, done = _sections(pages, [page_id], markdown, intro, placeholder)
+    return page.select(page_id, F.posexplode(done).alias("pos", "s")).select(page_id, "pos", "s.section", "s.text")
+
+
+def section_lists(pages: DataFrame, markdown: str, intro: str = INTRO, placeholder: str = "^\\(notes from .*\\)\\s*$") -> DataFrame:
+    """All columns of pages, and their ``sections`` as an array of ``section, text``."""
+    kept = [c for c in pages.columns if c != "sections"]
+    page, done = _sections(pages, kept, markdown, intro, placeholder)
+    return page.select(*kept, done.alias("sections"))
+
+
+def _sections(pages: DataFrame, kept: list[str], markdown: str, intro: str, placeholder: str) -> tuple[DataFrame, Column]:
+    """Pages with what their sections are made of, and the sections: to be used in one place, as each use computes them anew."""
     blank = "[ \\t\\r\\n\\f\\x0b]"
     lines = F.split(without_frontmatter(F.col(markdown)), "\n")
     # Places of the headers; the introduction begins before the first line.
     heads = F.concat(F.array(F.lit(-1)), F.filter(F.transform(lines, lambda x, i: F.when(x.startswith("## "), i)), lambda i: i.isNotNull()))
-    page = pages.select(page_id, lines.alias("_lines"), heads.alias("_heads"))
+    page = pages.select(*kept, lines.alias("_lines"), heads.alias("_heads"))
     line, head = F.col("_lines"), F.col("_heads")
 
     def body(at: Column, i: Column) -> Column:
@@ -40,7 +53,7 @@ def sections(pages: DataFrame, page_id: str, markdown: str, intro: str = INTRO,
 
     name = lambda at: F.when(at < 0, intro).otherwise(F.trim(F.substring(F.element_at(line, at + 1), 4, 1 << 30)))
     found = F.transform(head, lambda at, i: F.struct(F.when(at < 0, F.lit(intro)).otherwise(name(F.greatest(at, F.lit(0)))).alias("section"), body(at, i).alias("text")))
-    page = page.select(page_id, F.filter(found, lambda s: s["text"] != "").alias("_found"))
+    page = page.select(*kept, F.filter(found, lambda s: s["text"] != "").alias("_found"))
     page = page.withColumn("_names", F.transform("_found", lambda s: s["section"]))
     names = F.col("_names")
 
@@ -55,7 +68,7 @@ def sections(pages: DataFrame, page_id: str, markdown: str, intro: str = INTRO,
     unique = F.size(F.array_distinct(names)) == F.size(names)
     shown = F.when(unique, names).when(F.exists(names, lambda x: x.rlike(" \\([0-9]+\\)$")), in_turn).otherwise(by_count)
     done = F.zip_with(shown, "_found", lambda n, s: F.struct(n.alias("section"), s["text"].alias("text")))
-    return page.select(page_id, F.posexplode(done).alias("pos", "s")).select(page_id, "pos", "s.section", "s.text")
+    return page, done
 
 
 def token_frequencies(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:

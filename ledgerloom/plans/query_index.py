@@ -8,6 +8,7 @@ from ledgerloom.functions import text
 from ledgerloom.operators import graph, retrieval, sparse_index, vector_index
 from ledgerloom.plans.catalog import query, read
 from ledgerloom.plans.query_text import _BM
+from ledgerloom.streaming import page_state
 
 
 def _documents(spark, sf_dir):
@@ -48,6 +49,26 @@ def sparse_index_update(spark, sf_dir):
     return _ranks(sparse_index.search(index, _asked(spark, sf_dir), 20, 6))
 
 
+@query("""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE source IS DISTINCT FROM 'src2' AND text IS NOT NULL),
+r AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS k, l FROM s),
+b AS (SELECT doc_id, k, trim(l[k], E' \\t\\r\\f\\x0b') AS text FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS d FROM b WHERE text <> '')
+SELECT doc_id, CASE WHEN d = 1 THEN 'Part' ELSE 'Part (' || d || ')' END AS section, sha256(text) AS text_hash FROM n
+""")
+def stream_points(spark, sf_dir):
+    """The sections that a stream of pages leaves, of which one source is taken back; a header is before each line of a document."""
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    page = F.concat(F.lit("## Part\n"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n---\n## Part\n")))
+    first = docs.select(F.col("doc_id").cast("string").alias("page_id"), page.alias("markdown"), F.lit(0).alias("version"))
+    gone = docs.where("source = 'src2'").select(F.col("doc_id").cast("string").alias("page_id"), F.lit(None).cast("string").alias("markdown"), F.lit(1).alias("version"))
+    folder = graph.shared_folder(spark, "page-stream")
+    first.unionByName(gone).repartition(3).write.json(f"{folder}/in")
+    page_state.follow(spark, f"{folder}/in", f"{folder}/table", f"{folder}/check", 1).awaitTermination()
+    left = page_state.current(spark.read.schema(page_state.ACTIONS).parquet(f"{folder}/table"))
+    return left.select(F.col("page_id").cast("bigint").alias("doc_id"), "section", F.sha2("text", 256).alias("text_hash"))
+
+
 #: Every twentieth vector is a query.
 _VECTORS = """
 WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),

@@ -65,7 +65,7 @@ def _signups(events):
 def range_lookup(spark, sf_dir):
     """The first day-long span after a signup that covers each event of the user."""
     e = _events(spark, sf_dir)
-    return joins.range_lookup(e, _signups(e), "event_id", "user_id", "s", "low", "high", "span", ["span"], 86400).select("event_id", F.coalesce("span", F.lit(-1)).alias("span"))
+    return joins.range_lookup(e, _signups(e), "event_id", "user_id", "s", "low", "high", "span", ["span"]).select("event_id", F.coalesce("span", F.lit(-1)).alias("span"))
 
 
 @query(_SPANS + "SELECT event_id FROM e WHERE EXISTS (SELECT 1 FROM p WHERE p.user_id = e.user_id AND e.s BETWEEN low AND high)")

@@ -31,10 +31,6 @@ def rule_eval_3vl(spark, sf_dir):
     return each.groupBy("c_custkey").agg(rules.state_of(F.col("r")).alias("state"), F.count(F.lit(1)).alias("n_results"), F.bool_or(F.col("r").isNull()).alias("any_unknown"))
 
 
-_ACTUALS = [None, "", "  ", "abc", "ABC", "25000", "+5", "7-", "1,000", "1e5", "true", "Verified", "1500.0"]
-_RIGHTS = [None, "null", '"abc"', "20_000m", "1", "-7", "1000", "KycStatus.Verified", "true", "1500"]
-
-
 def _values(rows: list) -> str:
     return ", ".join("(" + ("NULL" if x is None else "'" + x + "'") + ")" for x in rows)
 
@@ -44,12 +40,14 @@ _CAST = "TRY_CAST(regexp_replace(replace(trim({0}), ',', ''), '^(.*)([+-])$', '\
 
 
 @query(f"""
-WITH a(actual) AS (VALUES {_values(_ACTUALS)}), o(op) AS (VALUES {_values(list(predicates.OPERATORS))}), r(rhs) AS (VALUES {_values(_RIGHTS)}),
-n AS (SELECT *, CASE WHEN rhs IS NULL OR rhs = 'null' THEN NULL WHEN rhs LIKE '"%' THEN trim(rhs, '"') WHEN rhs = '20_000m' THEN '20000'
-  WHEN {_NUM.format("rhs")} THEN rhs ELSE regexp_extract(rhs, '[^.]*$') END AS e FROM a, o, r),
+WITH o(op) AS (VALUES {_values(list(predicates.OPERATORS))}),
+p AS (SELECT p_partkey,
+  CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' WHEN 3 THEN p_brand WHEN 4 THEN CAST(p_size AS VARCHAR) WHEN 5 THEN '1,' || lpad(CAST(p_size AS VARCHAR), 3, '0') WHEN 6 THEN CAST(p_size AS VARCHAR) || '-' WHEN 7 THEN '1e' || p_size ELSE 'true' END AS actual,
+  CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'null' WHEN 2 THEN '"' || lower(p_brand) || '"' WHEN 3 THEN '1_' || lpad(CAST(p_size AS VARCHAR), 3, '0') || 'm' WHEN 4 THEN CAST(p_size AS VARCHAR) WHEN 5 THEN 'Kind.' || p_brand ELSE 'true' END AS rhs FROM part),
+n AS (SELECT *, CASE WHEN rhs IS NULL OR rhs = 'null' THEN NULL WHEN rhs LIKE '"%' THEN trim(rhs, '"') WHEN regexp_matches(rhs, '^[0-9][0-9_]*m?$') THEN regexp_replace(rhs, '[_m]', '', 'g') ELSE regexp_extract(rhs, '[^.]*$') END AS e FROM p, o),
 k AS (SELECT *, CASE WHEN {_NUM.format("actual")} THEN {_CAST.format("actual")} END AS x, CASE WHEN {_NUM.format("e")} THEN {_CAST.format("e")} END AS y,
   trim(coalesce(actual, '')) = '' AS blank FROM n)
-SELECT actual, op, rhs, negated, result FROM (SELECT actual, op, rhs,
+SELECT p_partkey, op, negated, result FROM (SELECT p_partkey, op,
   CASE op WHEN '==' THEN '!=' WHEN '!=' THEN '==' WHEN '<' THEN '>=' WHEN '>=' THEN '<' WHEN '>' THEN '<=' WHEN '<=' THEN '>' WHEN 'is_null' THEN 'is_not_null' WHEN 'is_not_null' THEN 'is_null'
     WHEN 'is_empty' THEN 'is_not_empty' WHEN 'is_not_empty' THEN 'is_empty' WHEN 'is_true' THEN 'is_false' ELSE 'is_true' END AS negated,
   CASE WHEN op = 'is_null' THEN actual IS NULL WHEN op = 'is_not_null' THEN actual IS NOT NULL WHEN op = 'is_empty' THEN blank WHEN op = 'is_not_empty' THEN NOT blank
@@ -59,10 +57,13 @@ SELECT actual, op, rhs, negated, result FROM (SELECT actual, op, rhs,
     WHEN op = '==' THEN lower(actual) = lower(e) WHEN op = '!=' THEN lower(actual) <> lower(e) END AS result FROM k)
 """)
 def compare_matrix(spark, sf_dir):
-    """The truth table of all operators over typical values and constants."""
-    a, o, r = (spark.createDataFrame([(x,) for x in v], f"{c} string") for v, c in ((_ACTUALS, "actual"), (predicates.OPERATORS, "op"), (_RIGHTS, "rhs")))
-    every = joins.attach_all(joins.attach_all(a, o), r)
-    return every.select("actual", "op", "rhs", predicates.negate(F.col("op")).alias("negated"), predicates.compare(F.col("actual"), F.col("op"), F.col("rhs")).alias("result"))
+    """All operators on values and constants of every form, made of each part's brand and size."""
+    size, brand, three = F.col("p_size").cast("string"), F.col("p_brand"), F.lpad(F.col("p_size").cast("string"), 3, "0")
+    pick = lambda n, *forms: F.element_at(F.array(*[f.cast("string") for f in forms]), (F.col("p_partkey") % n + 1).cast("int"))
+    actual = pick(9, F.lit(None), F.lit(""), F.lit("  "), brand, size, F.concat(F.lit("1,"), three), F.concat(size, F.lit("-")), F.concat(F.lit("1e"), size), F.lit("true"))
+    right = pick(7, F.lit(None), F.lit("null"), F.concat(F.lit('"'), F.lower(brand), F.lit('"')), F.concat(F.lit("1_"), three, F.lit("m")), size, F.concat(F.lit("Kind."), brand), F.lit("true"))
+    every = read(spark, sf_dir, "part").select("p_partkey", actual.alias("actual"), right.alias("rhs"), F.explode(F.array(*map(F.lit, predicates.OPERATORS))).alias("op"))
+    return every.select("p_partkey", "op", predicates.negate(F.col("op")).alias("negated"), predicates.compare(F.col("actual"), F.col("op"), F.col("rhs")).alias("result"))
 
 
 @query("""
@@ -149,12 +150,10 @@ def kind_filters(spark, sf_dir):
     return kept.select("o_orderkey", "o_orderpriority").orderBy("o_orderkey")
 
 
-_LITERALS = ["20_000m", "1500.5M", "abc", "src/Pay/Handler.cs:45", "a/b c.cs:7", "note", "[*]", "Oczekująca wypłata", "Łódź_1", "Créé par Ñandú"]
-
-
 @query(f"""
-WITH v(x) AS (VALUES {_values(_LITERALS)})
-SELECT x, CASE WHEN regexp_matches(x, '^[0-9][0-9_]*(\\.[0-9]+)?[mM]?$') THEN regexp_replace(x, '[_mM]', '', 'g') ELSE x END AS literal,
+WITH v AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_size || '_000m' WHEN 1 THEN p_size || '.5M' WHEN 2 THEN 'src/' || p_type || '/Handler.cs:' || p_size WHEN 3 THEN 'src/Pay/' || p_size || '.cs:' || p_partkey
+  WHEN 4 THEN p_name WHEN 5 THEN '[*]' WHEN 6 THEN 'Łódź_' || p_size ELSE 'Créé par Ñandú ' || p_type END AS x FROM part)
+SELECT p_partkey, x, CASE WHEN regexp_matches(x, '^[0-9][0-9_]*(\\.[0-9]+)?[mM]?$') THEN regexp_replace(x, '[_mM]', '', 'g') ELSE x END AS literal,
   CASE WHEN regexp_matches(x, '^.+:-?[0-9]+$') THEN regexp_extract(x, '[^/]*$') ELSE x END AS file_line,
   CASE WHEN x = '[*]' THEN x ELSE regexp_replace(translate(x, '{scalars.MARKED}', '{scalars.FOLDED}'), '[^A-Za-z0-9_]', '', 'g') END AS state_id,
   CASE WHEN regexp_matches(x, '^[^\\s\\[\\]()]+:[0-9]+$') THEN '[' || regexp_extract(x, '[^/]*$') || '](https://git/c0ffee/' || regexp_extract(x, '^(.+):[0-9]+$', 1) || '#L' || regexp_extract(x, '[0-9]+$') || ')' ELSE x END AS link,
@@ -162,8 +161,10 @@ SELECT x, CASE WHEN regexp_matches(x, '^[0-9][0-9_]*(\\.[0-9]+)?[mM]?$') THEN re
 FROM v
 """)
 def literals(spark, sf_dir):
-    """Number literals, locations, diagram ids and retry delays."""
-    x = F.col("x")
-    return spark.createDataFrame([(v,) for v in _LITERALS], "x string").select(
-        "x", scalars.numeric_literal(x).alias("literal"), scalars.file_line(x).alias("file_line"), scalars.state_id(x).alias("state_id"), scalars.code_link(x, "https://git/{commit}/{path}#L{line}", F.lit("c0ffee")).alias("link"), F.pow(F.lit(2), F.least(F.length(x), F.lit(6))).cast("bigint").alias("delay")
+    """Number literals, locations, diagram ids and retry delays, made of each part."""
+    x, size = F.col("x"), F.col("p_size").cast("string")
+    forms = [F.concat(size, F.lit("_000m")), F.concat(size, F.lit(".5M")), F.concat(F.lit("src/"), "p_type", F.lit("/Handler.cs:"), size), F.concat(F.lit("src/Pay/"), size, F.lit(".cs:"), F.col("p_partkey").cast("string")), F.col("p_name"), F.lit("[*]"), F.concat(F.lit("Łódź_"), size), F.concat(F.lit("Créé par Ñandú "), "p_type")]
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*forms), (F.col("p_partkey") % 8 + 1).cast("int")).alias("x"))
+    return parts.select(
+        "p_partkey", "x", scalars.numeric_literal(x).alias("literal"), scalars.file_line(x).alias("file_line"), scalars.state_id(x).alias("state_id"), scalars.code_link(x, "https://git/{commit}/{path}#L{line}", F.lit("c0ffee")).alias("link"), F.pow(F.lit(2), F.least(F.length(x), F.lit(6))).cast("bigint").alias("delay")
     )

@@ -289,3 +289,25 @@ def test_asof_forward_takes_one_pass_of_a_key(spark):
     few = spark.createDataFrame([("a", 1), ("a", 5), ("b", 1)], "key string, at int")
     ties = spark.createDataFrame([("a", 1, 9), ("a", 1, 3), ("a", 4, 1)], "key string, at int, v int")
     assert {(r.key, r.at, r.next_at, r.next_value) for r in joins.asof_forward(few, ties, "key", "at", "v").collect()} == {("a", 1, 1, 3), ("a", 5, None, None), ("b", 1, None, None)}
+
+
+def test_range_lookup_of_any_length(spark):
+    """Random spans against all pairs; one span of a thousand million numbers among many short ones of the same key."""
+    import random
+
+    r = random.Random(2)
+    spans = [(i, r.choice("ab"), x := r.randint(-50, 200), x + r.choice([-1, 0, 1, 7, 63, 64, 300])) for i in range(60)]
+    points = [(i, r.choice("abc"), r.randint(-60, 300)) for i in range(200)]
+    got = joins.range_lookup(spark.createDataFrame(points, "p bigint, k string, at int"), spark.createDataFrame(spans, "s int, k string, low int, high int"), "p", "k", "at", "low", "high", "s", ["s"])
+    want = {p: min((s for s, k2, a, b in spans if k == k2 and a <= at <= b), default=None) for p, k, at in points}
+    assert {x.p: x.s for x in got.collect()} == want
+    n = 100_000
+    short = spark.range(n).select(F.col("id").alias("s"), F.lit("k").alias("k"), (F.col("id") * 100).alias("low"), (F.col("id") * 100 + 49).alias("high"))
+    long_ = spark.createDataFrame([(n + 1, "k", -500_000_000, 500_000_000)], short.schema)
+    asked = spark.range(n).select(F.col("id").alias("p"), F.lit("k").alias("k"), (F.col("id") * 100 + F.when(F.col("id") % 2 == 0, 10).otherwise(60)).alias("at"))
+    got = joins.range_lookup(asked, short.unionByName(long_), "p", "k", "at", "low", "high", "s", ["s"])
+    assert got.agg(F.count_if(F.col("s") == F.col("p")), F.count_if(F.col("s") == n + 1)).first() == (n // 2, n // 2)
+    none = joins.range_lookup(asked.limit(3), short.limit(0), "p", "k", "at", "low", "high", "s", ["s"])
+    assert [x.s for x in none.collect()] == [None] * 3
+    with pytest.raises(TypeError):
+        joins.range_lookup(asked.withColumn("at", F.lit(1.5)), short, "p", "k", "at", "low", "high", "s", ["s"])
