@@ -7,8 +7,9 @@ into parts, and each part is named by the nearest of 256 learned patterns: a byt
 
 The table is partitioned by list. A search reads the codes (not the vectors) of the lists
 whose centroids are nearest to the queries, adds up table values for the bytes, keeps some
-candidates of each query, and ranks these by their vectors. ``probes=None`` reads the
-vectors of all lists instead, which is exact.
+candidates of each query, and ranks these by their vectors. How many lists are read is
+learned, too: so many that of the sample's own neighbours ``COVERED`` lie in them.
+``exact=True`` reads the vectors of all lists instead.
 
 A list may hold far more vectors than others (copies): it is written in files of about
 ``FILE_ROWS`` rows, and readers split it further.
@@ -27,6 +28,8 @@ from ledgerloom.operators import retrieval
 
 #: Vectors to learn from, dimensions of a part, patterns of a part, rounds of learning, rows of a file.
 SAMPLE, PART, PATTERNS, ROUNDS, FILE_ROWS = 50_000, 2, 256, 15, 1_000_000
+#: Vectors of the sample whose neighbours are looked at, how many of each, and the share that the probed lists should hold.
+ASKED, NEIGHBOURS, COVERED = 200, 20, 0.99
 #: Lists are at most this many, so that centroids stay small.
 MOST_LISTS = 1 << 14
 
@@ -71,6 +74,8 @@ class VectorIndex:
     folder: str
     centers: np.ndarray
     patterns: list[np.ndarray]
+    #: Lists that a search reads for a query if it is not told otherwise.
+    probes: int
 
     @property
     def table(self) -> DataFrame:
@@ -86,6 +91,21 @@ def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def _probes(x: np.ndarray, centers: np.ndarray) -> int:
+    """How many of the nearest lists hold ``COVERED`` of the neighbours that vectors of the sample have in it."""
+    if len(x) < 2:
+        return 1
+    q = x[: min(ASKED, len(x))]
+    scores = q @ x.T
+    scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(NEIGHBOURS, len(x) - 1)
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(q @ centers.T - (centers * centers).sum(axis=1) / 2), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)  # of each list among those of a query
+    needed = np.take_along_axis(place, _nearest(x, centers)[near], axis=1)
+    return int(np.quantile(needed, COVERED, method="higher")) + 1
+
+
 def build(vectors: DataFrame, folder: str, lists: int | None = None, sample: int = SAMPLE) -> VectorIndex:
     """Learn, code and write ``id, vector`` (arrays of one length; null vectors are left out, zero vectors stay).
 
@@ -102,6 +122,7 @@ def build(vectors: DataFrame, folder: str, lists: int | None = None, sample: int
     centers = kmeans(x, k) if dims else x
     rest = x - centers[_nearest(x, centers)] if dims else x
     patterns = [kmeans(rest[:, i : i + PART], PATTERNS) for i in range(0, dims, PART)]
+    probes = _probes(x, centers)
     kind = real.schema["id"].dataType.simpleString()
 
     def place(batches):
@@ -119,7 +140,8 @@ def build(vectors: DataFrame, folder: str, lists: int | None = None, sample: int
     spark.createDataFrame(model, "list int, center array<double>").write.parquet(f"{folder}/centers")
     words = [(i, j, w.tolist()) for i, p in enumerate(patterns) for j, w in enumerate(p)]
     spark.createDataFrame(words, "part int, word int, pattern array<double>").write.parquet(f"{folder}/patterns")
-    return VectorIndex(spark, folder, centers, patterns)
+    spark.createDataFrame([(probes,)], "probes int").write.parquet(f"{folder}/probes")
+    return VectorIndex(spark, folder, centers, patterns, probes)
 
 
 def load(spark: SparkSession, folder: str) -> VectorIndex:
@@ -127,20 +149,21 @@ def load(spark: SparkSession, folder: str) -> VectorIndex:
     centers = np.array([r.center for r in spark.read.parquet(f"{folder}/centers").orderBy("list").collect()], np.float64)
     words = spark.read.parquet(f"{folder}/patterns").orderBy("part", "word").collect()
     patterns = [np.array([r.pattern for r in words if r.part == i], np.float64) for i in range(1 + max((r.part for r in words), default=-1))]
-    return VectorIndex(spark, folder, centers, patterns)
+    return VectorIndex(spark, folder, centers, patterns, spark.read.parquet(f"{folder}/probes").first().probes)
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = 16, candidates: int = 8, digits: int = 9) -> DataFrame:
+def search(index: VectorIndex, queries: DataFrame, k: int, exact: bool = False, probes: int | None = None, candidates: int = 8, digits: int = 9) -> DataFrame:
     """``query, id, score, rank``: the best k vectors of each of ``query, vector`` by cosine; ties by id.
 
-    ``probes`` lists are read for each query and ``candidates`` x k vectors of these ranked
-    exactly. ``probes=None`` is exact. Queries are taken in blocks of bounded size.
+    ``probes`` lists (as many as the index has learned if not given) are read for each
+    query, and ``candidates`` x k vectors of these ranked exactly; ``exact`` ranks all
+    vectors. Queries are taken in blocks of bounded size.
     """
     queries = queries.where(F.col("vector").isNotNull()).select("query", F.col("vector").cast("array<double>").alias("vector"))
     if not len(index.centers):
         kinds = queries.schema["query"].dataType.simpleString()
         return index.spark.createDataFrame([], f"query {kinds}, id string, score double, rank int")
-    if probes is None:
+    if exact:
         return retrieval.dense_best(index.table.select("id", "vector"), "id", "vector", queries.withColumnRenamed("vector", "wanted"), "query", "wanted", k, digits)
     dims, centers, patterns = index.centers.shape[1], index.centers, index.patterns
     parts = []
@@ -149,7 +172,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
         ids = rows.column(0).combine_chunks()
         q = _unit(_matrix(rows.column(1).combine_chunks(), dims))
         near = q @ centers.T - (centers * centers).sum(axis=1) / 2
-        probed = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+        probed = np.argsort(-near, axis=1, kind="stable")[:, : probes or index.probes]
         asks = np.zeros((len(centers), len(q)), bool)  # who asks for a list
         asks[probed.ravel(), np.repeat(np.arange(len(q)), probed.shape[1])] = True
         tables = [q[:, i * PART : (i + 1) * PART] @ p.T for i, p in enumerate(patterns)]  # of each part: queries x patterns

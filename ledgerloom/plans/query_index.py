@@ -86,7 +86,7 @@ def vector_index_exact(spark, sf_dir):
     """The twenty nearest vectors from a stored index that reads all its lists."""
     v, q = _vectors(spark, sf_dir)
     index = vector_index.build(v, graph.shared_folder(spark, "vector-index"))
-    return vector_index.search(index, q, 20, None, digits=6).select("query", "id", F.col("rank").cast("bigint").alias("rank"))
+    return vector_index.search(index, q, 20, exact=True, digits=6).select("query", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS queries, CAST(sum(least(20, (SELECT count(*) FROM embeddings))) AS BIGINT) AS wanted, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
@@ -94,6 +94,6 @@ def vector_index_recall(spark, sf_dir):
     """Whether the lists that are probed hold 95 % of the exact hits."""
     v, q = _vectors(spark, sf_dir)
     index = vector_index.build(v, graph.shared_folder(spark, "vector-index"))
-    exact = vector_index.search(index, q, 20, None, digits=6)
+    exact = vector_index.search(index, q, 20, exact=True, digits=6)
     found = vector_index.recall(vector_index.search(index, q, 20, digits=6), exact)
     return found.agg(F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("hits") >= 0.95 * F.sum("wanted")).alias("enough"))

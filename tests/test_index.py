@@ -90,14 +90,14 @@ def test_vector_index(spark, monkeypatch):
     folder = graph.shared_folder(spark, "t")
     index = vector_index.build(vectors, folder, sample=1500)
     assert index.table.count() == 2703 and len(index.table.inputFiles()) > len(index.centers)
-    exact = vector_index.search(index, queries, 10, None, digits=6)
+    exact = vector_index.search(index, queries, 10, exact=True, digits=6)
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     for q, ids in exact.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("h")).collect():
         s = np.round(unit @ unit[q], 6)
         assert [h.id for h in ids] == sorted(range(len(x)), key=lambda i: (-s[i], i))[:10]
     again = vector_index.load(spark, folder)
-    found = vector_index.search(again, queries, 10, probes=12, digits=6).cache()
-    assert found.count() == exact.count()
+    found = vector_index.search(again, queries, 10, digits=6).cache()
+    assert found.count() == exact.count() and again.probes == index.probes <= len(index.centers)
     n = vector_index.recall(found, exact).agg(F.sum("hits"), F.sum("wanted")).first()
     assert n[0] / n[1] >= 0.95
     few = vector_index.search(index, queries, 10, probes=1, candidates=1, digits=6)
