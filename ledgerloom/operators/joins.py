@@ -94,36 +94,43 @@ def semi_or(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]],
     return left.where(own).unionByName(rest)
 
 
-def _pieces(low: Column, high: Column) -> Column:
-    """The fewest aligned stretches of 2**level numbers, as (level, number), that together are the numbers from low to high; at most two of a level."""
+#: A stretch of a level has 2**``_BITS`` of the level below.
+_BITS = 2
 
-    def at(level: Column) -> Column:
-        first = -F.call_function("shiftright", -low, level)  # rounded up
-        end = F.call_function("shiftright", high + 1, level)
-        own = lambda number, there: F.when(there & (first < end), F.struct(level.alias("level"), number.alias("number")))
-        return F.array(own(first, first.bitwiseAND(F.lit(1)) == 1), own(end - 1, end.bitwiseAND(F.lit(1)) == 1))
 
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), at)), lambda p: p.isNotNull())
+def _numbers(low: Column, high: Column, level: Column) -> Column:
+    """The stretches of a level among the fewest aligned ones that together are the numbers from low to high; at most three at each end."""
+    side, none = 1 << _BITS, F.array().cast("array<bigint>")
+    first = -F.call_function("shiftright", -low, level * _BITS)  # rounded up
+    end = F.call_function("shiftright", high + 1, level * _BITS)
+    up, down = -F.call_function("shiftright", -first, F.lit(_BITS)), F.call_function("shiftright", end, F.lit(_BITS))
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    return F.when(up > down, run(first, end)).otherwise(F.concat(run(first, up * side), run(down * side, end)))
 
 
 def range_lookup(points: DataFrame, spans: DataFrame, row_id: str, key: str, at: str, low: str, high: str, order: str, keep: Sequence[str]) -> DataFrame:
     """The first span (by ``order``) that covers each point (bounds count); left outer. Places are whole numbers.
 
-    A span of n numbers is cut into at most 2 log n aligned stretches, and a point lies in
-    one stretch of each level, so the join is on (key, level, stretch): its work follows
-    the matches, however long spans are and however many begin before a point.
+    A span of n numbers is cut into at most 3 log n aligned stretches, of each of which the
+    first span stays, and a point lies in one stretch of each level, so the join is on (key,
+    level, stretch): its work follows points and spans, not their pairs. Both sides are
+    sorted for it: a table of stretches is far larger than Spark takes it for, and is not
+    broadcast.
     """
     for df, c in ((points, at), (spans, low), (spans, high)):
         if df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long"):
             raise TypeError(f"{c} is not a whole number")
-    s = spans.where(F.col(low) <= F.col(high)).select(F.col(key).alias("_key"), F.explode(_pieces(F.col(low).cast("bigint"), F.col(high).cast("bigint"))).alias("_p"), F.struct(F.col(order).alias("_order"), *keep).alias("_span"))
-    levels = sorted(r.level for r in s.select("_p.level").distinct().collect())  # 63 at most
-    if not levels:
+    a, b = F.col(low).cast("bigint"), F.col(high).cast("bigint")
+    s = spans.where(a <= b).select(F.col(key).alias("_key"), a.alias("_low"), b.alias("_high"), F.struct(F.col(order).alias("_order"), *keep).alias("_span"))
+    widest = s.agg(F.max(F.coalesce(F.try_subtract("_high", "_low"), F.lit((1 << 63) - 1)))).first()[0]
+    if widest is None:
         return points.select("*", *[F.lit(None).cast(spans.schema[k].dataType).alias(k) for k in keep])
-    level = F.explode(F.array(*[F.lit(x) for x in levels])).alias("_level")
-    p = points.select(F.col(row_id).alias("_row"), F.col(key).alias("_key"), F.col(at).cast("bigint").alias("_at"), level)
-    p = p.select("_row", "_key", F.struct(F.col("_level").alias("level"), F.call_function("shiftright", F.col("_at"), F.col("_level")).alias("number")).alias("_p"))
-    first = p.join(s, ["_key", "_p"]).groupBy("_row").agg(F.min("_span").alias("_first"))
+    levels = F.explode(F.array(*[F.lit(x) for x in range(1 + ((widest + 1).bit_length() - 1) // _BITS)])).alias("_level")
+    s = s.select("*", levels).select("_key", "_level", F.explode(_numbers(F.col("_low"), F.col("_high"), F.col("_level"))).alias("_number"), "_span")
+    s = s.groupBy("_key", "_level", "_number").agg(F.min("_span").alias("_span"))
+    p = points.select(F.col(row_id).alias("_row"), F.col(key).alias("_key"), F.col(at).cast("bigint").alias("_at"), levels)
+    p = p.select("_row", "_key", "_level", F.call_function("shiftright", F.col("_at"), F.col("_level") * _BITS).alias("_number"))
+    first = p.join(s.hint("merge"), ["_key", "_level", "_number"]).groupBy("_row").agg(F.min("_span").alias("_first"))
     return points.join(first, points[row_id] == first["_row"], "left").select(points["*"], *[F.col(f"_first.{k}").alias(k) for k in keep])
 
 

@@ -311,3 +311,17 @@ def test_range_lookup_of_any_length(spark):
     assert [x.s for x in none.collect()] == [None] * 3
     with pytest.raises(TypeError):
         joins.range_lookup(asked.withColumn("at", F.lit(1.5)), short, "p", "k", "at", "low", "high", "s", ["s"])
+
+
+def test_range_lookup_broadcasts_no_stretches(spark):
+    """A table of stretches is much larger than Spark's estimate of it, however small the spans' file is."""
+    spans = spark.range(1000).select(F.col("id").alias("s"), (F.col("id") % 7).alias("k"), F.col("id").alias("low"), (F.col("id") + 5000 - F.col("id") % 3).alias("high"))
+    points = spark.range(1000).select(F.col("id").alias("p"), (F.col("id") % 7).alias("k"), (F.col("id") * 7 - 300).alias("at"))
+    got = joins.range_lookup(points, spans, "p", "k", "at", "low", "high", "s", ["s"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("BroadcastHashJoin")[1:] if "_number" in x.split("\n")[0]] and "SortMergeJoin" in plan
+    want = {p: min((s for s in range(1000) if s % 7 == p % 7 and s <= p * 7 - 300 <= s + 5000 - s % 3), default=None) for p in range(1000)}
+    assert {x.p: x.s for x in got.collect()} == want
+    most = (1 << 63) - 1  # a span whose length is no bigint
+    wide = spark.createDataFrame([(1, 0, -most, most - 1)], "s bigint, k bigint, low bigint, high bigint")
+    assert joins.range_lookup(points, wide, "p", "k", "at", "low", "high", "s", ["s"]).agg(F.count("s")).first()[0] == 143
