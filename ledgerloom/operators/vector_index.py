@@ -5,11 +5,12 @@ by k-means on a bounded sample (``SAMPLE`` vectors by the hash of their id); eve
 goes to the list of its nearest centroid. What is left of it beside the centroid is cut
 into parts, and each part is named by the nearest of 256 learned patterns: a byte each.
 
-The table is partitioned by list. A search reads the codes (not the vectors) of the lists
-whose centroids are nearest to the queries, adds up table values for the bytes, keeps some
-candidates of each query, and ranks these by their vectors. How many lists are read is
-learned, too: so many that of the sample's own neighbours ``COVERED`` lie in them.
-``exact=True`` reads the vectors of all lists instead.
+The table is partitioned by list. A search reads the lists whose centroids are nearest to
+the queries, adds up table values for the bytes of the codes, keeps some candidates of each
+query in each batch, and ranks these by their vectors where they were read: candidates are
+not shuffled, only the best k of each task. How many lists are read is learned, too: so many
+that of the sample's own neighbours ``COVERED`` lie in them. ``exact=True`` compares the
+vectors of all lists instead.
 
 A list may hold far more vectors than others (copies): it is written in files of about
 ``FILE_ROWS`` rows, and readers split it further.
@@ -115,7 +116,9 @@ def build(vectors: DataFrame, folder: str, lists: int | None = None, sample: int
     spark = vectors.sparkSession
     real = vectors.where(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector"))
     n = real.count()
-    seen = real.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow().column(0)
+    # The least hashes lie among twice as many that are expected below a bound: so few rows are sent to be ordered.
+    low = real.where(F.xxhash64("id") < -(1 << 63) + (1 << 64) * 2 * sample // n) if n > 4 * sample else real
+    seen = low.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow().column(0)
     dims = len(seen[0].as_py()) if len(seen) else 0
     x = _unit(_matrix(seen.combine_chunks(), dims)) if dims else np.zeros((0, 0))
     k = min(MOST_LISTS, lists or max(1, int(np.sqrt(n))))
@@ -156,8 +159,9 @@ def search(index: VectorIndex, queries: DataFrame, k: int, exact: bool = False,
     """``query, id, score, rank``: the best k vectors of each of ``query, vector`` by cosine; ties by id.
 
     ``probes`` lists (as many as the index has learned if not given) are read for each
-    query, and ``candidates`` x k vectors of these ranked exactly; ``exact`` ranks all
-    vectors. Queries are taken in blocks of bounded size.
+    query, and at least ``candidates`` x k vectors of these ranked exactly (so many of each
+    batch that a task reads); ``exact`` ranks all vectors. Queries are taken in blocks of
+    bounded size.
     """
     queries = queries.where(F.col("vector").isNotNull()).select("query", F.col("vector").cast("array<double>").alias("vector"))
     if not len(index.centers):
@@ -175,33 +179,42 @@ def search(index: VectorIndex, queries: DataFrame, k: int, exact: bool = False,
         probed = np.argsort(-near, axis=1, kind="stable")[:, : probes or index.probes]
         asks = np.zeros((len(centers), len(q)), bool)  # who asks for a list
         asks[probed.ravel(), np.repeat(np.arange(len(q)), probed.shape[1])] = True
-        tables = [q[:, i * PART : (i + 1) * PART] @ p.T for i, p in enumerate(patterns)]  # of each part: queries x patterns
-        to_center = q @ centers.T
-
-        def score(batch, asks=asks, tables=tables, to_center=to_center):
-            at = batch.column(1).to_numpy()
-            code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, len(tables))
-            out = np.full((batch.num_rows, asks.shape[1]), np.nan)
-            for one in np.unique(at):
-                rows_, who = np.flatnonzero(at == one), np.flatnonzero(asks[one])
-                if len(who):
-                    total = np.repeat(to_center[who, one][None, :], len(rows_), axis=0)
-                    for i, t in enumerate(tables):
-                        total += t[who][:, code[rows_, i]].T
-                    out[np.ix_(rows_, who)] = total
-            return out
-
         wanted = np.flatnonzero(asks.any(axis=1)).tolist()
-        codes = index.table.where(F.col("list").isin(wanted)).select("id", "list", "code")  # other partitions are not listed
-        rough = retrieval.ranked(retrieval._best(codes, "id", ids, "query", score, candidates * k, digits), "query", "id", candidates * k, digits)
-        some = rough.select("query", "id").join(block.withColumnRenamed("vector", "wanted"), "query")
-        vectors = index.table.where(F.col("list").isin(wanted)).select("id", "vector")
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        size = F.sqrt(dot("vector", "vector") * dot("wanted", "wanted"))
-        parts.append(some.join(vectors, "id").select("query", "id", F.when(size > 0, dot("vector", "wanted") / size).otherwise(0.0).alias("score")))
+        own = index.table.where(F.col("list").isin(wanted)).select("id", "list", "code", "vector")  # other partitions are not listed
+        parts.append(retrieval._best(own, "id", ids, "query", _Scores(q, asks, centers, patterns, candidates * k), k, digits))
     return retrieval.ranked(retrieval._union(parts), "query", "id", k, digits)
 
 
+class _Scores:
+    """Of a batch of ``id, list, code, vector`` the cosines of the ``most`` rows of each query that are best by their codes; NaN for others."""
+
+    def __init__(self, q: np.ndarray, asks: np.ndarray, centers: np.ndarray, patterns: list[np.ndarray], most: int) -> None:
+        self.q, self.asks, self.centers, self.patterns, self.most = q, asks, centers, patterns, most
+        self.tables: list[np.ndarray] | None = None  # of each part: queries x patterns; made where it is used
+
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        if self.tables is None:
+            self.tables = [self.q[:, i * PART : (i + 1) * PART] @ p.T for i, p in enumerate(self.patterns)]
+        at = batch.column(1).to_numpy()
+        code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, len(self.tables))
+        rough = np.full((batch.num_rows, len(self.q)), np.nan)
+        for one in np.unique(at):
+            rows, who = np.flatnonzero(at == one), np.flatnonzero(self.asks[one])
+            if len(who):
+                total = np.repeat((self.q[who] @ self.centers[one])[None, :], len(rows), axis=0)
+                for i, t in enumerate(self.tables):
+                    total += t[who][:, code[rows, i]].T
+                rough[np.ix_(rows, who)] = total
+        unit = _unit(_matrix(batch.column(3), self.q.shape[1]))
+        out = np.full(rough.shape, np.nan)
+        for j in range(len(self.q)):
+            some = np.flatnonzero(~np.isnan(rough[:, j]))
+            if len(some) > self.most:
+                some = some[np.argpartition(-rough[some, j], self.most - 1)[: self.most]]
+            out[some, j] = unit[some] @ self.q[j]
+        return out
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """``query, wanted, hits``: how many of the exact hits (``query, id``) were found."""
     hit = found.select("query", "id").withColumn("hit", F.lit(1))

@@ -106,6 +106,19 @@ def test_vector_index(spark, monkeypatch):
     assert vector_index.search(nothing, queries, 3).count() == 0 and nothing.centers.shape[0] == 0
 
 
+def test_candidates_of_a_vector_search_are_not_shuffled(spark):
+    """They are ranked by their vectors in the task that reads them; joined with vectors and queries they grew beyond a task."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>")
+    index = vector_index.build(vectors, graph.shared_folder(spark, "t"), sample=500)
+    found = vector_index.search(index, vectors.where("id < 40").withColumnRenamed("id", "query"), 5, probes=len(index.centers), candidates=20)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(h["query"], h["rank"]): h.id for h in found.collect()}
+    assert np.mean([got[q, n + 1] == i for q in range(40) for n, i in enumerate(np.argsort(-(unit @ unit[q]))[:5])]) > 0.95
+
+
 def test_kmeans_uses_all_centers():
     x = np.concatenate([np.zeros((500, 2)), np.arange(40.0).reshape(20, 2)])
     centers = vector_index.kmeans(x, 8)
