@@ -146,3 +146,28 @@ def test_a_killed_task_leaves_each_row_once(tmp_path):
     (tmp_path / "run.py").write_text(code)
     done = subprocess.run([sys.executable, str(tmp_path / "run.py")], capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": f"{ROOT}:{tmp_path}"})
     assert "RESULT 1 500 500 True" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_a_table_service_holds_a_stretch_of_a_range(tmp_path, monkeypatch, ordered):
+    """However many rows a range has; keys in order and out of order in the file, conditions and gaps."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, text = 6000, "x" * 2000
+    keys = [i * 3 for i in range(n)] if ordered else [(i * 7919) % n * 3 for i in range(n)]
+    pq.write_table(pa.table({"k": pa.array(keys, pa.int64()), "u": [f"u{k % 2}" for k in keys], "t": [text + str(k) for k in keys]}), tmp_path / "t.parquet", row_group_size=500)
+    monkeypatch.setattr(paged, "HELD", 1 << 20, raising=False)
+    service = paged.TableService(str(tmp_path / "t.parquet"), "k", "k bigint, u string, t string", taken=("u",))
+    for conditions, want in (([], [k for k in range(30, 17001) if k % 3 == 0]), ([("u", "==", "u1")], [k for k in range(30, 17001) if k % 6 == 3])):
+        token, got, held = None, [], 0
+        while True:
+            rows, token = service.page(30, 17000, token, 256, conditions)
+            got += [r["k"] for r in rows]
+            held = max(held, service._held[-1].nbytes)
+            assert all(r["t"] == text + str(r["k"]) for r in rows)
+            if token is None:
+                break
+        assert got == want and held < 4 << 20
+    assert service.page(30, 17000, "999", 4, [])[0][0]["k"] == 1002 == service.page(30, 17000, "999", 4, [])[0][0]["k"]  # asked again
+    assert service.page(17002, 17002, None, 256, []) == ([], None)
