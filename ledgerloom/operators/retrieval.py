@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -96,17 +98,32 @@ def _counts(lists: pa.Array, numbers: np.ndarray, distinct: int) -> tuple[np.nda
     return key // distinct, key % distinct, n
 
 
+#: Tokens that are counted together; memory of a task follows it, not the rows of a batch or their lengths.
+TOKENS = 1 << 18
+
+
+def _slices(batch: pa.RecordBatch, column: int = 1, most: int | None = None) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A batch in stretches of rows whose lists together have at most ``most`` items (a row is never cut), and where they begin."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + (most or TOKENS), "right")))
+        yield first, batch.slice(first, last - first)
+        first = last
+
+
 def hashed(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """``(doc, idx, tf)``: ascending ids of the tokens and their counts; tokens of one id merge. Rows without tokens go.
 
-    The tokens of a row stay in it: nothing is shuffled, and a batch hashes each of its
-    distinct tokens once.
+    The tokens of a row stay in it: nothing is shuffled, and some rows at a time hash each
+    of their distinct tokens once.
     """
     own = docs.select(doc, tokens.alias("_tokens"))
     kind = own.schema[doc].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for _, batch in (s for whole in batches for s in _slices(whole)):
             lists = batch.column(1)
             coded = lists.flatten().dictionary_encode()
             row, h, n = _counts(lists, fnv1a(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64), 1 << 32)
@@ -127,7 +144,7 @@ def dense_vectors(vectors: DataFrame, doc: str, dimensions: int) -> DataFrame:
     kind = vectors.schema[doc].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for _, batch in (s for whole in batches for s in _slices(whole)):
             idx, tf = batch.column(1), batch.column(2)
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(idx).to_numpy())
             cells = np.bincount(row * dimensions + idx.flatten().to_numpy() % dimensions, weights=tf.flatten().to_numpy(), minlength=batch.num_rows * dimensions).reshape(-1, dimensions)
@@ -212,7 +229,7 @@ def sparse_best(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame, q
         weights = np.zeros((len(vocabulary), len(ids)))
         np.add.at(weights, (pc.index_in(rows.column(1), vocabulary).to_numpy(), pc.index_in(rows.column(0), ids).to_numpy()), rows.column(2).to_numpy())
 
-        def score(batch, vocabulary=vocabulary, weights=weights):
+        def some(batch, vocabulary, weights):
             lists = batch.column(1)
             coded = lists.flatten().dictionary_encode()
             known = pc.fill_null(pc.index_in(coded.dictionary, vocabulary), -1).to_numpy(zero_copy_only=False)
@@ -231,6 +248,9 @@ def sparse_best(docs: DataFrame, doc: str, tokens: Column, queries: DataFrame, q
                 first = last
             return out
 
+        def score(batch, vocabulary=vocabulary, weights=weights):
+            return np.concatenate([some(part, vocabulary, weights) for _, part in _slices(batch)]) if batch.num_rows else np.zeros((0, weights.shape[1]))
+
         parts.append(_best(docs.select(doc, tokens.alias("_tokens")), doc, ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, query, score, k, digits))
     return ranked(_union(parts), query, doc, k, digits)
 

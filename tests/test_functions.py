@@ -189,3 +189,16 @@ def test_stream(spark, tmp_path):
     points = spark.read.parquet(table)
     assert points.count() == 5
     assert sorted((r.page_id, r.section) for r in page_index.current(points).collect()) == [("p", "B"), ("p", "Introduction"), ("q", "Introduction")]
+
+
+def test_rows_are_counted_by_a_bounded_number_of_tokens():
+    import pyarrow as pa
+
+    from ledgerloom.operators import retrieval
+
+    lists = [["a"] * 3, None, [], ["b"] * 9, ["c"] * 2, ["d"] * 2, ["e"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(lists, pa.list_(pa.string()))], ["doc", "tokens"])
+    parts = list(retrieval._slices(batch.slice(1), most=4))  # of a batch that begins later
+    assert [(at, p.column(0).to_pylist()) for at, p in parts] == [(0, [1, 2]), (2, [3]), (3, [4, 5]), (5, [6])]
+    assert [x for _, p in parts for x in p.column(1).to_pylist()] == lists[1:]
+    assert retrieval.TOKENS <= 1 << 20
