@@ -63,8 +63,9 @@ def stream_points(spark, sf_dir):
     first = docs.select(F.col("doc_id").cast("string").alias("page_id"), page.alias("markdown"), F.lit(0).alias("version"))
     gone = docs.where("source = 'src2'").select(F.col("doc_id").cast("string").alias("page_id"), F.lit(None).cast("string").alias("markdown"), F.lit(1).alias("version"))
     folder = graph.shared_folder(spark, "page-stream")
-    first.unionByName(gone).repartition(3).write.json(f"{folder}/in")
-    page_state.follow(spark, f"{folder}/in", f"{folder}/table", f"{folder}/check", 1).awaitTermination()
+    first.unionByName(gone).write.json(f"{folder}/in")  # a file for each task, however many there are
+    files = len(spark.read.schema(page_state.PAGES).json(f"{folder}/in").inputFiles())
+    page_state.follow(spark, f"{folder}/in", f"{folder}/table", f"{folder}/check", max(1, -(-files // 3))).awaitTermination()
     left = page_state.current(spark.read.schema(page_state.ACTIONS).parquet(f"{folder}/table"))
     return left.select(F.col("page_id").cast("bigint").alias("doc_id"), "section", F.sha2("text", 256).alias("text_hash"))
 

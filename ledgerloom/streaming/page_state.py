@@ -23,6 +23,7 @@ from ledgerloom.operators import retrieval
 
 #: The store that keyed state with several fields needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PAGES = "page_id string, markdown string, version bigint"
 ACTIONS = "action string, id string, page_id string, section string, text string, page_hash string, version bigint"
 
 
@@ -75,7 +76,7 @@ def actions(pages: DataFrame) -> DataFrame:
 def follow(spark: SparkSession, source: str, table: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
     """Write the actions for page files (JSON lines) as they come to a Parquet table."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    stream = spark.readStream.schema("page_id string, markdown string, version bigint").option("maxFilesPerTrigger", files_per_batch).json(source)
+    stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).json(source)
     return actions(stream).writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 

@@ -54,3 +54,30 @@ def test_any_cut_of_the_stream_gives_the_batch_answer(spark, tmp_path):
             n = acted.count()
             page_state.follow(spark, str(folder), table, f"{tmp_path}/{name}/check", 1).awaitTermination()  # nothing new
             assert spark.read.schema(page_state.ACTIONS).parquet(table).count() == n
+
+
+def test_the_stream_of_documents_is_read_in_as_many_files_as_they_have(spark, tmp_path, monkeypatch):
+    """Three files for any number of documents made each task of a batch read a third of them."""
+    from ledgerloom.plans import query_index
+
+    docs = spark.range(7000).selectExpr("id AS doc_id", "repeat('x', 3000) || id AS text", "'en' AS lang", "'src' || id % 4 AS source")
+    docs.repartition(7).write.option("parquet.block.size", 1 << 20).parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def follow(spark, source, table, checkpoint, files_per_batch):
+        seen.extend([spark.read.json(source).count(), len(spark.read.text(source).inputFiles()), files_per_batch])
+        raise Seen
+
+    monkeypatch.setattr(page_state, "follow", follow)
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # so that a task takes a file or two
+    try:
+        query_index.stream_points(spark, str(tmp_path))
+    except Seen:
+        pass
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    rows, files, batch = seen
+    assert rows == 8750 and files > 3 and 3 * batch >= files > 2 * batch - 1
