@@ -99,6 +99,19 @@ def test_an_update_lays_postings_by_block(spark):
     assert {(x["query"], x.doc, x["rank"]) for x in found} == best({i: d[1:] for i, d in changed.items()}, queries, 9)
 
 
+def test_a_search_scores_in_the_task_that_reads(spark, monkeypatch):
+    """Scores are not summed over a shuffle (before: a row for each query, token and document); more queries than a block are read for in turns."""
+    monkeypatch.setattr(sparse_index.retrieval, "QUERY_BLOCK", 2)
+    docs = {i: [f"w{i % 7}", f"v{i % 11}", *["all"] * (i % 3)] for i in range(300)}
+    index = sparse_index.SparseIndex(spark, graph.shared_folder(spark, "t"))
+    sparse_index.update(index, spark.createDataFrame([(i, "a", d) for i, d in docs.items()], DOCS))
+    queries = {f"q{i}": [f"w{i}", f"v{i}", "all"] for i in range(5)}
+    asked = spark.createDataFrame([(q, t, 1) for q, ts in queries.items() for t in ts], "query string, token string, tf bigint")
+    found = sparse_index.search(index, asked, 4, 6)
+    assert "Aggregate" not in found.hits._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x["query"], x.doc, x["rank"]) for x in found.hits.collect()} == best(docs, queries, 4)
+
+
 def test_vector_index(spark, monkeypatch):
     monkeypatch.setattr(vector_index, "FILE_ROWS", 100)
     r = np.random.default_rng(4)
