@@ -59,7 +59,11 @@ def compare(actual: Column, op: Column, right: Column) -> Column:
 
 
 def _decide(s: Column) -> Column:
-    actual, op, expected, a, b = (s[c] for c in ("actual", "op", "expected", "a", "b"))
+    return decide(*(s[c] for c in ("actual", "op", "expected", "a", "b")))
+
+
+def decide(actual: Column, op: Column, expected: Column, a: Column, b: Column) -> Column:
+    """``compare`` with what is worked out beforehand: the normalized constant, and the numbers of both sides."""
     blank = F.coalesce(actual, F.lit("")).rlike("(?U)^\\s*$")
     same = F.lower(actual) == F.lower(expected)
     numeric = F.when(op == "==", a == b).when(op == "!=", a != b).when(op == "<", a < b).when(op == "<=", a <= b).when(op == ">", a > b).when(op == ">=", a >= b)

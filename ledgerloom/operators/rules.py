@@ -7,11 +7,11 @@ with a ``case_id``. All rules of all cases are evaluated together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import conditions, predicates, scalars
-from ledgerloom.operators import joins
+from ledgerloom.operators import graph, joins
 
 #: How a condition asks for a feature flag (fixed value: input grammar).
 FLAG = 'IsEnabledAsync\\(\\s*"([^"]+)"'
@@ -19,17 +19,15 @@ FLAG = 'IsEnabledAsync\\(\\s*"([^"]+)"'
 
 def single_outcome(result: Column) -> Column:
     """Aggregate: the only outcome (null counts as one), else null."""
-    only = F.count_distinct(F.coalesce(result.cast("string"), F.lit("unknown"))) == 1
-    return F.when(only, F.bool_or(result))
+    n = F.count(F.lit(1))
+    return F.when((n > 0) & (F.count_if(result) == n), True).when((n > 0) & (F.count_if(~result) == n), False)
 
 
-def state_of(result: Column) -> Column:
-    """Aggregate: ``violated`` if any result is true, ``ok`` if there are some and all are false, else ``unknown``."""
-    return (
-        F.when(F.coalesce(F.bool_or(result), F.lit(False)), "violated")
-        .when((F.count(F.lit(1)) > 0) & (F.count(F.lit(1)) == F.count_if(F.coalesce(~result, F.lit(False)))), "ok")
-        .otherwise("unknown")
-    )
+def state_of(result: Column, counted: Column | None = None) -> Column:
+    """Aggregate: ``violated`` if any result is true, ``ok`` if there are some and all are false, else ``unknown``; of those that are ``counted``."""
+    own = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    n = F.count_if(own)
+    return F.when(F.count_if(own & result) > 0, "violated").when((n > 0) & (n == F.count_if(own & ~result)), "ok").otherwise("unknown")
 
 
 def flag_result(condition: Column, value: Column) -> Column:
@@ -72,15 +70,25 @@ def table_keys() -> list[Column]:
     return [F.col("table"), F.col("entity"), F.concat(snake, F.lit("s")), snake, F.concat(F.col("entity"), F.lit("s"))]
 
 
+def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table of guards or entities, broadcast unless it is large."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def entity_tables(entities: DataFrame, cases: DataFrame, tables: DataFrame) -> DataFrame:
     """``(case_id, entity, rank, snap_table)``: the snapshot's table of each entity in each case, null if it was not fetched."""
-    each = joins.attach_all(cases.select("case_id"), entities.select("entity", "table"))
-    each = each.withColumn("_row", F.concat_ws("\u0001", "case_id", "entity"))
     tries = F.filter(F.array(*[F.struct(F.lit(i).alias("rank"), F.lower(c).alias("key")) for i, c in enumerate(table_keys())]), lambda s: s["key"].isNotNull())
-    asked = each.select("case_id", "entity", F.explode(tries).alias("t")).select("case_id", "entity", "t.rank", "t.key")
-    found = asked.join(tables.select("case_id", F.col("table").alias("snap_table"), F.lower("table").alias("key")), ["case_id", "key"])
+    asked = entities.select("entity", F.explode(tries).alias("t")).select("entity", "t.rank", "t.key")
+    found = tables.select("case_id", F.col("table").alias("snap_table"), F.lower("table").alias("key")).join(_small(asked), "key")
     first = found.groupBy("case_id", "entity").agg(F.min_by("snap_table", "rank").alias("snap_table"))
-    return each.select("case_id", "entity").join(first, ["case_id", "entity"], "left")
+    return joins.attach_all(cases.select("case_id"), entities.select("entity").distinct()).join(first, ["case_id", "entity"], "left")
+
+
+def candidates(wanted: DataFrame, fields: DataFrame) -> DataFrame:
+    """``(ask, entity)``: the entities that have all properties of an ask (``ask, property``)."""
+    need = wanted.groupBy("ask").agg(F.count_distinct(F.lower("property")).alias("need"))
+    have = wanted.join(fields.select("entity", F.lower("name").alias("_name")).distinct(), F.lower(F.col("property")) == F.col("_name"))
+    return have.groupBy("ask", "entity").agg(F.count_distinct(F.lower("property")).alias("n")).join(need, "ask").where("n = need").select("ask", "entity")
 
 
 def entity_with(wanted: DataFrame, fields: DataFrame, placed: DataFrame) -> DataFrame:
@@ -88,47 +96,70 @@ def entity_with(wanted: DataFrame, fields: DataFrame, placed: DataFrame) -> Data
 
     Unique, or the only one of several whose table the case has.
     """
-    need = wanted.groupBy("ask").agg(F.count_distinct(F.lower("property")).alias("need"))
-    have = wanted.join(fields.select("entity", F.lower("name").alias("_name")).distinct(), F.lower(F.col("property")) == F.col("_name"))
-    candidates = have.groupBy("ask", "entity").agg(F.count_distinct(F.lower("property")).alias("n")).join(need, "ask").where("n = need").select("ask", "entity")
-    each = candidates.join(placed.select("case_id", "entity", F.col("snap_table").isNotNull().alias("fetched")), "entity")
+    each = placed.select("case_id", "entity", F.col("snap_table").isNotNull().alias("fetched")).join(_small(candidates(wanted, fields)), "entity")
     facts = each.groupBy("case_id", "ask").agg(F.count(F.lit(1)).alias("n"), F.count_if("fetched").alias("n_fetched"), F.min("entity").alias("one"), F.min(F.when(F.col("fetched"), F.col("entity"))).alias("fetched_one"))
     return facts.select("case_id", "ask", F.when(F.col("n") == 1, F.col("one")).when(F.col("n_fetched") == 1, F.col("fetched_one")).alias("entity")).where("entity IS NOT NULL")
 
 
-def _values(asked: DataFrame, fields: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Join asks ``(case_id, ask, entity, property, ...)`` to rows: columns ``row_pos``, ``has``, ``value``."""
+def _by_case(rows: DataFrame) -> DataFrame:
+    """Rows with all of a case in one partition, so that what is grouped by case and more is not dealt again."""
+    return rows.select("case_id", F.col("table").alias("snap_table"), F.col("pos").alias("row_pos"), "row").repartition("case_id")
+
+
+def _values(asks: DataFrame, fields: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each row with the asks (``entity, property, op, right, ...``) of an entity whose table it may be of: columns ``row_pos``, ``one``, ``has``, ``value``.
+
+    Asks are few, so they go to the rows: a row's names and an ask's constant are worked
+    out once, not for each pair. Which asks count for a case is left to the caller, by
+    (case_id, entity, snap_table).
+    """
     f = fields.select(F.col("entity").alias("_entity"), F.lower("name").alias("_name"), F.col("column").alias("_column"))
-    named = asked.join(f, (F.col("entity") == F.col("_entity")) & (F.lower(F.col("property")) == F.col("_name")), "left").drop("_entity", "_name")
-    located = named.join(placed, ["case_id", "entity"], "left")
-    r = rows.select("case_id", F.col("table").alias("snap_table"), F.col("pos").alias("row_pos"), "row")
-    joined = located.join(r, ["case_id", "snap_table"], "left")
-    keys = [F.col("_column"), scalars.snake_simple(F.col("property")), F.col("property")]
-    return joined.withColumn("has", joins.map_has(F.col("row"), keys)).withColumn("value", joins.map_value(F.col("row"), keys)).drop("row")
+    named = asks.join(f, (F.col("entity") == F.col("_entity")) & (F.lower(F.col("property")) == F.col("_name")), "left").drop("_entity", "_name")
+    tables = placed.where("snap_table IS NOT NULL").select("entity", "snap_table").distinct()
+    expected = predicates.normalize(F.col("right"))
+    keys = [F.lower(c) for c in (F.col("_column"), scalars.snake_simple(F.col("property")), F.col("property"))]
+    known = named.join(tables, "entity").withColumns({f"_k{i}": k for i, k in enumerate(keys)} | {"_expected": expected, "_b": predicates.number(expected)}).drop("_column")
+    known = graph.cut(known)
+    mine = _by_case(rows).join(_small(known.select("snap_table").distinct()), "snap_table", "left_semi")
+    low = F.map_from_entries(F.transform(F.map_entries("row"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    each = mine.withColumn("_low", low).drop("row").join(_small(known), "snap_table")
+    there = [F.coalesce(F.map_contains_key("_low", F.col(f"_k{i}")), F.lit(False)) for i in range(3)]
+    value = F.lit(None).cast("string")
+    for i in (2, 1, 0):
+        value = F.when(there[i], F.try_element_at("_low", F.col(f"_k{i}"))).otherwise(value)
+    each = each.withColumn("has", there[0] | there[1] | there[2]).withColumn("value", value).withColumn("_a", predicates.number(F.col("value")))
+    one = predicates.decide(F.col("value"), F.col("op"), F.col("_expected"), F.col("_a"), F.col("_b"))
+    return each.withColumn("one", one).drop("_low", "_k0", "_k1", "_k2", "_expected", "_a", "_b")
 
 
 def structured_results(guards: DataFrame, entities: DataFrame, fields: DataFrame, placed: DataFrame, rows: DataFrame) -> DataFrame:
     """``(case_id, guard_id, result, evidence, not_fetched)`` of guards with ``left_side, op, right_side``."""
-    g = guards.select("guard_id", "condition", "left_side", "op", "right_side", scalars.tail(F.col("left_side")).alias("property"), F.regexp_extract("left_side", "^(.+)\\.[^.]*$", 1).alias("of"))
-    e = entities.select("entity", F.lower("entity").alias("_e"))
-    direct = g.join(e, F.lower(F.col("of")) == F.col("_e"), "left").drop("_e")
-    cases = placed.select("case_id").distinct()
-    every = joins.attach_all(cases, direct)
-    guess = entity_with(direct.where("entity IS NULL").select(F.col("guard_id").alias("ask"), "property"), fields, placed).select("case_id", F.col("ask").alias("guard_id"), F.col("entity").alias("guess"))
-    asked = every.join(guess, ["case_id", "guard_id"], "left").withColumn("entity", F.coalesce("entity", "guess"))
-    v = _values(asked, fields, placed, rows)
-    v = v.withColumn("one", predicates.compare(F.col("value"), F.col("op"), F.col("right_side")))
-    n = F.count("row_pos")
+    g = guards.select("guard_id", "condition", "left_side", "op", F.col("right_side").alias("right"), scalars.tail(F.col("left_side")).alias("property"), F.regexp_extract("left_side", "^(.+)\\.[^.]*$", 1).alias("of"))
+    e = entities.groupBy(F.lower("entity").alias("_e")).agg(F.min("entity").alias("entity"))
+    direct = graph.cut(g.join(e, F.lower(F.col("of")) == F.col("_e"), "left").drop("_e"))
+    asked = placed.join(_small(direct.where("entity IS NOT NULL")), "entity").select("case_id", *direct.columns, "snap_table")
+    asks, open_ = direct.where("entity IS NOT NULL"), direct.where("entity IS NULL")
+    if not open_.isEmpty():
+        wanted = open_.select(F.col("guard_id").alias("ask"), "property")
+        guess = entity_with(wanted, fields, placed).select("case_id", F.col("ask").alias("guard_id"), F.col("entity").alias("guess"))
+        every = joins.attach_all(placed.select("case_id").distinct(), open_).join(guess, ["case_id", "guard_id"], "left").withColumn("entity", F.col("guess"))
+        asked = asked.unionByName(every.join(placed, ["case_id", "entity"], "left").select(*asked.columns))
+        asks = asks.unionByName(open_.drop("entity").join(candidates(wanted, fields).withColumnRenamed("ask", "guard_id"), "guard_id").select(*asks.columns))
+    v = _values(asks.select("guard_id", "entity", "property", "op", "right"), fields, placed, rows)
     shown = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row_pos", F.coalesce("value", F.lit("null")).alias("v")))), lambda s: s["v"])), ", ")
-    return v.groupBy("case_id", "guard_id").agg(
-        F.when((n > 0) & F.bool_and("has"), single_outcome(F.col("one"))).alias("result"),
-        F.when(F.first("entity").isNull(), F.concat(F.lit("no table known for "), F.first("left_side")))
-        .when(F.first("snap_table").isNull(), F.concat(F.lit("table not fetched: "), F.first("entity")))
-        .when(n == 0, F.concat(F.lit("no row in "), F.first("snap_table")))
-        .when(~F.bool_and("has"), F.concat(F.lit("no column "), F.first("property"), F.lit(" in "), F.first("snap_table")))
-        .otherwise(F.concat(F.first("snap_table"), F.lit("."), F.first("property"), F.lit(" = "), shown))
+    found = v.groupBy("case_id", "guard_id", "entity", "snap_table").agg(F.count("row_pos").alias("n"), F.bool_and("has").alias("has"), single_outcome(F.col("one")).alias("outcome"), shown.alias("shown"))
+    every = asked.join(found, ["case_id", "guard_id", "entity", "snap_table"], "left")
+    return every.select(
+        "case_id",
+        "guard_id",
+        F.when((F.col("n") > 0) & F.col("has"), F.col("outcome")).alias("result"),
+        F.when(F.col("entity").isNull(), F.concat(F.lit("no table known for "), "left_side"))
+        .when(F.col("snap_table").isNull(), F.concat(F.lit("table not fetched: "), "entity"))
+        .when(F.coalesce("n", F.lit(0)) == 0, F.concat(F.lit("no row in "), "snap_table"))
+        .when(~F.col("has"), F.concat(F.lit("no column "), "property", F.lit(" in "), "snap_table"))
+        .otherwise(F.concat("snap_table", F.lit("."), "property", F.lit(" = "), "shown"))
         .alias("evidence"),
-        (F.first("entity").isNotNull() & F.first("snap_table").isNull()).alias("not_fetched"),
+        (F.col("entity").isNotNull() & F.col("snap_table").isNull()).alias("not_fetched"),
     )
 
 
@@ -165,14 +196,14 @@ def filter_counts(guards: DataFrame, fields: DataFrame, placed: DataFrame, rows:
     cases = placed.select("case_id").distinct()
     located = joins.attach_all(cases, g).join(found, ["case_id", "guard_id"], "left").join(placed, ["case_id", "entity"], "left")
     kept = F.filter("atoms", lambda a: a["right"].isNull() | predicates.is_constant(a["right"]))
-    asked = located.select("case_id", "guard_id", "entity", "snap_table", "atoms", F.explode_outer(kept).alias("a")).select("*", "a.property", "a.op", "a.right").drop("a")
-    r = rows.select("case_id", F.col("table").alias("snap_table"), F.col("pos").alias("row_pos"))
-    v = _values(asked.drop("snap_table"), fields, placed, rows)
-    ok = v.withColumn("ok", F.when(F.col("op").isNull(), True).otherwise(F.coalesce(predicates.compare(F.col("value"), F.col("op"), F.col("right")), F.lit(False))))
-    each = ok.groupBy("case_id", "guard_id", "row_pos").agg(F.bool_and("ok").alias("all"))
-    matched = each.groupBy("case_id", "guard_id").agg(F.count_if(F.col("all") & F.col("row_pos").isNotNull()).alias("n"))
-    total = r.groupBy("case_id", "snap_table").agg(F.count(F.lit(1)).alias("total"))
-    out = located.join(matched, ["case_id", "guard_id"], "left").join(total, ["case_id", "snap_table"], "left")
+    asked = g.join(candidates(asks, fields).withColumnRenamed("ask", "guard_id"), "guard_id").select("guard_id", "entity", F.explode_outer(kept).alias("a")).select("guard_id", "entity", "a.property", "a.op", "a.right")
+    v = _values(asked, fields, placed, rows)
+    ok = v.withColumn("ok", F.when(F.col("op").isNull(), True).otherwise(F.coalesce("one", F.lit(False))))
+    by = ["case_id", "guard_id", "entity", "snap_table"]
+    each = ok.groupBy(*by, "row_pos").agg(F.bool_and("ok").alias("all"))
+    matched = each.groupBy(*by).agg(F.count_if(F.col("all") & F.col("row_pos").isNotNull()).alias("n"))
+    total = _by_case(rows).groupBy("case_id", "snap_table").agg(F.count(F.lit(1)).alias("total"))
+    out = located.join(matched, by, "left").join(total, ["case_id", "snap_table"], "left")
     known = F.col("atoms").isNotNull() & F.col("snap_table").isNotNull()
     evidence = (
         F.when(F.col("atoms").isNull(), F.concat(F.lit("filter can't be checked: "), F.col("condition")))
@@ -197,15 +228,19 @@ def evaluate(rule_guards: DataFrame, entities: DataFrame, fields: DataFrame, cas
     if parse:
         structured = structured.unionByName(compound_results(once.where("left_side IS NULL AND kind <> 'filter'"), entities, fields, placed, rows))
     structured = structured.select("case_id", "guard_id", F.col("result").alias("s_result"), F.col("evidence").alias("s_evidence"), F.col("not_fetched").alias("s_lost"))
-    counts = filter_counts(once.where("kind = 'filter'"), fields, placed, rows)
+    has_filters = not once.where("kind = 'filter'").isEmpty()
     filters = rule_guards.where("kind = 'filter'").groupBy("rule_id").agg(F.min_by("guard_id", "pos").alias("filter_id"))
+    only_filters = rule_guards.groupBy("rule_id").agg((F.min(F.when(F.col("kind") == "filter", 1).otherwise(0)) == 1).alias("only"))
     flag = F.regexp_extract("condition", FLAG, 1)
-    every = joins.attach_all(cases.select("case_id"), rule_guards.join(filters, "rule_id", "left").withColumn("flag", F.when(flag != "", flag)))
+    every = joins.attach_all(cases.select("case_id"), rule_guards.join(filters, "rule_id", "left").join(only_filters, "rule_id").withColumn("flag", F.when(flag != "", flag)))
     c = config.select(F.col("case_id").alias("_case"), F.lower("key").alias("_flag"), F.col("value").alias("flag_value"))
     every = every.join(c, (F.col("case_id") == F.col("_case")) & (F.lower(F.col("flag")) == F.col("_flag")), "left").drop("_case", "_flag")
     every = every.join(structured, ["case_id", "guard_id"], "left")
-    every = every.join(counts.select("case_id", F.col("guard_id").alias("filter_id"), "matched", F.col("evidence").alias("f_evidence"), F.col("not_fetched").alias("f_lost")), ["case_id", "filter_id"], "left")
-    only_filters = F.min(F.when(F.col("kind") == "filter", 1).otherwise(0)).over(Window.partitionBy("case_id", "rule_id")) == 1
+    if has_filters:
+        counts = filter_counts(once.where("kind = 'filter'"), fields, placed, rows)
+        every = every.join(counts.select("case_id", F.col("guard_id").alias("filter_id"), "matched", F.col("evidence").alias("f_evidence"), F.col("not_fetched").alias("f_lost")), ["case_id", "filter_id"], "left")
+    else:
+        every = every.withColumns({"matched": F.lit(None).cast("bigint"), "f_evidence": F.lit(None).cast("string"), "f_lost": F.lit(None).cast("boolean")})
     is_filter = F.col("kind") == "filter"
     own = F.col("filter_id").eqNullSafe(F.col("guard_id"))
     result = (
@@ -231,12 +266,11 @@ def evaluate(rule_guards: DataFrame, entities: DataFrame, fields: DataFrame, cas
         .otherwise(F.coalesce("s_lost", F.lit(False)))
     )
     every = every.withColumn("lost", lost)
-    judged = every.withColumn("only", only_filters).withColumn("result", result).withColumn("evidence", evidence)
-    counted = judged.where(~is_filter | (F.col("only") & own))
-    states = counted.groupBy("case_id", "rule_id").agg(state_of(F.col("result")).alias("state"))
-    notes = judged.groupBy("case_id", "rule_id").agg(
+    counted = ~is_filter | (F.col("only") & own)
+    judged = every.withColumn("result", result).withColumn("evidence", evidence).withColumn("counted", counted)
+    return judged.groupBy("case_id", "rule_id").agg(
+        state_of(F.col("result"), F.col("counted")).alias("state"),
         F.bool_or(F.col("exit").isin("silent_success", "return")).alias("silent"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("evidence").isNotNull(), F.struct(F.when(is_filter, -1).otherwise(F.col("pos")).alias("o"), "evidence")))), lambda s: s["evidence"]).alias("evidence"),
         F.array_sort(F.collect_set(F.when(F.col("lost"), F.col("evidence")))).alias("missing"),
     )
-    return notes.join(states, ["case_id", "rule_id"], "left").select("case_id", "rule_id", F.coalesce("state", F.lit("unknown")).alias("state"), "silent", "evidence", "missing")

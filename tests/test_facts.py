@@ -325,3 +325,29 @@ def test_range_lookup_broadcasts_no_stretches(spark):
     most = (1 << 63) - 1  # a span whose length is no bigint
     wide = spark.createDataFrame([(1, 0, -most, most - 1)], "s bigint, k bigint, low bigint, high bigint")
     assert joins.range_lookup(points, wide, "p", "k", "at", "low", "high", "s", ["s"]).agg(F.count("s")).first()[0] == 143
+
+
+@pytest.mark.parametrize("parse", [False, True])
+def test_rows_meet_guards_in_one_partition_of_their_case(spark, parse):
+    """Rows are dealt once, by case, and guards are sent to them (before: a row of each case, guard and row was joined and grouped over shuffles)."""
+    columns = "rule_id string, pos int, guard_id string, kind string, condition string, exit string, left_side string, op string, right_side string"
+    if parse:
+        made = [("R", 0, "G", "if", "order.Total > 5 || bill.State == S.Open", "return", None, None, None)]
+    else:
+        made = [("R", 0, "G", "if", "x.Total > 5", "return", "x.Total", ">", "5"), ("F", 0, "H", "filter", "Where(o => o.Total > 5 && o.State == S.Open)", "filter", None, None, None)]
+    guards = spark.createDataFrame(made, columns)
+    entities = spark.createDataFrame([("Order", "orders"), ("Bill", None)], "entity string, table string")
+    fields = spark.createDataFrame([(e, n, n.lower()) for e in ("Order", "Bill") for n in ("Total", "State")], "entity string, name string, column string")
+    held = {("a", "ORDERS"): [("9", "open"), ("7", "shut")], ("b", "bills"): [("3", "Open")], ("c", "orders"): [("9", "x")], ("c", "Bill"): [("1", "Open")], ("d", "other"): [("9", "Open")]}
+    rows = spark.createDataFrame([(c, t, i, {"TOTAL": x, "State": y}) for (c, t), each in held.items() for i, (x, y) in enumerate(each)], "case_id string, table string, pos int, row map<string,string>")
+    cases, none = spark.createDataFrame([(c,) for c in "abcde"], "case_id string"), spark.createDataFrame([], "case_id string, key string, value string")
+    found = rules.evaluate(guards, entities, fields, cases, rows.select("case_id", "table").distinct(), rows, none, parse)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [case_id" in plan and "Window" not in plan
+    got = {(r.case_id, r.rule_id): (r.state, r.evidence, r.missing) for r in found.collect()}
+    if parse:
+        assert {k: v[0] for k, v in got.items()} == {("a", "R"): "violated", ("b", "R"): "violated", ("c", "R"): "violated", ("d", "R"): "unknown", ("e", "R"): "unknown"}
+        assert got["a", "R"][1:] == (["ORDERS.Total = 9, 7; table not fetched: Bill"], ["ORDERS.Total = 9, 7; table not fetched: Bill"])
+    else:
+        assert {k: v[0] for k, v in got.items() if k[1] == "R"} == {("a", "R"): "violated", ("b", "R"): "ok", ("c", "R"): "unknown", ("d", "R"): "unknown", ("e", "R"): "unknown"}
+        assert got["a", "F"] == ("ok", ["ORDERS: 1 of 2 rows match"], []) and got["b", "F"] == ("violated", ["bills: 0 of 1 rows match"], []) and got["c", "F"][0] == "unknown"
