@@ -95,5 +95,5 @@ def conditions_by_rules(spark, sf_dir):
     rows = rows.unionByName(events.select(F.col("user_id").alias("case_id"), F.lit("events").alias("table"), F.col("event_id").alias("pos"), F.create_map(F.lit("type"), F.col("event_type")).alias("row")))
     config = spark.createDataFrame([], "case_id bigint, key string, value string")
     cases = customer.select(F.col("c_custkey").alias("case_id"))
-    found = rules.evaluate(guards, entities, fields, cases, rows.select("case_id", "table").distinct(), rows, config, parse=True)
+    found = rules.evaluate(guards, entities, fields, cases, None, rows, config, parse=True)
     return found.select(F.col("case_id").alias("c_custkey"), "rule_id", "state")

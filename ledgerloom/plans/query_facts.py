@@ -42,7 +42,7 @@ def rules_evaluate(spark, sf_dir):
     rows = orders.select(F.col("o_custkey").alias("case_id"), F.lit("orders").alias("table"), F.col("o_orderkey").alias("pos"), row.alias("row"))
     flag = F.when(F.col("c_custkey") % 4 < 2, "true").when(F.col("c_custkey") % 4 == 2, "FALSE")
     config = customer.select(F.col("c_custkey").alias("case_id"), F.lit("pay").alias("key"), flag.alias("value"))
-    found = rules.evaluate(guards, entities, fields, cases, rows.select("case_id", "table").distinct(), rows, config)
+    found = rules.evaluate(guards, entities, fields, cases, None, rows, config)
     said = F.array_join(F.filter("evidence", lambda e: e.startswith("flag ") | e.endswith("rows match")), "; ")
     return found.select(F.col("case_id").alias("c_custkey"), "rule_id", "state", "silent", F.array_join("missing", "; ").alias("missing"), said.alias("said"))
 
